@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import jaccard_join
+from millrace.llm import jaccard_join, packing, substring_dedup, tokenbin
+from millrace.llm.scratch import scratch_path
+from millrace.llm.tokens import public_path
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op5_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    tokenbin.write_ids(_documents(spark, sf_dir), path, public_path("word_bpe_49k.json"))
+    return tokenbin.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_join.similarity_classes(docs, n=4, num=85, den=100)
+    return jaccard_join.similarity_classes(_documents(spark, sf_dir), n=4, num=85, den=100)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_documents(spark, sf_dir), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_hierarchical_packing": op1_hierarchical_packing,
+    "op5_elias_fano_ids": op5_elias_fano_ids,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
