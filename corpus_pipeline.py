@@ -1,16 +1,64 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last return the columns of ``documents``. The driver writes what a stage returns
+and gives it to the next one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.llm import decontaminate, jaccard_join, packing, substring_dedup, toxicity
+from millrace.llm.scratch import written
+from millrace.llm.tokens import public_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents scored 0.5 or more go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7, five words and 0.8: of each group the document with the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs, n=5, num=80, den=100)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: passages of 50 words that an earlier document holds go; so do documents of which nothing is left."""
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = substring_dedup.remove_repeats(docs, window=50, keep=keep, joined=False).where("n_removed = 0 or n_removed < n_words")
+    kept = kept.withColumnRenamed("kept_text", "text")
+    return (kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in keep else kept).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents that hold ten consecutive words of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: the pieces of sequences of at most 1024 ids."""
+    pieces = packing.pack(docs, public_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_copies", without_near_copies),
+    ("repeats", without_repeats),
+    ("benchmark", without_benchmark),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied in turn to ``documents``."""
+    """The stages applied in turn to ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

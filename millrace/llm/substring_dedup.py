@@ -188,7 +188,7 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _removed(window: int, keep: list[str]) -> Callable:
+def _removed(window: int, keep: list[str], joined: bool) -> Callable:
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         blobs = [unpack(b) for b in found.column("blob").to_pylist()]
         known = np.concatenate(blobs) if blobs else np.zeros(0, _U)
@@ -205,26 +205,27 @@ def _removed(window: int, keep: list[str]) -> Callable:
                     gone[i] = covered(hit, len(words), window)
         n_words, n_removed, kept = [], [], []
         for i, text in enumerate(texts):
-            words = b"" if text is None else text.encode("utf-8", "surrogatepass")
-            words = words.split()
+            raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+            words = raw.split()
             n_words.append(len(words))
             if i in gone:
                 words = [w for w, g in zip(words, gone[i].tolist()) if not g]
             n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words))
+            kept.append(b" ".join(words) if joined or i in gone else None if text is None else raw)
         columns = {"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
         return pa.table(columns | {c: table.column(c) for c in keep})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_words, n_removed, kept_text, *keep)``, one row for each row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes when it lies in a
     run of ``window`` words that also begins in a document with a smaller
     doc_id; windows are judged on the input. ``kept_text`` joins the other
-    words by one space. Null texts have no words; rows with a null doc_id lose
+    words by one space (without ``joined``, the text of a row that loses
+    nothing stays as it is). Null texts have no words; rows with a null doc_id lose
     nothing and make no others lose; rows with the same doc_id do not count as
     earlier than each other. Columns other than those of ``keep`` are ignored;
     ``keep`` may not hold names of the result.
@@ -243,4 +244,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = ()
     windows = base.groupBy("cell").cogroup(matched.groupBy("cell")).applyInArrow(_candidates(window, block, bits), "part long, cell long, blob binary, docs binary, many binary")
     found = windows.groupBy("part").applyInArrow(_earliest, "cell long, blob binary, docs binary")
     schema = ["doc_id long", "n_words long", "n_removed long", "kept_text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]
-    return base.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_removed(window, list(keep)), ", ".join(schema))
+    return base.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_removed(window, list(keep), joined), ", ".join(schema))
