@@ -4,7 +4,479 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.functions.access import contains
+from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, rollups, search, state
+from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, table
+from millrace.sources.connectors import conversation_threads, web_pages
+from millrace.streaming.streams import daily_documents, live_jobs, lockouts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_CHUNKS = """chunks AS (
+  SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE 'acme' END AS tenant_id, source AS source_id,
+    (['upload', 'web', 'github', 'slack', 'notion', 'gdrive', 'jira'])[CAST(substr(source, 4) AS INT) % 7 + 1] AS source_kind,
+    source || '/' || doc_id AS title, text AS content, lang, doc_id % 3 = 0 AS acl_public,
+    CASE doc_id % 4 WHEN 0 THEN ['engineering'] WHEN 1 THEN ['hr'] WHEN 2 THEN ['engineering', 'hr'] ELSE CAST([] AS VARCHAR[]) END AS acl_groups
+  FROM documents)"""
+_SEES = {"member": "(acl_public OR list_contains(acl_groups, 'engineering'))", "admin": "TRUE", "stranger": "acl_public"}
+_PRINCIPALS = {"member": MEMBER, "admin": ADMIN, "stranger": STRANGER}
+_TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- hybrid search
+
+_TF = f"""tok AS (SELECT chunk_id, unnest({_TERMS.format('content')}) AS term FROM chunks),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+len AS (SELECT chunk_id, count(*) AS n_terms FROM tf GROUP BY ALL),
+stats AS (SELECT tenant_id, count(*) AS n, greatest(avg(coalesce(n_terms, 0)), 1) AS avg_len FROM chunks LEFT JOIN len USING (chunk_id) GROUP BY ALL)"""
+
+
+def _lexical(sees: str) -> str:
+    return f"""{_TF},
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
+seen AS (SELECT chunk_id FROM chunks WHERE tenant_id = 'acme' AND {sees}),
+df AS (SELECT term, count(*) AS df FROM tf SEMI JOIN seen USING (chunk_id) GROUP BY ALL),
+idf AS (SELECT query_id, term, ln(1 + ((SELECT n FROM stats WHERE tenant_id = 'acme') - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM q LEFT JOIN df USING (term)),
+bm AS (
+  SELECT query_id, chunk_id, sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / (SELECT avg_len FROM stats WHERE tenant_id = 'acme')))) AS score
+  FROM tf JOIN idf USING (term) JOIN len USING (chunk_id) SEMI JOIN seen USING (chunk_id) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) WHERE rank <= 60)"""
+
+
+def _dense(sees: str) -> str:
+    return f"""de AS (
+  SELECT b.item_id AS query_id, c.chunk_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qe.embedding AS DOUBLE[])) AS score
+  FROM benchmark b JOIN embeddings qe ON qe.vec_id = b.item_id CROSS JOIN chunks c JOIN embeddings e ON e.vec_id = c.chunk_id
+  WHERE b.item_id % 20 = 0 AND c.tenant_id = 'acme' AND {sees}),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM de) WHERE rank <= 60)"""
+
+
+def _fused(sees: str, alpha: float = 0.5) -> str:
+    return f"""WITH {_CHUNKS}, {_lexical(sees)}, {_dense(sees)},
+fused AS (
+  SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.score AS ds, s.score AS ss, d.rank AS dr, s.rank AS sr,
+    coalesce({alpha} / (60 + d.rank), 0) + coalesce({1 - alpha} / (60 + s.rank), 0) AS fs
+  FROM dense d FULL JOIN sparse s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id),
+traced AS (SELECT *, fs / max(fs) OVER (PARTITION BY query_id) AS nm, row_number() OVER (PARTITION BY query_id ORDER BY round(fs, 9) DESC, chunk_id) AS fr FROM fused)"""
+
+
+_TRACED_SQL = "SELECT query_id, chunk_id, round(coalesce(ds, 0), 6) AS dense_score, round(coalesce(ss, 0), 6) AS sparse_score, coalesce(dr, 0) AS dense_rank, coalesce(sr, 0) AS sparse_rank, round(fs, 9) AS fused, round(nm, 6) AS normalised, fr AS fused_rank FROM traced"
+
+
+def _traced(spark: SparkSession, sf_dir: str, who: str, params: search.Params = search.Params()) -> DataFrame:
+    index = search.analyzed(chunks(spark, sf_dir, embedded=True))
+    return search.hybrid_search(index, questions(spark, sf_dir), _PRINCIPALS[who], params, any_term=True)
+
+
+def _shown(traced: DataFrame) -> DataFrame:
+    scores = (F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("dense_score", "sparse_score"))
+    ranks = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("dense_rank", "sparse_rank"))
+    return traced.select("query_id", "chunk_id", *scores, *ranks, F.round("fused", 9).alias("fused"), F.round("normalised", 6).alias("normalised"), F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@_query(f"WITH {_CHUNKS}, {_dense(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
+def h_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir, embedded=True).where(MEMBER.sees())
+    return search.dense(rows, questions(spark, sf_dir), 60).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
+def h_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.analyzed(chunks(spark, sf_dir))
+    return search.lexical(index, questions(spark, sf_dir), MEMBER, 60, any_term=True).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_query(
+    f"""WITH {_CHUNKS}, {_lexical(_SEES['admin'])},
+sizes AS (SELECT query_id, count(*) AS n FROM q GROUP BY ALL),
+every AS (SELECT query_id, chunk_id FROM q JOIN tf USING (term) JOIN sizes USING (query_id) GROUP BY query_id, chunk_id, n HAVING count(*) = n)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm SEMI JOIN every USING (query_id, chunk_id)"""
+)
+def h_bm25_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.analyzed(chunks(spark, sf_dir))
+    quoted = [search.Query(q.query_id, (q.text or "").replace("-", " ").replace(" or ", ' "or" ')) for q in questions(spark, sf_dir)]
+    return search.lexical(index, quoted, ADMIN, 60).withColumn("score", F.round("score", 6))
+
+
+@_query()
+def h_bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.analyzed(chunks(spark, sf_dir), english=True)
+    return search.lexical(index, questions(spark, sf_dir), MEMBER, 60, any_term=True, english=True)
+
+
+@_query(f"{_fused(_SEES['member'])} {_TRACED_SQL}")
+def h_hybrid_acl_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_traced(spark, sf_dir, "member"))
+
+
+@_query(f"{_fused(_SEES['admin'])} {_TRACED_SQL}")
+def h_hybrid_acl_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_traced(spark, sf_dir, "admin"))
+
+
+@_query(f"{_fused(_SEES['stranger'])} {_TRACED_SQL}")
+def h_hybrid_acl_stranger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_traced(spark, sf_dir, "stranger"))
+
+
+@_query(f"{_fused(_SEES['member'], 0.9)} {_TRACED_SQL}")
+def h_alpha_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_traced(spark, sf_dir, "member", search.Params(alpha=0.9)))
+
+
+@_query(f"{_fused(_SEES['member'])} {_TRACED_SQL} WHERE nm >= 0.25 AND fr <= 8")
+def h_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = search.Params(min_score=0.25)
+    return _shown(search.answers(_traced(spark, sf_dir, "member", p), p))
+
+
+@_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT DISTINCT term, coalesce(df, 0) AS df, round(w, 6) AS idf FROM idf LEFT JOIN df USING (term)")
+def h_idf_by_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.analyzed(chunks(spark, sf_dir))
+    from millrace.functions.text import bag_of_words, query_terms
+
+    terms = sorted({t for q in questions(spark, sf_dir) for t in query_terms(bag_of_words(q.text))})
+    return search.idf(index, terms, MEMBER.sees(), search.corpus_stats(index), "acme").withColumn("idf", F.round("idf", 6))
+
+
+@_query(f"WITH {_CHUNKS}, {_TF} SELECT tenant_id, n AS chunk_count, round(avg_len, 6) AS avg_len FROM stats")
+def h_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.corpus_stats(search.analyzed(chunks(spark, sf_dir))).withColumn("avg_len", F.round("avg_len", 6))
+
+
+# ---- mentions
+
+_NEEDLE = "License"
+_MENTIONS = f"""WITH {_CHUNKS}, found AS (
+  SELECT chunk_id, title, source_kind, instr(lower(content), 'license') - 1 AS match_offset,
+    CAST((length(content) - length(replace(lower(content), 'license', ''))) / 7 AS INT) AS occurrences,
+    regexp_replace(substr(content, greatest(1, instr(lower(content), 'license') - 120), 247), '\\s+', ' ', 'g') AS snippet
+  FROM chunks WHERE tenant_id = 'acme' AND {_SEES['member']} AND contains(lower(content), 'license'))"""
+
+
+@_query(f"{_MENTIONS} SELECT chunk_id, title, source_kind, match_offset, occurrences, snippet FROM found")
+def m_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.find_mentions(chunks(spark, sf_dir), _NEEDLE, MEMBER.sees()).select("chunk_id", "title", "source_kind", "match_offset", "occurrences", "snippet")
+
+
+@_query(f"{_MENTIONS} SELECT source_kind, count(*) AS chunks, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM found GROUP BY ALL")
+def m_mentions_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.by_source(mentions.find_mentions(chunks(spark, sf_dir), _NEEDLE, MEMBER.sees())).drop("kind_order")
+
+
+# ---- predicates, aggregates, state
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id FROM chunks JOIN labels ON doc_id = chunk_id WHERE toxic = 1 AND lang = 'en'")
+def p_metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir).join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    described = rows.withColumn("metadata", F.parse_json(F.to_json(F.struct("lang", F.struct("toxic", "quality").alias("labels")))))
+    return described.where(contains(F.col("metadata"), {"lang": "en", "labels": {"toxic": 1}})).select("chunk_id")
+
+
+@_query(f"WITH {_CHUNKS}, wanted AS (SELECT DISTINCT source_id FROM chunks WHERE source_kind IN ('slack', 'jira')) SELECT chunk_id, source_id FROM chunks SEMI JOIN wanted USING (source_id)")
+def p_source_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir)
+    return rows.join(rows.where(F.col("source_kind").isin("slack", "jira")).select("source_id").distinct(), "source_id", "left_semi").select("chunk_id", "source_id")
+
+
+@_query(
+    """SELECT c_custkey AS user_id, 't' || c_nationkey AS tenant_id, lower(c_name) AS email, c_acctbal < 0 AS is_admin,
+  coalesce(array_to_string(list_sort(list(DISTINCT lower(o_orderpriority)) FILTER (o_orderpriority IS NOT NULL)), ','), '') AS groups
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL"""
+)
+def a_principal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"), F.lower("c_name").alias("email"), (F.col("c_acctbal") < 0).alias("is_admin"))
+    orders = table(spark, sf_dir, "orders")
+    members = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("group_id"))
+    groups = orders.select(F.col("o_orderpriority").alias("group_id")).distinct().withColumn("key", F.lower("group_id"))
+    return state.principals(users, members, groups).withColumn("groups", F.array_join("groups", ","))
+
+
+@_query(
+    """SELECT 't' || (user_id % 3) AS tenant_id, date_trunc('day', ts) AS day, count(*) AS queries,
+  round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50_ms, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95_ms, round(percentile_cont(0.99) WITHIN GROUP (ORDER BY value), 6) AS p99_ms,
+  round(sum(value / 1000), 6) AS cost_usd, round(avg(value / 1000), 9) AS cost_per_query, count(*) FILTER (event_type = 'error') AS errors
+FROM events GROUP BY ALL"""
+)
+def a_query_stats_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traces = table(spark, sf_dir, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), F.col("ts").alias("created_at"), F.col("value").alias("total_ms"), (F.col("value") / 1000).alias("cost_usd"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return rollups.query_stats_daily(traces)
+
+
+_JOBS = """jobs AS (
+  SELECT event_id AS id, event_type AS kind, CASE WHEN event_id % 4 < 2 THEN 'queued' WHEN event_id % 4 = 2 THEN 'running' ELSE 'succeeded' END AS status, CAST(user_id % 5 AS INT) AS priority,
+    CAST(event_id % 6 AS INT) AS attempts, ts, user_id FROM events)"""
+_NOW = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+@_query(f"WITH {_JOBS} SELECT kind, status, count(*) AS n, min(ts) AS oldest_runnable, max(attempts) AS max_attempts_seen, CAST(floor(epoch({_NOW}) - epoch(min(ts))) AS BIGINT) AS oldest_age_s FROM jobs GROUP BY ALL")
+def a_queue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.queue_health(jobs(spark, sf_dir), F.expr(NOW))
+
+
+@_query(f"WITH {_CHUNKS} SELECT tenant_id, count(*) AS documents, count(*) FILTER (chunk_id % 7 > 0) AS ready, count(*) FILTER (chunk_id % 7 = 0) AS failed, count(*) AS chunks FROM chunks GROUP BY ALL")
+def a_corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir)
+    return rollups.corpus_counts(rows.withColumn("stage", F.when(F.col("document_id") % 7 == 0, "failed").otherwise("ready")), rows)
+
+
+@_query(f"WITH {_CHUNKS} SELECT tenant_id, lang || '/' || source_id AS title, max(chunk_id) AS document_id FROM chunks GROUP BY ALL")
+def w_latest_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir).select("document_id", "tenant_id", F.concat_ws("/", "lang", "source_id").alias("title"), F.timestamp_seconds("document_id").alias("created_at"))
+    return state.latest_by_title(rows).select("tenant_id", "title", "document_id")
+
+
+@_query(f"WITH {_CHUNKS} SELECT tenant_id, lang || '/' || source_id AS title, count(*) AS n FROM chunks GROUP BY ALL HAVING count(*) > 1")
+def a_title_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.title_collisions(chunks(spark, sf_dir).withColumn("title", F.concat_ws("/", "lang", "source_id")))
+
+
+@_query(
+    """SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'old' WHEN doc_id % 3 = 1 THEN 'old' ELSE 'new' END AS stage,
+  CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE md5(text || '!') END AS content_hash FROM documents"""
+)
+def d_upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
+    stored = d.where("document_id % 3 < 2").select("document_id", F.lit("old").alias("stage"), F.md5("text").alias("content_hash"))
+    new = d.where("document_id % 3 > 0").select("document_id", F.lit("new").alias("stage"), F.md5(F.concat("text", F.lit("!"))).alias("content_hash"))
+    return state.upsert(stored, new, ["document_id"], ["content_hash"])
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, CASE WHEN chunk_id % 2 = 0 THEN FALSE ELSE acl_public END AS acl_public, CASE WHEN chunk_id % 2 = 0 THEN 'ops' ELSE array_to_string(acl_groups, ',') END AS acl_groups FROM chunks")
+def d_acl_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir)
+    changed = rows.where("document_id % 2 = 0").select("document_id", F.lit(False).alias("acl_public"), F.array(F.lit("ops")).alias("acl_groups"))
+    return state.sync_chunk_access(rows, changed).select("chunk_id", "acl_public", F.array_join("acl_groups", ",").alias("acl_groups"))
+
+
+@_query(
+    f"""WITH {_JOBS}, taken AS (SELECT id FROM jobs WHERE status = 'queued' AND ts <= {_NOW} AND kind IN ('click', 'view') ORDER BY priority, ts, id LIMIT 25)
+SELECT id, CASE WHEN t.id IS NULL THEN status ELSE 'running' END AS status, CASE WHEN t.id IS NULL THEN attempts ELSE attempts + 1 END AS attempts,
+  CASE WHEN t.id IS NULL THEN CASE WHEN status = 'running' THEN 'w' || (user_id % 3) END ELSE 'w9' END AS locked_by,
+  CASE WHEN t.id IS NULL THEN CASE WHEN status = 'running' THEN ts + INTERVAL 5 MINUTE END ELSE {_NOW} + INTERVAL 300 SECOND END AS lease_expires_at
+FROM jobs LEFT JOIN taken t USING (id)"""
+)
+def d_claim_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.claim(jobs(spark, sf_dir), "w9", F.expr(NOW), batch=25, kinds=["click", "view"]).select("id", "status", "attempts", "locked_by", "lease_expires_at")
+
+
+@_query(
+    f"""WITH {_JOBS}, f AS (SELECT *, status = 'running' AND kind = 'error' AS hit,
+  floor(least(3600, 5 * power(2, attempts)) * (0.75 + 0.5 * (CAST('0x' || substr(md5(id || '/' || attempts), 1, 8) AS BIGINT) / 4294967296.0)) * 1000) AS ms FROM jobs)
+SELECT id, CASE WHEN hit THEN CASE WHEN attempts >= 5 THEN 'dead' ELSE 'queued' END ELSE status END AS status,
+  CASE WHEN hit AND attempts < 5 THEN {_NOW} + to_milliseconds(CAST(ms AS BIGINT)) ELSE ts END AS run_after, CASE WHEN hit THEN 'boom' END AS last_error FROM f"""
+)
+def d_fail_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.fail(jobs(spark, sf_dir), F.col("kind") == "error", F.lit("boom"), F.expr(NOW)).select("id", "status", "run_after", "last_error")
+
+
+@_query(f"WITH {_JOBS}, r AS (SELECT *, status = 'running' AND ts + INTERVAL 5 MINUTE < {_NOW} AS hit FROM jobs) SELECT id, CASE WHEN hit THEN 'queued' ELSE status END AS status, attempts, CASE WHEN hit THEN {_NOW} ELSE ts END AS run_after FROM r")
+def d_reclaim_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.reclaim(jobs(spark, sf_dir), F.expr(NOW)).select("id", "status", "attempts", "run_after")
+
+
+@_query(f"WITH {_JOBS}, live AS (SELECT DISTINCT kind || '/' || user_id AS k FROM jobs WHERE status IN ('queued', 'running') AND id % 2 = 0) SELECT kind || '/' || user_id AS dedupe_key, min(id) AS id FROM jobs WHERE id % 2 = 1 AND kind || '/' || user_id NOT IN (FROM live) GROUP BY ALL")
+def d_enqueue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_jobs = jobs(spark, sf_dir)
+    return queue.enqueue(all_jobs.where("id % 2 = 0"), all_jobs.where("id % 2 = 1")).where("id % 2 = 1").select("dedupe_key", "id")
+
+
+# ---- ingest
+
+
+@_query("SELECT doc_id, sha256(text || chr(31) || lang || chr(31)) AS content_hash FROM documents")
+def i_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.content_hash(F.array("text", "lang")).alias("content_hash"))
+
+
+@_query("SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'full' WHEN doc_id % 5 = 1 THEN 'full' WHEN doc_id % 5 = 2 THEN 'full' WHEN doc_id % 5 = 3 THEN 'embed' ELSE 'none' END AS scope FROM documents")
+def i_reindex_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.md5("text").alias("content_hash"), F.lit(1).alias("extractor_version"), F.lit(1).alias("chunker_version"), F.lit("e2").alias("embedding_version"))
+    r = F.col("document_id") % 5
+    stored = now.where(r > 0).select("document_id", F.when(r == 1, "x").otherwise(F.col("content_hash")).alias("content_hash"), "extractor_version", F.when(r == 2, 0).otherwise(1).alias("chunker_version"), F.when(r == 3, "e1").otherwise("e2").alias("embedding_version"))
+    return ingest.reindex_scope(now, stored)
+
+
+def _strip_sql() -> str:
+    out = "html"
+    for pattern, put, flags in ((r"<script.*?</script>", "", "gsi"), (r"<style.*?</style>", "", "gsi"), (r"<!--.*?-->", "", "gs"), *((rf"<h{n}[^>]*>", "\n\n" + "#" * n + " ", "gi") for n in range(1, 7)), (r"</(p|div|section|article|li|tr|h[1-6])>", "\n\n", "gi"), (r"<br\s*/?>", "\n", "gi"), (r"<[^>]+>", "", "g")):
+        out = f"regexp_replace({out}, '{pattern}', '{put}', '{flags}')"
+    for old, put in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{old}', '{put}')"
+    out = f"replace(replace(replace({out}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ')"
+    out = f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \\t]+$', '', 'g')"
+    return f"SELECT page_id, regexp_replace({out}, '^\\s+|\\s+$', '', 'g') AS text FROM pages"
+
+
+@_query(_strip_sql())
+def i_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ingest.strip_html(F.col("html")).alias("text"))
+
+
+@_query("SELECT doc_id, greatest(1, CAST(ceil(length(text) / 4) AS BIGINT)) AS tokens FROM documents")
+def i_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.token_estimate(F.col("text")).alias("tokens"))
+
+
+@_query()
+def i_chunk_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return chunking.chunk_documents(d.select(F.col("doc_id").alias("document_id"), F.lit("text").alias("kind"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"), F.array("text").alias("pages")))
+
+
+@_query()
+def i_chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    texts = web_pages(p.select("url", "html")).select("external_id", "title", "text")
+    return chunking.chunk_documents(texts.select(F.xxhash64("external_id").alias("document_id"), F.lit("html").alias("kind"), "title", F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"), F.array("text").alias("pages")))
+
+
+@_query()
+def i_chunk_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = conversation_threads(table(spark, sf_dir, "conversations"))
+    return chunking.chunk_documents(t.select(F.col("conv_id").alias("document_id"), F.lit("conversation").alias("kind"), F.lit("chat").alias("title"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"), F.array("text").alias("pages")))
+
+
+@_query("SELECT conv_id, count(*) AS message_count FROM conversations WHERE length(trim(text)) >= 3 GROUP BY ALL HAVING count(*) >= 2")
+def c_conversation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_threads(table(spark, sf_dir, "conversations")).select("conv_id", F.col("message_count").cast("long").alias("message_count"))
+
+
+@_query("SELECT url AS external_id, CASE WHEN t = '' THEN url ELSE t END AS title FROM (SELECT url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages)")
+def c_web_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_pages(table(spark, sf_dir, "pages")).select("external_id", "title")
+
+
+# ---- evaluation
+
+_RANKED = """truth AS (SELECT item_id AS question_id, doc_id AS label FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)),
+ranked AS (SELECT * FROM (SELECT question_id, label, row_number() OVER (PARTITION BY question_id ORDER BY (label * 7919 + question_id) % 10007, label) AS rank FROM truth) WHERE (question_id + rank) % 3 > 0),
+firsts AS (SELECT question_id, label, row_number() OVER (PARTITION BY question_id ORDER BY rank, label) AS rank FROM ranked)"""
+_METRICS = f"""{_RANKED},
+m AS (
+  SELECT q.item_id AS question_id, t.n IS NOT NULL AS labelled, least(coalesce(r.n, 0), 3) AS got, t.n AS n, coalesce(h.hits, 0) AS hits, h.best, h.gain
+  FROM benchmark q LEFT JOIN (SELECT question_id, count(*) AS n FROM truth GROUP BY ALL) t ON t.question_id = q.item_id
+  LEFT JOIN (SELECT question_id, count(*) AS n FROM firsts GROUP BY ALL) r ON r.question_id = q.item_id
+  LEFT JOIN (SELECT question_id, count(*) FILTER (rank <= 3) AS hits, min(rank) AS best, sum(1 / log2(rank + 1)) FILTER (rank <= 3) AS gain FROM firsts JOIN truth USING (question_id, label) GROUP BY ALL) h ON h.question_id = q.item_id),
+metrics AS (
+  SELECT question_id, labelled, CASE WHEN labelled THEN hits / n END AS recall, CASE WHEN labelled THEN CASE WHEN got > 0 THEN hits / got ELSE 0 END END AS precision,
+    CASE WHEN labelled THEN coalesce(1 / best, 0) END AS reciprocal_rank,
+    CASE WHEN labelled THEN coalesce(gain, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 3) + 1) x(i)) END AS ndcg, CASE WHEN labelled THEN hits > 0 END AS hit FROM m)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics at 3 of a made-up ranking of the documents that hold each benchmark passage."""
+    items, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    passages = {r["item_id"]: r["text"] for r in items.collect()}
+    # the items are the batch of questions; every document is tested against them in one pass
+    held = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i).cast("long")) for i, t in passages.items())))
+    from pyspark.sql import Window
+
+    truth = d.select(F.explode(held).alias("question_id"), F.col("doc_id").alias("label"))
+    order = Window.partitionBy("question_id").orderBy((F.col("label") * 7919 + F.col("question_id")) % 10007, "label")
+    ranked = truth.withColumn("rank", F.row_number().over(order)).where("(question_id + rank) % 3 > 0")
+    return evaluation.question_metrics(items.select(F.col("item_id").alias("question_id")), ranked, truth, 3)
+
+
+_ROUNDED = ("recall", "precision", "reciprocal_rank", "ndcg")
+
+
+@_query(f"WITH {_METRICS} SELECT question_id, labelled, coalesce(hit, FALSE) AS hit, {', '.join(f'round(coalesce({m}, -1), 6) AS {m}' for m in _ROUNDED)} FROM metrics")
+def e_question_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).select("question_id", "labelled", F.coalesce("hit", F.lit(False)).alias("hit"), *(F.round(F.coalesce(m, F.lit(-1.0)), 6).alias(m) for m in _ROUNDED))
+
+
+@_query(
+    f"""WITH {_METRICS} SELECT 'run' AS run_id, count(*) AS questions, count(*) FILTER (labelled) AS labelled, {', '.join(f'round(avg({m}), 6) AS mean_{m}' for m in _ROUNDED)},
+  round(avg(CASE WHEN labelled THEN CAST(hit AS INT) END), 6) AS hit_rate, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(question_id AS DOUBLE)) AS p50_ms, percentile_disc(0.95) WITHIN GROUP (ORDER BY CAST(question_id AS DOUBLE)) AS p95_ms, count(*) FILTER (question_id % 7 = 0) AS errors FROM metrics"""
+)
+def e_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evaluated(spark, sf_dir).withColumns({"run_id": F.lit("run"), "latency_ms": F.col("question_id").cast("double"), "error": F.when(F.col("question_id") % 7 == 0, "failed")})
+    return evaluation.summary(rows)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("question_id"), "event_type", F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("score"))
+    before = e.where("question_id % 2 = 0").select((F.col("question_id") / 2).cast("long").alias("question_id"), "score")
+    after = e.where("question_id % 2 = 1").select(((F.col("question_id") - 1) / 2).cast("long").alias("question_id"), "score")
+    return evaluation.paired(before, after, "score")
+
+
+_PAIRS = "pairs AS (SELECT b.event_id // 2 AS question_id, b.value AS before, a.value AS after, a.value - b.value AS delta FROM events b JOIN events a ON a.event_id = b.event_id + 1 WHERE b.event_id % 2 = 0 AND b.event_type <> 'error' AND a.event_type <> 'error')"
+
+
+@_query(f"WITH {_PAIRS} SELECT count(*) AS n, round(avg(before), 6) AS mean_before, round(avg(after), 6) AS mean_after, count(*) FILTER (delta > 0) AS improved, count(*) FILTER (delta < 0) AS regressed, count(*) FILTER (delta = 0) AS unchanged FROM pairs")
+def e_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.comparison(_runs(spark, sf_dir))
+
+
+@_query(f"WITH {_PAIRS} (SELECT question_id, round(delta, 6) AS delta, 'gain' AS side FROM pairs WHERE delta > 0 ORDER BY pairs.delta DESC, question_id LIMIT 3) UNION ALL (SELECT question_id, round(delta, 6) AS delta, 'loss' AS side FROM pairs WHERE delta < 0 ORDER BY pairs.delta, question_id LIMIT 3)")
+def e_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.extremes(_runs(spark, sf_dir)).select("question_id", F.round("delta", 6).alias("delta"), "side")
+
+
+@_query()
+def e_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _runs(spark, sf_dir).withColumn("metric", F.concat(F.lit("m"), F.floor(F.col("question_id") / 100).cast("string")))
+    return evaluation.bootstrap(pairs, resamples=1000)
+
+
+@_query(
+    r"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(a, '\[([0-9]{1,2})\]', 1), lambda x: CAST(x AS INT)), lambda x: x BETWEEN 1 AND 8))), ',') AS markers
+FROM (SELECT conv_id, turn, text || ' [' || (conv_id % 12) || '] [3][' || turn || '] [3]' AS a FROM conversations)"""
+)
+def e_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.concat("text", F.lit(" ["), (F.col("conv_id") % 12).cast("string"), F.lit("] [3]["), F.col("turn").cast("string"), F.lit("] [3]"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(context.citations(answer, F.lit(8)), ",").alias("markers"))
+
+
+@_query(
+    """SELECT event_id, round((greatest(0, user_id * 10 - user_id) * r.i + user_id * r.i * 0.1 + user_id * 3 * r.o) / 1e6, 9) AS cost_usd, r.i IS NULL AS unknown_model
+FROM events LEFT JOIN (VALUES ('click', 5.0, 25.0), ('view', 0.3, 2.5), ('purchase', 1.0, 5.0)) r(model, i, o) ON r.model = event_type"""
+)
+def e_llm_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = spark.sql("select * from values ('click', 5.0D, 25.0D), ('view', 0.3D, 2.5D), ('purchase', 1.0D, 5.0D) as t(model, input_rate, output_rate)")
+    calls = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), (F.col("user_id") * 10).alias("input_tokens"), F.col("user_id").alias("cached_tokens"), (F.col("user_id") * 3).alias("output_tokens"))
+    return context.cost(calls, prices).select("event_id", F.round("cost_usd", 9).alias("cost_usd"), "unknown_model")
+
+
+@_query(
+    """WITH e AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS marker, lang, text FROM documents),
+u AS (SELECT *, sum(length('[' || marker || '] ' || lang || chr(10) || text)) OVER (PARTITION BY query_id ORDER BY marker) AS used_chars FROM e)
+SELECT query_id, marker, CAST(used_chars AS BIGINT) AS used_chars FROM u WHERE used_chars <= 60000 OR marker = 1"""
+)
+def w_context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), F.col("lang").alias("source"), F.col("text").alias("content"))
+    return context.pack_context(hits).select("query_id", "marker", "used_chars")
+
+
+# ---- streams (as batches of the same functions)
+
+
+@_query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def t_daily_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_documents(table(spark, sf_dir, "events"))
+
+
+@_query("SELECT DISTINCT event_type, user_id FROM events")
+def t_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_jobs(table(spark, sf_dir, "events"), ["event_type", "user_id"]).select("event_type", "user_id")
+
+
+@_query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS since, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2")
+def t_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lockouts(table(spark, sf_dir, "events"), failures=2, seconds=86400).withColumn("since", F.col("since").cast("timestamp_ntz"))
