@@ -33,7 +33,7 @@ def contains(document: Column, wanted: Any, path: str = "$") -> Column:
         items = F.try_variant_get(document, path, "array<variant>")
         ok = items.isNotNull()
         for v in wanted:
-            ok = ok & F.coalesce(F.exists(items, lambda x, v=v: contains(x, v)), F.lit(False))
+            ok = ok & F.coalesce(_some(items, v), F.lit(False))
         return ok
     if wanted is None:
         return F.coalesce(F.is_variant_null(F.try_variant_get(document, path, "variant")), F.lit(False))
@@ -51,6 +51,10 @@ def contains(document: Column, wanted: Any, path: str = "$") -> Column:
     return F.coalesce(same & right, F.lit(False))
 
 
+def _some(items: Column, wanted: Any) -> Column:
+    return F.exists(items, lambda x: contains(x, wanted))
+
+
 def public_config(config: Column) -> Column:
     """A map of settings without its secrets."""
     return F.map_filter(config, lambda k, _: ~F.exists(F.array(*map(F.lit, SECRET_PARTS)), lambda s: F.contains(F.lower(k), s)))

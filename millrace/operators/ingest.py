@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # File extensions by kind of document, and languages of code.
@@ -39,15 +42,18 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(out, r"^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
 
 
-@F.udf("string")
-def _numeric_references(text: str | None) -> str | None:
-    import re
+def _character(m: re.Match) -> str:
+    n = int(m[1])
+    return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
+
+
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else re.sub(r"&#([0-9]{1,9});", _character, t))
 
-    def one(m: re.Match) -> str:
-        n = int(m[1])
-        return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
 
-    return None if text is None else re.sub(r"&#(\d+);", one, text)
+def numeric_references(text: Column) -> Column:
+    """Decimal character references decoded; only texts that have one leave the JVM's expressions."""
+    return F.when(text.rlike(r"&#[0-9]{1,9};"), F.pandas_udf(_decoded, "string")(text)).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
@@ -62,8 +68,7 @@ def strip_html(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for reference, put in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         out = F.replace(out, F.lit(reference), F.lit(put))
-    out = F.when(out.rlike(r"&#\d+;"), _numeric_references(out)).otherwise(out)
-    return tidy(F.replace(out, F.lit("&amp;"), F.lit("&")))
+    return tidy(F.replace(numeric_references(out), F.lit("&amp;"), F.lit("&")))
 
 
 def content_hash(pages: Column) -> Column:

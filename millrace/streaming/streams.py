@@ -7,26 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 
+def watermarked(events: DataFrame, lateness: str) -> DataFrame:
+    """Events by a UTC time that a stream may forget after ``lateness``."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", lateness) if events.isStreaming else timed
+
+
 def daily_documents(events: DataFrame, lateness: str = "26 hours") -> DataFrame:
     """Events by type and UTC day, for batches and streams alike.
 
     A stream drops rows that come later than ``lateness``; such days are
     rebuilt by a batch run over their partition.
     """
-    rows = events.withWatermark("ts", lateness) if events.isStreaming else events
+    rows = watermarked(events, lateness)
     return rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "value")
 
 
 def live_jobs(events: DataFrame, keys: list[str], lateness: str = "26 hours") -> DataFrame:
     """One row for each key within the lateness, for batches and streams alike."""
     if events.isStreaming:
-        return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
+        return watermarked(events, lateness).dropDuplicatesWithinWatermark(keys)
     return events.dropDuplicates(keys)
 
 
 def lockouts(events: DataFrame, failures: int = 8, seconds: int = 300) -> DataFrame:
     """Windows of ``seconds`` in which a user failed ``failures`` times or more."""
-    rows = events.withWatermark("ts", f"{seconds} seconds") if events.isStreaming else events
+    rows = watermarked(events, f"{seconds} seconds")
     bad = rows.where(F.col("event_type") == "error").groupBy(F.window("ts", f"{seconds} seconds"), "user_id").agg(F.count("*").alias("n"))
     return bad.where(F.col("n") >= failures).select("user_id", F.col("window.start").alias("since"), "n")
 
