@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.llm.scratch import written
+
 #: Most positives and unlabelled rows that the classifier is fitted on (chosen by seeded hashes; in expectation).
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 #: Hash space of the features, and features that keep a weight.
 SPACE, FEATURES = 1 << 22, 4_096
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_HASH = 1_000_003
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -86,31 +87,21 @@ def _risk_gradient(rows: np.ndarray, columns: np.ndarray, n: int, k: int, positi
     return weights, float(bias)
 
 
-def fit(documents: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """The model of ``documents`` (distinct features of each) of which some are confirmed positives.
+def fit(documents: list[np.ndarray], positive: np.ndarray, prior: float, chosen: list[int], steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """The model of ``documents``, each the places in ``chosen`` of its features, of which some are confirmed positives.
 
-    Features that do not come clearly more often in the positives than in the
-    unlabelled rows get no weight. Without positives or unlabelled rows nothing
-    is learnt, and every score is about 0.
+    Without positives, unlabelled rows or features nothing is learnt.
     """
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_unl or not 0 < prior < 1:
         return Model()
-    sizes = np.array([len(d) for d in documents])
-    rows, flat = np.repeat(np.arange(len(documents)), sizes), np.concatenate(documents).astype(np.int64)
-    in_pos, in_all = np.bincount(flat[positive[rows]], minlength=SPACE), np.bincount(flat, minlength=SPACE)
-    expected = (in_all - in_pos) * (n_pos / n_unl)
-    surplus = (in_pos - expected) / np.sqrt(expected + 1)
-    eligible = np.flatnonzero((in_pos >= 3) & (surplus >= 3.5) & (in_pos >= expected / (4 * prior) if prior < 0.2 else in_pos >= 1.5 * expected))
-    chosen = np.sort(eligible[np.argsort(-surplus[eligible], kind="stable")][:FEATURES])
-    if not len(chosen):
+    if not chosen:
         return Model(bias=float(np.log(prior / (1 - prior))))
-    at = np.searchsorted(chosen, flat)
-    at[at == len(chosen)] = 0
-    inside = chosen[at] == flat
+    rows = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    columns = np.concatenate(documents).astype(np.int64)
     start = np.full(len(chosen), 2.0)
-    weights, bias = _risk_gradient(rows[inside], at[inside], len(documents), len(chosen), positive, prior, steps, rate, decay, start, float(np.log(prior / (1 - prior))))
-    return Model(bias, dict(zip(chosen.tolist(), weights.tolist())))
+    weights, bias = _risk_gradient(rows, columns, len(documents), len(chosen), positive, prior, steps, rate, decay, start, float(np.log(prior / (1 - prior))))
+    return Model(bias, dict(zip(chosen, weights.tolist())))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -121,6 +112,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = 7) -> Model:
     """The model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, from rows that are not held out.
 
+    Features that do not come clearly more often in the positives than in the
+    unlabelled rows get no weight; without labels, positives or documents every
+    score is about 0.
+
     The class prior is the share of 1 among the labels used. The sample is
     bounded by the two parameters; the rows are chosen by hashes of their ids.
     """
@@ -153,10 +148,42 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
                 found.append(np.array(sorted(own), "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "positive", "features"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides: dict[bool, list[np.ndarray]] = {True: [np.zeros(0, "<i4")], False: [np.zeros(0, "<i4")]}
+            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sides[p].append(np.frombuffer(b, "<i4"))
+            for p, parts in sides.items():
+                f, n = np.unique(np.concatenate(parts), return_counts=True)
+                zero = np.zeros(len(f), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(n if p else zero), pa.array(zero if p else n)], ["feature", "pos", "unl"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(featured, "doc_id long, positive boolean, features binary")
-    rows = sample.toPandas().sort_values(["doc_id", "positive"], kind="stable")
-    return fit([np.frombuffer(b, "<i4") for b in rows["features"]], rows["positive"].to_numpy(bool), counts[1] / counts[0])
+    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(featured, "doc_id long, positive boolean, features binary"), "sample")
+    sizes = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not sizes[0] or not sizes[1]:
+        return Model()
+    prior = counts[1] / counts[0]
+    # features that come clearly more often in the positives than in the unlabelled rows
+    sums = sample.select("positive", "features").mapInArrow(counted, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+    sums = sums.withColumn("expected", F.col("unl") * (sizes[0] / sizes[1])).withColumn("surplus", (F.col("pos") - F.col("expected")) / F.sqrt(F.col("expected") + 1))
+    ratio = 1 / (4 * prior) if prior < 0.2 else 1.5
+    sums = sums.where((F.col("pos") >= 3) & (F.col("surplus") >= 3.5) & (F.col("pos") >= ratio * F.col("expected")))
+    kept = sorted(r["feature"] for r in sums.orderBy(F.desc("surplus"), "feature").limit(FEATURES).select("feature").collect())
+    known_features = np.array(kept, np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for b in batch.column(2).to_pylist():
+                f = np.frombuffer(b, "<i4")
+                at = np.searchsorted(known_features, f)
+                at[at == len(known_features)] = 0
+                places.append((at[known_features[at] == f] if len(known_features) else at[:0]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], ["doc_id", "positive", "places"])
+
+    rows = sample.mapInArrow(placed, "doc_id long, positive boolean, places binary").toPandas().sort_values(["doc_id", "positive"], kind="stable")
+    return fit([np.frombuffer(b, "<i4") for b in rows["places"]], rows["positive"].to_numpy(bool), prior, kept)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
