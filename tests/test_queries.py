@@ -1,7 +1,7 @@
 """Every registered query against the SQL that gives the same rows."""
 
 import pytest
-from conftest import SF, same_rows
+from tests.conftest import SF, same_rows
 
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
