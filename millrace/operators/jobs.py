@@ -83,6 +83,28 @@ def reclaim(jobs: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def reindex_jobs(documents: DataFrame, target_version: str, first_id: int, now: Column) -> DataFrame:
+    """A job of priority 500 for each ``documents(document_id, embedding_version)`` with another embedding version, keyed by document."""
+    stale = documents.where(~F.col("embedding_version").eqNullSafe(F.lit(target_version))).select("document_id").distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    return stale.select(
+        (F.lit(first_id) + F.col("document_id")).cast("long").alias("id"),
+        F.lit("reindex").alias("kind"),
+        F.lit("queued").alias("status"),
+        F.lit(500).alias("priority"),
+        F.lit(0).alias("attempts"),
+        F.lit(5).alias("max_attempts"),
+        now.alias("run_after"),
+        now.alias("created_at"),
+        none("timestamp_ntz").alias("started_at"),
+        none("timestamp_ntz").alias("finished_at"),
+        none("string").alias("locked_by"),
+        none("timestamp_ntz").alias("lease_expires_at"),
+        none("string").alias("last_error"),
+        F.concat_ws("/", F.lit("reindex"), F.col("document_id").cast("string")).alias("dedupe_key"),
+    )
+
+
 def queue_health(jobs: DataFrame, now: Column) -> DataFrame:
     """Number, oldest and most tried jobs by kind and status."""
     age = F.floor(F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(F.min("created_at").cast("timestamp")) / 1e6)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,6 +29,38 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("external_id"), F.substring_index("path", "/", -1).alias("title"), kind_of(F.col("path")).alias("kind"), F.col("content").alias("data"), F.col("modificationTime").alias("updated_at"), problem.alias("problem"))
 
 
+def docx_markdown(data: bytes) -> str:
+    """Paragraphs of a word-processor file in order, heading styles as ATX lines; then its tables, cells apart by ``|``."""
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{space}body")
+    said = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
+    lines = []
+    for p in body.findall(f"{space}p"):
+        style = p.find(f"{space}pPr/{space}pStyle")
+        level = re.fullmatch(r"Heading ?([1-6])", style.get(f"{space}val", "") if style is not None else "")
+        if text := said(p).strip():
+            lines.append("#" * int(level[1]) + " " + text if level else text)
+    for table in body.findall(f"{space}tbl"):
+        lines += [" | ".join(said(c).strip() for c in row.findall(f"{space}tc")) for row in table.findall(f"{space}tr")]
+    return "\n\n".join(lines)
+
+
+def _office(data: pd.Series) -> pd.Series:
+    def one(x):
+        try:
+            return None if x is None else docx_markdown(bytes(x))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
+            return None
+
+    return data.map(one)
+
+
+def office_text(data: Column) -> Column:
+    """Text of a word-processor file; null if it cannot be read."""
+    return F.pandas_udf(_office, "string")(data)
+
+
 def web_pages(pages: DataFrame) -> DataFrame:
     """``pages(url, html)`` as documents titled by the page or its URL."""
     return pages.select(F.col("url").alias("external_id"), title_of(F.col("html"), F.col("url")).alias("title"), F.lit("html").alias("kind"), strip_html(F.col("html")).alias("text"))

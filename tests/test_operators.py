@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.access import contains, public_config, secret_keys, visible
 from millrace.functions.text import Clause, matches, parse_websearch, simple_tokens, stem
-from millrace.operators import chunking, context, evaluation, ingest, jobs, mentions, search, state
+from millrace.functions import display
+from millrace.operators import chunking, context, datasets, evaluation, ingest, jobs, mentions, search, state
 from millrace.sources import connectors
 from millrace.streaming import streams
 
@@ -228,3 +229,44 @@ def test_stream_equals_batch(spark, tmp_path):
     want = streams.daily_documents(events).toPandas()
     key = ["day", "event_type"]
     assert out[-1].sort_values(key).reset_index(drop=True).equals(want.sort_values(key).reset_index(drop=True))
+
+
+def test_office_files(spark):
+    import io
+    import zipfile
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    para = lambda text, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+    body = para("Head", "Heading2") + para("Body text") + f"<w:tbl><w:tr><w:tc>{para('a')}</w:tc><w:tc>{para('b')}</w:tc></w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+    d = spark.createDataFrame([(bytearray(out.getvalue()),), (bytearray(b"junk"),), (None,)], "b binary")
+    assert [r[0] for r in d.select(connectors.office_text(F.col("b"))).collect()] == ["## Head\n\nBody text\n\na | b", None, None]
+
+
+def test_titles_and_traces(spark):
+    docs = spark.createDataFrame([("t", "A", 1, 1), ("t", "A", 2, 5), ("t", "B", 3, 1)], "tenant_id string, title string, document_id long, created_at int")
+    found, warned = datasets.resolve_titles(spark.createDataFrame([(1, "A"), (1, "B"), (2, "C")], "question_id long, title string"), docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3)]
+    assert sorted(map(tuple, warned.collect())) == [("A", "several documents"), ("C", "no such document")]
+    traced = search.hybrid_search(_index(spark), [search.Query(1, "apple", (0.0, 1.0))], search.Principal("t", (), True))
+    rows = datasets.trace_chunks(traced)
+    assert {r.stage for r in rows.collect()} == {"dense", "sparse", "fused"} and rows.where("stage = 'fused'").count() == traced.count()
+
+
+def test_reindex_jobs(spark):
+    now = F.expr("timestamp_ntz'2024-01-20 12:00:00'")
+    docs = spark.createDataFrame([(1, "e1"), (2, "e2"), (3, None)], "document_id long, embedding_version string")
+    new = jobs.reindex_jobs(docs, "e2", 1000, now)
+    assert sorted(r.id for r in new.collect()) == [1001, 1003]
+    from millrace.plans.tables import jobs as table
+
+    queue = jobs.enqueue(table(spark, "/root/testdata/sf0.001"), new)
+    assert jobs.enqueue(queue, new.withColumn("id", F.col("id") + 5000)).count() == queue.count()
+
+
+def test_display(spark):
+    d = spark.createDataFrame([(1, None, 4.0, 2048, "A b--C!"), (None, None, 1e9, 3, None)], "d int, s int, x double, n long, t string")
+    r = d.select(display.channel_bias(F.col("d"), F.col("s")), display.bar_width(F.col("x")), display.found_by_both(F.col("d"), F.col("s")), display.file_size(F.col("n")), display.slug(F.col("t"))).collect()
+    assert tuple(r[0]) == (1.0, 62.0, False, "2.0 KB", "a-b-c") and tuple(r[1]) == (None, 100.0, False, "3 B", None)
