@@ -128,16 +128,8 @@ def _holds(tokens: Column, clause: Clause) -> Column:
     if len(clause.terms) == 1:
         found = F.array_contains(tokens, clause.terms[0])
     else:
-        n = len(clause.terms)
-        spot = [(i, t) for i, t in enumerate(clause.terms) if t is not None]
-
-        def at(p: Column) -> Column:
-            ok = F.lit(True)
-            for i, t in spot:
-                ok = ok & F.coalesce(F.get(tokens, p + i) == t, F.lit(False))
-            return ok
-
-        found = (F.size(tokens) >= n) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), at)
+        line = F.concat(F.lit(" "), F.array_join(tokens, " ", "*"), F.lit(" "))
+        found = line.rlike(" " + " ".join("[^ ]+" if t is None else t for t in clause.terms) + " ")
     found = F.coalesce(found, F.lit(False))
     return ~found if clause.negated else found
 

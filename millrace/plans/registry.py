@@ -81,6 +81,10 @@ def _traced(spark: SparkSession, sf_dir: str, who: str, params: search.Params =
     return search.hybrid_search(index, questions(spark, sf_dir), _PRINCIPALS[who], params, any_term=True)
 
 
+def _scored(hits: DataFrame) -> DataFrame:
+    return hits.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
 def _shown(traced: DataFrame) -> DataFrame:
     scores = (F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("dense_score", "sparse_score"))
     ranks = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("dense_rank", "sparse_rank"))
@@ -90,25 +94,37 @@ def _shown(traced: DataFrame) -> DataFrame:
 @_query(f"WITH {_CHUNKS}, {_dense(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
 def h_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir, embedded=True).where(MEMBER.sees())
-    return search.dense(rows, questions(spark, sf_dir), 60).withColumn("score", F.round("score", 6))
+    return _scored(search.dense(rows, questions(spark, sf_dir), 60))
 
 
 @_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def h_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.analyzed(chunks(spark, sf_dir))
-    return search.lexical(index, questions(spark, sf_dir), MEMBER, 60, any_term=True).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return _scored(search.lexical(index, questions(spark, sf_dir), MEMBER, 60, any_term=True))
+
+
+_REQUESTS = ((1, "the and"), (2, "que la"), (3, "der -die"), (4, '"in the" license or "de la"'))
 
 
 @_query(
-    f"""WITH {_CHUNKS}, {_lexical(_SEES['admin'])},
-sizes AS (SELECT query_id, count(*) AS n FROM q GROUP BY ALL),
-every AS (SELECT query_id, chunk_id FROM q JOIN tf USING (term) JOIN sizes USING (query_id) GROUP BY query_id, chunk_id, n HAVING count(*) = n)
-SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm SEMI JOIN every USING (query_id, chunk_id)"""
+    f"""WITH {_CHUNKS}, {_TF},
+q(query_id, term) AS (VALUES (1, 'the'), (1, 'and'), (2, 'que'), (2, 'la'), (3, 'der'), (3, 'die'), (4, 'in'), (4, 'the'), (4, 'license'), (4, 'de'), (4, 'la')),
+seen AS (SELECT chunk_id, {_TERMS.format('content')} AS k FROM chunks WHERE tenant_id = 'acme' AND {_SEES['member']}),
+padded AS (SELECT chunk_id, k, ' ' || array_to_string(k, ' ') || ' ' AS s FROM seen),
+found AS (
+  SELECT 1 AS query_id, chunk_id FROM padded WHERE list_contains(k, 'the') AND list_contains(k, 'and')
+  UNION ALL SELECT 2, chunk_id FROM padded WHERE list_contains(k, 'que') AND list_contains(k, 'la')
+  UNION ALL SELECT 3, chunk_id FROM padded WHERE list_contains(k, 'der') AND NOT list_contains(k, 'die')
+  UNION ALL SELECT 4, chunk_id FROM padded WHERE contains(s, ' in the ') AND list_contains(k, 'license') OR contains(s, ' de la ')),
+df AS (SELECT term, count(*) AS df FROM tf SEMI JOIN seen USING (chunk_id) GROUP BY ALL),
+bm AS (
+  SELECT query_id, chunk_id, sum(ln(1 + ((SELECT n FROM stats WHERE tenant_id = 'acme') - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / (SELECT avg_len FROM stats WHERE tenant_id = 'acme')))) AS score
+  FROM found JOIN q USING (query_id) JOIN tf USING (chunk_id, term) JOIN df USING (term) JOIN len USING (chunk_id) GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) WHERE rank <= 60"""
 )
-def h_bm25_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def h_bm25_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.analyzed(chunks(spark, sf_dir))
-    quoted = [search.Query(q.query_id, (q.text or "").replace("-", " ").replace(" or ", ' "or" ')) for q in questions(spark, sf_dir)]
-    return search.lexical(index, quoted, ADMIN, 60).withColumn("score", F.round("score", 6))
+    return _scored(search.lexical(index, [search.Query(i, q) for i, q in _REQUESTS], MEMBER, 60))
 
 
 @_query()
@@ -169,7 +185,7 @@ _MENTIONS = f"""WITH {_CHUNKS}, found AS (
 
 @_query(f"{_MENTIONS} SELECT chunk_id, title, source_kind, match_offset, occurrences, snippet FROM found")
 def m_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.find_mentions(chunks(spark, sf_dir), _NEEDLE, MEMBER.sees()).select("chunk_id", "title", "source_kind", "match_offset", "occurrences", "snippet")
+    return mentions.find_mentions(chunks(spark, sf_dir), _NEEDLE, MEMBER.sees()).select("chunk_id", "title", "source_kind", F.col("match_offset").cast("long").alias("match_offset"), "occurrences", "snippet")
 
 
 @_query(f"{_MENTIONS} SELECT source_kind, count(*) AS chunks, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM found GROUP BY ALL")
@@ -461,7 +477,7 @@ SELECT query_id, marker, CAST(used_chars AS BIGINT) AS used_chars FROM u WHERE u
 )
 def w_context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), F.col("lang").alias("source"), F.col("text").alias("content"))
-    return context.pack_context(hits).select("query_id", "marker", "used_chars")
+    return context.pack_context(hits).select("query_id", F.col("marker").cast("long").alias("marker"), "used_chars")
 
 
 # ---- streams (as batches of the same functions)
