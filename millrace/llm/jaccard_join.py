@@ -1,17 +1,24 @@
 """N-gram Jaccard self-join by prefix trees, and the near-duplicate classes it gives.
 
-Sets of hashed word n-grams are put in one global order: n-grams that many
-documents share come last, all others by hash. Two sets that meet the threshold
-then share one of the first ``n - ceil(t n) + 1`` members (prefix filter). Sets
-that share such a member are compared in blocks: one probe set walks a trie of
-its partners, each trie path being a set in the block's order, so partners with
-a common start share the overlap counted on it, and a subtree is left as soon
-as the lengths that remain cannot reach the threshold.
+Each document is the set of its hashed word n-grams in one global order, by
+hash. Two sets that meet a threshold t differ in few of their union's members,
+so most pairs of neighbours in the order are neighbours in both: of the pairs
+of a set of n, they share one among the first ``n - ceil((2 t - 1) n) + 1``,
+pairs of frequent n-grams counted last (a prefix filter whose keys two sets
+hardly ever share by chance). Sets that share a key are compared in blocks: one
+probe set walks a trie of its partners, each trie path being a set in the
+block's order, so partners with a common start share the overlap counted on it,
+and a subtree is left as soon as the lengths that remain cannot reach the
+threshold.
+
+Before texts are fetched, a pair must pass a bound by parity bitmaps: two sets
+differ in at least as many members as their bitmaps differ in bits.
 
 Work is kept near-linear in a group of copies: equal sets are one node; each
-group first links its members with one leader; only pairs that this leaves in
-different components are compared after that. All links that matter to the
-components are therefore found, though not all pairs are expanded.
+group first links its members with one leader, then along a spanning forest of
+its nearest bitmaps; only pairs that this leaves in different components are
+compared after that. All links that matter to the components are therefore
+found, though not all pairs are expanded.
 """
 
 from __future__ import annotations
@@ -20,19 +27,30 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.scratch import written
-from millrace.llm.textnum import shingle_sets
+from millrace.llm.textnum import mix, shingle_sets
 
 #: Shingles whose document counts are summed over the corpus to order the sets: those that come this often in a run of COUNT_RUN.
-COUNT_FLOOR, COUNT_RUN = 8, 1 << 21
+COUNT_FLOOR, COUNT_RUN = 8, 1 << 20
 #: The most frequent of them are ordered last. Any choice gives the same links; it bounds what is sent to the tasks.
 FREQUENT = 50_000
-#: Partners that meet one probe in a block.
-BLOCK = 512
+#: Partners that meet one probe in a block of texts, and sets of half a block of bitmaps.
+BLOCK, PART = 64, 512
+#: Bits of a set's parity bitmap; sets beyond WIDE_FROM members, which would fill it, have a wide one as well.
+BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 14, 2000
+#: Sets that share a member are compared in SQL up to so many, in blocks of numpy beyond.
+SMALL = 16
+#: Documents to fetch whose ids may be sent to all tasks; beyond that the texts are shuffled.
+SENT_IDS = 1_000_000
+
+
+#: Sets of so many members are looked up by members instead of pairs.
+SHORT = 20
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -40,6 +58,32 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+def keys_of(s: np.ndarray, known: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (rare ones, frequent ones) under which a sorted set is looked up.
+
+    ``known`` are the frequent members, sorted, ``rank`` their order. A set at
+    the border has the keys of short sets and those of long ones.
+    """
+    at = np.searchsorted(known, s)
+    at[at == len(known)] = 0
+    late = np.where(known[at] == s, rank[at], -1) if len(known) else np.full(len(s), -1)
+    light, heavy = [], []
+    n, pairs = len(s), len(s) > SHORT and 2 * num > den
+
+    def first(keys: np.ndarray, order: np.ndarray, size: int) -> None:
+        rare = np.sort(keys[order < 0])[:size]
+        light.append(rare)
+        if len(rare) < size:
+            often = order >= 0
+            heavy.append(keys[often][np.lexsort((keys[often], order[often]))][: size - len(rare)])
+
+    if pairs:
+        first(mix(s[:-1] * np.uint64(0xD1342543DE82EF95) + s[1:]), np.where((late[:-1] >= 0) & (late[1:] >= 0), np.minimum(late[:-1], late[1:]), -1), n - -(-(2 * num - den) * n // den) + 1)
+    if not pairs or n * num <= SHORT * den:
+        first(s, late, prefix_length(n, num, den))
+    return np.concatenate(light), np.concatenate(heavy) if heavy else s[:0]
+
+
 class PrefixTree:
     """Sets as paths of a path-compressed trie over an order by falling frequency within the block."""
 
@@ -103,6 +147,12 @@ class PrefixTree:
                 todo.append((child, overlap))
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of the set: for each value of the hashes' last bits, whether an odd number of members have it."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -110,62 +160,139 @@ def _set_id(s: np.ndarray) -> int:
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """Hash and rank of the shingles ordered last: a bounded list, summed over the counts of all documents."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         run, held = [], 0
 
-        def summed() -> pd.DataFrame:
+        def summed() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(run), return_counts=True)
-            return pd.DataFrame({"h": h[c >= COUNT_FLOOR].view(np.int64), "c": c[c >= COUNT_FLOOR]})
+            often = c >= COUNT_FLOOR
+            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])], ["h", "c"])
 
         for batch in batches:
-            for s in shingle_sets(batch["text"].tolist(), n):
-                if len(s) and (key := _set_id(s)) not in seen:
-                    seen.add(key)
-                    run.append(s)
-                    held += len(s)
-                    if held >= COUNT_RUN:
-                        yield summed()
-                        seen, run, held = set(), [], 0
+            for at in range(0, batch.num_rows, 1024):
+                for s in shingle_sets(batch.column(0).slice(at, 1024).to_pylist(), n):
+                    if len(s) and (key := _set_id(s)) not in seen:
+                        seen.add(key)
+                        run.append(s)
+                        held += len(s)
+                        if held >= COUNT_RUN:
+                            yield summed()
+                            seen, run, held = set(), [], 0
         if run:
             yield summed()
 
-    counts = docs.select("text").mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
 def _nodes(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, set_id, n_shingles, light, heavy): the members of each set's prefix, once for equal sets of one run."""
-    by_hash = np.argsort(frequent)
-    known = frequent[by_hash]
+    """(doc_id, set_id, n_shingles, bits, wide, light, heavy): parity bits and the members of the prefix, once for equal sets of one run."""
+    rank = np.argsort(frequent)
+    known = frequent[rank]
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            rows = []
-            for doc_id, s in zip(batch["doc_id"].tolist(), shingle_sets(batch["text"].tolist(), n)):
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
-                if not len(s):
-                    rows.append((doc_id, None, 0, None, None))
-                    continue
-                key = _set_id(s)
-                if key in seen:
-                    rows.append((doc_id, key, len(s), None, None))
-                    continue
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.add(key)
-                size = prefix_length(len(s), num, den)
-                at = np.searchsorted(known, s)
-                at[at == len(known)] = 0
-                late = known[at] == s if len(known) else np.zeros(len(s), bool)
-                light = s[~late][:size]
-                heavy = frequent[np.sort(by_hash[at[late]])][: size - len(light)] if len(light) < size else s[:0]
-                rows.append((doc_id, key, len(s), light.view(np.int64), heavy.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "set_id", "n_shingles", "light", "heavy"]).astype({"doc_id": "Int64", "set_id": "Int64", "n_shingles": "int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(prefixes, "doc_id long, set_id long, n_shingles long, light array<long>, heavy array<long>")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = []
+                for s in shingle_sets(part.column(1).to_pylist(), n):
+                    key = _set_id(s) if len(s) else None
+                    if key is None or key in seen:
+                        rows.append((key, len(s), None, None, None, None))
+                        continue
+                    if len(seen) > 1 << 18:
+                        seen.clear()
+                    seen.add(key)
+                    light, heavy = keys_of(s, known, rank, num, den)
+                    wide = parity(s, WIDE_BITS) if len(s) > WIDE_FROM else None
+                    rows.append((key, len(s), parity(s, BITS), wide, light.view(np.int64), heavy.view(np.int64)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), longs, longs, longs, longs))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "set_id", "n_shingles", "bits", "wide", "light", "heavy"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefixes, "doc_id long, set_id long, n_shingles long, bits array<long>, wide array<long>, light array<long>, heavy array<long>")
+
+
+def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs(a, b)`` that their sizes and parity bitmaps do not rule out."""
+    a, b = (signatures.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "ab")
+    differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITS // 64))
+    most = f"n_a + n_b - 2 * ceil({num} * (n_a + n_b) / {num + den})"
+    wide = "aggregate(zip_with(wide_a, wide_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    sized = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
+    return pairs.join(a, "a").join(b, "b").where(f"{sized} and {differ} <= {most} and coalesce({wide} <= {most}, true)").select("a", "b")
+
+
+def forest(distance: np.ndarray, label: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the labels along the smallest distances below ``far``."""
+    label = np.unique(label, return_inverse=True)[1]
+    edges: list[tuple[int, int]] = []
+    while True:
+        d = np.where(label[:, None] == label[None, :], far, distance)
+        to = d.argmin(axis=1)
+        best = d[np.arange(len(to)), to]
+        order = np.lexsort((best, label))
+        firsts = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))]
+        joined = False
+        for i in firsts.tolist():
+            j = int(to[i])
+            if best[i] < far and label[i] != label[j]:
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+                joined = True
+        if not joined:
+            return edges
+
+
+def _near_in_blocks(groups: DataFrame, signatures: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
+    """Like _near for the pairs with different labels inside ``groups(h, run, size, set_id, label)``.
+
+    A group is cut into parts of PART sets on average, and any two parts meet
+    in one block; only what the bitmaps let pass leaves it. With ``spanning``
+    that is a spanning forest of the block, else every such pair.
+    """
+    parts = F.ceil(F.col("size") / PART)
+    dealt = groups.withColumn("part", F.pmod(F.xxhash64("set_id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("h", "run", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "set_id", "label").join(signatures, "set_id")
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, label, n = (block.column(c).to_numpy() for c in ("set_id", "label", "n_shingles"))
+        bits = np.stack(block.column("bits").to_numpy(zero_copy_only=False)).view(np.uint64)
+        wide = block.column("wide").to_numpy(zero_copy_only=False)
+        far = 1 << 30
+        distance = np.full((len(ids), len(ids)), far, np.int32)
+        for i in range(len(ids) - 1):
+            d = np.zeros(len(ids) - i - 1, np.int32)
+            for w in range(bits.shape[1]):
+                d += np.bitwise_count(bits[i + 1 :, w] ^ bits[i, w])
+            m = n[i + 1 :]
+            most = n[i] + m + 2 * (-num * (n[i] + m) // (num + den))
+            ok = (label[i + 1 :] != label[i]) & (den * np.minimum(m, n[i]) >= num * np.maximum(m, n[i])) & (d <= most)
+            if wide[i] is not None:
+                for k in np.flatnonzero(ok).tolist():
+                    if wide[i + 1 + k] is not None:
+                        ok[k] = int(np.bitwise_count(wide[i].view(np.uint64) ^ wide[i + 1 + k].view(np.uint64)).sum(dtype=np.int64)) <= most[k]
+            distance[i, i + 1 :] = np.where(ok, d, far)
+        if spanning:
+            edges = forest(np.minimum(distance, distance.T), label, far)
+            a, b = ids[[i for i, _ in edges]], ids[[j for _, j in edges]]
+        else:
+            i, j = np.nonzero(distance < far)
+            a, b = ids[i], ids[j]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return dealt.groupBy("h", "run", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+def _fetched(pairs: DataFrame, one_of: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets in ``pairs(a, b)``."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(one_of, "set_id"), "wanted")
+    few = wanted.count() <= SENT_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return written(texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("set_id", "text"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -177,21 +304,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         probe = int(block["a"].iloc[0])
-        block = block.drop_duplicates("set_id").sort_values("set_id")
-        all_sets = list(shingle_sets(block["text"].tolist(), n))
-        ids = block["set_id"].tolist()
-        others = [i for i, k in enumerate(ids) if k != probe]
-        tree = PrefixTree([all_sets[i] for i in others])
-        found = tree.probe(all_sets[ids.index(probe)], num, den) if probe in ids else ()
-        return pd.DataFrame([(probe, ids[others[i]], o) for i, o in found], columns=["a", "b", "overlap"])
+        found = {k: s for k, s in zip(block["set_id"].tolist(), shingle_sets(block["text"].tolist(), n)) if len(s) and _set_id(s) == k}
+        others = sorted(k for k in found if k != probe)
+        tree = PrefixTree([found[k] for k in others])
+        hits = tree.probe(found[probe], num, den) if probe in found else ()
+        return pd.DataFrame([(probe, others[i], o) for i, o in hits], columns=["a", "b", "overlap"])
 
     return partners.unionByName(probes).groupBy("a", "block").applyInPandas(compare, "a long, b long, overlap long")
 
 
-def _compatible(a: str, b: str, num: int, den: int) -> str:
-    return f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})"
-
-
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id)``, one row for each row.
 
@@ -206,32 +327,48 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     nodes = written(_nodes(docs, n, num, den, frequent), "nodes")
     firsts = nodes.where("light is not null").select("set_id", "n_shingles", "light", "heavy")
 
-    span = Window.partitionBy("h")
+    # runs of sets that share a member and follow each other within the sizes that can be similar
+    by_size = Window.partitionBy("h").orderBy("n_shingles", "set_id")
     light = firsts.select("set_id", "n_shingles", F.explode("light").alias("h"))
+    fresh = F.coalesce(den * F.lag("n_shingles").over(by_size) < num * F.col("n_shingles"), F.lit(True))
+    light = light.withColumn("fresh", fresh.cast("long")).withColumn("run", F.sum("fresh").over(by_size))
+    span = Window.partitionBy("h", "run")
     light = light.withColumn("lo", F.min("set_id").over(span)).withColumn("hi", F.max("set_id").over(span)).where("lo < hi")
-    heavy = firsts.select("set_id", "n_shingles", F.explode("heavy").alias("h"))
+    heavy = firsts.select("set_id", "n_shingles", F.explode("heavy").alias("h"), F.lit(0).cast("long").alias("run"))
     ends = heavy.groupBy("h").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi")
     heavy = heavy.join(F.broadcast(ends), "h")  # at most FREQUENT rows
-    cols = ["h", "set_id", "n_shingles", "lo"]
-    shared = written(light.select(*cols).unionByName(heavy.select(*cols)), "shared")
+    cols = ["h", "run", "set_id", "n_shingles", "lo"]
+    shared = written(light.select(*cols).unionByName(heavy.select(*cols)).dropDuplicates(["h", "run", "set_id"]), "shared")
 
     one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("set_id").distinct().join(one_of, "set_id")
-    first_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = written(wanted.join(first_text, "doc_id").groupBy("set_id").agg(F.min("text").alias("text")), "sets")
-
-    sizes = shared.select(F.col("set_id").alias("lo"), F.col("n_shingles").alias("lo_n")).distinct()
-    stars = shared.where("set_id <> lo").select("set_id", "n_shingles", "lo").distinct().join(sizes, "lo").where(_compatible("n_shingles", "lo_n", num, den))
-    links = written(_verified(stars.select(F.col("lo").alias("a"), F.col("set_id").alias("b")), sets, n, num, den), "links")
-    joined = connected_components(links)
-
-    labelled = shared.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("h", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
-    apart = labelled.withColumn("lo", F.min("label").over(span)).withColumn("hi", F.max("label").over(span)).where("lo < hi")
-    apart = written(apart.select("h", "set_id", "n_shingles", "label"), "apart")
-    left, right = apart.alias("l"), apart.alias("r")
-    rest = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.label") < F.col("r.label")) & F.expr(_compatible("l.n_shingles", "r.n_shingles", num, den)))
-    rest = written(rest.select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b")).distinct(), "pairs")
-    more = written(_verified(rest, sets, n, num, den), "links")
+    signatures = nodes.where("bits is not null").select("set_id", "n_shingles", "bits", "wide")
+    signatures = written(signatures.join(shared.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures")
+
+    stars = shared.where("set_id <> lo").select(F.col("lo").alias("a"), F.col("set_id").alias("b")).distinct()
+    stars = written(_near(stars, signatures, num, den), "pairs")
+    links = written(_verified(stars, _fetched(stars, one_of, docs), n, num, den), "links")
+
+    def divided(joined: DataFrame, more_than: int) -> tuple[DataFrame, DataFrame]:
+        """Members with the labels of their components, and the groups with several labels, one of those with equal members."""
+        labelled = shared.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("h", "run", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
+        labelled = written(labelled, "labelled")
+        groups = labelled.groupBy("h", "run").agg(F.count("*").alias("size"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        groups = groups.where(f"lo < hi and size > {more_than}").groupBy("size", "members").agg(F.min(F.struct("h", "run")).alias("g")).select("g.h", "g.run", "size")
+        return labelled, written(groups, "groups")
+
+    labelled, groups = divided(connected_components(links), SMALL)
+    trees = written(_near_in_blocks(labelled.join(groups, ["h", "run"]), signatures, num, den, True).distinct(), "pairs")
+    links = links.unionByName(written(_verified(trees, _fetched(trees, one_of, docs), n, num, den), "links"))
+
+    labelled, groups = divided(connected_components(links), 0)
+    few = labelled.join(groups.where(f"size <= {SMALL}").select("h", "run"), ["h", "run"])
+    left, right = few.alias("l"), few.alias("r")
+    sized = f"{den} * least(l.n_shingles, r.n_shingles) >= {num} * greatest(l.n_shingles, r.n_shingles)"
+    rest = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.run") == F.col("r.run")) & (F.col("l.label") < F.col("r.label")) & F.expr(sized))
+    rest = _near(rest.select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b")).distinct(), signatures, num, den)
+    many = _near_in_blocks(labelled.join(groups.where(f"size > {SMALL}"), ["h", "run"]), signatures, num, den, False)
+    rest = written(rest.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    more = written(_verified(rest, _fetched(rest, one_of, docs), n, num, den), "links")
     joined = connected_components(links.unionByName(more))
 
     roots = one_of.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"), "doc_id")
@@ -246,6 +383,12 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     Rows that repeat a doc_id count as copies when their sets are equal or
     linked; one of them stays. Rows with a null doc_id stay.
     """
-    classes = similarity_classes(docs, n, num, den)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns))
+    classes = similarity_classes(docs, n, num, den).where("doc_id is not null")
+    ids = written(classes.groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "classes")
+
+    def of(condition: str) -> DataFrame:
+        found = ids.where(condition).select("doc_id")
+        return F.broadcast(found) if found.count() <= SENT_IDS else found
+
+    once = docs.join(of("not stays or rows > 1"), "doc_id", "left_anti")
+    return once.unionByName(docs.join(of("stays and rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

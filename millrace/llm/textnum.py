@@ -55,7 +55,7 @@ def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (end - start).astype(_U) * _U(_WORD)), start
 
 
-def word_batches(texts: Sequence[str | None], lower: bool = False, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_batches(texts: Sequence[str | None], lower: bool = False, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, word hashes, offsets) for runs of texts of about ``size`` bytes.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; with ``lower``, A-Z count as a-z. Text
