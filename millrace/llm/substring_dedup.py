@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.textnum import window_hashes, word_batches
+from millrace.llm.textnum import release_memory, window_hashes, word_batches
 
 _U = np.uint64
 #: Bytes of text in a cell, and probe windows in a hash range, on average.
-CELL_BYTES, RANGE_WINDOWS = 8 << 20, 4 << 20
+CELL_BYTES, RANGE_WINDOWS = 4 << 20, 1 << 20
 #: Bits of a block's hash that are compared; the windows themselves are compared by 64 bits.
 PROBE_BITS = 40
 
@@ -79,6 +79,7 @@ def _probes(window: int, block: int, bits: int) -> Callable:
     cut = _U(64 - PROBE_BITS)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release_memory()
         rolling, blocks = [], []
         for _, words in _documents(table, window):
             h = window_hashes(words, block) >> cut
@@ -113,6 +114,7 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _matched(key: tuple, table: pa.Table) -> pa.Table:
     """Hash range -> for each cell its hashes that are a block somewhere and occur in two documents at least."""
+    release_memory()
     parts = [unpack(b) for b in table.column("blob").to_pylist()]
     v = np.concatenate(parts)
     order, starts, group = _groups(v >> _U(2))
@@ -190,6 +192,7 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 
 def _removed(window: int, keep: list[str], joined: bool) -> Callable:
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        release_memory()
         blobs = [unpack(b) for b in found.column("blob").to_pylist()]
         known = np.concatenate(blobs) if blobs else np.zeros(0, _U)
         least = np.concatenate([_unplanes(b) for b in found.column("docs").to_pylist()]) if blobs else np.zeros(0, np.int64)

@@ -8,9 +8,12 @@ on the content only (not on the batch, the partition or the process).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 _BYTE = 0x9E3779B97F4A7C15 | 1
@@ -20,6 +23,13 @@ _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker have freed; the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.scratch import written
+from millrace.llm.textnum import release_memory
 
 #: Most positives and unlabelled rows that the classifier is fitted on (chosen by seeded hashes; in expectation).
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 #: Hash space of the features, and features that keep a weight.
 SPACE, FEATURES = 1 << 22, 4_096
+#: Words whose features a task keeps.
+WORDS = 150_000
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -62,7 +65,7 @@ class Model:
                 if f:
                     hit.update(f)
             out.append(1.0 / (1.0 + float(np.exp(-np.clip(self.bias + sum(weights[k] for k in sorted(hit)), -30, 30)))))
-            if len(known) > 500_000:
+            if len(known) > WORDS:
                 known.clear()
         return out
 
@@ -146,6 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
                         f = table[word] = features_of(word)
                     own.update(f)
                 found.append(np.array(sorted(own), "<i4").tobytes())
+                if len(table) > WORDS:
+                    table.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "positive", "features"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +196,18 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     if "score" in keep:
         raise ValueError("a column to keep is named score")
 
+    columns = (*keep, *(() if "text" in keep else ("text",)))
+    at = columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
-            scores = pa.array(model.scores(batch.column(0).to_pylist(), known), pa.float64())
-            yield pa.RecordBatch.from_arrays([scores, *batch.columns[1:]], ["score", *keep])
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                scores = pa.array(model.scores(part.column(at).to_pylist(), known), pa.float64())
+                yield pa.RecordBatch.from_arrays([scores, *part.columns[: len(keep)]], ["score", *keep])
+        known.clear()
+        release_memory()
 
     schema = ", ".join(["score double", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    return docs.select(F.col("text").alias("_text"), *(F.col(c) for c in keep)).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
