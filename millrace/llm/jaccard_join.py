@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -45,7 +44,7 @@ BLOCK, PART = 64, 512
 BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 14, 2000
 #: Sets that share a member are compared in SQL up to so many, in blocks of numpy beyond.
 SMALL = 16
-#: Documents to fetch whose ids may be sent to all tasks; beyond that the texts are shuffled.
+#: Rows of ids that may be sent to all tasks; beyond that both sides are shuffled.
 SENT_IDS = 1_000_000
 
 
@@ -287,12 +286,16 @@ def _near_in_blocks(groups: DataFrame, signatures: DataFrame, num: int, den: int
     return dealt.groupBy("h", "run", "p", "q").applyInArrow(compare, "a long, b long")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is small enough."""
+    return F.broadcast(rows) if rows.count() <= SENT_IDS else rows
+
+
 def _fetched(pairs: DataFrame, one_of: DataFrame, docs: DataFrame) -> DataFrame:
     """(set_id, text) of the sets in ``pairs(a, b)``."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(one_of, "set_id"), "wanted")
-    few = wanted.count() <= SENT_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return written(texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("set_id", "text"), "sets")
+    return written(texts.join(_sent(wanted), "doc_id").select("set_id", "text"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -302,15 +305,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
     partners = dealt.join(sets, dealt["b"] == sets["set_id"]).select("a", "block", "set_id", "text")
     probes = dealt.select("a", "block").distinct().join(sets, F.col("a") == sets["set_id"]).select("a", "block", "set_id", "text")
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        probe = int(block["a"].iloc[0])
-        found = {k: s for k, s in zip(block["set_id"].tolist(), shingle_sets(block["text"].tolist(), n)) if len(s) and _set_id(s) == k}
+    def compare(block: pa.Table) -> pa.Table:
+        probe = block.column("a")[0].as_py()
+        ids, found = block.column("set_id").to_pylist(), {}
+        for k, s in zip(ids, shingle_sets(block.column("text").to_pylist(), n)):
+            if len(s) and _set_id(s) == k:
+                found[k] = s
         others = sorted(k for k in found if k != probe)
         tree = PrefixTree([found[k] for k in others])
-        hits = tree.probe(found[probe], num, den) if probe in found else ()
-        return pd.DataFrame([(probe, others[i], o) for i, o in hits], columns=["a", "b", "overlap"])
+        hits = list(tree.probe(found[probe], num, den)) if probe in found else []
+        links = {"a": [probe] * len(hits), "b": [others[i] for i, _ in hits], "overlap": [o for _, o in hits]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in links.items()})
 
-    return partners.unionByName(probes).groupBy("a", "block").applyInPandas(compare, "a long, b long, overlap long")
+    return partners.unionByName(probes).groupBy("a", "block").applyInArrow(compare, "a long, b long, overlap long")
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -338,7 +345,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     ends = heavy.groupBy("h").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi")
     heavy = heavy.join(F.broadcast(ends), "h")  # at most FREQUENT rows
     cols = ["h", "run", "set_id", "n_shingles", "lo"]
-    shared = written(light.select(*cols).unionByName(heavy.select(*cols)).dropDuplicates(["h", "run", "set_id"]), "shared")
+    once = ["h", "run", "set_id"]  # equal sets of different runs
+    shared = written(light.select(*cols).dropDuplicates(once).unionByName(heavy.select(*cols).dropDuplicates(once)), "shared")
 
     one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     signatures = nodes.where("bits is not null").select("set_id", "n_shingles", "bits", "wide")
@@ -350,23 +358,23 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     def divided(joined: DataFrame, more_than: int) -> tuple[DataFrame, DataFrame]:
         """Members with the labels of their components, and the groups with several labels, one of those with equal members."""
-        labelled = shared.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("h", "run", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
+        labelled = shared.join(_sent(joined.withColumnRenamed("node", "set_id")), "set_id", "left").select("h", "run", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
         labelled = written(labelled, "labelled")
         groups = labelled.groupBy("h", "run").agg(F.count("*").alias("size"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         groups = groups.where(f"lo < hi and size > {more_than}").groupBy("size", "members").agg(F.min(F.struct("h", "run")).alias("g")).select("g.h", "g.run", "size")
         return labelled, written(groups, "groups")
 
     labelled, groups = divided(connected_components(links), SMALL)
-    trees = written(_near_in_blocks(labelled.join(groups, ["h", "run"]), signatures, num, den, True).distinct(), "pairs")
+    trees = written(_near_in_blocks(labelled.join(_sent(groups), ["h", "run"]), signatures, num, den, True).distinct(), "pairs")
     links = links.unionByName(written(_verified(trees, _fetched(trees, one_of, docs), n, num, den), "links"))
 
     labelled, groups = divided(connected_components(links), 0)
-    few = labelled.join(groups.where(f"size <= {SMALL}").select("h", "run"), ["h", "run"])
+    few = labelled.join(_sent(groups.where(f"size <= {SMALL}").select("h", "run")), ["h", "run"])
     left, right = few.alias("l"), few.alias("r")
     sized = f"{den} * least(l.n_shingles, r.n_shingles) >= {num} * greatest(l.n_shingles, r.n_shingles)"
     rest = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.run") == F.col("r.run")) & (F.col("l.label") < F.col("r.label")) & F.expr(sized))
     rest = _near(rest.select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b")).distinct(), signatures, num, den)
-    many = _near_in_blocks(labelled.join(groups.where(f"size > {SMALL}"), ["h", "run"]), signatures, num, den, False)
+    many = _near_in_blocks(labelled.join(_sent(groups.where(f"size > {SMALL}")), ["h", "run"]), signatures, num, den, False)
     rest = written(rest.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     more = written(_verified(rest, _fetched(rest, one_of, docs), n, num, den), "links")
     joined = connected_components(links.unionByName(more))
@@ -387,8 +395,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     ids = written(classes.groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "classes")
 
     def of(condition: str) -> DataFrame:
-        found = ids.where(condition).select("doc_id")
-        return F.broadcast(found) if found.count() <= SENT_IDS else found
+        return _sent(ids.where(condition).select("doc_id"))
 
     once = docs.join(of("not stays or rows > 1"), "doc_id", "left_anti")
     return once.unionByName(docs.join(of("stays and rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
