@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.textnum import release_memory
 from millrace.llm.tokens import encoder
 
 #: Ids held before a round of packing.
@@ -163,15 +164,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        ids_of = encoder(tokenizer).ids
+        model = encoder(tokenizer)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = ids_of(text) + end
+                ids = model.ids(text) + end
                 pool.append(_Piece(doc_id, 0, ids, len(ids) // 4))
                 held += len(pool[-1])
                 if held >= POOL_TOKENS:
                     yield packed(False)
+        model.forget()
         yield packed(True)
+        release_memory()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, SCHEMA)

@@ -31,6 +31,8 @@ _EF = struct.Struct("<QQBxxxxxxx")  # entries, bytes of the upper bits, lower bi
 SAMPLE = 256
 #: Ids of a shard, and bytes of text of a partition, on average.
 SHARD_IDS, PARTITION_BYTES = 1 << 20, 64 << 20
+#: Shards whose offsets may be sent to all tasks; beyond that they are joined by a shuffle.
+SENT_SHARDS = 1_000_000
 
 
 class EliasFano:
@@ -154,6 +156,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
                 held += len(ids) // 4
                 if held >= SHARD_IDS:
                     yield full()
+        model.forget()
         if documents:
             yield full()
 
@@ -181,5 +184,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     of_parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     inside = sizes.withColumn("ahead", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
     base = inside.join(of_parts, "part").select("part", "seq", (F.col("before") + F.col("ahead")).alias("base"))
+    base = F.broadcast(base) if sizes.count() <= SENT_SHARDS else base
     documents = shards.select("part", "seq", "blob").mapInArrow(run, "part long, seq long, doc_id long, within long, n_tokens long, ids binary")
     return documents.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")

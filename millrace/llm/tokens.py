@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -20,8 +21,8 @@ _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 _DIGITS = "".join(c for c in map(chr, range(0x250)) if c.isnumeric())
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 _BEYOND = re.compile("[^\x00-\u024f]")
-#: Pieces kept by a process; the table is emptied beyond that, which changes no result.
-TABLE = 1_000_000
+#: Pieces kept by a process at most; those not met lately go, which changes no result.
+TABLE = 300_000
 
 
 def _classes(pattern: str) -> re.Pattern:
@@ -50,13 +51,23 @@ class _Pieces(dict):
 
     def __init__(self, model):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenize, self.letters = model.tokenize, {ord(chr(b)): c for b, c in _byte_letters().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = self[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+        self[piece] = ids
         return ids
 
+    def shrink(self) -> None:
+        """Keep half a table of the pieces met last as the older ones."""
+        if len(self) > TABLE // 2:
+            self.older = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Ids of one tokenizer file, without special tokens; their strings in a text are ordinary text."""
@@ -90,6 +101,12 @@ class Encoder:
                 self.split, self.lower = _classes(parts[0]["pattern"]["Regex"]), True
         self.pieces = _Pieces(self.whole.model)
 
+    def forget(self) -> None:
+        """Keep only pieces met again and again, at the end of a task, so that an idle worker holds little."""
+        older, now = self.pieces.older, dict(self.pieces)
+        self.pieces.clear()
+        self.pieces.older = dict(islice(((k, v) for k, v in now.items() if k in older), TABLE // 4)) or dict(islice(now.items(), TABLE // 4))
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text; none for a null."""
         if not text:
@@ -97,8 +114,7 @@ class Encoder:
         plain = text.lower() if self.lower else text
         if self.split is None or not (plain.isascii() or not _BEYOND.search(plain)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.pieces) > TABLE:
-            self.pieces.clear()
+        self.pieces.shrink()
         return b"".join(map(self.pieces.__getitem__, self.split.findall(plain)))
 
 
