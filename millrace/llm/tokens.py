@@ -4,7 +4,8 @@ The tokenizers library splits a text into pieces before it merges bytes, and the
 ids of a piece depend on the piece alone. So the pieces of a text are looked up
 in a table, and the library's model is asked only for pieces not seen before. A
 text with characters beyond the range in which this module knows the library's
-splitting rule by heart goes to the library whole; the ids are the same.
+splitting rule by heart, or with the content of an added token, goes to the
+library whole; the ids are the same.
 """
 
 from __future__ import annotations
@@ -70,17 +71,21 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of one tokenizer file, without special tokens; their strings in a text are ordinary text."""
+    """Ids of one tokenizer file as the library's encode(text, add_special_tokens=False).
+
+    With ``special`` the contents of special tokens in a text are those tokens,
+    the library's default; without, they are ordinary text.
+    """
 
     #: The splitting rule of byte-level models that name none.
     PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.size = self.whole.get_vocab_size()
@@ -99,6 +104,8 @@ class Encoder:
                 and [n.get("type") for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             ):
                 self.split, self.lower = _classes(parts[0]["pattern"]["Regex"]), True
+        found = {t["content"] for t in rules.get("added_tokens") or () if special or not t["special"]}
+        self.added = sorted(found | {c.lower() for c in found} if self.lower else found)
         self.pieces = _Pieces(self.whole.model)
 
     def forget(self) -> None:
@@ -112,7 +119,7 @@ class Encoder:
         if not text:
             return b""
         plain = text.lower() if self.lower else text
-        if self.split is None or not (plain.isascii() or not _BEYOND.search(plain)):
+        if self.split is None or not (plain.isascii() or not _BEYOND.search(plain)) or any(a in plain or a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self.pieces.shrink()
         return b"".join(map(self.pieces.__getitem__, self.split.findall(plain)))
@@ -122,9 +129,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, one for each process."""
+    """The encoder of a file with the library's default for special tokens, one for each process."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, special=True)
     return _encoders[path]
 
 

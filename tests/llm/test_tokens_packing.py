@@ -30,6 +30,26 @@ def test_ids_are_the_library_s(path):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == want(t), t
 
 
+@pytest.mark.parametrize("path, end", [(BYTE, 0), (WORD, 2)])
+def test_added_tokens_are_the_library_s(spark, tmp_path, path, end):
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = ["x <|endoftext|> y", "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "a<|endoftext|", "é <|startoftext|>日", "plain"]
+    texts += [f"{a}{t}{b}" for t in added for a, b in (("", ""), ("\u212a ", "\n"), ("İ", "'s"))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(i in library.get_added_tokens_decoder() for i in want[0])
+    assert [np.frombuffer(tokens.encoder(path).ids(t), "<u4").tolist() for t in texts] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(bytes)
+    for r in sorted(packing.pack(frame, path, end).collect(), key=lambda r: r.start):
+        got[r.doc_id] += r.ids
+    assert [np.frombuffer(got[k], "<u4").tolist() for k in range(len(texts))] == [w + [end] for w in want]
+    tokenbin.write_ids(frame, str(tmp_path / "ids"), path)
+    rows = sorted(tokenbin.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.doc_id)
+    assert [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in rows] == want
+    assert [r.start for r in rows] == np.cumsum([0, *(len(w) + 1 for w in want[:-1])]).tolist()
+
+
 def test_packing(docs, corpus):
     rows = packing.pack(docs, BYTE).collect()
     want, got = by_library(BYTE), defaultdict(list)
