@@ -3,9 +3,11 @@
 A document's whole windows of the longest context are sequences of their own;
 what remains is routed to the shortest context size (tier) that holds it. Tiers
 are packed from the longest to the shortest: a piece opens a window of its
-tier, the gap is filled by whole pieces of shorter tiers, longest fitting first,
-and closed by a cut through one more. Windows that shorter pieces cannot fill
-are joined with what follows. Sequences of a tier are dealt to step groups of
+tier, the gap is filled by whole pieces, longest fitting first, and closed by a
+cut through one more, the shortest that is long enough. Pieces of the window's
+own tier are cut too where shorter ones run out, so a window stays open only
+when no piece is left at all, and a round of packing carries less than one
+sequence over. Sequences of a tier are dealt to step groups of
 equal tokens so that their attention costs are balanced.
 
 Packing runs on each partition by itself and needs no shuffle; it holds at most
@@ -70,7 +72,7 @@ class _Shelf:
 
 
 def pack_pieces(pieces: list[_Piece], tiers: tuple[int, ...], last: bool) -> tuple[list[tuple[int, list[_Piece]]], list[_Piece]]:
-    """(tier, pieces) of each sequence, and the pieces left for the next round (none in the last)."""
+    """(tier, pieces) of each sequence, and the pieces left for the next round: fewer ids than a sequence, none in the last."""
     out: list[tuple[int, list[_Piece]]] = []
     shelf = _Shelf()
     for p in pieces:
@@ -80,14 +82,14 @@ def pack_pieces(pieces: list[_Piece], tiers: tuple[int, ...], last: bool) -> tup
         if len(p):
             shelf.put(p)
     left: list[_Piece] = []
-    for tier, shorter in zip(tiers, [*tiers[1:], 0]):
+    for tier, shorter in zip(tiers, [*tiers[1:], 0]):  # a window stays open only once the shelf is empty
         while (n := shelf.fitting(tier)) > shorter:
             window = [shelf.take(n)]
             gap = tier - n
-            while gap and (n := shelf.fitting(min(gap, shorter))) > 0:
+            while gap and (n := shelf.fitting(gap)) > 0:
                 window.append(shelf.take(n))
                 gap -= n
-            if gap and (n := shelf.beyond(gap, shorter)) > 0:
+            if gap and (n := shelf.beyond(gap, tier)) > 0:
                 head, rest = shelf.take(n).cut(gap)
                 window.append(head)
                 shelf.put(rest)

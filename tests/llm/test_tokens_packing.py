@@ -78,6 +78,31 @@ def test_packing(docs, corpus):
     assert len({(r.step_group, r.tier) for r in rows}) == len({r.step_group for r in rows})
 
 
+@pytest.mark.parametrize("tiers", [(1024, 512, 256, 128), (1024, 128), (64,)])
+@pytest.mark.parametrize("lengths", [(100,), (1, 2, 3), (600,), (600, 50, 700), (1024, 600, 300), (127, 128, 129, 513, 5000)])
+def test_rounds_carry_less_than_a_sequence(tiers, lengths):
+    pool, n, got = [], 0, defaultdict(list)
+    for turn in range(4):
+        for length in lengths * 300:
+            pool.append(packing._Piece(n, 0, struct.pack(f"<{length}I", *range(length)), length))
+            n += 1
+        sequences, pool = packing.pack_pieces(pool, tiers, turn == 3)
+        short = [t for t, window in sequences if sum(map(len, window)) < t]
+        assert len(short) <= (turn == 3) and sum(map(len, pool)) < tiers[0] * (turn < 3) + 1
+        for _, window in sequences:
+            for p in window:
+                got[p.doc_id].append((p.start, p.ids))
+    for k in range(n):
+        length = lengths[k % len(lengths)]
+        assert b"".join(ids for _, ids in sorted(got[k])) == struct.pack(f"<{length}I", *range(length))
+
+
+def test_short_pieces_fill_the_lowest_tier():
+    pieces = [packing._Piece(k, 0, bytes(4 * 100), 100) for k in range(1000)]
+    sequences, left = packing.pack_pieces(pieces, (1024, 512, 256, 128), False)
+    assert {t for t, _ in sequences} == {128} and len(sequences) == 100_000 // 128 and sum(map(len, left)) == 100_000 % 128
+
+
 def test_packing_of_nothing(nothing, docs):
     assert packing.pack(nothing, BYTE).count() == 0
     with pytest.raises(ValueError):
