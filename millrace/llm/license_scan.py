@@ -27,20 +27,77 @@ _U = np.uint64
 SHINGLE, PIECE, BANDS, THRESHOLD = 3, 8, 64, 0.8
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Customary statements of public licenses, as (name, text).
+
+def _stated(name: str, called: str) -> list[tuple[str, str]]:
+    return [(name, f"{verb} under the {called}") for verb in ("Licensed", "Released", "Distributed")]
+
+
+def _gnu(name: str, called: str, version: str, kind: str, colon: str) -> list[tuple[str, str]]:
+    free = f"This {kind} is free software{colon} you can redistribute it and/or modify it under the terms of the {called} as published by the Free Software Foundation"
+    return [*_stated(name, f"{called}, version {version}"), (name, f"{free}, either version {version} of the License")]
+
+
+_CC = (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-SA", "Attribution-ShareAlike"))
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+_NAMES = "the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+
+#: Customary statements and passages of public licenses, as (name, text). "BSD" opens all BSD licenses.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    *_gnu("AGPL-3.0", "GNU Affero General Public License", "3", "program", ":"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community"),
+    *_stated("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", f"{_BINARY}. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
+    ("BSD-3-Clause", f"{_BINARY}. 3. Neither {_NAMES}"),
+    ("BSD-3-Clause", f"{_BINARY}. Neither {_NAMES}"),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    *((f"CC-{code}-4.0", f"licensed under a Creative Commons {called} 4.0 International License") for code, called in _CC),
+    *((f"CC-{code}-4.0", f"Licensed under CC {code} 4.0") for code, _ in _CC),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("MIT", "Released under the MIT License"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0"),
+    *_gnu("GPL-2.0", "GNU General Public License", "2", "program", ";"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    *_gnu("GPL-3.0", "GNU General Public License", "3", "program", ":"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED"),
+    *_gnu("LGPL-2.1", "GNU Lesser General Public License", "2.1", "library", ";"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    *_gnu("LGPL-3.0", "GNU Lesser General Public License", "3", "library", ":"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"),
+    *_stated("MIT", "MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+)
+
+#: Names, versions and joints that tell a license from its relatives: a template that holds one of them asks for all its shingles.
+TELLING = (
+    *(f"{verb} under the" for verb in ("licensed", "released", "distributed")),
+    *(f"GNU {kind}General Public License" for kind in ("", "Lesser ", "Affero ")),
+    *(f"License version {v}" for v in ("2", "2.1", "3")),
+    *(f"version {v} of the License" for v in ("2", "2.1", "3")),
+    "Apache License Version 2.0",
+    "apache.org/licenses/LICENSE-2.0",
+    "Mozilla Public License v. 2.0",
+    *(f"Eclipse Public License {v}" for v in ("v1.0", "2.0", "v. 2.0")),
+    *(f"Commons {called} 4.0 International" for _, called in _CC),
+    *(f"CC {code} 4.0" for code, _ in _CC),
+    "the distribution. THIS SOFTWARE IS",
+    "the distribution. 3. Neither the name",
+    "the distribution. Neither the name",
+    "All advertising materials mentioning",
+    "is hereby granted, provided that",
+    "is hereby granted. THE SOFTWARE IS",
 )
 
 
@@ -85,6 +142,11 @@ class Index:
         self.names = [name for name, _ in found]
         self.sequences = [s for _, s in found]
         self.sets = [np.unique(s) for s in self.sequences]
+        tells = [t for _, t in shingles(TELLING)]
+        self.telling: list[set[int]] = []
+        for s, own in zip(self.sequences, self.sets):
+            held = [t for t in tells if any(np.array_equal(s[at : at + len(t)], t) for at in range(len(s) - len(t) + 1))]
+            self.telling.append(set(np.searchsorted(own, np.concatenate(held)).tolist()) if held else set())
         pieces = [(i, s[at : at + PIECE]) for i, s in enumerate(self.sequences) for at in range(0, max(1, len(s) - PIECE // 2), PIECE)]
         self.bands: list[tuple[np.ndarray, np.ndarray]] = []
         owners = np.array([i for i, _ in pieces], np.int64)
@@ -119,7 +181,7 @@ class Index:
         return out
 
     def verified(self, h: np.ndarray, i: int) -> tuple[float, int, int, int] | None:
-        """(best containment, its first word, its end, number of separate places) of template i, if THRESHOLD is met."""
+        """(best containment, its first word, its end, number of separate places) of template i, if THRESHOLD is met with all telling shingles."""
         own = self.sets[i]
         at = np.searchsorted(own, h)
         at[at == len(own)] = 0
@@ -128,7 +190,9 @@ class Index:
         reach = len(self.sequences[i]) + max(1, len(self.sequences[i]) // 8)
         best, count, last_end, lo = None, 0, -1, 0
         held: dict[int, int] = {}
-        kinds = at[places].tolist()
+        kinds, telling = at[places].tolist(), self.telling[i]
+        if not telling.issubset(kinds):
+            return None
         places = places.tolist()
         for hi, p in enumerate(places):
             held[kinds[hi]] = held.get(kinds[hi], 0) + 1
@@ -137,7 +201,7 @@ class Index:
                 if not held[kinds[lo]]:
                     del held[kinds[lo]]
                 lo += 1
-            if len(held) >= need:
+            if len(held) >= need and telling <= held.keys():
                 if places[lo] > last_end:
                     count, last_end = count + 1, p
                 last_end = max(last_end, p)
@@ -152,7 +216,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
     ``matches`` is an array of (license, template, containment, first_word,
     end_word, places), sorted by license and template: a template matches where
     a run of shingles an eighth longer than it (one at least) holds THRESHOLD of
-    its distinct shingles; ``places`` counts runs apart from each other. Null,
+    its distinct shingles, all those of the TELLING phrases in it among them, so
+    that a name or version of a relative is no match; ``places`` counts runs apart from each other. Null,
     empty and short texts match nothing. ``templates`` is a list in code and is
     sent to the tasks as such. Other columns are ignored.
     """
@@ -179,8 +244,12 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> D
 
 
 def licenses(scanned: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, n_licenses, licenses, containment, n_places)`` of a scanned table; without matches '', 0.0 and 0."""
-    names = F.array_sort(F.array_distinct("matches.license"))
+    """``(doc_id, n_words, n_licenses, licenses, containment, n_places)`` of a scanned table; without matches '', 0.0 and 0.
+
+    "BSD", the sentence that opens all BSD licenses, is named only where no clause tells which one it is.
+    """
+    every = F.array_sort(F.array_distinct("matches.license"))
+    names = F.when(F.exists(every, lambda n: n.startswith("BSD-")), F.array_remove(every, "BSD")).otherwise(every)
     return scanned.select(
         "doc_id",
         "n_words",

@@ -196,6 +196,42 @@ def test_licenses(spark, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_licenses_and_their_relatives(spark):
+    gnu = "modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    free = "This program is free software: you can redistribute it and/or "
+    conditions = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    source = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    binary = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    neither = "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    as_is = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    cases = [
+        *((f"This work is licensed under the GNU {k}General Public License, version {v}.", n) for k, v, n in (("", 3, "GPL-3.0"), ("", 2, "GPL-2.0"), ("Lesser ", 3, "LGPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Affero ", 3, "AGPL-3.0"), ("Lesser ", 4, ""), ("Affero ", 1, ""), ("", 1, ""), ("Other ", 3, ""))),
+        *((free + gnu.format(k, v), n) for k, v, n in (("General Public License", 3, "GPL-3.0"), ("General Public License", 2, "GPL-2.0"), ("Lesser General Public License", 3, "LGPL-3.0"), ("Lesser General Public License", "2.1", "LGPL-2.1"), ("Affero General Public License", 3, "AGPL-3.0"), ("General Public License", 1, ""))),
+        (f"{conditions} {source} {binary} {as_is}", "BSD-2-Clause"),
+        (f"{conditions} {source} {binary} 3. {neither} {as_is}", "BSD-3-Clause"),
+        (f"{conditions} * {source[3:]} * {binary[3:]} * {neither} {as_is}", "BSD-3-Clause"),
+        (f"{conditions} {source} {binary} {advert} 4. {neither} {as_is}", "BSD-4-Clause"),
+        (conditions, "BSD"),
+        (f"{isc}, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED", "ISC"),
+        (f"{isc}. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES", "0BSD"),
+        *((f"This work is licensed under a Creative Commons Attribution{k} 4.0 International License.", n) for k, n in (("", "CC-BY-4.0"), ("-ShareAlike", "CC-BY-SA-4.0"), ("-NonCommercial", "CC-BY-NC-4.0"), ("-NonCommercial-ShareAlike", "CC-BY-NC-SA-4.0"), ("-NoDerivatives", "CC-BY-ND-4.0"))),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License.", ""),
+        *((f"Licensed under CC {k}.", f"CC-{k.replace(' ', '-')}" if k.endswith("4.0") else "") for k in ("BY 4.0", "BY-NC 4.0", "BY-SA 4.0", "BY-NC-SA 4.0", "BY-NC 3.0", "BY-NC 4.1")),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+        *((f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {v} which is available at", n) for v, n in (("2.0", "EPL-2.0"), ("v. 2.0", "EPL-2.0"), ("v1.0", "EPL-1.0"))),
+        *((f"{verb} under the Apache License, Version 2.0", "Apache-2.0") for verb in ("Licensed", "Released", "Distributed")),
+        *((f"{verb} under the MIT License", "MIT") for verb in ("Licensed", "Released", "Distributed")),
+    ]
+    cases += [(t, name) for name, t in license_scan.TEMPLATES]
+    rng = random.Random(11)
+    texts = [f"{' '.join(f'x{rng.randrange(999)}' for _ in range(20))} {t} {' '.join(f'y{rng.randrange(999)}' for _ in range(60))}" for t, _ in cases]
+    got = license_scan.licenses(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert [(cases[r.doc_id][0], r.licenses) for r in sorted(got, key=lambda r: r.doc_id)] == cases
+
+
 # ---- toxicity
 
 
