@@ -174,7 +174,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...
                 held += len(pool[-1])
                 if held >= POOL_TOKENS:
                     yield packed(False)
-        model.forget()
         yield packed(True)
         release_memory()
 

@@ -156,7 +156,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
                 held += len(ids) // 4
                 if held >= SHARD_IDS:
                     yield full()
-        model.forget()
         if documents:
             yield full()
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
@@ -22,8 +21,11 @@ _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 _DIGITS = "".join(c for c in map(chr, range(0x250)) if c.isnumeric())
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 _BEYOND = re.compile("[^\x00-\u024f]")
-#: Pieces kept by a process at most; those not met lately go, which changes no result.
-TABLE = 300_000
+#: Bytes that a process keeps of pieces and their ids, with ENTRY for the dictionary's share of each; those not met lately
+#: go, and pieces of more than LONG characters are not kept, which changes no result.
+TABLE_BYTES, ENTRY, LONG = 256 << 20, 170, 256
+#: The normalizer of the word-level byte models that this module knows by heart.
+LOWERING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 def _classes(pattern: str) -> re.Pattern:
@@ -53,6 +55,7 @@ class _Pieces(dict):
     def __init__(self, model):
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.tokenize, self.letters = model.tokenize, {ord(chr(b)): c for b, c in _byte_letters().items()}
 
     def __missing__(self, piece: str) -> bytes:
@@ -60,14 +63,17 @@ class _Pieces(dict):
         if ids is None:
             tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
             ids = np.array([t.id for t in tokens], "<u4").tobytes()
-        self[piece] = ids
+        if len(piece) <= LONG:
+            self[piece] = ids
+            self.held += ENTRY + len(piece) + len(ids)
         return ids
 
     def shrink(self) -> None:
-        """Keep half a table of the pieces met last as the older ones."""
-        if len(self) > TABLE // 2:
+        """Once they fill half of TABLE_BYTES, the pieces met lately become the older ones, which go."""
+        if self.held > TABLE_BYTES // 2:
             self.older = dict(self)
             self.clear()
+            self.held = 0
 
 
 class Encoder:
@@ -101,19 +107,13 @@ class Encoder:
                 and parts[0].get("behavior") == "Removed"
                 and not (parts[1].get("use_regex") or parts[1].get("add_prefix_space"))
                 and norm is not None
-                and [n.get("type") for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+                and norm.get("normalizers") == LOWERING
             ):
                 self.split, self.lower = _classes(parts[0]["pattern"]["Regex"]), True
         found = {t["content"] for t in rules.get("added_tokens") or () if special or not t["special"]}
         self.added = sorted(found | {c.lower() for c in found} if self.lower else found)
         self.pieces = _Pieces(self.whole.model)
 
-    def forget(self) -> None:
-        """Keep only pieces met again and again, at the end of a task, so that an idle worker holds little."""
-        older, now = self.pieces.older, dict(self.pieces)
-        self.pieces.clear()
-        self.pieces.older = dict(islice(((k, v) for k, v in now.items() if k in older), TABLE // 4)) or dict(islice(now.items(), TABLE // 4))
-
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text; none for a null."""
         if not text:
