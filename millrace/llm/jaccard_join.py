@@ -1,24 +1,26 @@
 """N-gram Jaccard self-join by prefix trees, and the near-duplicate classes it gives.
 
-Each document is the set of its hashed word n-grams in one global order, by
-hash. Two sets that meet a threshold t differ in few of their union's members,
-so most pairs of neighbours in the order are neighbours in both: of the pairs
-of a set of n, they share one among the first ``n - ceil((2 t - 1) n) + 1``,
-pairs of frequent n-grams counted last (a prefix filter whose keys two sets
-hardly ever share by chance). Sets that share a key are compared in blocks: one
-probe set walks a trie of its partners, each trie path being a set in the
-block's order, so partners with a common start share the overlap counted on it,
-and a subtree is left as soon as the lengths that remain cannot reach the
-threshold.
-
-Before texts are fetched, a pair must pass a bound by parity bitmaps: two sets
-differ in at least as many members as their bitmaps differ in bits.
-
-Work is kept near-linear in a group of copies: equal sets are one node; each
-group first links its members with one leader, then along a spanning forest of
-its nearest bitmaps; only pairs that this leaves in different components are
-compared after that. All links that matter to the components are therefore
-found, though not all pairs are expanded.
+Each document is the set of its hashed word n-grams in one global order: by
+hash, the frequent ones after all others. Two sets that meet a threshold t share
+one of the first ``n - ceil(t n) + 1`` members of each, so the tries are
+partitioned by those members: sets that hold one of them among their first meet
+in its group. Within a block of a group the sets are stored as paths of one trie
+in the global order; every set walks it, sets with a common start share the
+overlap counted on it, and a subtree is left as soon as the lengths that remain
+cannot reach the threshold or all its sets are known to be in the walker's class.
+
+Most groups hold few sets that meet by chance. So a group's members are first
+held against its leader: pairs that sizes and parity bitmaps rule out (two sets
+differ in at least as many members as their bitmaps differ in bits) go without
+their texts being read, and the rest of a leader's pairs are a block. Groups of
+three and more that this leaves in several classes are joined whole, in random
+blocks where they are larger than one; where such a group is still in several
+classes, those outside its largest class meet all others. Equal sets are one
+node, so links that matter to the classes are all found, though not all pairs
+are expanded. The rows shuffled are linear in the sets for groups of up to BLOCK
+sets; for a larger group they are its size times the blocks of members outside
+its largest class, which frequent n-grams coming last keeps small: sets that
+reach them in their prefix have few other members.
 """
 
 from __future__ import annotations
@@ -28,28 +30,48 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.scratch import written
-from millrace.llm.textnum import mix, shingle_sets
+from millrace.llm.textnum import release_memory, shingle_sets
 
 #: Shingles whose document counts are summed over the corpus to order the sets: those that come this often in a run of COUNT_RUN.
 COUNT_FLOOR, COUNT_RUN = 8, 1 << 20
 #: The most frequent of them are ordered last. Any choice gives the same links; it bounds what is sent to the tasks.
 FREQUENT = 50_000
-#: Partners that meet one probe in a block of texts, and sets of half a block of bitmaps.
-BLOCK, PART = 64, 512
+#: Sets in a block, on average.
+BLOCK = 192
 #: Bits of a set's parity bitmap; sets beyond WIDE_FROM members, which would fill it, have a wide one as well.
 BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 14, 2000
-#: Sets that share a member are compared in SQL up to so many, in blocks of numpy beyond.
-SMALL = 16
 #: Rows of ids that may be sent to all tasks; beyond that both sides are shuffled.
 SENT_IDS = 1_000_000
 
 
-#: Sets of so many members are looked up by members instead of pairs.
-SHORT = 20
+class Order:
+    """The global order of members: by hash, the frequent ones (a list by rising frequency) after all others."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.rank = np.argsort(frequent, kind="stable")
+        self.known = frequent[self.rank]
+
+    def late(self, s: np.ndarray) -> np.ndarray:
+        """-1, or the place among the frequent members."""
+        if not len(self.known):
+            return np.full(len(s), -1)
+        at = np.searchsorted(self.known, s)
+        at[at == len(self.known)] = 0
+        return np.where(self.known[at] == s, self.rank[at], -1)
+
+    def prefix(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The first members of a sorted set, of which it shares one with every set that meets the threshold."""
+        size = prefix_length(len(s), num, den)
+        late = self.late(s)
+        rare = s[late < 0]
+        if len(rare) >= size:
+            return rare[:size]
+        often = s[late >= 0]
+        return np.concatenate([rare, often[np.argsort(late[late >= 0], kind="stable")][: size - len(rare)]])
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -57,93 +79,93 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def keys_of(s: np.ndarray, known: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (rare ones, frequent ones) under which a sorted set is looked up.
+class _Node:
+    __slots__ = ("edge", "depth", "fewest", "most", "end", "last", "children", "one")
 
-    ``known`` are the frequent members, sorted, ``rank`` their order. A set at
-    the border has the keys of short sets and those of long ones.
-    """
-    at = np.searchsorted(known, s)
-    at[at == len(known)] = 0
-    late = np.where(known[at] == s, rank[at], -1) if len(known) else np.full(len(s), -1)
-    light, heavy = [], []
-    n, pairs = len(s), len(s) > SHORT and 2 * num > den
-
-    def first(keys: np.ndarray, order: np.ndarray, size: int) -> None:
-        rare = np.sort(keys[order < 0])[:size]
-        light.append(rare)
-        if len(rare) < size:
-            often = order >= 0
-            heavy.append(keys[often][np.lexsort((keys[often], order[often]))][: size - len(rare)])
-
-    if pairs:
-        first(mix(s[:-1] * np.uint64(0xD1342543DE82EF95) + s[1:]), np.where((late[:-1] >= 0) & (late[1:] >= 0), np.minimum(late[:-1], late[1:]), -1), n - -(-(2 * num - den) * n // den) + 1)
-    if not pairs or n * num <= SHORT * den:
-        first(s, late, prefix_length(n, num, den))
-    return np.concatenate(light), np.concatenate(heavy) if heavy else s[:0]
+    def __init__(self, edge: np.ndarray, depth: int, fewest: int, most: int, end: int, last: int):
+        self.edge, self.depth, self.fewest, self.most = edge, depth, fewest, most
+        self.end, self.last = end, last  # path that ends here or -1; one beyond the last path below
+        self.children: list[_Node] = []
+        self.one = -1  # a path below, once all of them are in one class
 
 
 class PrefixTree:
-    """Sets as paths of a path-compressed trie over an order by falling frequency within the block."""
+    """Distinct sets as paths of a path-compressed trie in the global order."""
 
-    def __init__(self, sets: Sequence[np.ndarray]):
-        members, inverse, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    def __init__(self, sets: Sequence[np.ndarray], order: Order | None = None):
+        members, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        late = (order or Order(members[:0])).late(members)
         rank = np.empty(len(members), np.int64)
-        rank[np.lexsort((members, -counts))] = np.arange(len(members))
-        self.members, self.rank = members, rank
+        rank[np.lexsort((members, late))] = np.arange(len(members))
         ends = np.cumsum([len(s) for s in sets])
         paths = [np.sort(p) for p in np.split(rank[inverse], ends[:-1])] if len(sets) else []
-        order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
-        #: (first, last + 1 in order, depth, members of the edge, fewest, most members of the sets below, ids that end here, children)
-        self.root = self._node([paths[i] for i in order], order)
-
-    @staticmethod
-    def _node(paths: list[np.ndarray], ids: list[int]) -> tuple | None:
-        if not paths:
-            return None
-        root: list = []
-        todo = [(0, len(paths), 0, root)]
+        #: Positions of the sets in the order of their paths.
+        self.order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
+        self.paths, self.size = [paths[i] for i in self.order], len(members)
+        self.root = self._build() if paths else None
+
+    def _build(self) -> _Node:
+        top: list[_Node] = []
+        todo = [(0, len(self.paths), 0, top)]
+        lengths = np.array([len(p) for p in self.paths])
         while todo:
             lo, hi, depth, into = todo.pop()
-            a, b = paths[lo], paths[hi - 1]
+            a, b = self.paths[lo], self.paths[hi - 1]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[depth:m] != b[depth:m])
             end = depth + int(differ[0]) if len(differ) else m
-            first = lo
-            while first < hi and len(paths[first]) == end:
-                first += 1
-            children: list = []
-            lengths = [len(p) for p in paths[lo:hi]]
-            into.append((a[depth:end], end, min(lengths), max(lengths), ids[lo:first], children))
+            here = len(a) == end
+            node = _Node(a[depth:end], end, int(lengths[lo:hi].min()), int(lengths[lo:hi].max()), lo if here else -1, hi)
+            into.append(node)
+            first = lo + here
             while first < hi:
-                token, last = paths[first][end], first + 1
-                while last < hi and paths[last][end] == token:
+                token, last = self.paths[first][end], first + 1
+                while last < hi and self.paths[last][end] == token:
                     last += 1
-                todo.append((first, last, end, children))
+                todo.append((first, last, end, node.children))
                 first = last
-        return root[0]
-
-    def probe(self, s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """(position, overlap) of each set whose Jaccard similarity with s is num / den at least."""
-        if self.root is None or not len(s):
-            return
-        at = np.searchsorted(self.members, s)
-        at[at == len(self.members)] = 0
-        mine = np.zeros(len(self.members), np.int32)
-        mine[self.rank[at[self.members[at] == s]]] = 1
-        n, todo = len(s), [(self.root, 0)]
-        while todo:
-            (edge, depth, fewest, most, ends, children), overlap = todo.pop()
-            if den * min(n, most) < num * max(n, fewest):
-                continue
-            overlap += int(mine[edge].sum())
-            if (num + den) * (overlap + min(n - overlap, most - depth)) < num * (n + fewest):
+        return top[0]
+
+    def links(self, num: int, den: int, labels: Sequence[int] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(position, position, overlap) of pairs of Jaccard similarity num / den at least that join all such pairs' classes.
+
+        Sets of equal ``labels`` are in one class from the start. Every set
+        walks the paths after its own; a pair already in one class is passed by.
+        """
+        parent = list(range(len(self.paths)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        firsts: dict[int, int] = {}
+        for k, i in enumerate(self.order) if labels is not None else ():
+            parent[find(k)] = find(firsts.setdefault(labels[i], k))
+        for k, path in enumerate(self.paths):
+            n = len(path)
+            if not n:
                 continue
-            if (num + den) * overlap >= num * (n + depth):
-                for i in ends:
-                    yield i, overlap
-            for child in children:
-                todo.append((child, overlap))
+            mine = np.zeros(self.size, bool)
+            mine[path] = True
+            todo = [(self.root, 0)]
+            while todo:
+                node, overlap = todo.pop()
+                if node.last <= k + 1 or den * min(n, node.most) < num * max(n, node.fewest):
+                    continue
+                if node.one < 0:
+                    below = [c.one for c in node.children] + [node.end] * (node.end >= 0)
+                    if min(below) >= 0 and len({find(i) for i in below}) == 1:
+                        node.one = below[0]
+                if node.one >= 0 and find(node.one) == find(k):
+                    continue
+                overlap += int(np.count_nonzero(mine[node.edge]))
+                if (num + den) * (overlap + min(n - overlap, node.most - node.depth)) < num * (n + node.fewest):
+                    continue
+                if node.end > k and (num + den) * overlap >= num * (n + node.depth) and find(node.end) != find(k):
+                    parent[find(node.end)] = find(k)
+                    yield self.order[k], self.order[node.end], overlap
+                todo.extend((child, overlap) for child in node.children)
 
 
 def parity(s: np.ndarray, bits: int) -> np.ndarray:
@@ -187,9 +209,8 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, set_id, n_shingles, bits, wide, light, heavy): parity bits and the members of the prefix, once for equal sets of one run."""
-    rank = np.argsort(frequent)
-    known = frequent[rank]
+    """(doc_id, text_key, set_id, n_shingles, bits, wide, keys): parity bits and the members of the prefix, once for equal sets of one run."""
+    order = Order(frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -198,21 +219,26 @@ def _nodes(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) ->
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                for s in shingle_sets(part.column(1).to_pylist(), n):
+                for s in shingle_sets(part.column(2).to_pylist(), n):
                     key = _set_id(s) if len(s) else None
                     if key is None or key in seen:
-                        rows.append((key, len(s), None, None, None, None))
+                        rows.append((key, len(s), None, None, None))
                         continue
                     if len(seen) > 1 << 18:
                         seen.clear()
                     seen.add(key)
-                    light, heavy = keys_of(s, known, rank, num, den)
                     wide = parity(s, WIDE_BITS) if len(s) > WIDE_FROM else None
-                    rows.append((key, len(s), parity(s, BITS), wide, light.view(np.int64), heavy.view(np.int64)))
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), longs, longs, longs, longs))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "set_id", "n_shingles", "bits", "wide", "light", "heavy"])
+                    rows.append((key, len(s), parity(s, BITS), wide, order.prefix(s, num, den).view(np.int64)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), longs, longs, longs))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_key", "set_id", "n_shingles", "bits", "wide", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), "text")
+    return rows.mapInArrow(prefixes, "doc_id long, text_key long, set_id long, n_shingles long, bits array<long>, wide array<long>, keys array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefixes, "doc_id long, set_id long, n_shingles long, bits array<long>, wide array<long>, light array<long>, heavy array<long>")
+def _text_key() -> Column:
+    """What tells a row's text from others of the same, or no, doc_id."""
+    return F.xxhash64("text").alias("text_key")
 
 
 def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,99 +251,42 @@ def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(a, "a").join(b, "b").where(f"{sized} and {differ} <= {most} and coalesce({wide} <= {most}, true)").select("a", "b")
 
 
-def forest(distance: np.ndarray, label: np.ndarray, far: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the labels along the smallest distances below ``far``."""
-    label = np.unique(label, return_inverse=True)[1]
-    edges: list[tuple[int, int]] = []
-    while True:
-        d = np.where(label[:, None] == label[None, :], far, distance)
-        to = d.argmin(axis=1)
-        best = d[np.arange(len(to)), to]
-        order = np.lexsort((best, label))
-        firsts = order[np.concatenate(([True], label[order][1:] != label[order][:-1]))]
-        joined = False
-        for i in firsts.tolist():
-            j = int(to[i])
-            if best[i] < far and label[i] != label[j]:
-                edges.append((i, j))
-                label[label == label[j]] = label[i]
-                joined = True
-        if not joined:
-            return edges
-
-
-def _near_in_blocks(groups: DataFrame, signatures: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
-    """Like _near for the pairs with different labels inside ``groups(h, run, size, set_id, label)``.
-
-    A group is cut into parts of PART sets on average, and any two parts meet
-    in one block; only what the bitmaps let pass leaves it. With ``spanning``
-    that is a spanning forest of the block, else every such pair.
-    """
-    parts = F.ceil(F.col("size") / PART)
-    dealt = groups.withColumn("part", F.pmod(F.xxhash64("set_id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("h", "run", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "set_id", "label").join(signatures, "set_id")
-
-    def compare(block: pa.Table) -> pa.Table:
-        ids, label, n = (block.column(c).to_numpy() for c in ("set_id", "label", "n_shingles"))
-        bits = np.stack(block.column("bits").to_numpy(zero_copy_only=False)).view(np.uint64)
-        wide = block.column("wide").to_numpy(zero_copy_only=False)
-        far = 1 << 30
-        distance = np.full((len(ids), len(ids)), far, np.int32)
-        for i in range(len(ids) - 1):
-            d = np.zeros(len(ids) - i - 1, np.int32)
-            for w in range(bits.shape[1]):
-                d += np.bitwise_count(bits[i + 1 :, w] ^ bits[i, w])
-            m = n[i + 1 :]
-            most = n[i] + m + 2 * (-num * (n[i] + m) // (num + den))
-            ok = (label[i + 1 :] != label[i]) & (den * np.minimum(m, n[i]) >= num * np.maximum(m, n[i])) & (d <= most)
-            if wide[i] is not None:
-                for k in np.flatnonzero(ok).tolist():
-                    if wide[i + 1 + k] is not None:
-                        ok[k] = int(np.bitwise_count(wide[i].view(np.uint64) ^ wide[i + 1 + k].view(np.uint64)).sum(dtype=np.int64)) <= most[k]
-            distance[i, i + 1 :] = np.where(ok, d, far)
-        if spanning:
-            edges = forest(np.minimum(distance, distance.T), label, far)
-            a, b = ids[[i for i, _ in edges]], ids[[j for _, j in edges]]
-        else:
-            i, j = np.nonzero(distance < far)
-            a, b = ids[i], ids[j]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return dealt.groupBy("h", "run", "p", "q").applyInArrow(compare, "a long, b long")
-
-
 def _sent(rows: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast if it is small enough."""
     return F.broadcast(rows) if rows.count() <= SENT_IDS else rows
 
 
-def _fetched(pairs: DataFrame, one_of: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set_id, text) of the sets in ``pairs(a, b)``."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(one_of, "set_id"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return written(texts.join(_sent(wanted), "doc_id").select("set_id", "text"), "sets")
+def _fetched(wanted: DataFrame, one_of: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text) of the sets in ``wanted(set_id)``, each once; rows without a doc_id are found by their texts."""
+    wanted = written(wanted.distinct().join(one_of.select("set_id", F.col("doc_id").alias("id"), F.col("text_key").alias("k")), "set_id"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
+    sent = _sent(wanted)
+    found = written(texts.join(sent, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), "sets")
+    return found if found.count() == wanted.count() else written(found.dropDuplicates(["set_id"]), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``pairs(a, b)`` of set ids -> those that meet the threshold, with their overlap."""
-    per = Window.partitionBy("a")
-    dealt = pairs.withColumn("block", F.floor((F.row_number().over(per.orderBy("b")) - 1) / BLOCK))
-    partners = dealt.join(sets, dealt["b"] == sets["set_id"]).select("a", "block", "set_id", "text")
-    probes = dealt.select("a", "block").distinct().join(sets, F.col("a") == sets["set_id"]).select("a", "block", "set_id", "text")
+def _joined(blocks: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """``blocks(g, p, q, set_id, label)`` -> links ``(a, b, overlap)`` that join all similar sets of each block (g, p, q)."""
+    order = Order(frequent)
 
-    def compare(block: pa.Table) -> pa.Table:
-        probe = block.column("a")[0].as_py()
-        ids, found = block.column("set_id").to_pylist(), {}
-        for k, s in zip(ids, shingle_sets(block.column("text").to_pylist(), n)):
-            if len(s) and _set_id(s) == k:
+    def walk(block: pa.Table) -> pa.Table:
+        release_memory()
+        found: dict[int, np.ndarray] = {}
+        labels: dict[int, int] = dict(zip(block.column("set_id").to_pylist(), block.column("label").to_pylist()))
+        for k, s in zip(block.column("set_id").to_pylist(), shingle_sets(block.column("text").to_pylist(), n)):
+            if k not in found and len(s) and _set_id(s) == k:
                 found[k] = s
-        others = sorted(k for k in found if k != probe)
-        tree = PrefixTree([found[k] for k in others])
-        hits = list(tree.probe(found[probe], num, den)) if probe in found else []
-        links = {"a": [probe] * len(hits), "b": [others[i] for i, _ in hits], "overlap": [o for _, o in hits]}
+        ids = list(found)
+        hits = list(PrefixTree([found[k] for k in ids], order).links(num, den, [labels[k] for k in ids]))
+        links = {"a": [ids[i] for i, _, _ in hits], "b": [ids[j] for _, j, _ in hits], "overlap": [o for _, _, o in hits]}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in links.items()})
 
-    return partners.unionByName(probes).groupBy("a", "block").applyInArrow(compare, "a long, b long, overlap long")
+    rows = blocks.join(sets, "set_id").select("g", "p", "q", "set_id", "label", "text")
+    return written(rows.groupBy("g", "p", "q").applyInArrow(walk, "a long, b long, overlap long"), "links")
+
+
+def _part(of: Column, salt: int, n_blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(salt)), n_blocks)
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -327,57 +296,60 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     as a-z); a shorter text is one shingle. Two documents are linked when
     ``den * intersection >= num * union``; ``component_id`` is the smallest
     doc_id reachable by links. Texts without words and nulls have an empty set,
-    are linked with nothing and keep their own doc_id. A null doc_id is never
-    the smallest unless the class has no other. Other columns are ignored.
+    are linked with nothing and keep their own doc_id. Rows without a doc_id
+    link like others; a null is never the smallest unless the class has no
+    other. An empty table gives no rows. Other columns are ignored.
     """
     frequent = _frequent(docs, n)
     nodes = written(_nodes(docs, n, num, den, frequent), "nodes")
-    firsts = nodes.where("light is not null").select("set_id", "n_shingles", "light", "heavy")
-
-    # runs of sets that share a member and follow each other within the sizes that can be similar
-    by_size = Window.partitionBy("h").orderBy("n_shingles", "set_id")
-    light = firsts.select("set_id", "n_shingles", F.explode("light").alias("h"))
-    fresh = F.coalesce(den * F.lag("n_shingles").over(by_size) < num * F.col("n_shingles"), F.lit(True))
-    light = light.withColumn("fresh", fresh.cast("long")).withColumn("run", F.sum("fresh").over(by_size))
-    span = Window.partitionBy("h", "run")
-    light = light.withColumn("lo", F.min("set_id").over(span)).withColumn("hi", F.max("set_id").over(span)).where("lo < hi")
-    heavy = firsts.select("set_id", "n_shingles", F.explode("heavy").alias("h"), F.lit(0).cast("long").alias("run"))
-    ends = heavy.groupBy("h").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi")
-    heavy = heavy.join(F.broadcast(ends), "h")  # at most FREQUENT rows
-    cols = ["h", "run", "set_id", "n_shingles", "lo"]
-    once = ["h", "run", "set_id"]  # equal sets of different runs
-    shared = written(light.select(*cols).dropDuplicates(once).unionByName(heavy.select(*cols).dropDuplicates(once)), "shared")
-
-    one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    signatures = nodes.where("bits is not null").select("set_id", "n_shingles", "bits", "wide")
-    signatures = written(signatures.join(shared.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures")
+    one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("set_id", "r.doc_id", "r.text_key")
 
-    stars = shared.where("set_id <> lo").select(F.col("lo").alias("a"), F.col("set_id").alias("b")).distinct()
+    # groups: the sets that share a member of their prefixes, one group of those with equal members
+    keys = nodes.where("keys is not null").select("set_id", F.explode("keys").alias("h"))
+    live = keys.groupBy("h").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("h", "lo")
+    members = written(keys.join(live, "h"), "members")
+    sums = [F.sum(F.pmod(F.xxhash64("set_id", F.lit(salt)), F.lit(1 << 32))).alias(f"s{salt}") for salt in range(3)]  # copies of a set count alike in all groups
+    groups = members.groupBy("h").agg(F.count("*").alias("rows"), *sums).groupBy("rows", "s0", "s1", "s2").agg(F.min("h").alias("h")).select("h")
+    members = written(members.join(_sent(written(groups, "groups")), "h").distinct(), "members")
+
+    signatures = nodes.where("bits is not null").select("set_id", "n_shingles", "bits", "wide")
+    signatures = written(signatures.join(members.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures")
+    stars = members.where("set_id <> lo").select(F.col("lo").alias("a"), F.col("set_id").alias("b")).distinct()
     stars = written(_near(stars, signatures, num, den), "pairs")
-    links = written(_verified(stars, _fetched(stars, one_of, docs), n, num, den), "links")
-
-    def divided(joined: DataFrame, more_than: int) -> tuple[DataFrame, DataFrame]:
-        """Members with the labels of their components, and the groups with several labels, one of those with equal members."""
-        labelled = shared.join(_sent(joined.withColumnRenamed("node", "set_id")), "set_id", "left").select("h", "run", "set_id", "n_shingles", F.coalesce("component", "set_id").alias("label"))
-        labelled = written(labelled, "labelled")
-        groups = labelled.groupBy("h", "run").agg(F.count("*").alias("size"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        groups = groups.where(f"lo < hi and size > {more_than}").groupBy("size", "members").agg(F.min(F.struct("h", "run")).alias("g")).select("g.h", "g.run", "size")
-        return labelled, written(groups, "groups")
-
-    labelled, groups = divided(connected_components(links), SMALL)
-    trees = written(_near_in_blocks(labelled.join(_sent(groups), ["h", "run"]), signatures, num, den, True).distinct(), "pairs")
-    links = links.unionByName(written(_verified(trees, _fetched(trees, one_of, docs), n, num, den), "links"))
-
-    labelled, groups = divided(connected_components(links), 0)
-    few = labelled.join(_sent(groups.where(f"size <= {SMALL}").select("h", "run")), ["h", "run"])
-    left, right = few.alias("l"), few.alias("r")
-    sized = f"{den} * least(l.n_shingles, r.n_shingles) >= {num} * greatest(l.n_shingles, r.n_shingles)"
-    rest = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.run") == F.col("r.run")) & (F.col("l.label") < F.col("r.label")) & F.expr(sized))
-    rest = _near(rest.select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b")).distinct(), signatures, num, den)
-    many = _near_in_blocks(labelled.join(_sent(groups.where(f"size > {SMALL}")), ["h", "run"]), signatures, num, den, False)
-    rest = written(rest.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    more = written(_verified(rest, _fetched(rest, one_of, docs), n, num, den), "links")
-    joined = connected_components(links.unionByName(more))
+    sets = _fetched(stars.select(F.explode(F.array("a", "b")).alias("set_id")), one_of, docs)
+    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    star = stars.join(sizes, "a").select(F.col("a").alias("g"), _part(F.col("b"), 1, F.col("blocks")).alias("p"), F.lit(-1).alias("q"), F.col("b").alias("set_id"))
+    star = star.unionByName(sizes.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), F.lit(-1).alias("q"), F.col("a").alias("set_id")))
+    links = _joined(star.withColumn("label", F.col("set_id")), sets, frequent, n, num, den)
+
+    def divided(more_than: int) -> tuple[DataFrame, DataFrame]:
+        """Members with the labels of their classes, and the groups (h, size, top, others) of more sets in several classes."""
+        joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "set_id")
+        labelled = written(members.join(_sent(joined), "set_id", "left").select("h", "set_id", F.coalesce("component", "set_id").alias("label")), "labelled")
+        per = labelled.groupBy("h", "label").agg(F.count("*").alias("size")).groupBy("h").agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.max_by("label", "size").alias("top"))
+        groups = per.where(f"largest < size and size > {more_than}").select("h", "size", "top", (F.col("size") - F.col("largest")).alias("others"))
+        groups = written(groups, "groups")
+        return labelled.join(_sent(groups), "h"), groups
+
+    def more(blocks: DataFrame) -> None:
+        nonlocal links, sets
+        blocks = written(blocks, "blocks")
+        new = written(blocks.select("set_id").distinct().join(_sent(sets.select("set_id")), "set_id", "left_anti"), "wanted")
+        sets = sets.unionByName(_fetched(new, one_of, docs))
+        links = links.unionByName(_joined(blocks, sets, frequent, n, num, den))
+
+    labelled, groups = divided(2)  # the one pair of a group of two has been compared
+    if groups.count():
+        n_blocks = F.ceil(F.col("size") / BLOCK)
+        more(labelled.select(F.col("h").alias("g"), _part(F.col("set_id"), 2, n_blocks).alias("p"), F.lit(-1).cast("long").alias("q"), "set_id", "label"))
+        labelled, groups = divided(BLOCK)  # smaller ones were one block
+        if groups.count():
+            parts, slices = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
+            zero = F.lit(0).cast("long")
+            every = labelled.select(F.col("h").alias("g"), _part(F.col("set_id"), 3, parts).alias("p"), F.explode(F.sequence(zero, slices - 1)).alias("q"), "set_id", "label")
+            few = labelled.where("label <> top").select(F.col("h").alias("g"), F.explode(F.sequence(zero, parts - 1)).alias("p"), _part(F.col("set_id"), 4, slices).alias("q"), "set_id", "label")
+            more(every.unionByName(few))
+    joined = connected_components(links.select("a", "b"))
 
     roots = one_of.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"), "doc_id")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -43,10 +43,9 @@ def test_similarity_classes(docs, corpus, n, num, den):
 
 
 def test_large_groups(spark, monkeypatch):
-    """More near copies than a small group, and frequent members in every prefix."""
+    """Groups of many blocks, and frequent members in every prefix."""
     monkeypatch.setattr(jaccard_join, "COUNT_FLOOR", 2)
-    monkeypatch.setattr(jaccard_join, "SMALL", 3)
-    monkeypatch.setattr(jaccard_join, "PART", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     rng = np.random.default_rng(1)
     base = [f"v{i}" for i in range(90)]
     rows = []
@@ -59,27 +58,61 @@ def test_large_groups(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard_join.similarity_classes(frame, 3, 80, 100).collect()) == brute_components(rows, 3, 80, 100)
 
 
-def test_prefix_tree_finds_all():
-    rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
-    tree = jaccard_join.PrefixTree(sets)
-    for s in sets[:20]:
-        want = {(i, len(np.intersect1d(s, o))) for i, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 50 * len(np.union1d(s, o))}
-        assert set(tree.probe(s, 50, 100)) == want
-    assert list(jaccard_join.PrefixTree([]).probe(sets[0], 1, 2)) == []
+def test_hot_member_of_unlike_sets(spark, monkeypatch):
+    """Short sets that share one member and little else, in groups beyond a block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, f"a b c d {' '.join(f'w{rng.integers(6)}' for _ in range(rng.integers(0, 4)))}".strip()) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert Counter(tuple(r) for r in jaccard_join.similarity_classes(frame, 2, 60, 100).collect()) == brute_components(rows, 2, 60, 100)
+
+
+def test_rows_without_an_id_link_others(spark):
+    words = [f"u{i}" for i in range(200)]
+    middle, left, right = list(words), list(words), list(words)
+    left[10:14], right[100:104] = ["x"] * 4, ["y"] * 4
+    rows = [(1, " ".join(left)), (None, " ".join(middle)), (2, " ".join(right)), (None, "q r s"), (None, " ".join(middle))]
+    want = brute_components(rows, 4, 93, 100)
+    assert {c for d, _, c in want if d} == {1}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in jaccard_join.similarity_classes(frame, 4, 93, 100).collect()) == want
 
 
-def test_keys_miss_no_pair():
+def classes_of(links, n):
+    label = list(range(n))
+    for a, b in links:
+        label = [label[a] if x == label[b] else x for x in label]
+    return [label.index(x) for x in label]
+
+
+def test_prefix_tree_joins_all_similar_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    sets += [np.delete(s, [len(s) // 2]) for s in sets[:20] if len(s) > 9]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    order = jaccard_join.Order(np.arange(5, 30, dtype=np.uint64))
+    for num in (50, 70, 85):
+        similar = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * both(i, j) >= num * (len(sets[i]) + len(sets[j]) - both(i, j))]
+        found = list(jaccard_join.PrefixTree(sets, order).links(num, 100))
+        assert {tuple(sorted(x[:2])) for x in found} <= set(similar) and all(o == both(i, j) for i, j, o in found)
+        assert classes_of([x[:2] for x in found], len(sets)) == classes_of(similar, len(sets))
+        labels = [i % 7 for i in range(len(sets))]
+        joined = [(i, labels.index(labels[i])) for i in range(len(sets))]
+        found = [x[:2] for x in jaccard_join.PrefixTree(sets).links(num, 100, labels)]
+        assert classes_of(found + joined, len(sets)) == classes_of(similar + joined, len(sets))
+    assert list(jaccard_join.PrefixTree([]).links(1, 2)) == []
+
+
+def test_prefixes_miss_no_pair():
     rng = np.random.default_rng(6)
-    known, none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for _ in range(400):
-        size = int(rng.integers(2, 60))
-        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(2, 60))).astype(np.uint64))
         b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.08], rng.integers(0, 1 << 62, int(rng.integers(0, 4))).astype(np.uint64))))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            ka, kb = (set(jaccard_join.keys_of(s, known, none, 85, 100)[0].tolist()) for s in (a, b))
-            assert ka & kb
+            for order in (jaccard_join.Order(a[:0]), jaccard_join.Order(rng.permutation(a)[: len(a) // 2])):
+                assert set(order.prefix(a, 85, 100).tolist()) & set(order.prefix(b, 85, 100).tolist())
 
 
 def test_one_of_each(docs, corpus):
