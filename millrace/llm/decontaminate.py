@@ -4,22 +4,33 @@ The test strings are all windows of ``window`` consecutive words of the items
 (a shorter item is one string). For each length of string, a shift table by
 pairs of neighbouring words says how far the search may jump; a pair that ends
 a string has a bucket of the strings with that ending, by their first pair, and
-these are compared word by word.
+these are compared word by word. The tables are sorted arrays, about 40 bytes
+for each word of the items; the items' texts are broadcast, PASS_BYTES at most
+at a time, and every process builds the tables from them once. Segments of many
+documents are searched in step, each jumping by its own shifts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.scratch import written
+from millrace.llm import columns
+from millrace.llm.scratch import dropped, written
+from millrace.llm.textnum import mix, window_hashes, word_batches
 
 #: Bytes of item texts searched for at once; further items take another pass over the documents.
 PASS_BYTES = 8 << 20
+#: Positions that a segment covers, and bytes of text searched in step.
+SEGMENT, RUN_BYTES = 256, 1 << 20
+_U = np.uint64
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+RESULTS = ["n_words", "spans", "items"]
 SCHEMA = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
 
 
@@ -28,50 +39,98 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
+def _both(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return mix(last * _U(0xD1342543DE82EF95) + first)
+
+
 class WuManber:
-    """Search for word strings of one length."""
-
-    def __init__(self, length: int, strings: dict[tuple[bytes, ...], set[str]]):
-        self.length, self.strings = length, strings
-        self.pair = min(2, length)
-        self.jump = length - self.pair + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list[tuple[bytes, ...]]]] = {}
-        for s in strings:
-            for end in range(self.pair, length + 1):
-                key = b" ".join(s[end - self.pair : end])
-                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.buckets.setdefault(b" ".join(s[-self.pair :]), {}).setdefault(b" ".join(s[: self.pair]), []).append(s)
-
-    def search(self, words: Sequence[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(first word, items) of every occurrence."""
-        n, m, jump, get, pair = len(words), self.length, self.jump, self.shift.get, self.pair
-        end = m
-        while end <= n:
-            key = words[end - 2] + b" " + words[end - 1] if pair == 2 else words[end - 1]
-            step = get(key, jump)
-            if step:
-                end += step
-                continue
-            start = end - m
-            first = words[start] + b" " + words[start + 1] if pair == 2 else words[start]
-            for s in self.buckets[key].get(first, ()):
-                if all(map(bytes.__eq__, s, words[start:end])):
-                    yield start, self.strings[s]
-            end += 1
+    """Search for the windows of ``length`` words of texts, each with an owner."""
+
+    def __init__(self, length: int, texts: Sequence[tuple[str | None, list[bytes]]]):
+        self.length, self.pair = length, min(2, length)
+        self.owners = [owner for owner, _ in texts]
+        words = [w for _, ws in texts for w in ws]
+        self.buffer = b" ".join(words)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        #: First byte of each word, and one beyond the last word's.
+        self.byte = np.concatenate(([0], np.cumsum(sizes)))
+        h = np.concatenate([x for _, x, _ in word_batches([self.buffer.decode("utf-8", "surrogatepass")])] or [np.zeros(0, _U)])
+        pairs = window_hashes(h, self.pair)
+        counts = np.array([len(ws) for _, ws in texts], np.int64)
+        first = np.cumsum(counts) - counts
+        # shift of the pair at each place: how far it is from the end of the first window of its text, 0 from there on
+        held = np.maximum(counts - self.pair + 1, 0)
+        place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        keys, shift = pairs[place + np.repeat(first, held)], np.maximum(length - self.pair - place, 0)
+        order = np.lexsort((shift, keys))
+        new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[order][1:] != keys[order][:-1]))
+        self.keys, self.shift = keys[order][new], shift[order][new].astype(np.int32)
+        # buckets: windows by their last pair and their first
+        n = np.maximum(counts - length + 1, 0)
+        starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        owner = np.repeat(np.arange(len(texts)), n)
+        bucket = _both(pairs[starts + length - self.pair], pairs[starts])
+        order = np.lexsort((window_hashes(h, length)[starts], bucket))
+        self.bucket, self.starts, self.owner = bucket[order], starts[order], owner[order].astype(np.int32)
+
+    def window(self, start: int) -> bytes:
+        return self.buffer[self.byte[start] : self.byte[start + self.length] - 1]
+
+    def search(self, h: np.ndarray, offsets: np.ndarray, words: Callable[[int], list[bytes]]) -> Iterator[tuple[int, int, set[int]]]:
+        """(text, first word, owners) of every occurrence in texts of words with hashes ``h[offsets[i]:offsets[i + 1]]``."""
+        m, jump = self.length, self.length - self.pair + 1
+        pairs = window_hashes(h, self.pair)
+        begin, size = offsets[:-1] + m - self.pair, np.diff(offsets) - m + 1
+        if not len(self.keys) or not (size > 0).any():
+            return
+        segments = np.maximum(-(-size // SEGMENT), 0)
+        text = np.repeat(np.arange(len(size)), segments)
+        at = begin[text] + SEGMENT * (np.arange(len(text)) - np.repeat(np.cumsum(segments) - segments, segments))
+        stop = np.minimum(at + SEGMENT, (begin + size)[text])
+        found = []
+        while len(at):
+            key = pairs[at]
+            near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            step = np.where(self.keys[near] == key, self.shift[near], jump)
+            found.append(np.stack((text[step == 0], at[step == 0])))
+            at = at + np.maximum(step, 1)
+            on = at < stop
+            at, stop, text = at[on], stop[on], text[on]
+        text, at = np.concatenate(found, axis=1)
+        start = at - (m - self.pair)
+        key = _both(pairs[at], pairs[start])
+        low = np.searchsorted(self.bucket, key)
+        hit = self.bucket[np.minimum(low, len(self.bucket) - 1)] == key
+        for i, k, first in sorted(zip(text[hit].tolist(), (start[hit] - offsets[text[hit]]).tolist(), low[hit].tolist())):
+            here = b" ".join(words(i)[k : k + m])
+            owners, last, same = set(), first, False
+            while last < len(self.bucket) and self.bucket[last] == self.bucket[first]:
+                if self.window(self.starts[last]) == here:
+                    owners.add(int(self.owner[last]))
+                    same = True
+                last += 1
+            if same:
+                yield i, k, owners
 
 
 def searchers(items: Sequence[tuple[str | None, str | None]], window: int) -> list[WuManber]:
     """A search for each length of test string of ``(item_id, text)``."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    by_length: dict[int, list[tuple[str | None, list[bytes]]]] = {}
     for item_id, text in items:
-        words = words_of(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if words else 0):
-            owners = by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set())
-            if item_id is not None:
-                owners.add(item_id)
-    return [WuManber(m, s) for m, s in sorted(by_length.items())]
+        if words := words_of(text):
+            by_length.setdefault(min(window, len(words)), []).append((item_id, words))
+    return [WuManber(m, texts) for m, texts in sorted(by_length.items())]
+
+
+_built: dict[str, list[WuManber]] = {}
+
+
+def _searchers(key: str, items: Sequence[tuple[str | None, str | None]], window: int) -> list[WuManber]:
+    """The searches of one pass, built once by a process."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = searchers(items, window)
+    return _built[key]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -85,30 +144,65 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _scan(found_by: list[WuManber], keep: tuple[str, ...]) -> Callable:
+def _scan(items, key: str, window: int, n_keep: int) -> Callable:
+    names = ["doc_id", "text", *RESULTS, *(f"k_{i}" for i in range(n_keep))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_by = _searchers(key, items.value, window)
         for batch in batches:
-            doc_ids, texts, spans_before, items_before = batch.columns[:4]
-            n_words, spans, items = [], [], []
-            for text, before, known in zip(texts.to_pylist(), spans_before.to_pylist(), items_before.to_pylist()):
-                words = words_of(text)
-                own, hit = set(known or ()), list(zip((before or [])[0::2], (before or [])[1::2]))
+            texts = batch.column(1).to_pylist()
+            n_words = [0] * len(texts)
+            hits: dict[int, list[tuple[int, int]]] = {}
+            owners: dict[int, set[str]] = {}
+            for first, h, offsets in word_batches(texts, size=RUN_BYTES, table=_WORD_BYTES):
+                n_words[first : first + len(offsets) - 1] = np.diff(offsets).tolist()
+                split: dict[int, list[bytes]] = {}
+
+                def words(i: int, first=first, split=split) -> list[bytes]:
+                    if i not in split:
+                        split.clear()
+                        split[i] = words_of(texts[first + i])
+                    return split[i]
+
                 for w in found_by:
-                    for start, owners in w.search(words):
-                        own |= owners
-                        if hit and hit[-1][0] <= start <= hit[-1][1]:
-                            hit[-1] = (hit[-1][0], max(hit[-1][1], start + w.length))
+                    for i, start, mine in w.search(h, offsets, words):
+                        spans = hits.setdefault(first + i, [])
+                        if spans and spans[-1][0] <= start <= spans[-1][1]:
+                            spans[-1] = (spans[-1][0], max(spans[-1][1], start + w.length))
                         else:
-                            hit.append((start, start + w.length))
-                n_words.append(len(words))
-                spans.append(merged(hit))
-                items.append(sorted(own))
-            columns = [doc_ids, texts, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "spans", "items", *keep])
+                            spans.append((start, start + w.length))
+                        owners.setdefault(first + i, set()).update(o for k in mine if (o := w.owners[k]) is not None)
+            spans, known = [], []
+            for i, (before, those) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                spans.append(merged([*zip((before or [])[0::2], (before or [])[1::2]), *hits.get(i, ())]))
+                known.append(sorted({*(those or ()), *owners.get(i, ())}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(known, pa.list_(pa.string())), *batch.columns[4:]], names)
 
     return run
 
 
+def _marked(docs: DataFrame, tests: DataFrame, window: int, names: Sequence[str]) -> DataFrame:
+    """Columns of SCHEMA, and ``names`` as k_0, k_1 ..."""
+    spark = docs.sparkSession
+    rows, fields = columns.carried(docs, names)
+    schema = columns.schema(SCHEMA, fields)
+    tests = tests.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("text is not null").distinct()
+    passes = max(1, -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
+    kept = [f.name for f in fields]
+    out = rows.select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *kept)
+    before = None
+    for k in range(passes):
+        part = [tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]  # PASS_BYTES on average
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(part), uuid.uuid4().hex, window, len(kept)), schema)
+        if k < passes - 1:
+            now = written(out, "marked")
+            out = now.select("doc_id", "text", "spans", "items", *kept)
+            if before is not None:
+                dropped(before)
+            before = now
+    return out
+
+
 def mark(docs: DataFrame, tests: DataFrame, window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs(doc_id, text)``, ``tests(item_id, text)`` -> columns of SCHEMA and ``keep``, a row for each row of docs.
 
@@ -116,22 +210,13 @@ def mark(docs: DataFrame, tests: DataFrame, window: int = 10, keep: tuple[str, .
     occurrence of a test string; ``items`` the sorted item_ids (as strings)
     with one. Null and empty texts have no words and hold nothing; items
     without words, or an empty table of items, match nothing; an item without
-    an item_id marks words but is not listed. Columns of docs other than those
-    of ``keep`` are ignored; ``keep`` may not hold names of the result. Items
-    beyond PASS_BYTES are searched for in further passes, PASS_BYTES at a time.
+    an item_id marks words but is not listed; repeated items count once. Columns
+    of docs other than those of ``keep`` are ignored; ``keep`` may not hold
+    names of the result. Items beyond PASS_BYTES are searched for in further
+    passes, PASS_BYTES at a time.
     """
-    if clash := {"doc_id", "text", "n_words", "spans", "items"} & set(keep):
-        raise ValueError(f"columns named like those of the result: {sorted(clash)}")
-    schema = ", ".join([SCHEMA, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    tests = tests.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
-    passes = max(1, -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *keep)
-    for k in range(passes):
-        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        out = out.mapInArrow(_scan(searchers([tuple(r) for r in part], window), keep), schema)
-        if k < passes - 1:
-            out = written(out, "marked").select("doc_id", "text", "spans", "items", *keep)
-    return out
+    columns.clash(["doc_id", "text", *RESULTS], keep)
+    return columns.returned(_marked(docs, tests, window, keep), ["doc_id", "text", *RESULTS], keep)
 
 
 def hits(marked: DataFrame) -> DataFrame:
@@ -148,6 +233,5 @@ def hits(marked: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, tests: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no test string; the columns stay (doc_id as long)."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return mark(docs, tests, window, keep).where("size(spans) = 0").select(docs.columns)
+    """The rows of ``docs`` that hold no test string, all columns as they are, whatever their names."""
+    return columns.returned(_marked(docs, tests, window, docs.columns).where("size(spans) = 0"), [], docs.columns)

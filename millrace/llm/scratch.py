@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = _own.setdefault(spark.conf.get("spark.app.id", ""), "") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _own[spark.conf.get("spark.app.id", "")] = root
     return root.rstrip("/")
 
 
@@ -26,4 +30,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

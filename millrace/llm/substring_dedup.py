@@ -15,12 +15,13 @@ shuffled once; the three passes over them reuse that shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm import columns
 from millrace.llm.textnum import release_memory, window_hashes, word_batches
 
 _U = np.uint64
@@ -190,7 +191,7 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _removed(window: int, keep: list[str], joined: bool) -> Callable:
+def _removed(window: int, keep: Sequence[str], joined: bool) -> Callable:
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         release_memory()
         blobs = [unpack(b) for b in found.column("blob").to_pylist()]
@@ -221,6 +222,27 @@ def _removed(window: int, keep: list[str], joined: bool) -> Callable:
     return run
 
 
+RESULTS = ["doc_id", "n_words", "n_removed", "kept_text"]
+
+
+def _kept(docs: DataFrame, window: int, names: Sequence[str], joined: bool) -> DataFrame:
+    """RESULTS, and ``names`` as k_0, k_1 ..."""
+    spark = docs.sparkSession
+    rows, fields = columns.carried(docs, names)
+    block = (window + 1) // 2
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CELL_BYTES))
+    bits = max(6, (size // 6 // RANGE_WINDOWS).bit_length())
+    base = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)))
+
+    probes = base.groupBy("cell").applyInArrow(_probes(window, block, bits), "part long, cell long, blob binary")
+    matched = probes.groupBy("part").applyInArrow(_matched, "cell long, blob binary")
+    windows = base.groupBy("cell").cogroup(matched.groupBy("cell")).applyInArrow(_candidates(window, block, bits), "part long, cell long, blob binary, docs binary, many binary")
+    found = windows.groupBy("part").applyInArrow(_earliest, "cell long, blob binary, docs binary")
+    schema = columns.schema("doc_id long, n_words long, n_removed long, kept_text string", fields)
+    return base.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_removed(window, [f.name for f in fields], joined), schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_words, n_removed, kept_text, *keep)``, one row for each row.
 
@@ -230,21 +252,21 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep: tuple[str, ...] = ()
     words by one space (without ``joined``, the text of a row that loses
     nothing stays as it is). Null texts have no words; rows with a null doc_id lose
     nothing and make no others lose; rows with the same doc_id do not count as
-    earlier than each other. Columns other than those of ``keep`` are ignored;
-    ``keep`` may not hold names of the result.
+    earlier than each other; an empty table gives no rows. Columns other than
+    those of ``keep`` are ignored; ``keep`` may not hold names of the result.
     """
-    if clash := {"doc_id", "n_words", "n_removed", "kept_text", "text", "cell"} & set(keep):
-        raise ValueError(f"columns named like those of the result: {sorted(clash)}")
-    spark = docs.sparkSession
-    block = (window + 1) // 2
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CELL_BYTES))
-    bits = max(6, (size // 6 // RANGE_WINDOWS).bit_length())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)))
+    columns.clash(RESULTS, keep)
+    return columns.returned(_kept(docs, window, keep, joined), RESULTS, keep)
 
-    probes = base.groupBy("cell").applyInArrow(_probes(window, block, bits), "part long, cell long, blob binary")
-    matched = probes.groupBy("part").applyInArrow(_matched, "cell long, blob binary")
-    windows = base.groupBy("cell").cogroup(matched.groupBy("cell")).applyInArrow(_candidates(window, block, bits), "part long, cell long, blob binary, docs binary, many binary")
-    found = windows.groupBy("part").applyInArrow(_earliest, "cell long, blob binary, docs binary")
-    schema = ["doc_id long", "n_words long", "n_removed long", "kept_text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]
-    return base.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_removed(window, list(keep), joined), ", ".join(schema))
+
+def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """``docs`` with the texts that are left, and ``n_chars`` (if there is such a column) their characters.
+
+    Rows of which nothing is left go; the other columns stay, whatever their names.
+    """
+    names = docs.columns
+    at = {c: f"k_{i}" for i, c in enumerate(names)}
+    kept = _kept(docs, window, names, False).where("n_removed = 0 or n_removed < n_words").withColumn(at["text"], F.col("kept_text"))
+    if "n_chars" in at:
+        kept = kept.withColumn(at["n_chars"], F.length("kept_text").cast("long"))
+    return columns.returned(kept, [], names)

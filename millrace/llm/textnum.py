@@ -65,28 +65,30 @@ def _hash_buffer(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (end - start).astype(_U) * _U(_WORD)), start
 
 
-def word_batches(texts: Sequence[str | None], lower: bool = False, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_batches(texts: Sequence[str | None], lower: bool = False, size: int = 1 << 18, table: bytes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, word hashes, offsets) for runs of texts of about ``size`` bytes.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``; with ``lower``, A-Z count as a-z. Text
+    Words are ``[^\\x20\\x09-\\x0D]+``; with ``lower``, A-Z count as a-z; ``table``
+    is applied to the bytes before. Text
     ``first + i`` owns ``hashes[offsets[i]:offsets[i + 1]]``. A null text has no
     words. A text is never cut, so one longer than ``size`` is a run of its own.
     """
+    table = _LOWER if lower else table
     first, run, used = 0, [], 0
     for i, text in enumerate(texts):
         raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
         if run and used + len(raw) > size:
-            yield first, *_batch(run, lower)
+            yield first, *_batch(run, table)
             first, run, used = i, [], 0
         run.append(raw)
         used += len(raw) + 1
     if run:
-        yield first, *_batch(run, lower)
+        yield first, *_batch(run, table)
 
 
-def _batch(run: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _batch(run: list[bytes], table: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     buffer = b"\n".join(run)
-    h, start = _hash_buffer(buffer.translate(_LOWER) if lower else buffer)
+    h, start = _hash_buffer(buffer if table is None else buffer.translate(table))
     begins = np.zeros(len(run) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in run], out=begins[1:])
     return h, np.searchsorted(start, begins)

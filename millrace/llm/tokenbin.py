@@ -39,8 +39,13 @@ class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
     def __init__(self, n: int, width: int, lower: np.ndarray, upper: np.ndarray, samples: np.ndarray):
+        """``samples`` are positions of every SAMPLE-th set bit of ``upper``, 32 bits each where they fit."""
         self.n, self.width, self.lower, self.upper, self.samples = n, width, lower, upper, samples
 
+    @staticmethod
+    def _kind(bits: int) -> str:
+        return "<u4" if bits < 1 << 32 else "<u8"
+
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.uint64)
@@ -50,7 +55,7 @@ class EliasFano:
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
         low = (v[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
-        return cls(n, width, np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype("<u8"))
+        return cls(n, width, np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype(cls._kind(8 * (-(-len(bits) // 8)))))
 
     def tobytes(self) -> bytes:
         return _EF.pack(self.n, len(self.upper), self.width) + self.lower.tobytes() + self.upper.tobytes() + self.samples.tobytes()
@@ -60,7 +65,7 @@ class EliasFano:
         n, size, width = _EF.unpack_from(blob, at)
         at += _EF.size
         parts = []
-        for count, kind in (((n * width + 7) // 8, np.uint8), (size, np.uint8), (-(-n // SAMPLE), np.dtype("<u8"))):
+        for count, kind in (((n * width + 7) // 8, np.uint8), (size, np.uint8), (-(-n // SAMPLE), np.dtype(cls._kind(8 * size)))):
             parts.append(np.frombuffer(blob, kind, count, at))
             at += parts[-1].nbytes
         return cls(n, width, *parts), at
@@ -170,13 +175,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = Shard(blob)
-                ends = s.ends.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                ids = s.ids.astype("<u4")
-                doc_ids = [None] * s.nulls + (s.doc_ids.all().astype(np.int64) + s.least).tolist()
-                columns = [pa.array([part] * s.n_docs, pa.int64()), pa.array([seq] * s.n_docs, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(ends - starts)]
-                ids = pa.array([ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, ids], ["part", "seq", "doc_id", "within", "n_tokens", "ids"])
+                rows = [(part, seq, doc_id, start, len(ids), ids.astype("<u4").tobytes()) for doc_id, start, ids in map(s.document, range(s.n_docs))]
+                kinds = [pa.int64()] * 5 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "seq", "doc_id", "within", "n_tokens", "ids"])
 
     shards = spark.read.schema("part long, seq long, n_docs long, n_ids long, blob binary").parquet(path)
     sizes = shards.select("part", "seq", "n_ids")

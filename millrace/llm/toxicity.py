@@ -14,20 +14,21 @@ first 4, 5 and 6 characters of words, trained by numpy on a bounded sample.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.llm import columns
 from millrace.llm.scratch import written
 from millrace.llm.textnum import release_memory
 
 #: Most positives and unlabelled rows that the classifier is fitted on (chosen by seeded hashes; in expectation).
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
-#: Hash space of the features, and features that keep a weight.
-SPACE, FEATURES = 1 << 22, 4_096
+#: Hash space of the features, and so their number at most.
+SPACE = 1 << 22
 #: Words whose features a task keeps.
 WORDS = 150_000
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -70,19 +71,27 @@ class Model:
         return out
 
 
-def _risk_gradient(rows: np.ndarray, columns: np.ndarray, n: int, k: int, positive: np.ndarray, prior: float, steps: int, rate: float, decay: float, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk with logistic loss."""
+def risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Positive and negative risk at margins g with logistic loss, and the slope in g of what a step descends.
+
+    That is their sum, or, where the negative risk is below 0, its opposite.
+    """
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    s = 1.0 / (1.0 + np.exp(-np.clip(g, -30, 30)))
+    below = np.logaddexp(0.0, g)  # loss of calling a row negative
+    above = prior * float(np.logaddexp(0.0, -g)[positive].mean())
+    negative = float(below[~positive].mean() - prior * below[positive].mean())
+    pull = np.where(positive, -prior * s / n_pos, s / n_unl)  # of the negative risk
+    push = np.where(positive, -prior * (1 - s) / n_pos, 0.0)  # of the positive risk
+    return above, negative, push + pull if negative >= 0 else -pull
+
+
+def _descend(rows: np.ndarray, places: np.ndarray, n: int, k: int, positive: np.ndarray, prior: float, steps: int, rate: float, decay: float, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk."""
     first, second = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
-        g = np.bincount(rows, weights=weights[columns], minlength=n) + bias
-        s = 1.0 / (1.0 + np.exp(-np.clip(g, -30, 30)))
-        below = np.logaddexp(0.0, g)  # loss of calling a row negative
-        negative = below[~positive].mean() - prior * below[positive].mean()
-        pull = np.where(positive, -prior * s / n_pos, s / n_unl)  # of the negative risk
-        push = np.where(positive, -prior * (1 - s) / n_pos, 0.0)  # of the positive risk
-        d = push + pull if negative >= 0 else -pull
-        gradient = np.append(np.bincount(columns, weights=d[rows], minlength=k) + decay * weights, d.sum())
+        _, _, d = risk(np.bincount(rows, weights=weights[places], minlength=n) + bias, positive, prior)
+        gradient = np.append(np.bincount(places, weights=d[rows], minlength=k) + decay * weights, d.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -101,9 +110,9 @@ def fit(documents: list[np.ndarray], positive: np.ndarray, prior: float, chosen:
     if not chosen:
         return Model(bias=float(np.log(prior / (1 - prior))))
     rows = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    columns = np.concatenate(documents).astype(np.int64)
+    places = np.concatenate(documents).astype(np.int64)
     start = np.full(len(chosen), 2.0)
-    weights, bias = _risk_gradient(rows, columns, len(documents), len(chosen), positive, prior, steps, rate, decay, start, float(np.log(prior / (1 - prior))))
+    weights, bias = _descend(rows, places, len(documents), len(chosen), positive, prior, steps, rate, decay, start, float(np.log(prior / (1 - prior))))
     return Model(bias, dict(zip(chosen, weights.tolist())))
 
 
@@ -120,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     score is about 0.
 
     The class prior is the share of 1 among the labels used. The sample is
-    bounded by the two parameters; the rows are chosen by hashes of their ids.
+    bounded by the two parameters (in expectation); the rows are chosen by
+    hashes of their ids, and of rows with one doc_id one is used.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     counts = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
@@ -164,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
                 yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(n if p else zero), pa.array(zero if p else n)], ["feature", "pos", "unl"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(featured, "doc_id long, positive boolean, features binary"), "sample")
+    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(featured, "doc_id long, positive boolean, features binary").groupBy("doc_id", "positive").agg(F.min("features").alias("features")), "sample")
     sizes = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not sizes[0] or not sizes[1]:
         return Model()
@@ -174,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     sums = sums.withColumn("expected", F.col("unl") * (sizes[0] / sizes[1])).withColumn("surplus", (F.col("pos") - F.col("expected")) / F.sqrt(F.col("expected") + 1))
     ratio = 1 / (4 * prior) if prior < 0.2 else 1.5
     sums = sums.where((F.col("pos") >= 3) & (F.col("surplus") >= 3.5) & (F.col("pos") >= ratio * F.col("expected")))
-    kept = sorted(r["feature"] for r in sums.orderBy(F.desc("surplus"), "feature").limit(FEATURES).select("feature").collect())
+    kept = sorted(r["feature"] for r in sums.select("feature").collect())  # features of the bounded sample, fewer than SPACE
     known_features = np.array(kept, np.int64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +201,34 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     return fit([np.frombuffer(b, "<i4") for b in rows["places"]], rows["positive"].to_numpy(bool), prior, kept)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` -> ``(score, *keep)`` with the score in 0..1 of each whole text; null and empty texts are scored by the bias alone."""
-    if "score" in keep:
-        raise ValueError("a column to keep is named score")
-
-    columns = (*keep, *(() if "text" in keep else ("text",)))
-    at = columns.index("text")
+def _scored(docs: DataFrame, model: Model, names: Sequence[str]) -> DataFrame:
+    """``score``, and ``names`` as k_0, k_1 ..."""
+    rows, fields = columns.carried(docs, names)
+    kept = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
-                scores = pa.array(model.scores(part.column(at).to_pylist(), known), pa.float64())
-                yield pa.RecordBatch.from_arrays([scores, *part.columns[: len(keep)]], ["score", *keep])
+                scores = pa.array(model.scores(part.column(0).to_pylist(), known), pa.float64())
+                yield pa.RecordBatch.from_arrays([scores, *part.columns[1:]], ["score", *kept])
         known.clear()
         release_memory()
 
-    schema = ", ".join(["score double", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return rows.select("text", *kept).mapInArrow(run, columns.schema("score double", fields))
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` -> ``(score, *keep)`` with the score in 0..1 of each whole text.
+
+    Null and empty texts are scored by the bias alone; equal texts alike; an
+    empty table gives no rows; ``keep`` may not hold ``score``.
+    """
+    columns.clash(["score"], keep)
+    return columns.returned(_scored(docs, model, keep), ["score"], keep)
+
+
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` scored below ``limit``, all columns as they are, whatever their names."""
+    return columns.returned(_scored(docs, model, docs.columns).where(F.col("score") < limit), [], docs.columns)
