@@ -19,7 +19,9 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.to_media(_documents(spark, sf_dir)))
+    path = scratch_path(spark, "media")
+    media.to_media(_documents(spark, sf_dir)).write.option("compression", "zstd").parquet(path)
+    return media.digests(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
 
 
 def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +55,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.external_shuffle(_documents(spark, sf_dir))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(_documents(spark, sf_dir), path)
+    crc = F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    return sharding.read_shards(spark, path).select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

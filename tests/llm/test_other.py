@@ -1,10 +1,15 @@
 import hashlib
 import random
+import re
+import struct
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, html, license_scan, media, sharding, toxicity
@@ -50,12 +55,31 @@ def test_lacing(lacing):
     data = media.element(media.SEGMENT, unknown + unknown)
     packets, _ = media.parse(data)
     assert [data[p.first_byte : p.first_byte + p.n_bytes] for p in packets] == frames * 4
-    assert {p.timestamp for p in packets} == {105} and packets[-1].cluster == 1
+    assert {p.timestamp for p in packets} == {105_000_000} and packets[-1].cluster == 1
+    info = media.element(media.INFO, media.element(media.SCALE, b"\x03\xe8")) + media.element(media.TRACKS, media.element(media.ENTRY, media.element(media.NUMBER, b"\1") + media.element(media.FRAME_TIME, b"\7")))
+    packets, _ = media.parse(media.element(media.SEGMENT, info + unknown))
+    assert [p.timestamp for p in packets] == [105_000 + 7 * i for i in range(len(frames))] * 2
 
 
-def test_broken_media():
+def test_broken_media(spark):
+    whole = media.write_pcm(bytes(range(192)) * 30)
     with pytest.raises(ValueError):
-        media.parse(media.write_pcm(b"x" * 192)[:-5])
+        media.parse(whole[:-5])
+    rng = random.Random(9)
+    broken = [whole[:k] for k in range(0, 400, 7)] + [b"", b"\0", b"junk" * 50, b"\x1a", bytes(rng.randrange(256) for _ in range(500))]
+    for _ in range(300):
+        data = bytearray(whole)
+        for _ in range(3):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        broken.append(bytes(data))
+    rows = [(i, 5760, bytearray(b)) for i, b in enumerate(broken)] + [(None, None, None), (7777, 5760, bytearray(whole)), (7777, 5760, bytearray(whole))]
+    frame = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").withColumn("problem", F.lit(1))
+    read = media.digests(frame).collect()
+    assert len(read) == len(rows) and [r.payload_bytes for r in read if r.doc_id == 7777] == [5760] * 2
+    assert all((r.problem is None) == (r.payload_sha256 is not None) == (r.feature is not None) for r in read)
+    found = media.packets(frame).collect()
+    assert {r.doc_id for r in found if r.problem} == {r.doc_id for r in read if r.problem and r.doc_id is not None}
+    assert sum(r.doc_id == 7777 for r in found) == 60 and all(r.packet is None for r in found if r.problem)
 
 
 # ---- decontamination
@@ -85,22 +109,40 @@ def test_decontamination(spark, docs, corpus, monkeypatch, pass_bytes):
     assert got == Counter((d, *brute_hits(t, items, 10)) for d, t in corpus)
 
 
-def test_wu_manber_overlaps():
+def test_wu_manber_overlaps(monkeypatch):
     rng = random.Random(8)
-    for _ in range(200):
-        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(40)]
+    for turn in range(200):
+        monkeypatch.setattr(decontaminate, "SEGMENT", 1 + turn % 7)
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(40))] for _ in range(3)]
         m = rng.randrange(1, 6)
-        strings = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(m)): {str(i)} for i in range(4)}
-        got = sorted(i for i, _ in decontaminate.WuManber(m, strings).search(words))
-        assert got == [i for i in range(40 - m + 1) if tuple(words[i : i + m]) in strings]
+        items = [(str(i), [rng.choice([b"a", b"b", b"c"]) for _ in range(m + rng.randrange(3))]) for i in range(4)]
+        search = decontaminate.WuManber(m, items)
+        [(_, h, offsets)] = list(decontaminate.word_batches([b" ".join(t).decode() for t in texts]))
+        got = {(i, k): {search.owners[o] for o in owners} for i, k, owners in search.search(h, offsets, lambda i: texts[i])}
+        want = {}
+        for i, words in enumerate(texts):
+            for k in range(len(words) - m + 1):
+                if mine := {o for o, x in items if any(x[j : j + m] == words[k : k + m] for j in range(len(x) - m + 1))}:
+                    want[i, k] = mine
+        assert got == want
+
+
+def test_search_tables_stay_small():
+    rng = random.Random(4)
+    items = [(str(i), " ".join(f"w{rng.randrange(30_000)}" for _ in range(200))) for i in range(500)]
+    [search] = decontaminate.searchers(items, 10)
+    arrays = (search.byte, search.keys, search.shift, search.bucket, search.starts, search.owner)
+    assert sum(a.nbytes for a in arrays) + len(search.buffer) < 60 * 100_000
 
 
 def test_clean(spark, docs, nothing):
     tests = spark.createDataFrame([(1, "one two")], "item_id long, text string")
-    slim = docs.drop("n_words", "spans", "items")
-    kept = decontaminate.clean(slim, tests)
-    assert kept.columns == slim.columns and {403, 404} & {r.doc_id for r in kept.collect()} == set() and kept.count() == docs.count() - 2
-    assert decontaminate.clean(slim, tests.where("false")).count() == docs.count() and decontaminate.mark(nothing, tests).count() == 0
+    kept = decontaminate.clean(docs, tests)
+    assert kept.columns == docs.columns and {403, 404} & {r.doc_id for r in kept.collect()} == set() and kept.count() == docs.count() - 2
+    assert kept.where("spans = 'x' and n_words = 'x'").count() == kept.count()
+    assert decontaminate.clean(docs, tests.where("false")).count() == docs.count() and decontaminate.mark(nothing, tests).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.mark(docs, tests, keep=("Spans",))
 
 
 # ---- html
@@ -132,33 +174,157 @@ def test_longest_common_subsequence():
         assert all(x in it for x in (a[i] for i in c))
 
 
+def test_common_lines_that_repeat():
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = ([rng.randrange(1, 4) if rng.random() < 0.4 else 0 for _ in range(rng.randrange(150, 260))] for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row[0] = 0, 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        c, it = html.common(a, b), iter(b)
+        assert len(c) == row[-1] and c == sorted(set(c)) and all(x in it for x in (a[i] for i in c))
+    start = time.process_time()
+    assert len(html.common([1] + [0] * 20_000, [2] + [0] * 15_000 + [3])) == 15_000
+    assert time.process_time() - start < 1
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"", "<a '>", "<", "<![CDATA[", "<!x", "</script ", "<!--", "<div>", "<li></li>", "<td>x", "</b>", "<a b=\"c\"", "&", "&#", "<div x='>' \">"])
+def test_pages_are_read_in_linear_time(part):
+    times = []
+    for size in (1 << 17, 1 << 20):
+        start = time.process_time()
+        html.lines("<div>" * 1000 + part * (size // len(part)))
+        times.append(time.process_time() - start)
+    assert times[1] < 40 * times[0] + 0.2 and times[1] < 6
+
+
+def test_unclosed_markup_loses_no_text():
+    for page in ("a <b c", "x < y > z", "<p>one <a href='x>two</a> three", "<p>one<![CDATA[ two & ]]> three", "1 <2> 3"):
+        text = " ".join(x.text for x in html.lines(page))
+        assert text.startswith(page.split("<")[0].strip() or "one")
+    assert [x.text for x in html.lines("<p>one <a href='x>two</a> three")] == ["one two three"]
+    assert [x.text for x in html.lines("<article><math>x</math><fieldset>y</fieldset><object>z</object></article>")]
+
+
+def plain_article(page):
+    """The article of a page of the given tables, by another way: a parser of the standard library."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.depth, self.skip = [""], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            names = set(re.split(r"[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id"))))
+            if self.skip or self.depth and (tag in ("form", "aside", "nav", "script", "style") or names & {"ad", "comments", "comment", "share", "related"}):
+                self.skip += [tag] if tag not in ("br", "img", "p", "li") else []
+            elif tag == "article":
+                self.depth += 1
+            if tag not in ("b", "i", "a", "em", "strong", "span"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if self.skip:
+                if tag in self.skip:
+                    del self.skip[self.skip.index(tag) :]
+            elif tag == "article":
+                self.depth -= 1
+            if tag not in ("b", "i", "a", "em", "strong", "span"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join(" ".join(b.split()) for b in reader.blocks if b.split())
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_main_text_against_a_plain_parser(spark, size):
+    pages = spark.read.parquet(f"/root/testdata/{size}/pages.parquet")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert got == want and all(want.values())
+
+
 def test_differencing(spark):
     page = lambda i: f"<body><div>Site menu</div><div>Welcome all</div><div>story {i} is long enough to count as text {'z' * i}</div><div>All rights reserved</div></body>"
     rows = [(i, f"https://a.example/news/{i}.html", page(i)) for i in range(9)] + [(20, "https://b.example/", page(3)), (21, None, None), (22, "::bad[", ""), (23, "https://c.example/x", page(5)), (24, "https://c.example/y", page(5))]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("x")).repartition(5)
-    got = {r.page_id: r.text for r in html.main_text(frame).collect()}
-    assert len(got) == len(rows)
+    rows += [(0, "https://a.example/news/0.html", page(0))] * 3 + [(30 + i, f"https://d.example/s/{i}", page(7)) for i in range(6)] + [(40, "https://d.example/s/far", page(8)), (None, "https://e.example/", "y" * 300_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for name in ("key", "hashes", "bare", "host", "text", "part"):
+        frame = frame.withColumn(name, F.lit("x"))
+    found = html.main_text(frame).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(rows) and sum(r.page_id == 0 for r in found) == 4
     for i in range(9):
         assert got[i] == f"story {i} is long enough to count as text {'z' * i}".strip()
-    assert got[20].startswith("Site menu") and got[21] == got[22] == ""
+    assert got[20].startswith("Site menu") and got[21] == got[22] == "" and len(got[None]) == 300_000
     assert got[23] == got[24] != ""  # copies tell nothing about furniture
+    assert all(got[30 + i] == f"story 7 is long enough to count as text {'z' * 7}" for i in range(6))  # beyond copies, the next page does
     assert html.main_text(frame.where("false")).count() == 0
 
 
 # ---- sharding
 
 
+def plain_shard(doc_id, shards, seed):
+    """The shard with the highest hash, as Spark hashes: column by column, nulls skipped."""
+
+    def h(*values):
+        state = 42
+        for pack, v in zip(("<q", "<i", "<i"), values):
+            state = state if v is None else xxhash.xxh64_intdigest(struct.pack(pack, v), state)
+        return state - (1 << 64) if state >> 63 else state
+
+    return max((h(doc_id, s, seed), s) for s in range(shards))[1]
+
+
 def test_shuffle(docs, corpus, nothing):
-    got = sharding.external_shuffle(docs, 5, bucket_bytes=2000, payload=("text",)).collect()
-    assert Counter((r.doc_id, r.text, r.size, r.text_crc32) for r in got) == Counter((d, t, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in corpus)
+    got = sharding.external_shuffle(docs, 5, bucket_bytes=2000).collect()
+    assert Counter((r.doc_id, r.text, r.size) for r in got) == Counter((d, t, len((t or "").encode()) + 8) for d, t in corpus)
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    assert all(r.grown_shard in (r.shard, 5) for r in got)
-    again = sharding.external_shuffle(docs.repartition(7), 5, bucket_bytes=2000).collect()
-    assert {(r.doc_id, r.text_crc32, r.shard) for r in again} == {(r.doc_id, r.text_crc32, r.shard) for r in got}
+    assert all((r.shard, r.grown_shard) == (plain_shard(r.doc_id, 5, sharding.SEED), plain_shard(r.doc_id, 6, sharding.SEED)) for r in got)
+    assert all(r.grown_shard in (r.shard, 5) for r in got) and any(r.grown_shard == 5 for r in got)
     assert sharding.external_shuffle(nothing).count() == 0
 
 
+def test_slots_depend_on_records_and_seed_only(spark, docs, monkeypatch):
+    frame = spark.range(3000).selectExpr("id as doc_id", "concat('t', id % 7) as text")
+    place = lambda f, **k: {(r.doc_id, r.text, r.shard, r.slot) for r in sharding.external_shuffle(f, 4, bucket_bytes=3000, **k).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        first = place(frame)
+        for n in (4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert place(frame.repartition(n)) == first
+        monkeypatch.setattr(sharding, "PARTITIONS", 3)
+        spark.conf.set("spark.sql.shuffle.partitions", 5)
+        few = place(frame)
+        assert few == place(frame.repartition(2)) and len(few) == 3000
+        assert place(frame, seed=1) != first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_equal_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 50)
+    frame = spark.range(2000).selectExpr("5L as doc_id", "'the same' as text").unionByName(spark.range(100).selectExpr("id as doc_id", "'u' as text")).unionByName(spark.range(100).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text"))
+    rows = sharding.external_shuffle(frame.repartition(3), 2, bucket_bytes=1000).collect()
+    hot = sorted(r.slot for r in rows if r.text == "the same")
+    shard = {r.shard for r in rows if r.text == "the same"}
+    own = [r for r in rows if r.shard in shard]
+    assert len(hot) == 2000 and len(shard) == 1 and sorted(r.slot for r in own) == list(range(len(own))) and len(rows) == 2200
+    others = [r.slot for r in own if r.text != "the same"]
+    assert max(others) - min(others) > len(own) / 2  # among the equal rows, not beside one bucket of them
+
+
 def test_shuffle_mixes(spark):
     frame = spark.range(2000).selectExpr("id as doc_id", "'t' as text")
     rows = sharding.external_shuffle(frame, 4, bucket_bytes=3000).collect()
@@ -169,9 +335,10 @@ def test_shuffle_mixes(spark):
         assert abs(np.corrcoef([r.doc_id for r in own], [r.slot for r in own])[0, 1]) < 0.15
 
 
-def test_write_shards(spark, docs, tmp_path):
+def test_write_shards(spark, docs, corpus, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), shards=3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    back = sharding.read_shards(spark, str(tmp_path / "s")).collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in back) == Counter((d, t, plain_shard(d, 3, sharding.SEED)) for d, t in corpus)
 
 
 # ---- licenses
@@ -232,6 +399,14 @@ def test_licenses_and_their_relatives(spark):
     assert [(cases[r.doc_id][0], r.licenses) for r in sorted(got, key=lambda r: r.doc_id)] == cases
 
 
+def test_licenses_of_odd_rows(spark):
+    phrase = "Released under the MIT License"
+    rows = [(1, None), (None, phrase), (2, ""), (3, "word " * 200_000 + phrase + " word" * 50_000), (4, phrase), (4, phrase), (5, f"{phrase} {phrase}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit("x")).withColumn("n_words", F.lit(None).cast("int"))
+    got = sorted((r.doc_id or -1, r.licenses, r.n_places) for r in license_scan.licenses(license_scan.scan(frame)).collect())
+    assert got == [(-1, "MIT", 1), (1, "", 0), (2, "", 0), (3, "MIT", 1), (4, "MIT", 1), (4, "MIT", 1), (5, "MIT", 2)]
+
+
 # ---- toxicity
 
 
@@ -247,12 +422,49 @@ def test_held_out_accuracy(spark):
     assert auc > 0.93 and ((scores >= 0.5) == pos).mean() > 0.96 and (scores[~pos] >= 0.5).mean() < 0.02
 
 
+def test_risk_and_its_slope():
+    rng = np.random.default_rng(0)
+    below = set()
+    for turn in range(40):
+        g, positive = rng.normal(0, 2, 30) + (3 if turn % 2 else -3) * (np.arange(30) < 10), np.arange(30) < 10
+        prior = 0.6 if turn % 2 else 0.1
+        above, negative, d = toxicity.risk(g, positive, prior)
+        loss = lambda y, x: np.mean(np.log1p(np.exp(-y * x)))
+        assert np.isclose(above, prior * loss(1, g[positive])) and np.isclose(negative, loss(-1, g[~positive]) - prior * loss(-1, g[positive]))
+        below.add(negative < 0)
+        for i in range(0, 30, 3):
+            e = np.where(np.arange(30) == i, 1e-5, 0.0)
+            (a1, n1, _), (a0, n0, _) = toxicity.risk(g + e, positive, prior), toxicity.risk(g - e, positive, prior)
+            want = (a1 + n1 - a0 - n0) if negative >= 0 else -(n1 - n0)
+            assert np.isclose(d[i], want / 2e-5, atol=1e-6)
+    assert below == {True, False}
+
+
+def test_training_takes_the_non_negative_branch(monkeypatch):
+    """Positives told apart so well that the negative risk would go below 0: it is held about 0."""
+    seen, plain = [], toxicity.risk
+    monkeypatch.setattr(toxicity, "risk", lambda *a: seen.append(plain(*a)[1]) or plain(*a))
+    documents = [np.array([0], np.int64)] * 20 + [np.zeros(0, np.int64)] * 40
+    model = toxicity.fit(documents, np.arange(60) < 20, 0.5, [11])
+    assert min(seen) < 0 and abs(np.mean(seen[-50:])) < 0.05 and model.weights[11] > 0
+
+
+def test_repeated_ids_are_used_once(spark):
+    rows = [(i, "bad words here" if i % 3 == 0 else "good words there") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.scores(["bad words here"])[0] > 0.5 > max(model.scores(["good words there", "", None]))
+
+
 def test_scores_of_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    got = toxicity.score(docs.drop("score"), model, keep=("doc_id", "label")).collect()
+    got = toxicity.score(docs, model, keep=("doc_id", "label")).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.train(docs, labels.where("false")).weights == {} and toxicity.train(nothing, labels).weights == {}
-    assert toxicity.score(nothing.drop("score"), model).count() == 0
+    assert toxicity.score(nothing, model).count() == 0
     with pytest.raises(ValueError):
-        toxicity.score(docs, model, keep=("score",))
+        toxicity.score(docs, model, keep=("Score",))
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("score = 'x'").count() == kept.count() > 0
