@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
-last return the columns of ``documents``. The driver writes what a stage returns
-and gives it to the next one.
+last return the columns of ``documents``, extra ones and clashing names too. The
+driver writes what a stage returns and gives it to the next one. Every stage
+takes nulls in any column, repeated rows and empty tables (which stay empty).
 """
 
 from __future__ import annotations
@@ -15,31 +16,34 @@ from millrace.llm.tokens import public_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents scored 0.5 or more go."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(docs.columns)
+    """Operator 6: documents scored 0.5 or more go; null and empty texts, having no words, are scored by the bias alone and stay."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7, five words and 0.8: of each group the document with the smallest doc_id stays."""
+    """Operator 7, five words and 0.8: of each group the document with the smallest doc_id stays.
+
+    Of rows that repeat a doc_id and its set one stays; rows without words, and
+    those without a doc_id, stay.
+    """
     return jaccard_join.one_of_each(docs, n=5, num=80, den=100)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: passages of 50 words that an earlier document holds go; so do documents of which nothing is left."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = substring_dedup.remove_repeats(docs, window=50, keep=keep, joined=False).where("n_removed = 0 or n_removed < n_words")
-    kept = kept.withColumnRenamed("kept_text", "text")
-    return (kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in keep else kept).select(docs.columns)
+    """Operator 8: passages of 50 words that an earlier document holds go; so do documents of which nothing is left.
+
+    Rows that lose nothing, null and empty texts among them, stay as they are.
+    """
+    return substring_dedup.without_repeats(docs, window=50)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents that hold ten consecutive words of a benchmark item go."""
+    """Operator 3: documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go; null and empty texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the pieces of sequences of at most 1024 ids."""
+    """Operator 1: the pieces of sequences of at most 1024 ids; null and empty texts are the end id alone."""
     pieces = packing.pack(docs, public_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
