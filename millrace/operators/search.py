@@ -1,5 +1,9 @@
 """Batched hybrid search: exact cosine, BM25 with per-caller document frequencies, weighted reciprocal rank fusion.
 
+Texts are analyzed once: an :class:`Index` holds postings dealt to buckets by
+term, the lengths of chunks and each tenant's statistics, and a search reads
+the buckets of its terms only.
+
 Chunks: ``chunk_id, document_id, tenant_id, content, embedding, acl_public,
 acl_groups`` and whatever filters use. Queries are a list on the driver (a
 batch of requests); everything that touches chunks is a DataFrame. Access and
@@ -9,7 +13,9 @@ nine digits, then by chunk_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import time
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -66,9 +72,74 @@ def analyzed(chunks: DataFrame, english: bool = False) -> DataFrame:
     return chunks.withColumn("tokens", tokens).withColumn("n_terms", F.size(F.array_distinct(F.array_compact("tokens"))))
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """``(tenant_id, chunk_count, avg_len)`` of analyzed chunks; the average is 1 at least."""
-    return index.groupBy("tenant_id").agg(F.count("*").alias("chunk_count"), F.greatest(F.avg("n_terms"), F.lit(1.0)).alias("avg_len"))
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """``(tenant_id, chunk_count, avg_len)`` of ``lengths(tenant_id, n_terms)``; the average is 1 at least."""
+    return lengths.groupBy("tenant_id").agg(F.count("*").alias("chunk_count"), F.greatest(F.avg("n_terms"), F.lit(1.0)).alias("avg_len"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Chunks, their ``postings(term, chunk_id, tf, n_terms, bucket)``, and ``stats`` of tenants."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    stats: DataFrame
+    english: bool = False
+    buckets: int = 1
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def _postings(rows: DataFrame, buckets: int) -> DataFrame:
+    terms = rows.select("chunk_id", "n_terms", F.explode("tokens").alias("term")).where("term is not null")
+    counted = terms.groupBy("term", "chunk_id", "n_terms").agg(F.count("*").cast("int").alias("tf"))
+    return counted.select("term", "chunk_id", "tf", "n_terms", _bucket(F.col("term"), buckets).alias("bucket"))
+
+
+def index_of(chunks: DataFrame, english: bool = False) -> Index:
+    """An index that is not stored: every search analyzes the chunks again."""
+    rows = analyzed(chunks, english)
+    return Index(chunks, _postings(rows, 1), corpus_stats(rows), english)
+
+
+def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: int = 64, bucket_rows: int = 50_000_000) -> None:
+    """Store an index's postings, sorted by term in buckets of terms, and its tenants' statistics.
+
+    A bucket is split by chunk into files of about ``bucket_rows`` postings, so
+    that a very common term does not end up in one task.
+    """
+    lengths = f"{path}/lengths"
+    rows = analyzed(chunks, english)
+    rows.select("chunk_id", "tenant_id", "n_terms").write.parquet(lengths)
+    spark = chunks.sparkSession
+    known = spark.read.parquet(lengths)
+    total = known.agg(F.sum("n_terms")).first()[0] or 0
+    splits = max(1, -(-total // (buckets * bucket_rows)))
+    dealt = _postings(rows, buckets).repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(splits)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    corpus_stats(known).withColumn("buckets", F.lit(buckets)).withColumn("english", F.lit(english)).write.parquet(f"{path}/stats")
+
+
+def read_index(chunks: DataFrame, path: str) -> Index:
+    """The stored index of these chunks."""
+    spark = chunks.sparkSession
+    stats = spark.read.parquet(f"{path}/stats")
+    about = stats.select("buckets", "english").first()
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    postings = spark.read.schema(f"term string, chunk_id {kind}, tf int, n_terms int, bucket int").parquet(f"{path}/postings")
+    return Index(chunks, postings, stats.drop("buckets", "english"), bool(about and about[1]), about[0] if about else 1)
+
+
+def matched(index: Index, terms: Sequence[str], seen: DataFrame) -> DataFrame:
+    """Postings of the terms in the chunks ``seen(chunk_id)``."""
+    spark = index.postings.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # the terms of a batch of requests
+    rows = index.postings
+    if index.buckets > 1:
+        rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % index.buckets for t in terms})))
+    return rows.join(wanted, "term", "left_semi").join(seen, "chunk_id", "left_semi").select("term", "chunk_id", "tf", "n_terms")
 
 
 def ranked(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -112,51 +183,43 @@ def dense(chunks: DataFrame, queries: Sequence[Query], k: int) -> DataFrame:
     return ranked(found, k)
 
 
-def idf(index: DataFrame, terms: Sequence[str], sees: Column, stats: DataFrame, tenant_id: str) -> DataFrame:
+def idf(index: Index, terms: Sequence[str], sees: Column, tenant_id: str) -> DataFrame:
     """``(term, df, idf)``: document frequencies among the chunks the caller sees, N of the whole tenant. Terms without a chunk stay."""
-    hit = F.explode(F.array_distinct(F.filter("tokens", lambda t: t.isin(list(terms)))))
-    counts = index.where(sees).select(hit.alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    all_terms = index.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    n = F.greatest(F.coalesce(F.col("chunk_count"), F.lit(1)), F.lit(1))
-    weighed = all_terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
-    one = stats.where(F.col("tenant_id") == tenant_id).select("chunk_count")
-    weighed = weighed.withColumn("tenant_id", F.lit(tenant_id)).join(F.broadcast(one.withColumn("tenant_id", F.lit(tenant_id))), "tenant_id", "left")
-    return weighed.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return _weighed(index, terms, matched(index, terms, index.chunks.where(sees).select("chunk_id")), tenant_id)
+
+
+def _weighed(index: Index, terms: Sequence[str], found: DataFrame, tenant_id: str) -> DataFrame:
+    counts = found.groupBy("term").agg(F.count("*").alias("df"))
+    one = index.stats.where(F.col("tenant_id") == tenant_id).first()
+    n, df = F.lit(max(1, one["chunk_count"]) if one else 1), F.coalesce("df", F.lit(0)).cast("long")
+    all_terms = found.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return all_terms.join(counts, "term", "left").select("term", df.alias("df"), F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def lexical(index: DataFrame, queries: Sequence[Query], principal: Principal, k: int, where: Column | None = None, stats: DataFrame | None = None, any_term: bool = False, english: bool = False) -> DataFrame:
+def lexical(index: Index, queries: Sequence[Query], principal: Principal, k: int, where: Column | None = None, any_term: bool = False) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the k best chunks by BM25 that satisfy the query and the filter.
 
     ``any_term`` takes a query as a bag of words; else the web-search language
-    holds (all terms, ``or``, ``-``, phrases).
+    holds (all terms, ``or``, ``-``, phrases), which is checked on the texts of
+    chunks that hold a term.
     """
-    stats = corpus_stats(index) if stats is None else stats
-    parsed = {q.query_id: bag_of_words(q.text, english) if any_term else parse_websearch(q.text, english) for q in queries}
-    parsed = {i: g for i, g in parsed.items() if g}
+    parsed = {q.query_id: bag_of_words(q.text, index.english) if any_term else parse_websearch(q.text, index.english) for q in queries}
     of = [(i, t) for i, g in parsed.items() for t in query_terms(g)]
-    spark = index.sparkSession
+    spark = index.chunks.sparkSession
     if not of:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    terms = sorted({t for _, t in of})
-    weights = idf(index, terms, principal.sees(), stats, principal.tenant_id)
+    seen = index.chunks.where(principal.sees() if where is None else principal.sees() & where)
+    found = matched(index, sorted({t for _, t in of}), seen.select("chunk_id"))
+    weights = _weighed(index, sorted({t for _, t in of}), found, principal.tenant_id)
     of_query = spark.createDataFrame(of, "query_id long, term string").join(weights, "term")
-
-    rows = index.where(principal.sees() if where is None else principal.sees() & where)
-    hits = F.filter("tokens", lambda t: t.isin(terms))
-    rows = rows.select("chunk_id", "n_terms", "tokens", hits.alias("hits")).where(F.size("hits") > 0)
-    wanted = F.lit(True)
-    if not any_term:
-        wanted = F.array_compact(F.array(*(F.when(matches(F.col("tokens"), g), F.lit(i).cast("long")) for i, g in parsed.items())))
-        rows = rows.withColumn("wanted", wanted).where(F.size("wanted") > 0)
-    counted = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))
-    keep = ["chunk_id", "n_terms"] + ([] if any_term else ["wanted"])
-    postings = rows.select(*keep, F.inline(counted))
-    pairs = postings.join(F.broadcast(of_query), "term")  # no more rows than the batch has terms
+    pairs = found.join(F.broadcast(of_query), "term")  # no more rows than the batch has terms
     if not any_term:
-        pairs = pairs.where(F.array_contains("wanted", F.col("query_id")))
-    average = F.broadcast(stats.where(F.col("tenant_id") == principal.tenant_id).select("avg_len"))
-    pairs = pairs.join(average)  # one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_len")))
+        texts = analyzed(seen.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi"), index.english)
+        wanted = F.array_compact(F.array(*(F.when(matches(F.col("tokens"), g), F.lit(i).cast("long")) for i, g in parsed.items() if g)))
+        pairs = pairs.join(texts.select("chunk_id", F.explode(wanted).alias("query_id")), ["chunk_id", "query_id"])
+    one = index.stats.where(F.col("tenant_id") == principal.tenant_id).first()
+    average = one["avg_len"] if one else 1.0
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / average))
     return ranked(pairs.groupBy("query_id", F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.sum(part).alias("score")), k)
 
 
@@ -175,16 +238,44 @@ def trace(fused: DataFrame) -> DataFrame:
     return out.withColumn("fused_rank", F.row_number().over(per.orderBy(F.round("fused", 9).desc(), "chunk_id")))
 
 
-def hybrid_search(index: DataFrame, queries: Sequence[Query], principal: Principal, params: Params = Params(), where: Column | None = None, any_term: bool = False, english: bool = False) -> DataFrame:
+def hybrid_search(
+    index: Index, queries: Sequence[Query], principal: Principal, params: Params = Params(), where: Column | None = None, any_term: bool = False, vectors: DataFrame | None = None, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None
+) -> DataFrame:
     """The traced union of both channels for each query; blank queries give nothing.
 
-    Rows within the answer are those with ``fused_rank <= top_k`` and
-    ``normalised >= min_score``; the others are what a debugger shows.
+    ``vectors`` are the chunks with embeddings, if those of the index have none;
+    ``embed`` gives the embeddings of queries that come without. Rows within the
+    answer are those with ``fused_rank <= top_k`` and ``normalised >=
+    min_score``; the others are what a debugger shows.
     """
     p = params.clamped()
     asked = [replace(q, text=q.text.strip()) for q in queries if q.text and q.text.strip()]
-    rows = index.where(principal.sees() if where is None else principal.sees() & where)
-    return trace(fuse(dense(rows, asked, p.candidates), lexical(index, asked, principal, p.candidates, where, any_term=any_term, english=english), p.alpha, p.rrf_k))
+    if embed and (bare := [q for q in asked if q.embedding is None]):
+        found = dict(zip((q.query_id for q in bare), map(tuple, embed([q.text for q in bare]))))
+        asked = [replace(q, embedding=found.get(q.query_id, q.embedding)) for q in asked]
+    rows = index.chunks if vectors is None else vectors
+    rows = rows.where(principal.sees() if where is None else principal.sees() & where)
+    return trace(fuse(dense(rows, asked, p.candidates), lexical(index, asked, principal, p.candidates, where, any_term=any_term), p.alpha, p.rrf_k))
+
+
+def trace_lists(traced: DataFrame, params: Params = Params()) -> DataFrame:
+    """``(query_id, chunk_id, stage, rank, score)``: each channel's first max(top_k, 10) rows, and the answer as stage ``fused``."""
+    p = params.clamped()
+    depth = max(p.top_k, 10)
+    lists = traced.where(f"dense_rank <= {depth}").select("query_id", "chunk_id", F.lit("dense").alias("stage"), F.col("dense_rank").cast("long").alias("rank"), F.col("dense_score").alias("score"))
+    lists = lists.unionByName(traced.where(f"sparse_rank <= {depth}").select("query_id", "chunk_id", F.lit("sparse").alias("stage"), F.col("sparse_rank").cast("long").alias("rank"), F.col("sparse_score").alias("score")))
+    return lists.unionByName(answers(traced, p).select("query_id", "chunk_id", F.lit("fused").alias("stage"), F.col("fused_rank").cast("long").alias("rank"), F.col("normalised").alias("score")))
+
+
+def timed(stages: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, float]]:
+    """Each stage computed and held by the executors, and the milliseconds it took: for a debugger, never a compared result."""
+    held, took = {}, {}
+    for name, rows in stages.items():
+        began = time.perf_counter()
+        held[name] = rows.persist()
+        held[name].count()
+        took[name] = 1000 * (time.perf_counter() - began)
+    return held, took
 
 
 def answers(traced: DataFrame, params: Params = Params()) -> DataFrame:
@@ -207,6 +298,11 @@ def reranked(hits: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("final_rank", F.row_number().over(order))
 
 
+def in_documents(ids: Sequence[int] | None) -> Column:
+    """The filter by documents; no list is no filter."""
+    return F.lit(True) if ids is None else F.col("document_id").isin(list(ids))
+
+
 def rewrite_accepted(query: Column, rewritten: Column) -> Column:
     """A rewritten query counts if it is not blank and no longer than six times the original plus 120 characters."""
     clean = F.trim(rewritten)

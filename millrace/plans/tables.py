@@ -8,10 +8,13 @@ more, independently, in the SQL of :mod:`millrace.plans.registry`.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.access import SOURCE_KINDS
-from millrace.operators.search import Principal, Query
+from millrace.operators.search import Index, Principal, Query, read_index, write_index
 
 MEMBER = Principal("acme", ("engineering",))
 ADMIN = Principal("acme", (), True)
@@ -45,6 +48,34 @@ def chunks(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFram
     return out
 
 
+_stored: dict[tuple, str] = {}
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs in one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own[app]
+
+
+def stored_index(spark: SparkSession, sf_dir: str, english: bool = False) -> Index:
+    """The stored index of the documents, written when first asked for and again once their files change."""
+    files = table(spark, sf_dir, "documents").agg(F.count("*"), F.max("_metadata.file_modification_time").cast("string")).first()
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, english, *files)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/millrace-index-{uuid.uuid4().hex}"
+        write_index(chunks(spark, sf_dir), path, english)
+        _stored[key] = path
+    return read_index(chunks(spark, sf_dir), _stored[key])
+
+
 def questions(spark: SparkSession, sf_dir: str) -> list[Query]:
     """The batch of requests: benchmark items whose id is divisible by 20, with the embedding of the same id."""
     items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
