@@ -6,12 +6,15 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators.ingest import kind_of, strip_html, title_of
+from millrace.operators.jobs import enqueue
+from millrace.operators.state import upsert
 
 #: Re-read before a cursor: late edits of messages, and of issues.
 SLACK_REWIND_HOURS, JIRA_REWIND_MINUTES = 26, 1
@@ -23,9 +26,9 @@ SKIP_SUBTYPES = ("channel_join", "channel_leave", "channel_topic", "channel_purp
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files with their kind; ``problem`` says why one is refused."""
+    """Uploaded files with their kind; ``problem`` says why one is refused. Spark's reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_UPLOAD_BYTES, "too large").when(kind_of(F.col("path")).isNull(), "unknown kind")
+    problem = F.when(F.col("length") > MAX_UPLOAD_BYTES, "too large").when(kind_of(F.col("path")).isNull(), "unknown kind")
     return files.select(F.col("path").alias("external_id"), F.substring_index("path", "/", -1).alias("title"), kind_of(F.col("path")).alias("kind"), F.col("content").alias("data"), F.col("modificationTime").alias("updated_at"), problem.alias("problem"))
 
 
@@ -81,6 +84,71 @@ def repository_files(files: DataFrame, changed: DataFrame | None = None) -> Data
     return kept.select(F.col("path").alias("external_id"), F.col("path").alias("title"), kind_of(F.col("path")).alias("kind"), F.col("content").cast("string").alias("text"))
 
 
+#: Changed files beyond which a comparison of two commits may be cut short.
+MAX_CHANGED = 300
+
+
+def changed_paths(compared: DataFrame | None) -> DataFrame | None:
+    """``compared(path)`` of two commits, if it can be trusted: null without a comparison or with MAX_CHANGED files, when every file is read again."""
+    return None if compared is None or compared.limit(MAX_CHANGED).count() >= MAX_CHANGED else compared.select("path").distinct()
+
+
+# Media types of a drive that are exported as text, or read whole, and their kinds of document.
+EXPORTED = {"application/vnd.google-apps.document": "txt", "application/vnd.google-apps.spreadsheet": "txt", "application/vnd.google-apps.presentation": "txt"}
+DOWNLOADED = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "text/plain": "txt", "text/markdown": "md", "text/csv": "txt", "text/html": "html", "application/json": "txt"}
+MAX_EXPORT_BYTES, MAX_DOWNLOAD_BYTES = 10 << 20, 25 << 20
+FOLDER = "application/vnd.google-apps.folder"
+
+
+def drive_files(files: DataFrame, modified_after: Column | None = None, folder: str | None = None) -> DataFrame:
+    """``files(id, name, mime_type, size, modified_at, trashed, parents, owner, link, data binary)`` as documents.
+
+    Files changed after the cursor (in one folder, if it is named); types
+    without text are left out, and ``problem`` says why others are not read.
+    Text kinds have ``text``, the others keep ``data``.
+    """
+    of = lambda table: F.coalesce(*(F.when(F.col("mime_type") == k, v) for k, v in table.items()))
+    rows = files.where(~F.coalesce("trashed", F.lit(False)) & (F.coalesce("mime_type", F.lit("")) != FOLDER))
+    rows = rows if modified_after is None else rows.where(F.col("modified_at") > modified_after)
+    rows = rows if folder is None else rows.where(F.array_contains("parents", folder))
+    native = of(EXPORTED)
+    rows = rows.withColumn("kind", F.coalesce(native, of(DOWNLOADED), kind_of(F.col("name")))).where("kind is not null")
+    problem = F.when(native.isNotNull() & (F.octet_length("data") > MAX_EXPORT_BYTES), "too large to export").when(native.isNull() & (F.col("size") > MAX_DOWNLOAD_BYTES), "too large to download")
+    plain = F.col("kind").isin("txt", "md", "html", "code")
+    return rows.select(
+        F.col("id").alias("external_id"), F.coalesce("name", "id").alias("title"), "kind", F.when(problem.isNull() & plain, F.try_validate_utf8("data")).alias("text"), F.when(problem.isNull() & ~plain, F.col("data")).alias("data"),
+        F.col("modified_at").alias("updated_at"), F.create_map(F.lit("mime_type"), F.col("mime_type"), F.lit("owner"), F.col("owner"), F.lit("uri"), F.col("link")).alias("metadata"), problem.alias("problem"),
+    )
+
+
+def next_cursor(rows: DataFrame, before: Column | None = None, column: str = "updated_at") -> Column | None:
+    """The newest time among the rows and the cursor before, as the next cursor; null if there is neither."""
+    newest = rows.agg(F.max(column)).first()[0]
+    found = [F.lit(newest)] if newest is not None else []
+    found += [before] if before is not None else []
+    return F.greatest(*found) if len(found) > 1 else found[0] if found else None
+
+
+def enqueue_documents(documents: DataFrame, jobs: DataFrame, fetched: DataFrame, source: DataFrame, now: Column, first_job: int, priority: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fetched rows ``(document_id, source_id, external_id, title, kind, text, data)`` -> documents, jobs and blobs.
+
+    A document takes the default access rules of its ``source(source_id,
+    tenant_id, default_acl_public, default_acl_groups)``; a known one changes
+    title and kind only. A job carries the text, a blob ``(document_id, data)``
+    the bytes; a document with a live job gets no second one.
+    """
+    owned = fetched.join(F.broadcast(source), "source_id")  # a few sources
+    new = owned.select("document_id", "tenant_id", "source_id", "external_id", "title", "kind", F.col("default_acl_public").alias("acl_public"), F.col("default_acl_groups").alias("acl_groups"))
+    after = upsert(documents, new, ["document_id"], ["title", "kind"])
+    none = lambda c: F.lit(None).cast(jobs.schema[c].dataType)
+    own = {
+        "id": F.lit(first_job) + F.col("document_id"), "kind": F.lit("ingest_document"), "status": F.lit("queued"), "priority": F.lit(priority), "attempts": F.lit(0), "max_attempts": F.lit(5), "run_after": now, "created_at": now,
+        "dedupe_key": F.concat(F.lit("ingest:"), F.col("document_id").cast("string")), "payload": F.to_json(F.struct("document_id", "tenant_id", F.col("external_id").alias("path"), "text")),
+    }
+    asked = owned.select(*((own[c].cast(jobs.schema[c].dataType) if c in own else none(c)).alias(c) for c in jobs.columns))
+    return after, enqueue(jobs, asked), owned.where("data is not null").select("document_id", "data")
+
+
 def clean_message(text: Column, users: dict[str, str] | None = None) -> Column:
     """Chat markup as plain text on one line."""
     out = F.coalesce(text, F.lit(""))
@@ -148,44 +216,80 @@ def _rich(parts: list[dict] | None) -> str:
 
 
 _BLOCKS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> ", "callout": "> ", "toggle": "- ", "paragraph": ""}
+_MEDIA = {"image", "file", "video", "pdf", "embed", "bookmark"}
+
+
+def _block_line(kind: str, own: dict) -> str:
+    """One block without its children; empty if it says nothing."""
+    text = _rich(own.get("rich_text"))
+    if kind in _MEDIA:
+        url = own.get("url") or (own.get("external") or {}).get("url")
+        return f"[{_rich(own.get('caption')) or kind}]({url})" if url else ""
+    if kind == "equation":
+        return f"$$ {own['expression']} $$" if own.get("expression") else ""
+    if kind == "divider":
+        return "---"
+    if kind == "code":
+        return f"```{own.get('language') or ''}\n{text}\n```" if text else ""
+    if kind == "to_do":
+        return f"- [{'x' if own.get('checked') else ' '}] {text}" if text else ""
+    if kind == "table_row":
+        return "| " + " | ".join(map(_rich, own["cells"])) + " |" if own.get("cells") else ""
+    if kind == "child_page":
+        return f"- {own.get('title') or 'Untitled'}"
+    icon = ((own.get("icon") or {}).get("emoji") or "").strip() if kind in ("callout", "quote") else ""
+    return _BLOCKS.get(kind, "") + (f"{icon} " if icon else "") + text if text.strip() else ""
 
 
 def blocks_markdown(blocks: list[dict], depth: int = 0, most_depth: int = 4) -> str:
-    """A tree of page blocks as Markdown."""
+    """A tree of page blocks as Markdown; children of list items are indented."""
     lines = []
     for b in blocks:
         kind = b.get("type") or ""
-        own = b.get(kind) or {}
-        text = _rich(own.get("rich_text"))
-        if kind == "divider":
-            lines.append("---")
-        elif kind == "code":
-            lines.append(f"```{own.get('language') or ''}\n{text}\n```")
-        elif kind == "to_do":
-            lines.append(f"- [{'x' if own.get('checked') else ' '}] {text}")
-        elif kind == "table_row":
-            lines.append("| " + " | ".join(_rich(c) for c in own.get("cells") or []) + " |")
-        elif kind == "child_page":
-            lines.append(f"## {own.get('title') or ''}")
-        elif kind in _BLOCKS and text.strip():
-            lines.append(_BLOCKS[kind] + text)
+        lines.append(_block_line(kind, b.get(kind) or {}))
         if b.get("children") and depth < most_depth:
             inner = blocks_markdown(b["children"], depth + 1, most_depth)
             lines.append("\n".join("  " + x for x in inner.split("\n")) if kind.endswith("list_item") else inner)
     return "\n".join(filter(None, lines))
 
 
-def adf_text(node: dict) -> str:
+# What stands before and after the content of a node of an issue tracker's document, and nodes without content.
+_AROUND = {"paragraph": ("\n", "\n"), "heading": ("\n", "\n"), "listItem": ("- ", "\n"), "codeBlock": ("\n```\n", "\n```\n"), "blockquote": ("\n> ", "\n")}
+_ALONE = {"hardBreak": "\n", "rule": "\n---\n"}
+
+
+def _events(root: dict) -> Iterator[tuple[bool, dict]]:
+    """Each node of a tree when it begins (true) and when it has ended, in reading order."""
+    todo: list[tuple[bool, dict]] = [(True, root)]
+    while todo:
+        begins, node = todo.pop()
+        yield begins, node
+        if begins:
+            todo.append((False, node))
+            todo += [(True, c) for c in reversed(node.get("content") or []) if isinstance(c, dict)]
+
+
+def adf_text(root: dict) -> str:
     """A document tree of an issue tracker as Markdown."""
-    kind = node.get("type")
-    if kind == "text":
-        return node.get("text") or ""
-    if kind in ("hardBreak", "rule"):
-        return "\n" if kind == "hardBreak" else "\n---\n"
-    inner = "".join(adf_text(c) for c in node.get("content") or [] if isinstance(c, dict))
-    level = (node.get("attrs") or {}).get("level")
-    shapes = {"paragraph": f"\n{inner}\n", "heading": f"\n{'#' * int(level) + ' ' if level else ''}{inner}\n", "listItem": f"- {inner.strip()}\n", "codeBlock": f"\n```\n{inner}\n```\n", "blockquote": f"\n> {inner.strip()}\n"}
-    return shapes.get(kind, inner)
+    written: list[str] = []
+    opened: list[int] = []
+    for begins, node in _events(root):
+        kind = node.get("type")
+        if begins:
+            opened.append(len(written))
+            continue
+        first = opened.pop()
+        inner = "".join(written[first:])
+        before, after = _AROUND.get(kind, ("", ""))
+        if kind == "text" or kind in _ALONE:
+            inner = _ALONE.get(kind) or node.get("text") or ""
+        elif kind in ("listItem", "blockquote"):
+            inner = inner.strip()
+        elif kind == "heading":
+            before += "#" * int((node.get("attrs") or {}).get("level") or 0)
+            before += " " if before.endswith("#") else ""
+        written[first:] = [before + inner + after]
+    return "".join(written)
 
 
 def _pages(payload: pd.Series) -> pd.Series:
@@ -207,14 +311,15 @@ def issue_text(payload: Column) -> Column:
 
 
 def issue_documents(issues: DataFrame, comments: DataFrame) -> DataFrame:
-    """``issues(key, summary, status, issue_type, labels, description)`` and ``comments(key, author, created, body)`` -> documents; the first MAX_COMMENTS comments in order."""
+    """``issues(key, summary, status, issue_type, assignee, reporter, labels, description)`` and ``comments(key, author, created, body)`` -> documents; the first MAX_COMMENTS comments in order."""
     entry = F.concat(F.lit("\n**"), F.coalesce("author", F.lit("unknown")), F.lit("** · "), F.date_format("created", "yyyy-MM-dd HH:mm"), F.lit("\n"), issue_text(F.col("body")))
     said = comments.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("created", entry.alias("entry")))), 1, MAX_COMMENTS).alias("said"))
     title = F.concat(F.col("key"), F.lit(" · "), F.coalesce("summary", F.lit("Untitled")))
-    about = F.concat_ws(" · ", F.coalesce("issue_type", F.lit("issue")), F.coalesce("status", F.lit("unknown")), F.concat(F.lit("labels: "), F.when(F.size("labels") > 0, F.array_join("labels", ", ")).otherwise("none")))
+    people = [F.concat(F.lit(f"{said_as} "), F.coalesce(c, F.lit(none))) for c, said_as, none in (("assignee", "assigned to", "unassigned"), ("reporter", "reported by", "unknown"))]
+    about = F.concat_ws(" · ", F.coalesce("issue_type", F.lit("issue")), F.coalesce("status", F.lit("unknown")), *people, F.concat(F.lit("labels: "), F.when(F.size("labels") > 0, F.array_join("labels", ", ")).otherwise("none")))
     body = F.coalesce(F.nullif(issue_text(F.col("description")), F.lit("")), F.lit("_No description._"))
     text = F.concat_ws("\n", F.concat(F.lit("# "), title), F.lit(""), about, F.lit(""), F.lit("## Description"), body, F.when(F.size("said") > 0, F.concat(F.lit("\n## Comments\n"), F.array_join("said.entry", "\n"))))
-    return issues.join(said, "key", "left").select(F.col("key").alias("external_id"), title.alias("title"), F.lit("markdown").alias("kind"), text.alias("text"))
+    return issues.join(said, "key", "left").select(F.col("key").alias("external_id"), title.alias("title"), F.lit("md").alias("kind"), text.alias("text"))
 
 
 def since(rows: DataFrame, cursor: Column | None, rewind: str, column: str = "updated_at") -> DataFrame:
