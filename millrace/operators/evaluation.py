@@ -8,7 +8,9 @@ apply are null.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -92,19 +94,61 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
 
 
+def _share(flag: str) -> Column:
+    """Share of the rows that assert something for which it holds."""
+    return F.round(F.avg(F.col(flag).cast("double")), 6)
+
+
+MEASURES = ("recall", "precision", "reciprocal_rank", "ndcg", "citation_accuracy", "faithfulness")
+RATES = {"includes_ok": "must_include_rate", "excludes_ok": "must_not_include_rate", "abstention_ok": "abstention_accuracy"}
+
+
 def summary(results: DataFrame) -> DataFrame:
-    """One row for each run: means over the questions a metric applies to, latencies, and errors."""
+    """One row for each run: means over the questions a metric applies to, rates over those that assert something, latencies, costs, errors.
+
+    Columns of MEASURES, RATES and ``cost_usd`` that the results lack count as null throughout.
+    """
+    optional = {**dict.fromkeys(MEASURES, "double"), **dict.fromkeys(RATES, "boolean"), "cost_usd": "double"}
+    results = results.withColumns({c: F.lit(None).cast(kind) for c, kind in optional.items() if c not in results.columns})
     return results.groupBy("run_id").agg(
         F.count("*").alias("questions"),
         F.count_if("labelled").alias("labelled"),
-        *(F.round(F.avg(_number(m)), 6).alias(f"mean_{m}") for m in ("recall", "precision", "reciprocal_rank", "ndcg")),
+        *(F.round(F.avg(_number(m)), 6).alias(f"mean_{m}") for m in MEASURES),
         F.round(F.avg(F.when(F.col("labelled"), F.col("hit").cast("double"))), 6).alias("hit_rate"),
+        *(_share(flag).alias(name) for flag, name in RATES.items()),
         F.percentile("latency_ms", 0.5).alias("p50_ms"),
         F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95_ms"),
+        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("total_cost_usd"),
+        F.round(F.coalesce(F.avg("cost_usd"), F.lit(0.0)), 6).alias("cost_per_query"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
 
 
+# Numbers of a run's metrics that its view shows.
+SHOWN = ("recall_at_k", "mrr", "ndcg", "faithfulness", "citation_accuracy", "p50_ms", "p95_ms", "cost_per_query")
+
+
+def run_view(runs: DataFrame, datasets: DataFrame) -> DataFrame:
+    """``runs(run_id, dataset_id, label, git_sha, status, question_count, metrics json, started_at, finished_at)`` with the dataset's name and the numbers of ``metrics``."""
+    numbers = [F.try_variant_get(F.try_parse_json("metrics"), f"$.{m}", "double").alias(m) for m in SHOWN]
+    named = runs.join(datasets.select("dataset_id", F.col("name").alias("dataset")), "dataset_id")
+    return named.select("run_id", "dataset_id", "dataset", "label", "git_sha", "status", "question_count", *numbers, "started_at", "finished_at")
+
+
+def newest_first(runs: DataFrame) -> DataFrame:
+    return runs.orderBy(F.desc("started_at"), "run_id")
+
+
+def tagged(questions: DataFrame, tags: list[str] | None) -> DataFrame:
+    """Questions that have one of the tags; all without a list."""
+    return questions if tags is None else questions.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags)).cast("array<string>")))
+
+
+def flat_distinct(lists: Column) -> Column:
+    """The items of lists in order, each at its first place."""
+    return F.array_distinct(F.flatten(lists))
+
+
 def paired(before: DataFrame, after: DataFrame, metric: str) -> DataFrame:
     """``(question_id, before, after, delta)`` of the questions that both runs scored."""
     b = before.select("question_id", _number(metric).alias("before"))
@@ -124,24 +168,40 @@ def comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _draws(n: int, resamples: int, seed: int) -> Iterator[list[int]]:
+    rng = random.Random(seed)
+    for _ in range(resamples):
+        yield [rng.randrange(n) for _ in range(n)]
+
+
 def bootstrap(pairs: DataFrame, by: str = "metric", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """``pairs(by, question_id, delta)`` -> a paired bootstrap for each value of ``by``: interval, disagreement, verdict.
 
-    A group is one run's list of questions, in question order; the draws are
-    those of Python's generator with the seed.
+    The draws are those of Python's generator with the seed, over the questions
+    in order, so the groups of one size share them. A group is the list of one
+    run's questions, which an evaluation answered one by one.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        deltas = group.sort_values("question_id")["delta"].tolist()
-        n, rng = len(deltas), random.Random(seed)
-        means = sorted(sum(deltas[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-        observed = sum(deltas) / n
-        low, high = means[int(0.025 * resamples)], means[min(resamples - 1, int(0.975 * resamples))]
-        against = sum(m <= 0 for m in means) if observed > 0 else sum(m >= 0 for m in means) if observed < 0 else resamples
-        word = "inconclusive" if low <= 0 <= high else "better" if observed > 0 else "worse"
-        return pd.DataFrame([(group[by].iloc[0], n, observed, low, high, against / resamples, word)], columns=[by, "n", "delta", "ci_low", "ci_high", "disagreement", "verdict"])
+        deltas = group.sort_values("question_id")["delta"].to_numpy(float)
+        n, observed = len(deltas), float(sum(deltas.tolist())) / len(deltas)
+        means = np.sort(np.fromiter((sum(deltas[draw].tolist()) / n for draw in _draws(n, resamples, seed)), float, resamples))
+        low, high = float(means[int(0.025 * resamples)]), float(means[min(resamples - 1, int(0.975 * resamples))])
+        against = int((means <= 0).sum()) if observed > 0 else int((means >= 0).sum()) if observed < 0 else resamples
+        decisive = low > 0 or high < 0
+        word = "inconclusive" if not decisive else "better" if observed > 0 else "worse"
+        return pd.DataFrame([(group[by].iloc[0], n, observed, low, high, against / resamples, decisive, word)], columns=[by, "n", "delta", "ci_low", "ci_high", "disagreement", "decisive", "verdict"])
 
-    return pairs.select(by, "question_id", "delta").groupBy(by).applyInPandas(one, f"{by} string, n long, delta double, ci_low double, ci_high double, disagreement double, verdict string")
+    return pairs.select(by, "question_id", "delta").groupBy(by).applyInPandas(one, f"{by} string, n long, delta double, ci_low double, ci_high double, disagreement double, decisive boolean, verdict string")
+
+
+def verdict_text(n: Column, delta: Column, low: Column, high: Column) -> Column:
+    """What a comparison says, in words; whether it is decisive is whether its interval clears 0."""
+    decisive = (low > 0) | (high < 0)
+    plural = F.when(n == 1, "").otherwise("s")
+    spans = F.concat(F.lit("inconclusive on "), n.cast("string"), F.lit(" question"), plural, F.lit(" — the interval spans zero"))
+    said = F.concat(F.when(delta > 0, "better").otherwise("worse"), F.lit(" by "), F.format_string("%.3f (%+.3f to %+.3f)", F.abs(delta), low, high))
+    return F.when(n == 0, "no questions in common").when(decisive, said).otherwise(spans)
 
 
 def extremes(pairs: DataFrame, n: int = 3) -> DataFrame:
@@ -164,9 +224,38 @@ def config_changes(a: Column, b: Column) -> Column:
     return F.array_sort(F.filter(F.array_union(F.map_keys(a), F.map_keys(b)), lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k))))
 
 
-def invalid_questions(questions: DataFrame) -> DataFrame:
-    """Everything wrong with a dataset's questions: ``(question_id, problem)``."""
-    blank = F.when(F.coalesce(F.trim("question"), F.lit("")) == "", F.lit("no question"))
-    twice = F.when(F.count("*").over(Window.partitionBy(F.md5(F.coalesce("question", F.lit(""))))) > 1, F.lit("asked more than once"))
-    both = F.when(F.size(F.array_intersect(F.transform("must_include", F.lower), F.transform("must_not_include", F.lower))) > 0, F.lit("a phrase is wanted and forbidden"))
-    return questions.select("question_id", F.explode(F.array_compact(F.array(blank, twice, both))).alias("problem"))
+DIFFICULTIES = ("multi-hop", "identifier-lookup", "temporal", "unanswerable")  # fixed values
+_UUID = r"^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
+
+
+def invalid_questions(questions: DataFrame, fields: Column | None = None) -> DataFrame:
+    """Everything wrong with a dataset's questions: ``(question_id, problem)``.
+
+    ``questions(question_id, question, difficulty, expected_chunk_ids,
+    expected_document_ids, expected_documents, must_include,
+    must_not_include)``; columns that are absent are not checked. ``fields``
+    are the names that a question came with.
+    """
+    have = set(questions.columns)
+    text = F.trim(F.coalesce("question", F.lit("")))
+    questions = questions.withColumn("_nth", F.row_number().over(Window.partitionBy(F.md5(text)).orderBy("question_id")))
+    found = [F.when(text == "", F.lit("no question")), F.when((text != "") & (F.col("_nth") > 1), F.lit("duplicates an earlier question"))]
+    if {"must_include", "must_not_include"} <= have:
+        found.append(F.when(F.size(F.array_intersect(F.transform("must_include", F.lower), F.transform("must_not_include", F.lower))) > 0, F.lit("a phrase is wanted and forbidden")))
+    if "difficulty" in have:
+        found.append(F.when(~F.col("difficulty").isin(*DIFFICULTIES) & (F.col("difficulty") != ""), F.concat(F.lit("unknown difficulty "), "difficulty")))
+    for c in ("expected_chunk_ids", "expected_document_ids"):
+        if c in have:
+            wrong = F.filter(c, lambda x: ~x.rlike(_UUID))
+            found.append(F.when(F.size(wrong) > 0, F.concat(F.lit(f"{c} contains no UUID: "), F.array_join(wrong, ", "))))
+    named = [F.size(c) > 0 for c in ("expected_chunk_ids", "expected_document_ids", "expected_documents") if c in have]
+    if named and "difficulty" in have:
+        some = F.lit(False)
+        for n in named:
+            some = some | F.coalesce(n, F.lit(False))
+        found.append(F.when((F.col("difficulty") == "unanswerable") & some, F.lit("unanswerable, but names expected documents")))
+    if fields is not None:
+        known = ("question", "expected_answer", "expected_chunk_ids", "expected_document_ids", "expected_documents", "expected_sources", "must_include", "must_not_include", "tags", "difficulty", "metadata")
+        unknown = F.array_sort(F.filter(fields, lambda f: ~f.isin(*known)))
+        found.append(F.when(F.size(unknown) > 0, F.concat(F.lit("unknown fields: "), F.array_join(unknown, ", "))))
+    return questions.select("question_id", F.explode(F.array_compact(F.array(*found))).alias("problem"))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # File extensions by kind of document, and languages of code.
-PROSE_EXTENSIONS = {"pdf": "pdf", "docx": "docx", "md": "markdown", "mdx": "markdown", "html": "html", "htm": "html", "txt": "text", "rst": "text", "csv": "text"}
+PROSE_EXTENSIONS = {"pdf": "pdf", "docx": "docx", "md": "md", "markdown": "md", "mdx": "md", "html": "html", "htm": "html", "txt": "txt", "text": "txt", "rst": "txt", "csv": "txt"}
 CODE_LANGUAGES = {
-    "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c",
-    "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "sql": "sql", "sh": "bash", "yml": "yaml", "yaml": "yaml", "toml": "toml", "json": "json", "css": "css", "scala": "scala", "lua": "lua",
+    "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "c": "c", "h": "c",
+    "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "swift": "swift", "sql": "sql", "sh": "shell", "bash": "shell", "yml": "yaml", "yaml": "yaml", "toml": "toml", "json": "json",
 }
 
 
@@ -42,18 +39,22 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(out, r"^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
 
 
-def _character(m: re.Match) -> str:
-    n = int(m[1])
-    return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
+def _character(number: Column) -> Column:
+    """The character of a code point below 0x110000 that is no surrogate."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else re.sub(r"&#([0-9]{1,9});", _character, t))
+def numeric_references(text: Column) -> Column:
+    """Decimal character references decoded; one that names no character stays."""
 
+    def decoded(part: Column, i: Column) -> Column:
+        digits = F.regexp_extract(part, r"^([0-9]{1,9});", 1)
+        number = F.when(digits != "", digits.cast("long"))
+        valid = (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        rest = F.substring(part, F.length(digits) + 2, F.length(part))
+        return F.when(i == 0, part).when(valid, F.concat(_character(number), rest)).otherwise(F.concat(F.lit("&#"), part))
 
-def numeric_references(text: Column) -> Column:
-    """Decimal character references decoded; only texts that have one leave the JVM's expressions."""
-    return F.when(text.rlike(r"&#[0-9]{1,9};"), F.pandas_udf(_decoded, "string")(text)).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "&#"), decoded), "")
 
 
 def strip_html(html: Column) -> Column:
@@ -76,6 +77,27 @@ def content_hash(pages: Column) -> Column:
     return F.sha2(F.array_join(F.transform(pages, lambda p: F.concat(F.coalesce(p, F.lit("")), F.lit("\x1f"))), ""), 256)
 
 
+def text_hash(text: Column) -> Column:
+    """SHA-256 of a text alone."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def needs_reindex(scope: Column) -> Column:
+    return F.coalesce(scope != "none", F.lit(False))
+
+
+def extracted(kind: Column, text: Column) -> Column:
+    """A fetched text by kind: pages stripped of markup, code with plain line ends only, everything else tidied; null for no text."""
+    lines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    out = F.when(kind == "html", strip_html(text)).when(kind == "code", F.when(F.trim(F.translate(lines, "\n\t\f\x0b", "    ")) != "", lines)).otherwise(tidy(text))
+    return F.nullif(out, F.lit(""))
+
+
+def extraction_problem(kind: Column, text: Column) -> Column:
+    """Why a fetched text cannot be read; null if it can."""
+    return F.when(kind == "pdf", "no reader for this kind").when(text.isNull() & (kind == "html"), "The HTML contained no readable text.").when(text.isNull(), "The file is empty.")
+
+
 def token_estimate(text: Column) -> Column:
     """About four characters a token, rounded up, 1 at least."""
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")

@@ -83,6 +83,16 @@ def reclaim(jobs: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(n)``: how many jobs a step changed or added."""
+    return after.exceptAll(before).agg(F.count("*").alias("n"))
+
+
+def live(jobs: DataFrame) -> DataFrame:
+    """Jobs that hold their dedupe key: queued or running ones that have a key."""
+    return jobs.where(F.col("status").isin(*LIVE) & F.col("dedupe_key").isNotNull())
+
+
 def reindex_jobs(documents: DataFrame, target_version: str, first_id: int, now: Column) -> DataFrame:
     """A job of priority 500 for each ``documents(document_id, embedding_version)`` with another embedding version, keyed by document."""
     stale = documents.where(~F.col("embedding_version").eqNullSafe(F.lit(target_version))).select("document_id").distinct()

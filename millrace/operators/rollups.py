@@ -18,6 +18,17 @@ def query_stats_daily(traces: DataFrame) -> DataFrame:
     )
 
 
+def low_groundedness(traces: DataFrame, below: float = 0.8) -> DataFrame:
+    """Traces whose answers rest on their sources too little; those without a measure are not among them."""
+    return traces.where(F.col("groundedness") < below)
+
+
+def usage(calls: DataFrame, *by: str) -> DataFrame:
+    """Tokens and cost added up over calls: ``calls, input_tokens, cached_tokens, output_tokens, cost_usd``."""
+    tokens = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")]
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), *tokens, F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"))
+
+
 def corpus_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents, ready ones, failed ones and chunks of each tenant."""
     d = documents.groupBy("tenant_id").agg(F.count("*").alias("documents"), F.count_if(F.col("stage") == "ready").alias("ready"), F.count_if(F.col("stage") == "failed").alias("failed"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.access import contains
-from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, rollups, search, state
-from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, table
-from millrace.sources.connectors import conversation_threads, web_pages
-from millrace.streaming.streams import daily_documents, live_jobs, lockouts
+from millrace.functions.text import bag_of_words, query_terms
+from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, pipeline, rollups, search, state
+from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, stored_index, table
+from millrace.sources.connectors import conversation_threads, drive_files, web_pages
+from millrace.streaming.streams import daily_documents, live_jobs, login_outcomes, skip_unchanged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,8 +78,7 @@ _TRACED_SQL = "SELECT query_id, chunk_id, round(coalesce(ds, 0), 6) AS dense_sco
 
 
 def _traced(spark: SparkSession, sf_dir: str, who: str, params: search.Params = search.Params()) -> DataFrame:
-    index = search.analyzed(chunks(spark, sf_dir, embedded=True))
-    return search.hybrid_search(index, questions(spark, sf_dir), _PRINCIPALS[who], params, any_term=True)
+    return search.hybrid_search(stored_index(spark, sf_dir), questions(spark, sf_dir), _PRINCIPALS[who], params, any_term=True, vectors=chunks(spark, sf_dir, embedded=True))
 
 
 def _scored(hits: DataFrame) -> DataFrame:
@@ -99,8 +99,7 @@ def h_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def h_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.analyzed(chunks(spark, sf_dir))
-    return _scored(search.lexical(index, questions(spark, sf_dir), MEMBER, 60, any_term=True))
+    return _scored(search.lexical(stored_index(spark, sf_dir), questions(spark, sf_dir), MEMBER, 60, any_term=True))
 
 
 _REQUESTS = ((1, "the and"), (2, "que la"), (3, "der -die"), (4, '"in the" license or "de la"'))
@@ -123,14 +122,12 @@ bm AS (
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) WHERE rank <= 60"""
 )
 def h_bm25_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.analyzed(chunks(spark, sf_dir))
-    return _scored(search.lexical(index, [search.Query(i, q) for i, q in _REQUESTS], MEMBER, 60))
+    return _scored(search.lexical(stored_index(spark, sf_dir), [search.Query(i, q) for i, q in _REQUESTS], MEMBER, 60))
 
 
 @_query()
 def h_bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.analyzed(chunks(spark, sf_dir), english=True)
-    return search.lexical(index, questions(spark, sf_dir), MEMBER, 60, any_term=True, english=True)
+    return search.lexical(stored_index(spark, sf_dir, english=True), questions(spark, sf_dir), MEMBER, 60, any_term=True)
 
 
 @_query(f"{_fused(_SEES['member'])} {_TRACED_SQL}")
@@ -161,16 +158,33 @@ def h_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT DISTINCT term, coalesce(df, 0) AS df, round(w, 6) AS idf FROM idf LEFT JOIN df USING (term)")
 def h_idf_by_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.analyzed(chunks(spark, sf_dir))
-    from millrace.functions.text import bag_of_words, query_terms
-
     terms = sorted({t for q in questions(spark, sf_dir) for t in query_terms(bag_of_words(q.text))})
-    return search.idf(index, terms, MEMBER.sees(), search.corpus_stats(index), "acme").withColumn("idf", F.round("idf", 6))
+    return search.idf(stored_index(spark, sf_dir), terms, MEMBER.sees(), "acme").withColumn("idf", F.round("idf", 6))
 
 
 @_query(f"WITH {_CHUNKS}, {_TF} SELECT tenant_id, n AS chunk_count, round(avg_len, 6) AS avg_len FROM stats")
 def h_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.corpus_stats(search.analyzed(chunks(spark, sf_dir))).withColumn("avg_len", F.round("avg_len", 6))
+    return stored_index(spark, sf_dir).stats.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@_query(f"WITH {_CHUNKS}, {_TF} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM tf GROUP BY ALL")
+def h_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index term by term; it is written by the first query of a session that needs it."""
+    return stored_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+@_query(f"{_fused(_SEES['member'])}, t AS ({_TRACED_SQL}) SELECT query_id, chunk_id, 'dense' AS stage, dense_rank AS rank, dense_score AS score FROM t WHERE dense_rank BETWEEN 1 AND 10 UNION ALL SELECT query_id, chunk_id, 'sparse', sparse_rank, sparse_score FROM t WHERE sparse_rank BETWEEN 1 AND 10 UNION ALL SELECT query_id, chunk_id, 'fused', fused_rank, normalised FROM t WHERE fused_rank <= 8")
+def h_trace_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.trace_lists(_traced(spark, sf_dir, "member")).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT query_id, s.chunk_id, rank, c.source_id, c.title, c.lang, u.documents FROM sparse s JOIN chunks c USING (chunk_id) JOIN (SELECT source AS source_id, count(*) AS documents FROM documents GROUP BY ALL) u ON u.source_id = c.source_id")
+def h_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir)
+    hits = search.lexical(stored_index(spark, sf_dir), questions(spark, sf_dir), MEMBER, 60, any_term=True)
+    sources = rows.groupBy("source_id").agg(F.count("*").alias("documents"))
+    found = search.enriched(hits, rows.select("chunk_id", "document_id"), rows.select("document_id", "source_id", "title", "lang"), sources)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "source_id", "title", "lang", "documents")
 
 
 # ---- mentions
@@ -351,7 +365,7 @@ def i_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def i_chunk_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return chunking.chunk_documents(d.select(F.col("doc_id").alias("document_id"), F.lit("text").alias("kind"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"), F.array("text").alias("pages")))
+    return chunking.chunk_documents(d.select(F.col("doc_id").alias("document_id"), F.lit("txt").alias("kind"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"), F.array("text").alias("pages")))
 
 
 @_query()
@@ -377,6 +391,167 @@ def c_web_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_pages(table(spark, sf_dir, "pages")).select("external_id", "title")
 
 
+@_query("SELECT doc_id, sha256(text) AS text_hash, doc_id % 5 < 4 AS needs_reindex FROM documents")
+def i_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scopes = i_reindex_scope(spark, sf_dir).select(F.col("document_id").alias("doc_id"), ingest.needs_reindex(F.col("scope")).alias("needs_reindex"))
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.text_hash(F.col("text")).alias("text_hash")).join(scopes, "doc_id")
+
+
+_EXTENSIONS = "['md', 'markdown', 'txt', 'text', 'html', 'py', 'cc', 'cjs', 'sh', 'bin', 'PDF']"
+
+
+@_query(
+    f"""WITH f AS (SELECT doc_id, ({_EXTENSIONS})[CAST(doc_id % 11 AS INT) + 1] AS e FROM documents)
+SELECT doc_id, CASE WHEN e IN ('md', 'markdown') THEN 'md' WHEN e IN ('txt', 'text') THEN 'txt' WHEN e = 'html' THEN 'html' WHEN e IN ('py', 'cc', 'cjs', 'sh') THEN 'code' WHEN e = 'PDF' THEN 'pdf' ELSE 'none' END AS kind,
+  CASE e WHEN 'py' THEN 'python' WHEN 'cc' THEN 'cpp' WHEN 'cjs' THEN 'javascript' WHEN 'sh' THEN 'shell' ELSE 'none' END AS language FROM f"""
+)
+def i_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("a.b/f"), F.col("doc_id").cast("string"), F.lit("."), F.get(F.array(*map(F.lit, "md markdown txt text html py cc cjs sh bin PDF".split())), (F.col("doc_id") % 11).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(ingest.kind_of(path), F.lit("none")).alias("kind"), F.coalesce(ingest.language_of(path), F.lit("none")).alias("language"))
+
+
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$', '', 'g')"
+
+
+@_query(
+    f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 2 = 0 THEN replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) ELSE {_TIDY.format('text')} END AS body FROM documents)
+SELECT doc_id AS document_id, CASE WHEN body = '' THEN 'failed' ELSE 'ready' END AS stage, CASE WHEN body = '' THEN 0.0 ELSE 1.0 END AS progress, CASE WHEN body = '' THEN 'The file is empty.' END AS error,
+  CASE WHEN body = '' THEN CASE WHEN doc_id % 3 = 1 THEN 'x' WHEN doc_id % 3 = 2 THEN sha256(body || chr(31)) END ELSE sha256(body || chr(31)) END AS content_hash, body <> '' AS has_chunks,
+  CASE WHEN body = '' THEN CASE WHEN doc_id % 3 > 0 THEN 'e1' END ELSE 'e2' END AS embedding_version
+FROM b"""
+)
+def i_ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document asked for again: a third is new, a third has changed, a third has another embedding version; a seventh is empty."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("text"), F.when(F.col("doc_id") % 2 == 0, "code").otherwise("txt").alias("kind"))
+    requests = d.withColumns({"tenant_id": F.lit("acme"), "title": F.lit("t"), "path": F.lit("f.txt"), "acl_public": F.lit(True), "acl_groups": F.array().cast("array<string>")})
+    third, known = F.col("document_id") % 3, ingest.content_hash(F.array(F.coalesce(ingest.extracted(F.col("kind"), F.col("text")), F.lit(""))))
+    stored = d.select(
+        "document_id", F.lit("ready").alias("stage"), F.lit(1.0).alias("progress"), F.lit(None).cast("string").alias("error"), F.when(third == 1, "x").when(third == 2, known).alias("content_hash"),
+        F.lit(1).alias("extractor_version"), F.lit(1).alias("chunker_version"), F.when(third > 0, "e1").alias("embedding_version"), F.lit(None).cast("long").alias("chunk_count"), F.lit(None).cast("long").alias("token_count"),
+    )
+    old = d.where("document_id % 3 = 2").select("document_id", F.lit(0).alias("ordinal"), F.lit("t").alias("heading"), F.lit("c").alias("content"), F.lit("t c").alias("context_text"), F.lit(1).cast("long").alias("token_count"), F.array(F.lit(0.0)).alias("embedding"), F.lit("e1").alias("embedding_version"))
+    embed = lambda rows: rows.select("document_id", "ordinal", F.array(F.length("context_text").cast("double")).alias("embedding"))
+    documents, after = pipeline.ingest_batch(requests, stored, old, pipeline.Versions(1, 1, "e2"), embed, F.expr(NOW))
+    counts = after.where("embedding_version = 'e2'").groupBy("document_id").agg(F.count("*").alias("n"))
+    return documents.join(counts, "document_id", "left").select("document_id", "stage", "progress", "error", "content_hash", (F.coalesce("n", F.lit(0)) > 0).alias("has_chunks"), "embedding_version")
+
+
+@_query(
+    """WITH m AS (SELECT conv_id, turn, replace(role || ': ' || text, chr(10), ' ') AS line FROM conversations WHERE length(trim(text)) > 0), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS k FROM m),
+r AS (WITH RECURSIVE g AS (
+  SELECT conv_id, k, 0 AS run, length(line) + 1 AS held, 1 AS n FROM o WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.k, CASE WHEN held + length(line) > 1400 THEN run + 1 ELSE run END, CASE WHEN held + length(line) > 1400 THEN 0 ELSE held END + length(line) + 1, 1 FROM g JOIN o ON o.conv_id = g.conv_id AND o.k = g.k + 1) SELECT * FROM g)
+SELECT conv_id AS document_id, CAST(run AS INT) AS ordinal, md5(string_agg(line, chr(10) ORDER BY r.k)) AS content_md5, count(*) AS messages FROM r JOIN o USING (conv_id, k) GROUP BY ALL"""
+)
+def i_chunk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").where("length(trim(text)) > 0").select("conv_id", F.struct("turn", F.regexp_replace(F.concat("role", F.lit(": "), "text"), "\n", " ").alias("line")).alias("m"))
+    t = t.groupBy("conv_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("m")), lambda m: m["line"])).alias("text"))
+    none = F.lit(None).cast("string")
+    rows = chunking.chunk_documents(t.select(F.col("conv_id").alias("document_id"), F.lit("conversation").alias("kind"), F.lit("chat").alias("title"), none.alias("language"), none.alias("path"), F.array("text").alias("pages")))
+    return rows.select("document_id", "ordinal", F.md5("content").alias("content_md5"), F.get_json_object("metadata", "$.message_count").cast("long").alias("messages"))
+
+
+@_query(
+    """SELECT page_id AS external_id, CASE WHEN page_id % 3 = 0 THEN 'too large to download' END AS problem, CASE page_id % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'html' WHEN 2 THEN 'code' ELSE 'pdf' END AS kind, page_id % 3 > 0 AND page_id % 5 < 3 AS has_text
+FROM pages WHERE page_id % 5 < 4 AND page_id % 11 > 0"""
+)
+def c_drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    mime = F.when(k == 0, "text/plain").when(k == 1, "text/html").when(k == 2, "application/x-python").when(k == 3, "application/pdf").otherwise("image/png")
+    files = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.when(k == 2, "a.py").otherwise("a.bin").alias("name"), mime.alias("mime_type"), F.when(F.col("page_id") % 3 == 0, 30 << 20).otherwise(100).alias("size"), F.timestamp_seconds("page_id").alias("modified_at"),
+        (F.col("page_id") % 11 == 0).alias("trashed"), F.array(F.lit("f")).alias("parents"), F.lit("o").alias("owner"), F.col("url").alias("link"), F.col("html").cast("binary").alias("data"),
+    )
+    return drive_files(files, None, "f").select("external_id", "problem", "kind", F.col("text").isNotNull().alias("has_text"))
+
+
+# ---- documents, jobs and users
+
+
+@_query("SELECT doc_id AS document_id, CASE doc_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' ELSE 'chunking' END AS stage, CASE doc_id % 3 WHEN 1 THEN 'bad' WHEN 2 THEN 'old' END AS error, CASE doc_id % 3 WHEN 2 THEN 0.5 ELSE 0.15 END AS progress, doc_id % 3 = 0 AS indexed, doc_id % 3 < 2 AS touched FROM documents")
+def d_set_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("chunking").alias("stage"), F.lit("old").alias("error"), F.lit(0.5).alias("progress"), F.lit(None).cast("timestamp_ntz").alias("indexed_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    k = F.col("document_id") % 3
+    changes = d.where(k < 2).select("document_id", F.when(k == 0, "ready").otherwise("failed").alias("stage"), F.when(k == 1, "bad").alias("error"), F.lit(0.15).alias("progress"))
+    after = state.set_stage(d, changes, F.expr(NOW))
+    return after.select("document_id", "stage", "error", "progress", F.col("indexed_at").isNotNull().alias("indexed"), F.col("updated_at").isNotNull().alias("touched"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 OR doc_id % 4 = 3 THEN TIMESTAMP '2024-01-20 12:00:00' ELSE TIMESTAMP '2020-01-01' END AS updated_at FROM documents")
+def d_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 1, "new").otherwise(F.col("lang")).alias("lang"), F.expr("timestamp_ntz'2020-01-01'").alias("updated_at"))
+    before = table(spark, sf_dir, "documents").where("doc_id % 4 <> 3").select("doc_id", "lang", F.expr("timestamp_ntz'2020-01-01'").alias("updated_at"))
+    return state.touched(before, after, "doc_id", F.expr(NOW)).select("doc_id", "updated_at")
+
+
+@_query("SELECT s_suppkey AS source_id, CASE s_suppkey % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'error' ELSE 'syncing' END AS status, CASE s_suppkey % 3 WHEN 1 THEN 'no' END AS last_error, s_suppkey % 3 = 0 AS synced FROM supplier")
+def d_source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.lit("syncing").alias("status"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp_ntz").alias("last_sync_at"))
+    k = F.col("source_id") % 3
+    after = state.set_source_status(s, s.where(k < 2).select("source_id", F.when(k == 0, "idle").otherwise("error").alias("status"), F.when(k == 1, "no").alias("error")), F.expr(NOW))
+    return after.select("source_id", "status", "last_error", F.col("last_sync_at").isNotNull().alias("synced"))
+
+
+@_query("SELECT 't' || (c_nationkey % 2) AS tenant_id, lower(c_name) AS email, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS name FROM customer")
+def d_upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("tenant_id", F.concat(F.lit("t"), (F.col("c_nationkey") % 2).cast("string")))
+    users = c.where("c_custkey % 3 > 0").select("tenant_id", F.col("c_name").alias("email"), F.col("c_mktsegment").alias("name"))
+    new = c.where("c_custkey % 2 = 0 or c_custkey % 3 = 0 or c_custkey % 5 = 0").select("tenant_id", F.upper("c_name").alias("email"), F.when((F.col("c_custkey") % 2 == 0) | (F.col("c_custkey") % 3 == 0), "new").alias("name"))
+    return state.upsert_users(users, new).select("tenant_id", "email", "name")
+
+
+@_query("SELECT c_custkey AS user_id FROM customer WHERE lower(c_name) = 'customer#000000007'")
+def p_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
+    return state.by_email(users, "CUSTOMER#000000007").select("user_id")
+
+
+@_query("SELECT doc_id AS question_id FROM documents WHERE lang = 'de' OR source IN ('src1', 'src2')")
+def p_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.array("lang", "source").alias("tags"))
+    return evaluation.tagged(q, ["de", "src1", "src2"]).select("question_id")
+
+
+@_query(f"WITH {_JOBS}, live AS (SELECT id FROM jobs WHERE status IN ('queued', 'running')), low AS (SELECT event_id AS id FROM events WHERE value / 100 < 0.8) SELECT 'live' AS of, count(*) AS n FROM live UNION ALL SELECT 'low' AS of, count(*) AS n FROM low")
+def p_partial_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traces = table(spark, sf_dir, "events").withColumn("groundedness", F.col("value") / 100)
+    count = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("of"), "n")
+    return count(queue.live(jobs(spark, sf_dir)), "live").unionByName(count(rollups.low_groundedness(traces), "low"))
+
+
+@_query(f"WITH {_JOBS} SELECT count(*) AS n FROM jobs WHERE status = 'running' AND ts + INTERVAL 5 MINUTE < {_NOW}")
+def a_reclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = jobs(spark, sf_dir)
+    return queue.changed(before, queue.reclaim(before, F.expr(NOW)))
+
+
+@_query("SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id * 10) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS cached_tokens, CAST(sum(user_id * 3) AS BIGINT) AS output_tokens, round(sum(value), 6) AS cost_usd FROM events GROUP BY ALL")
+def a_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.col("user_id") * 10).alias("input_tokens"), F.col("user_id").alias("cached_tokens"), (F.col("user_id") * 3).alias("output_tokens"), F.col("value").alias("cost_usd"))
+    return rollups.usage(calls, "model")
+
+
+@_query("SELECT source AS source_id, max(TIMESTAMP '2024-01-01' + to_seconds(doc_id)) AS cursor FROM documents GROUP BY ALL")
+def a_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_id")).agg(F.max(F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, doc_id)")).alias("cursor"))
+
+
+@_query("WITH e AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, ',' ORDER BY first, role) AS roles FROM e GROUP BY ALL")
+def a_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("role")).alias("roles"))
+    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "roles"))).alias("turns"))
+    return lists.select("conv_id", F.array_join(evaluation.flat_distinct(F.col("turns.roles")), ",").alias("roles"))
+
+
+@_query("SELECT o_orderkey AS run_id, o_custkey AS dataset_id, c_name AS dataset, round(CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice / 7 END, 6) AS ndcg, CAST(o_orderkey AS DOUBLE) AS p95_ms, CAST(NULL AS DOUBLE) AS mrr FROM orders JOIN customer ON c_custkey = o_custkey")
+def e_run_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice") / 7).alias("ndcg"), F.col("o_orderkey").cast("double").alias("p95_ms"), F.lit("no number").alias("mrr")))
+    none = F.lit(None).cast("string")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("dataset_id"), none.alias("label"), none.alias("git_sha"), none.alias("status"), F.lit(1).alias("question_count"), metrics.alias("metrics"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("finished_at"))
+    datasets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dataset_id"), F.col("c_name").alias("name"))
+    return evaluation.run_view(runs, datasets).select("run_id", "dataset_id", "dataset", F.round("ndcg", 6).alias("ndcg"), "p95_ms", "mrr")
+
+
 # ---- evaluation
 
 _RANKED = """truth AS (SELECT item_id AS question_id, doc_id AS label FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)),
@@ -397,12 +572,13 @@ metrics AS (
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics at 3 of a made-up ranking of the documents that hold each benchmark passage."""
     items, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    passages = {r["item_id"]: r["text"] for r in items.collect()}
-    # the items are the batch of questions; every document is tested against them in one pass
-    held = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(t)), F.lit(i).cast("long")) for i, t in passages.items())))
-    from pyspark.sql import Window
-
-    truth = d.select(F.explode(held).alias("question_id"), F.col("doc_id").alias("label"))
+    # a passage's longest word but the first and last stands whole in every text that holds it
+    words = lambda c: F.split(c, r"\s+")
+    inner = F.array_sort(F.slice(words("text"), 2, F.greatest(F.lit(0), F.size(words("text")) - 2)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    keyed = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"), F.get(inner, F.lit(0)).alias("word"))
+    rows = d.select(F.col("doc_id").alias("label"), F.col("text"))
+    held = rows.select("label", F.explode(F.array_distinct(words("text"))).alias("word")).join(keyed.where("word is not null").select("question_id", "word"), "word").select("question_id", "label")
+    truth = held.join(keyed.select("question_id", "passage"), "question_id").join(rows, "label").where(F.contains("text", "passage")).select("question_id", "label")
     order = Window.partitionBy("question_id").orderBy((F.col("label") * 7919 + F.col("question_id")) % 10007, "label")
     ranked = truth.withColumn("rank", F.row_number().over(order)).where("(question_id + rank) % 3 > 0")
     return evaluation.question_metrics(items.select(F.col("item_id").alias("question_id")), ranked, truth, 3)
@@ -418,10 +594,13 @@ def e_question_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {_METRICS} SELECT 'run' AS run_id, count(*) AS questions, count(*) FILTER (labelled) AS labelled, {', '.join(f'round(avg({m}), 6) AS mean_{m}' for m in _ROUNDED)},
+  round(avg(CASE WHEN question_id % 2 = 0 THEN (question_id % 10) / 10 END), 6) AS mean_citation_accuracy, round(avg((question_id % 4) / 4), 6) AS mean_faithfulness,
+  round(avg(CASE WHEN question_id % 3 = 0 THEN CAST(question_id % 2 = 0 AS INT) END), 6) AS must_include_rate, round(avg(CAST(question_id % 5 > 0 AS INT)), 6) AS must_not_include_rate, CAST(NULL AS DOUBLE) AS abstention_accuracy,
+  round(sum(question_id / 1000), 6) AS total_cost_usd, round(avg(question_id / 1000), 6) AS cost_per_query,
   round(avg(CASE WHEN labelled THEN CAST(hit AS INT) END), 6) AS hit_rate, percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(question_id AS DOUBLE)) AS p50_ms, percentile_disc(0.95) WITHIN GROUP (ORDER BY CAST(question_id AS DOUBLE)) AS p95_ms, count(*) FILTER (question_id % 7 = 0) AS errors FROM metrics"""
 )
 def e_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evaluated(spark, sf_dir).withColumns({"run_id": F.lit("run"), "latency_ms": F.col("question_id").cast("double"), "error": F.when(F.col("question_id") % 7 == 0, "failed")})
+    rows = _evaluated(spark, sf_dir).withColumns({"run_id": F.lit("run"), "latency_ms": F.col("question_id").cast("double"), "cost_usd": F.col("question_id") / 1000, "citation_accuracy": F.when(F.col("question_id") % 2 == 0, F.col("question_id") % 10 / 10).otherwise(float("nan")), "faithfulness": F.col("question_id") % 4 / 4, "includes_ok": F.when(F.col("question_id") % 3 == 0, F.col("question_id") % 2 == 0), "excludes_ok": F.col("question_id") % 5 > 0, "error": F.when(F.col("question_id") % 7 == 0, "failed")})
     return evaluation.summary(rows)
 
 
@@ -447,8 +626,9 @@ def e_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def e_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 100 questions each, 10,000 resamples."""
     pairs = _runs(spark, sf_dir).withColumn("metric", F.concat(F.lit("m"), F.floor(F.col("question_id") / 100).cast("string")))
-    return evaluation.bootstrap(pairs, resamples=1000)
+    return evaluation.bootstrap(pairs)
 
 
 @_query(
@@ -493,6 +673,23 @@ def t_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_jobs(table(spark, sf_dir, "events"), ["event_type", "user_id"]).select("event_type", "user_id")
 
 
-@_query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS since, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 2")
+@_query(
+    """WITH RECURSIVE a AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS ok, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'purchase')),
+r AS (
+  SELECT user_id, 0::BIGINT AS k, 0 AS hits, 0.0::DOUBLE AS until, NULL::BIGINT AS attempt_id, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT user_id FROM a)
+  UNION ALL
+  SELECT user_id, k, CASE WHEN locked THEN hits WHEN ok THEN 0 ELSE n + 1 END, CASE WHEN locked THEN until WHEN NOT ok AND n + 1 >= 3 THEN sec + 86400 ELSE 0 END, event_id,
+    CASE WHEN locked THEN 'locked' WHEN ok THEN 'ok' WHEN n + 1 >= 3 THEN 'lockout' ELSE 'failed' END
+  FROM (SELECT a.user_id, a.k, a.ok, a.sec, a.event_id, r.hits, r.until, r.until > a.sec AS locked, CASE WHEN r.until > 0 THEN 0 ELSE r.hits END AS n FROM r JOIN a ON a.user_id = r.user_id AND a.k = r.k + 1))
+SELECT user_id, attempt_id, outcome FROM r WHERE k > 0"""
+)
 def t_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lockouts(table(spark, sf_dir, "events"), failures=2, seconds=86400).withColumn("since", F.col("since").cast("timestamp_ntz"))
+    attempts = table(spark, sf_dir, "events").where("event_type in ('error', 'purchase')").select("user_id", "ts", F.col("event_id").alias("attempt_id"), (F.col("event_type") == "purchase").alias("ok"))
+    return login_outcomes(attempts, failures=3, seconds=86400).select("user_id", "attempt_id", "outcome")
+
+
+@_query("SELECT doc_id AS document_id FROM documents WHERE doc_id % 3 > 0 OR text IS NULL")
+def t_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    stored = d.where("document_id % 3 = 0").select("document_id", ingest.content_hash(F.array("text")).alias("content_hash"))
+    return skip_unchanged(d, stored).select("document_id")

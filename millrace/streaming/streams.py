@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from millrace.operators.ingest import content_hash
 
 
 def watermarked(events: DataFrame, lateness: str) -> DataFrame:
@@ -30,11 +34,70 @@ def live_jobs(events: DataFrame, keys: list[str], lateness: str = "26 hours") ->
     return events.dropDuplicates(keys)
 
 
-def lockouts(events: DataFrame, failures: int = 8, seconds: int = 300) -> DataFrame:
-    """Windows of ``seconds`` in which a user failed ``failures`` times or more."""
-    rows = watermarked(events, f"{seconds} seconds")
-    bad = rows.where(F.col("event_type") == "error").groupBy(F.window("ts", f"{seconds} seconds"), "user_id").agg(F.count("*").alias("n"))
-    return bad.where(F.col("n") >= failures).select("user_id", F.col("window.start").alias("since"), "n")
+class Attempts:
+    """A user's failures since the last success or the end of a lockout, and when a lockout ends."""
+
+    def __init__(self, failures: int, seconds: int, hits: int = 0, until: float = 0.0):
+        self.failures, self.seconds, self.hits, self.until = failures, seconds, hits, until
+
+    def outcome(self, at: float, ok: bool) -> str:
+        """What becomes of an attempt: ``locked`` (refused unseen), ``ok``, ``failed``, or ``failed`` that locks: ``lockout``."""
+        if self.until > at:
+            return "locked"
+        if self.until:
+            self.hits, self.until = 0, 0.0
+        if ok:
+            self.hits = 0
+            return "ok"
+        self.hits += 1
+        if self.hits >= self.failures:
+            self.until = at + self.seconds
+            return "lockout"
+        return "failed"
+
+
+def login_outcomes(attempts: DataFrame, failures: int = 8, seconds: int = 300) -> DataFrame:
+    """``attempts(user_id, ts, attempt_id, ok)`` -> ``(user_id, ts, attempt_id, outcome)``, for batches and streams alike.
+
+    After ``failures`` failures without a success between, a user's attempts
+    are refused for ``seconds``; they do not count. State is kept by user: two
+    numbers in a stream; a batch reads each user's attempts in order, a part at
+    a time. A stream takes the attempts of a user in the order of its batches.
+    """
+    rows = attempts.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("attempt_id").cast("long").alias("attempt_id"), "ok")
+    schema = "user_id long, ts timestamp, attempt_id long, outcome string"
+
+    def said(frame: pd.DataFrame, user: int, state: Attempts) -> pd.DataFrame:
+        frame = frame.sort_values(["ts", "attempt_id"])
+        seconds_of = frame["ts"].astype("datetime64[us]").astype("int64") / 1e6
+        outcomes = [state.outcome(at, ok) for at, ok in zip(seconds_of.tolist(), frame["ok"].tolist())]
+        return pd.DataFrame({"user_id": user, "ts": frame["ts"], "attempt_id": frame["attempt_id"], "outcome": outcomes})
+
+    if rows.isStreaming:
+
+        def keyed(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+            state = Attempts(failures, seconds, *(held.get if held.exists else (0, 0.0)))
+            frame = pd.concat(list(frames))
+            yield said(frame, key[0], state)
+            held.update((state.hits, state.until))
+
+        return rows.groupBy("user_id").applyInPandasWithState(keyed, schema, "hits int, until double", "append", GroupStateTimeout.NoTimeout)
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, Attempts(failures, seconds)
+        for batch in batches:
+            for key, frame in batch.groupby("user_id", sort=False):
+                if key != user:
+                    user, state = key, Attempts(failures, seconds)
+                yield said(frame, key, state)
+
+    return rows.where("user_id is not null").repartition("user_id").sortWithinPartitions("user_id", "ts", "attempt_id").mapInPandas(ordered, schema)
+
+
+def skip_unchanged(fetched: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows ``(document_id, text)`` of an overlapping read whose text is new: what ``stored(document_id, content_hash)`` has is skipped."""
+    rows = fetched.withColumn("content_hash", content_hash(F.array("text")))
+    return rows.join(stored.select("document_id", "content_hash").distinct(), ["document_id", "content_hash"], "left_anti").select(*fetched.columns, "content_hash")
 
 
 def run_available(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:

@@ -63,7 +63,7 @@ def test_secrets(spark):
 
 def _index(spark):
     rows = [(1, "apple apple pear", [1.0, 0.0], True, []), (2, "apple", [0.0, 1.0], False, ["hr"]), (3, "pear plum", None, True, []), (4, "", [0.6, 0.8], True, []), (5, None, [0.6, 0.8], True, None)]
-    return search.analyzed(spark.createDataFrame(rows, "chunk_id long, content string, embedding array<float>, acl_public boolean, acl_groups array<string>").withColumn("tenant_id", F.lit("t")))
+    return search.index_of(spark.createDataFrame(rows, "chunk_id long, content string, embedding array<float>, acl_public boolean, acl_groups array<string>").withColumn("tenant_id", F.lit("t")))
 
 
 def test_alpha_ends_and_access(spark):
@@ -108,7 +108,7 @@ def test_strip_html(spark):
 
 def test_kinds(spark):
     d = spark.createDataFrame([("a/b.PY",), ("x.md",), ("Makefile",), ("y.bin",), (None,)], "p string")
-    assert [tuple(r) for r in d.select(ingest.kind_of(F.col("p")), ingest.language_of(F.col("p"))).collect()] == [("code", "python"), ("markdown", None), (None, None), (None, None), (None, None)]
+    assert [tuple(r) for r in d.select(ingest.kind_of(F.col("p")), ingest.language_of(F.col("p"))).collect()] == [("code", "python"), ("md", None), (None, None), (None, None), (None, None)]
 
 
 def test_prose_chunks():
@@ -133,10 +133,73 @@ def test_code_chunks():
     assert len(chunking.chunk_code("c.yml", [(None, "k: v\n" * 1000)], "yaml")) == 4
 
 
-def test_conversation_chunks():
-    got = chunking.chunk_conversation("chat", [(None, "# thread\n" + "\n".join(f"m{i} " + "x" * 300 for i in range(10))), (None, "no title\nline")])
-    assert sum(c.metadata["message_count"] for c in got) == 12 and got[0].heading == "chat › thread" and got[-1].heading == "chat"
-    assert all(len(c.content) <= chunking.TARGET + 10 for c in got)
+def test_conversation_chunks(spark):
+    pages = ["# thread\n" + "\n".join(f"m{i} " + "x" * 300 for i in range(10)), "no title\nline\n \n", None, "#\n" + "y" * 3000]
+    none = F.lit(None).cast("string")
+    d = spark.createDataFrame([(1, pages), (2, ["one"]), (3, None)], "document_id long, pages array<string>").withColumns({"kind": F.lit("conversation"), "title": F.lit("chat"), "language": none, "path": none})
+    got = chunking.chunk_documents(d).orderBy("document_id", "ordinal").collect()
+    said = [json.loads(r.metadata) for r in got]
+    first = [r for r in got if r.document_id == 1]
+    assert [r.ordinal for r in first] == list(range(len(first))) and first[0].heading == "chat › thread" and first[-1].heading == "chat" and got[-1].page is None
+    assert sum(m["message_count"] for m in said) == 14 and said[0]["thread"] == "thread" and "thread" not in said[-1]
+    assert all(len(r.content) <= chunking.TARGET or r.content == "y" * 3000 for r in got) and {r.page for r in first} == {1, 2, 4}
+    assert got[0].context_text == f"chat › thread\n\n{got[0].content}" and got[0].token_count == -(-len(got[0].context_text) // 4)
+    sums = {r.document_id: (r.chunks, r.tokens) for r in chunking.totals(chunking.chunk_documents(d)).collect()}
+    assert sums == {k: (sum(r.document_id == k for r in got), sum(r.token_count for r in got if r.document_id == k)) for k in (1, 2)}
+
+
+def plain_cover(sizes, limit, gap):
+    groups = []
+    for k, size in enumerate(sizes):
+        if groups and sum(sizes[i] for i in groups[-1]) + gap * len(groups[-1]) + size <= limit:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    return [(g[0], g[-1] + 1) for g in groups]
+
+
+def test_cover_and_pieces():
+    rng = random.Random(1)
+    for _ in range(300):
+        sizes = [rng.randrange(1, 30) for _ in range(rng.randrange(12))]
+        assert chunking.cover(sizes, 40, 2) == plain_cover(sizes, 40, 2)
+    words = lambda n: " ".join(rng.choice(["alpha", "Beta", "gamma."]) for _ in range(n))
+    for _ in range(40):
+        text = words(rng.randrange(1, 900)) + rng.choice(["", " " + "z" * 4500 + ". More here."])
+        spans = chunking.piece_spans(text)
+        assert all(0 < e - s <= chunking.MOST for s, e in spans) and "".join(text[s:e] for s, e in spans).replace(" ", "") == text.replace(" ", "")
+        tail = chunking.overlap(text)
+        assert text.endswith(tail) and (len(tail) <= 2 * chunking.OVERLAP) and (tail == text or not tail or len(tail) >= chunking.OVERLAP or len(chunking.sentence_spans(text[-2 * chunking.OVERLAP :])) >= 1)
+
+
+def test_prose_windows_hold_every_sentence_in_order():
+    rng = random.Random(5)
+    for _ in range(30):
+        n = rng.randrange(1, 150)
+        sentences = [f"Sentence {i} has {'word ' * rng.randrange(1, 25)}end." for i in range(n)]
+        blocks, at = [], 0
+        while at < n:
+            size = rng.randrange(1, 30)
+            blocks.append(" ".join(sentences[at : at + size]))
+            at += size
+        got = chunking.chunk_prose("t", [(None, "\n\n".join(blocks))])
+        whole, place = " ".join(c.content.replace("\n\n", " ") for c in got), -1
+        for i, x in enumerate(sentences):
+            assert (place := whole.find(x, place + 1)) >= 0
+        assert all(c.heading == "t" for c in got) and max(len(c.content) for c in got) <= chunking.MOST + chunking.OVERLAP * 2
+
+
+@pytest.mark.parametrize(
+    "language, line, name",
+    [
+        ("python", "    async def go(x):", "go"), ("python", "class A(B):", "A"), ("python", "defx y", None), ("go", "func (r *T) Go() {", "Go"), ("go", "type X struct {", "X"), ("rust", "pub async fn run<T>() {", "run<T>"),
+        ("rust", "impl Foo {", "Foo"), ("sql", "CREATE OR REPLACE view v.x as", "v.x"), ("sql", "create table if not exists t (", "t"), ("sql", "select table x", None), (None, "export default async function f() {", "f"), (None, "const $x = 1", "$x"),
+        ("ruby", "module A::B", "A::B"), (None, "return const", None), ("unknown", "  private static class Q {", "Q"),
+    ],
+)
+def test_declarations(language, line, name):
+    found = chunking.symbols([line], language)
+    assert (found[0][0] if found else None) == name
 
 
 def test_reindex(spark):
@@ -270,3 +333,161 @@ def test_display(spark):
     d = spark.createDataFrame([(1, None, 4.0, 2048, "A b--C!"), (None, None, 1e9, 3, None)], "d int, s int, x double, n long, t string")
     r = d.select(display.channel_bias(F.col("d"), F.col("s")), display.bar_width(F.col("x")), display.found_by_both(F.col("d"), F.col("s")), display.file_size(F.col("n")), display.slug(F.col("t"))).collect()
     assert tuple(r[0]) == (1.0, 62.0, False, "2.0 KB", "a-b-c") and tuple(r[1]) == (None, 100.0, False, "3 B", None)
+
+
+# ---- what the queries do not reach
+
+
+def test_filters_and_orders(spark):
+    found = spark.createDataFrame([(1, "web", "b", 0, 2), (2, "upload", "z", 0, 1), (3, "web", "a", 1, 2), (4, "web", "a", 0, 2)], "chunk_id long, source_kind string, title string, ordinal int, kind_order int")
+    assert [r.chunk_id for r in mentions.ordered(found, 3).collect()] == [2, 4, 3]
+    d = spark.createDataFrame([(1, "short", "  a longer query  "), (2, "x", "y" * 200), (3, "q", "  ")], "document_id long, q string, r string")
+    assert [r[0] for r in d.select(search.rewrite_accepted(F.col("q"), F.col("r"))).collect()] == ["a longer query", "x", "q"]
+    assert [r[0] for r in d.where(search.in_documents([1, 3])).select("document_id").collect()] == [1, 3] and d.where(search.in_documents(None)).count() == 3
+    runs = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01"), (3, None)], "run_id long, started_at string")
+    assert [r.run_id for r in evaluation.newest_first(runs).collect()] == [2, 1, 3]
+    results = spark.createDataFrame([(1, None, 0.5), (2, "e", 1.0), (3, None, None), (4, None, 0.1)], "question_id long, error string, recall double")
+    assert [r.question_id for r in evaluation.worst(results).collect()] == [2, 3, 4, 1]
+    held, took = search.timed({"one": d})
+    assert held["one"].count() == 3 and took["one"] > 0
+
+
+def test_stored_index_equals_an_unstored_one(spark, tmp_path):
+    index = _index(spark)
+    search.write_index(index.chunks, str(tmp_path / "i"), buckets=5, bucket_rows=1)
+    stored = search.read_index(index.chunks, str(tmp_path / "i"))
+    key = ["term", "chunk_id", "tf", "n_terms"]
+    assert sorted(map(tuple, stored.postings.select(key).collect())) == sorted(map(tuple, index.postings.select(key).collect()))
+    queries = [search.Query(1, "apple or plum"), search.Query(2, "pear -plum"), search.Query(3, '"apple pear"'), search.Query(4, "nothing")]
+    rank = lambda i: sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in search.lexical(i, queries, search.Principal("t", (), True), 9).collect())
+    assert rank(stored) == rank(index) and {(q, c) for q, c, _ in rank(index)} == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)}
+    embedded = search.hybrid_search(stored, [search.Query(7, "apple")], search.Principal("t", (), True), embed=lambda texts: [(0.0, 1.0) for _ in texts])
+    assert {r.chunk_id for r in embedded.where("dense_rank = 1").collect()} == {2}
+
+
+def test_vectors(spark):
+    c = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, None)], "document_id long, ordinal int, embedding array<double>")
+    v = spark.createDataFrame([(1, 1, [9.0]), (2, 0, [8.0]), (3, 0, [7.0])], "document_id long, ordinal int, embedding array<double>")
+    assert sorted((r.document_id, r.ordinal, r.embedding) for r in state.update_vectors(c, v).collect()) == [(1, 0, [1.0]), (1, 1, [9.0]), (2, 0, [8.0])]
+    assert sorted(map(tuple, state.vectors_fit(c, v).collect())) == [(1, 2, 1), (3, 0, 1)]
+    d = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
+    assert [r[0] for r in d.select(ingest.normalised(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_members(spark):
+    m = spark.createDataFrame([(1, 1), (1, 2)], "user_id long, group_id long")
+    assert sorted(map(tuple, state.add_members(m, m.where("group_id = 2").unionByName(spark.createDataFrame([(2, 2), (2, 2)], m.schema))).collect())) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_context_and_replies(spark):
+    packed = context.pack_context(spark.createDataFrame([(1, 1, "s", "aa"), (1, 2, "s", "bb"), (2, 1, None, None)], "query_id long, rank int, source string, content string"))
+    assert {r.query_id: (r.context, r.tokens) for r in context.context_text(packed).collect()} == {1: ("[1] s\naa\n\n[2] s\nbb", 4), 2: ("[1] \n", 1)}
+    texts = ['{"a": 1}', 'Sure:\n```json\n{"a": 1}\n``` ok', "so {\"a\": 1}.", "nothing", None, "{broken"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(F.try_variant_get(context.json_reply(F.col("t")), "$.a", "int")).collect()] == [1, 1, 1, None, None, None]
+
+
+def test_answer_measures(spark):
+    lists = "c array<string>, r array<string>, t array<string>"
+    d = spark.createDataFrame([(["a", "b"], ["a", "b"], ["a"]), (["a", "x"], ["a"], []), ([], ["a"], ["a"])], lists)
+    assert [r[0] for r in d.select(evaluation.citation_accuracy(F.col("c"), F.col("r"), F.col("t"))).collect()] == [0.5, 0.5, None]
+    assert [r[0] for r in d.select(evaluation.truth_level(F.col("t"), F.col("r"), F.col("c"))).collect()] == ["chunk", "document", "chunk"]
+    n = spark.createDataFrame([(3, 4), (9, 4), (0, 0)], "s int, n int")
+    assert [r[0] for r in n.select(evaluation.faithfulness(F.col("s"), F.col("n"))).collect()] == [0.75, 1.0, None]
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3)], "question_id long, label string, rank int")
+    truth = spark.createDataFrame([(1, "b"), (1, "z")], "question_id long, label string")
+    assert {r.label: r["rank"] for r in evaluation.ranks_of(ranked, truth).collect()} == {"b": 2, "z": None}
+    m = spark.createDataFrame([({"a": "1", "b": "2", "c": "3"}, {"a": "1", "b": "9", "d": "4"})], "x map<string,string>, y map<string,string>")
+    assert m.select(evaluation.config_changes(F.col("x"), F.col("y"))).first()[0] == ["b", "c", "d"]
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.1, -0.1, 0.2), (30, 0.6, 0.5, 0.7), (2, -0.5, -0.6, -0.4)], "n int, d double, l double, h double")
+    assert [r[0] for r in v.select(evaluation.verdict_text(*map(F.col, "ndlh"))).collect()] == ["no questions in common", "inconclusive on 1 question — the interval spans zero", "better by 0.600 (+0.500 to +0.700)", "worse by 0.500 (-0.600 to -0.400)"]
+
+
+def test_invalid_questions(spark):
+    uuid = "01234567-89ab-cdef-0123-456789abcdef"
+    rows = [(1, "q", "temporal", [uuid], [], [], ["question"]), (2, "q", "odd", ["x"], [], [], ["question", "zz"]), (3, " ", None, None, None, None, None), (4, "u", "unanswerable", [], [], ["t"], []), (5, "v", "unanswerable", [], None, [], [])]
+    d = spark.createDataFrame(rows, "question_id long, question string, difficulty string, expected_chunk_ids array<string>, expected_document_ids array<string>, expected_documents array<string>, fields array<string>")
+    got = {}
+    for r in evaluation.invalid_questions(d, F.col("fields")).collect():
+        got.setdefault(r.question_id, set()).add(r.problem)
+    assert got == {2: {"duplicates an earlier question", "unknown difficulty odd", "expected_chunk_ids contains no UUID: x", "unknown fields: zz"}, 3: {"no question"}, 4: {"unanswerable, but names expected documents"}}
+
+
+def test_connectors_of_services(spark, tmp_path):
+    assert connectors.changed_paths(None) is None
+    few, many = (spark.range(n).selectExpr("concat('f', id, '.py') as path") for n in (3, 300))
+    assert connectors.changed_paths(few).count() == 3 and connectors.changed_paths(many) is None
+    files = spark.createDataFrame([("f1.py", 3, "a=1"), ("g.py", 3, "b=1")], "path string, size long, content string")
+    assert [r.external_id for r in connectors.repository_files(files, connectors.changed_paths(few)).collect()] == ["f1.py"]
+    times = spark.createDataFrame([(1, dt.datetime(2024, 1, 2, 5)), (2, dt.datetime(2024, 1, 1, 1))], "id int, updated_at timestamp")
+    cursor = F.lit(dt.datetime(2024, 1, 2, 12))
+    assert [r.id for r in connectors.since(times, cursor, "12 hours").collect()] == [1] and connectors.since(times, None, "1 hour").count() == 2
+    assert connectors.since(times, cursor, "26 hours").count() == 2
+    one = spark.range(1)
+    assert one.select(connectors.next_cursor(times)).first()[0] == dt.datetime(2024, 1, 2, 5) and connectors.next_cursor(times.where("false")) is None
+    assert one.select(connectors.next_cursor(times, F.lit(dt.datetime(2025, 1, 1)))).first()[0] == dt.datetime(2025, 1, 1)
+    for name, data in (("a.md", b"# hi"), ("e.txt", b""), ("z.bin", b"x")):
+        (tmp_path / name).write_bytes(data)
+    assert {r.title: (r.kind, r.problem) for r in connectors.uploads(spark, str(tmp_path)).collect()} == {"a.md": ("md", None), "z.bin": (None, "unknown kind")}
+    issues = spark.createDataFrame([("K-1", "Sum", "Open", "Bug", "Ann", None, ["x"], "text"), ("K-2", None, None, None, None, "Bo", [], None)], "key string, summary string, status string, issue_type string, assignee string, reporter string, labels array<string>, description string")
+    said = spark.createDataFrame([("K-1", "Cy", dt.datetime(2024, 1, 1, 9, 30), '{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"ok"}]}]}')], "key string, author string, created timestamp, body string")
+    got = {r.external_id: r.text for r in connectors.issue_documents(issues, said).collect()}
+    assert got["K-1"].startswith("# K-1 · Sum\n\nBug · Open · assigned to Ann · reported by unknown · labels: x\n\n## Description\ntext") and "**Cy** · 2024-01-01 09:30\nok" in got["K-1"]
+    assert got["K-2"] == "# K-2 · Untitled\n\nissue · unknown · assigned to unassigned · reported by Bo · labels: none\n\n## Description\n_No description._"
+    blocks = json.dumps([{"type": "image", "image": {"external": {"url": "u"}}}, {"type": "equation", "equation": {"expression": "x"}}, {"type": "callout", "callout": {"icon": {"emoji": "!"}, "rich_text": [{"plain_text": "c"}]}}, {"type": "child_page", "child_page": {}}])
+    assert spark.createDataFrame([(blocks,), (None,)], "b string").select(connectors.page_markdown(F.col("b"))).collect()[0][0] == "[image](u)\n$$ x $$\n> ! c\n- Untitled"
+
+
+def test_document_trees():
+    text = lambda s: {"type": "text", "text": s}
+    tree = {"type": "doc", "content": [{"type": "bulletList", "content": [{"type": "listItem", "content": [{"type": "paragraph", "content": [text("a"), {"type": "hardBreak"}, text("b")]}]}]}, {"type": "rule"}, {"type": "codeBlock", "content": [text("x = 1")]}, {"type": "blockquote", "content": [{"type": "paragraph", "content": [text("q")]}]}, {"type": "unknown", "content": [text("u"), "stray"]}]}
+    assert connectors.adf_text(tree) == "- a\nb\n\n---\n\n```\nx = 1\n```\n\n> q\nu"
+    deep = {"type": "text", "text": "end"}
+    for _ in range(5000):
+        deep = {"type": "paragraph", "content": [deep]}
+    assert connectors.adf_text(deep).strip() == "end"
+
+
+def test_enqueue_documents(spark):
+    from millrace.plans.tables import jobs as table
+
+    queue = table(spark, "/root/testdata/sf0.001").where("id < 3").withColumn("payload", F.lit(None).cast("string"))
+    known = spark.createDataFrame([(1, "acme", "s", "e1", "old", "txt", False, ["x"])], "document_id long, tenant_id string, source_id string, external_id string, title string, kind string, acl_public boolean, acl_groups array<string>")
+    source = spark.createDataFrame([("s", "acme", True, ["hr"])], "source_id string, tenant_id string, default_acl_public boolean, default_acl_groups array<string>")
+    fetched = spark.createDataFrame([(1, "s", "e1", "new", "txt", "body", None), (2, "s", "e2", "b", "pdf", None, bytearray(b"%"))], "document_id long, source_id string, external_id string, title string, kind string, text string, data binary")
+    now = F.expr("timestamp_ntz'2024-01-20 12:00:00'")
+    docs, jobs_after, blobs = connectors.enqueue_documents(known, queue, fetched, source, now, 1000)
+    assert sorted((r.document_id, r.title, r.acl_public, r.acl_groups) for r in docs.collect()) == [(1, "new", False, ["x"]), (2, "b", True, ["hr"])]
+    new = {r.dedupe_key: json.loads(r.payload) for r in jobs_after.where("id >= 1000").collect()}
+    assert new["ingest:1"]["text"] == "body" and "text" not in new["ingest:2"] and [r.document_id for r in blobs.collect()] == [2]
+    assert connectors.enqueue_documents(docs, jobs_after, fetched, source, now, 5000)[1].count() == jobs_after.count()
+
+
+def test_attempts():
+    a = streams.Attempts(3, 300)
+    steps = [(0, False), (10, True), (20, False), (30, False), (299, False), (400, True), (598, False), (600, False), (601, True)]
+    assert [a.outcome(t, ok) for t, ok in steps] == ["failed", "ok", "failed", "failed", "lockout", "locked", "locked", "failed", "ok"]
+
+
+def test_login_stream_equals_batch(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type in ('error', 'purchase')").selectExpr("user_id", "cast(ts as timestamp) as ts", "event_id as attempt_id", "event_type = 'purchase' as ok")
+    rows.coalesce(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    out: list[pd.DataFrame] = []
+    stream = streams.login_outcomes(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 2, 86400)
+    streams.run_available(stream, str(tmp_path / "ck"), lambda df, _: out.append(df.toPandas()))
+    got = {r.attempt_id: r.outcome for f in out for r in f.itertuples()}
+    assert got == {r.attempt_id: r.outcome for r in streams.login_outcomes(rows, 2, 86400).collect()} and set(got.values()) >= {"ok", "failed", "lockout", "locked"}
+
+
+def test_numeric_references(spark):
+    texts = ["a &#65; b", "&#8212;&#128512;", "&#0;x", "&#55296;", "&#1114112;", "&#;", "&#12", "&#1234567890;", None, "", "&#39;&#39;", "x&#x41;"]
+    want = ["a A b", "—😀", "\0x", "&#55296;", "&#1114112;", "&#;", "&#12", "&#1234567890;", None, "", "''", "x&#x41;"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(ingest.numeric_references(F.col("t"))).collect()] == want
+
+
+def test_extracted(spark):
+    d = spark.createDataFrame([("html", "<p>a</p>"), ("html", "<script>x</script>"), ("code", "a\r\n\r\n\r\n\tb "), ("code", " \n\t"), ("txt", "a  \n\n\n\nb "), ("txt", None), ("pdf", "x")], "k string, t string")
+    rows = d.withColumn("e", ingest.extracted(F.col("k"), F.col("t")))
+    got = [(r[0], r[1]) for r in rows.select("e", ingest.extraction_problem(F.col("k"), F.col("e"))).collect()]
+    assert got[:6] == [("a", None), (None, "The HTML contained no readable text."), ("a\n\n\n\tb ", None), (None, "The file is empty."), ("a\n\nb", None), (None, "The file is empty.")] and got[6][1]
