@@ -399,6 +399,23 @@ def test_licenses_and_their_relatives(spark):
     assert [(cases[r.doc_id][0], r.licenses) for r in sorted(got, key=lambda r: r.doc_id)] == cases
 
 
+def test_licenses_in_parts_and_other_order(spark):
+    """Whole texts with a clause lost, sentences in another order, words changed here and there."""
+    rng = random.Random(4)
+    mit = license_scan._MIT.split(". ")
+    scattered = license_scan._MIT.split()
+    for k in range(20, len(scattered), 40):
+        scattered[k] = "xx"
+    cases = [
+        (". ".join(mit[:-1]), "MIT"), (". ".join(mit[::-1]), "MIT"), (" ".join(scattered), "MIT"), (" ".join(license_scan._MIT.split()[24:54]), ""), (license_scan._APACHE.replace("this file", "this work"), "Apache-2.0"),
+        (license_scan._BSD_AS_IS, ""), (license_scan._ISC_AS_IS, ""), (license_scan._MPL.replace("https://mozilla.org/MPL/2.0/", "the site"), "MPL-2.0"),
+    ]
+    filler = lambda: " ".join(f"z{rng.randrange(500)}" for _ in range(40))
+    frame = spark.createDataFrame([(i, f"{filler()} {t} {filler()}") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.licenses(license_scan.scan(frame)).collect()}
+    assert [got[i] for i in range(len(cases))] == [n for _, n in cases]
+
+
 def test_licenses_of_odd_rows(spark):
     phrase = "Released under the MIT License"
     rows = [(1, None), (None, phrase), (2, ""), (3, "word " * 200_000 + phrase + " word" * 50_000), (4, phrase), (4, phrase), (5, f"{phrase} {phrase}")]
