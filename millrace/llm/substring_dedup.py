@@ -26,7 +26,7 @@ from millrace.llm.textnum import release_memory, window_hashes, word_batches
 
 _U = np.uint64
 #: Bytes of text in a cell, and probe windows in a hash range, on average.
-CELL_BYTES, RANGE_WINDOWS = 4 << 20, 1 << 20
+CELL_BYTES, RANGE_WINDOWS = 8 << 20, 1 << 21
 #: Bits of a block's hash that are compared; the windows themselves are compared by 64 bits.
 PROBE_BITS = 40
 
