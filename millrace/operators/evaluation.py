@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -168,24 +169,39 @@ def comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _draws(n: int, resamples: int, seed: int) -> Iterator[list[int]]:
+#: Draws that are kept for the next group of the same size, and made at once.
+DRAWS = 4_000_000
+
+
+@lru_cache(maxsize=1)
+def _kept(n: int, resamples: int, seed: int) -> np.ndarray:
     rng = random.Random(seed)
-    for _ in range(resamples):
-        yield [rng.randrange(n) for _ in range(n)]
+    return np.array([rng.randrange(n) for _ in range(n * resamples)], np.int32).reshape(resamples, n)
+
+
+def _draws(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """Places of the resampled questions, a row for each resample, in blocks of rows."""
+    if n * resamples <= DRAWS:
+        yield _kept(n, resamples, seed)
+        return
+    rng, rows = random.Random(seed), max(1, DRAWS // n)
+    for first in range(0, resamples, rows):
+        size = min(rows, resamples - first)
+        yield np.array([rng.randrange(n) for _ in range(n * size)], np.int32).reshape(size, n)
 
 
 def bootstrap(pairs: DataFrame, by: str = "metric", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """``pairs(by, question_id, delta)`` -> a paired bootstrap for each value of ``by``: interval, disagreement, verdict.
 
     The draws are those of Python's generator with the seed, over the questions
-    in order, so the groups of one size share them. A group is the list of one
+    in order, so groups of one size share them. A group is the list of one
     run's questions, which an evaluation answered one by one.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         deltas = group.sort_values("question_id")["delta"].to_numpy(float)
-        n, observed = len(deltas), float(sum(deltas.tolist())) / len(deltas)
-        means = np.sort(np.fromiter((sum(deltas[draw].tolist()) / n for draw in _draws(n, resamples, seed)), float, resamples))
+        n, observed = len(deltas), float(deltas.mean())
+        means = np.sort(np.concatenate([deltas[draw].mean(axis=1) for draw in _draws(n, resamples, seed)]))
         low, high = float(means[int(0.025 * resamples)]), float(means[min(resamples - 1, int(0.975 * resamples))])
         against = int((means <= 0).sum()) if observed > 0 else int((means >= 0).sum()) if observed < 0 else resamples
         decisive = low > 0 or high < 0

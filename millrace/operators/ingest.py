@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # File extensions by kind of document, and languages of code.
@@ -119,6 +124,50 @@ def reindex_scope(now: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(old, "document_id", "left").withColumn("scope", scope).select("document_id", "scope")
 
 
+#: Texts sent to a provider of embeddings at once, and tries for one that fails.
+EMBED_BATCH, EMBED_TRIES = 100, 4
+
+
+def _provided(texts: list[str], embed: Callable[[list[str]], list], tries: int, wait: float) -> list:
+    """Embeddings of the texts; a batch that fails is halved, and a text that fails alone is tried again after longer and longer waits."""
+    for turn in range(tries):
+        try:
+            return list(embed(texts))
+        except Exception:
+            if len(texts) > 1:
+                half = len(texts) // 2
+                return _provided(texts[:half], embed, tries, wait) + _provided(texts[half:], embed, tries, wait)
+            if turn == tries - 1:
+                raise
+            time.sleep(wait * 2**turn)
+    return []
+
+
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list], width: int, batch: int = EMBED_BATCH, tries: int = EMBED_TRIES, wait: float = 1.0) -> DataFrame:
+    """``rows(document_id, ordinal, context_text)`` -> ``(document_id, ordinal, embedding)`` of length one, by a provider called in the tasks.
+
+    An embedding of another width than ``width`` is an error; one of zeros stays.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["context_text"].fillna("").tolist()
+            found = [v for at in range(0, len(texts), batch) for v in _provided(texts[at : at + batch], embed, tries, wait)]
+            vectors = np.array(found, np.float64).reshape(len(texts), -1)
+            if len(texts) and vectors.shape[1] != width:
+                raise ValueError(f"embeddings of {vectors.shape[1]} numbers instead of {width}")
+            norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+            yield pd.DataFrame({"document_id": frame["document_id"], "ordinal": frame["ordinal"], "embedding": list((vectors / np.where(norm > 0, norm, 1.0)).astype(np.float32))})
+
+    return rows.select("document_id", "ordinal", "context_text").mapInPandas(run, "document_id long, ordinal int, embedding array<float>")
+
+
+def group_list(text: Column) -> Column:
+    """Groups named in a form field, as a JSON array or apart by commas, without blanks."""
+    items = F.when(F.startswith(F.trim(text), F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.split(text, ","))
+    return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
 def normalised(vector: Column) -> Column:
     """The vector at length one (unchanged if it has none)."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))

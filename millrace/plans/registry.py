@@ -381,14 +381,27 @@ def i_chunk_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(t.select(F.col("conv_id").alias("document_id"), F.lit("conversation").alias("kind"), F.lit("chat").alias("title"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("path"), F.array("text").alias("pages")))
 
 
-@_query("SELECT conv_id, count(*) AS message_count FROM conversations WHERE length(trim(text)) >= 3 GROUP BY ALL HAVING count(*) >= 2")
+def _clean_sql(c: str) -> str:
+    for pattern, put in ((r"<@([A-Z0-9]+)(\|[^>]*)?>", r"@\1"), (r"<#[A-Z0-9]+\|([^>]+)>", r"#\1"), (r"<#([A-Z0-9]+)\|?>", r"#\1"), (r"<(?:https?:|mailto:)[^|>]+\|([^>]+)>", r"\1"), (r"<((?:https?:|mailto:)[^|>]+)>", r"\1")):
+        c = f"regexp_replace({c}, '{pattern}', '{put}', 'g')"
+    return f"trim(regexp_replace(replace(replace(replace({c}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"
+
+
+@_query(
+    f"""WITH m AS (SELECT conv_id, turn, role || ': ' || {_clean_sql('text')} AS line, {_clean_sql('text')} AS clean FROM conversations WHERE length(trim(text)) >= 3),
+t AS (SELECT conv_id, count(*) AS message_count, string_agg(line, chr(10) ORDER BY turn, line, clean) AS body, first(clean ORDER BY turn, line, clean) AS c FROM m GROUP BY ALL HAVING count(*) >= 2)
+SELECT conv_id, message_count, md5('# ' || CASE WHEN c = '' THEN 'thread' WHEN length(c) <= 70 THEN c ELSE rtrim(substr(c, 1, 69)) || '…' END || chr(10) || body) AS text_md5 FROM t"""
+)
 def c_conversation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_threads(table(spark, sf_dir, "conversations")).select("conv_id", F.col("message_count").cast("long").alias("message_count"))
+    return conversation_threads(table(spark, sf_dir, "conversations")).select("conv_id", F.col("message_count").cast("long").alias("message_count"), F.md5("text").alias("text_md5"))
 
 
-@_query("SELECT url AS external_id, CASE WHEN t = '' THEN url ELSE t END AS title FROM (SELECT url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages)")
+@_query(
+    f"""WITH s AS ({_strip_sql()}), t AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages)
+SELECT url AS external_id, CASE WHEN t = '' THEN url ELSE t END AS title, md5(text) AS text_md5 FROM t JOIN s USING (page_id)"""
+)
 def c_web_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web_pages(table(spark, sf_dir, "pages")).select("external_id", "title")
+    return web_pages(table(spark, sf_dir, "pages")).select("external_id", "title", F.md5("text").alias("text_md5"))
 
 
 @_query("SELECT doc_id, sha256(text) AS text_hash, doc_id % 5 < 4 AS needs_reindex FROM documents")

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -243,13 +244,16 @@ def test_citations_and_lead(spark):
     assert spark.createDataFrame([(long,)], "t string").select(context.lead(F.col("t"))).first()[0] == "Short one. Second sentence here."
 
 
-def test_bootstrap_is_exact(spark):
+def test_bootstrap_is_exact(spark, monkeypatch):
     deltas = [0.1, -0.2, 0.4, 0.0, 0.3]
     pairs = spark.createDataFrame([("m", i, d) for i, d in enumerate(deltas)], "metric string, question_id long, delta double")
     rng = random.Random(evaluation.SEED)
     means = sorted(sum(deltas[rng.randrange(5)] for _ in range(5)) / 5 for _ in range(500))
     r = evaluation.bootstrap(pairs, resamples=500).first()
-    assert (r.ci_low, r.ci_high) == (means[12], means[487])
+    assert (r.ci_low, r.ci_high) == pytest.approx((means[12], means[487]), abs=1e-12)
+    evaluation._kept.cache_clear()
+    monkeypatch.setattr(evaluation, "DRAWS", 40)
+    assert np.concatenate(list(evaluation._draws(5, 500, evaluation.SEED))).tolist() == evaluation._kept(5, 500, evaluation.SEED).tolist()
 
 
 def test_answers_checks(spark):
@@ -491,3 +495,25 @@ def test_extracted(spark):
     rows = d.withColumn("e", ingest.extracted(F.col("k"), F.col("t")))
     got = [(r[0], r[1]) for r in rows.select("e", ingest.extraction_problem(F.col("k"), F.col("e"))).collect()]
     assert got[:6] == [("a", None), (None, "The HTML contained no readable text."), ("a\n\n\n\tb ", None), (None, "The file is empty."), ("a\n\nb", None), (None, "The file is empty.")] and got[6][1]
+
+
+def test_embedding_batches(spark):
+    def provider(texts):
+        if len(texts) > 3 or "odd" in texts and len(texts) > 1:
+            raise OSError("too many")
+        return [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(["a", "bb", "odd", "", None, "cccc", "d"])], "document_id long, ordinal int, context_text string").coalesce(1)
+    got = {r.document_id: [round(x, 6) for x in r.embedding] for r in ingest.embedded(rows, provider, 2, wait=0).collect()}
+    assert got == {i: [0.0, 0.0] if i in (3, 4) else [0.6, 0.8] for i in range(7)}
+    with pytest.raises(Exception):
+        ingest.embedded(rows, provider, 3, wait=0).collect()
+    calls = []
+    with pytest.raises(OSError):
+        ingest._provided(["x"], lambda t: calls.append(t) or (_ for _ in ()).throw(OSError()), 4, 0)
+    assert len(calls) == 4
+
+
+def test_group_list(spark):
+    d = spark.createDataFrame([("a, b,,",), ('["x", " y ", ""]',), ("",), (None,), ("[broken",)], "t string")
+    assert [r[0] for r in d.select(ingest.group_list(F.col("t"))).collect()] == [["a", "b"], ["x", "y"], [], [], []]
