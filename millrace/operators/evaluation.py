@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -169,25 +168,27 @@ def comparison(pairs: DataFrame) -> DataFrame:
     )
 
 
-#: Draws that are kept for the next group of the same size, and made at once.
+#: Draws made at once.
 DRAWS = 4_000_000
 
 
-@lru_cache(maxsize=1)
-def _kept(n: int, resamples: int, seed: int) -> np.ndarray:
-    rng = random.Random(seed)
-    return np.array([rng.randrange(n) for _ in range(n * resamples)], np.int32).reshape(resamples, n)
-
-
 def _draws(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
-    """Places of the resampled questions, a row for each resample, in blocks of rows."""
-    if n * resamples <= DRAWS:
-        yield _kept(n, resamples, seed)
-        return
-    rng, rows = random.Random(seed), max(1, DRAWS // n)
+    """Places of the resampled questions, a row for each resample, in blocks of rows.
+
+    They are those of ``random.Random(seed).randrange(n)``: the same generator,
+    whose words are cut to the bits of n and passed by where they reach n.
+    """
+    *key, at = random.Random(seed).getstate()[1]
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    shift, rows, held = np.uint64(32 - n.bit_length()), max(1, DRAWS // n), np.zeros(0, np.int64)
     for first in range(0, resamples, rows):
-        size = min(rows, resamples - first)
-        yield np.array([rng.randrange(n) for _ in range(n * size)], np.int32).reshape(size, n)
+        size = min(rows, resamples - first) * n
+        while len(held) < size:
+            words = source.random_raw(2 * size) >> shift
+            held = np.concatenate([held, words[words < n].astype(np.int64)])
+        yield held[:size].reshape(-1, n)
+        held = held[size:]
 
 
 def bootstrap(pairs: DataFrame, by: str = "metric", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:

@@ -251,9 +251,10 @@ def test_bootstrap_is_exact(spark, monkeypatch):
     means = sorted(sum(deltas[rng.randrange(5)] for _ in range(5)) / 5 for _ in range(500))
     r = evaluation.bootstrap(pairs, resamples=500).first()
     assert (r.ci_low, r.ci_high) == pytest.approx((means[12], means[487]), abs=1e-12)
-    evaluation._kept.cache_clear()
-    monkeypatch.setattr(evaluation, "DRAWS", 40)
-    assert np.concatenate(list(evaluation._draws(5, 500, evaluation.SEED))).tolist() == evaluation._kept(5, 500, evaluation.SEED).tolist()
+    for n, most in ((5, 40), (1, 4_000_000), (64, 1000), (100, 10**7)):
+        monkeypatch.setattr(evaluation, "DRAWS", most)
+        rng = random.Random(evaluation.SEED)
+        assert np.concatenate(list(evaluation._draws(n, 300, evaluation.SEED))).tolist() == [[rng.randrange(n) for _ in range(n)] for _ in range(300)]
 
 
 def test_answers_checks(spark):
