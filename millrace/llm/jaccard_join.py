@@ -2,30 +2,31 @@
 
 Each document is the set of its hashed word n-grams in one global order: by
 hash, the frequent ones after all others. Two sets that meet a threshold t share
-one of the first ``n - ceil(t n) + 1`` members of each, so the tries are
-partitioned by those members: sets that hold one of them among their first meet
-in its group. Within a block of a group the sets are stored as paths of one trie
-in the global order; every set walks it, sets with a common start share the
-overlap counted on it, and a subtree is left as soon as the lengths that remain
-cannot reach the threshold or all its sets are known to be in the walker's class.
-
-Most groups hold few sets that meet by chance. So a group's members are first
-held against its leader: pairs that sizes and parity bitmaps rule out (two sets
-differ in at least as many members as their bitmaps differ in bits) go without
-their texts being read, and the rest of a leader's pairs are a block. Groups of
-three and more that this leaves in several classes are joined whole, in random
-blocks where they are larger than one; where such a group is still in several
-classes, those outside its largest class meet all others. Equal sets are one
-node, so links that matter to the classes are all found, though not all pairs
-are expanded. The rows shuffled are linear in the sets for groups of up to BLOCK
-sets; for a larger group they are its size times the blocks of members outside
-its largest class, which frequent n-grams coming last keeps small: sets that
-reach them in their prefix have few other members.
+one of the first ``n - ceil(t n) + 1`` members of each (of the smaller, one of
+the first ``n - ceil(2 t n / (1 + t)) + 1``), so the tries are partitioned by
+those members: sets that hold one of them among their first meet in its group.
+Within a block of a group the sets are stored as paths of one trie in the global
+order; every set walks it, sets with a common start share the overlap counted on
+it, and a subtree is left as soon as the lengths that remain cannot reach the
+threshold or all its sets are known to be in the walker's class.
+
+Most groups hold few sets that meet by chance. So sets whose partners in a block
+are all ruled out by sizes and parity bitmaps (two sets differ in at least as
+many members as their bitmaps differ in bits) go without their texts being read.
+The others are joined by their leaders first: the sets of one leader, wherever
+they met it, are a block of texts. Blocks of three and more that this leaves in
+several classes are joined whole. A group larger than a block is dealt to random
+blocks; if it is still in several classes, the sets outside its largest class
+meet all others. Equal sets are one node, so links that matter to the classes
+are all found, though not all pairs are expanded. The rows shuffled are linear
+in the sets for groups of up to BLOCK sets; for a larger group they are its size
+times the blocks of members outside its largest class, which frequent n-grams
+coming last keeps small: sets that reach them in their prefix have few others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.scratch import written
+from millrace.llm.scratch import dropped, written
 from millrace.llm.textnum import release_memory, shingle_sets
 
 #: Shingles whose document counts are summed over the corpus to order the sets: those that come this often in a run of COUNT_RUN.
@@ -43,7 +44,9 @@ FREQUENT = 50_000
 #: Sets in a block, on average.
 BLOCK = 192
 #: Bits of a set's parity bitmap; sets beyond WIDE_FROM members, which would fill it, have a wide one as well.
-BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 14, 2000
+BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 13, 3000
+#: Pairs of bitmaps compared at once.
+PAIRS = 1 << 16
 #: Rows of ids that may be sent to all tasks; beyond that both sides are shuffled.
 SENT_IDS = 1_000_000
 
@@ -241,16 +244,6 @@ def _text_key() -> Column:
     return F.xxhash64("text").alias("text_key")
 
 
-def _near(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``pairs(a, b)`` that their sizes and parity bitmaps do not rule out."""
-    a, b = (signatures.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "ab")
-    differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(BITS // 64))
-    most = f"n_a + n_b - 2 * ceil({num} * (n_a + n_b) / {num + den})"
-    wide = "aggregate(zip_with(wide_a, wide_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    sized = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-    return pairs.join(a, "a").join(b, "b").where(f"{sized} and {differ} <= {most} and coalesce({wide} <= {most}, true)").select("a", "b")
-
-
 def _sent(rows: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast if it is small enough."""
     return F.broadcast(rows) if rows.count() <= SENT_IDS else rows
@@ -265,24 +258,85 @@ def _fetched(wanted: DataFrame, one_of: DataFrame, docs: DataFrame) -> DataFrame
     return found if found.count() == wanted.count() else written(found.dropDuplicates(["set_id"]), "sets")
 
 
+def _whole_blocks(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``rows(g, p, q, ...)`` -> what ``work`` makes of tables of whole blocks (g, p, q) and the first row of each, with the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([table.column(c).to_numpy() for c in "gpq"])
+            starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+            yield from work(table, starts).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in "gpq"])
+            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in "gpq"):
+                change = np.concatenate(([0], change))
+            if len(change):
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, int(change[-1]))]))
+                held = []
+            held.append(batch.slice(int(change[-1]) if len(change) else 0))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+        release_memory()
+
+    return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(run, schema)
+
+
+def _plausible(blocks: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``blocks(g, p, q, set_id, label)`` that have a partner of another label in their block which sizes and bitmaps do not rule out."""
+
+    def pick(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        label, n = table.column("label").to_numpy(), table.column("n_shingles").to_numpy()
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        wide = table.column("wide").to_pylist()
+        ends = np.repeat(starts[1:], np.diff(starts))
+        counts = ends - np.arange(len(n)) - 1
+        keep = np.zeros(len(n), bool)
+        cuts = np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum() + PAIRS, PAIRS), "right")
+        for lo, hi in zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(n)]):
+            c = counts[lo:hi]
+            left = np.repeat(np.arange(lo, hi), c)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+            both = n[left] + n[right]
+            most = both + 2 * (-num * both // (num + den))
+            ok = (label[left] != label[right]) & (den * np.minimum(n[left], n[right]) >= num * np.maximum(n[left], n[right]))
+            left, right, most = left[ok], right[ok], most[ok]
+            ok = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= most
+            for k in np.flatnonzero(ok & (np.minimum(n[left], n[right]) > WIDE_FROM)).tolist():
+                x, y = (np.array(wide[i], np.int64) for i in (left[k], right[k]))
+                ok[k] = int(np.bitwise_count((x ^ y).view(np.uint64)).sum(dtype=np.int64)) <= most[k]
+            keep[left[ok]] = keep[right[ok]] = True
+        return table.select(["g", "p", "q", "set_id", "label"]).filter(pa.array(keep))
+
+    rows = blocks.join(signatures, "set_id").select("g", "p", "q", "set_id", "label", "n_shingles", "bits", "wide")
+    return _whole_blocks(rows, pick, "g long, p long, q long, set_id long, label long")
+
+
 def _joined(blocks: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """``blocks(g, p, q, set_id, label)`` -> links ``(a, b, overlap)`` that join all similar sets of each block (g, p, q)."""
     order = Order(frequent)
 
-    def walk(block: pa.Table) -> pa.Table:
-        release_memory()
-        found: dict[int, np.ndarray] = {}
-        labels: dict[int, int] = dict(zip(block.column("set_id").to_pylist(), block.column("label").to_pylist()))
-        for k, s in zip(block.column("set_id").to_pylist(), shingle_sets(block.column("text").to_pylist(), n)):
-            if k not in found and len(s) and _set_id(s) == k:
-                found[k] = s
-        ids = list(found)
-        hits = list(PrefixTree([found[k] for k in ids], order).links(num, den, [labels[k] for k in ids]))
-        links = {"a": [ids[i] for i, _, _ in hits], "b": [ids[j] for _, j, _ in hits], "overlap": [o for _, _, o in hits]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in links.items()})
+    def walk(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        ids, labels = table.column("set_id").to_pylist(), table.column("label").to_pylist()
+        out: list[tuple[int, int, int]] = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            found: dict[int, np.ndarray] = {}
+            for k, s in zip(ids[lo:hi], shingle_sets(table.column("text").slice(lo, hi - lo).to_pylist(), n)):
+                if k not in found and len(s) and _set_id(s) == k:
+                    found[k] = s
+            own, classes = list(found), dict(zip(ids[lo:hi], labels[lo:hi]))
+            hits = PrefixTree(list(found.values()), order).links(num, den, [classes[k] for k in own])
+            out += [(own[i], own[j], overlap) for i, j, overlap in hits]
+        columns = zip(*out) if out else [()] * 3
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "overlap"), columns)})
 
     rows = blocks.join(sets, "set_id").select("g", "p", "q", "set_id", "label", "text")
-    return written(rows.groupBy("g", "p", "q").applyInArrow(walk, "a long, b long, overlap long"), "links")
+    return written(_whole_blocks(rows, walk, "a long, b long, overlap long"), "links")
 
 
 def _part(of: Column, salt: int, n_blocks: Column) -> Column:
@@ -304,61 +358,76 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     nodes = written(_nodes(docs, n, num, den, frequent), "nodes")
     one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("set_id", "r.doc_id", "r.text_key")
 
-    # groups: the sets that share a member of their prefixes, one group of those with equal members
-    keys = nodes.where("keys is not null").select("set_id", F.explode("keys").alias("h"))
-    live = keys.groupBy("h").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("h", "lo")
-    members = written(keys.join(live, "h"), "members")
+    # groups: the sets that share a member of their prefixes, a shorter one within its first part
+    first = f"n_shingles - (2 * {num} * n_shingles + {num + den - 1}) div {num + den} + 1"
+    keys = nodes.where("keys is not null").select("set_id", "n_shingles", F.expr(first).alias("first"), F.posexplode("keys").alias("at", "h"))
+    keys = keys.select("h", "set_id", F.col("n_shingles").cast("int").alias("n"), F.expr("at < first").alias("leads"))
+    live = keys.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.when(F.col("leads"), F.col("n"))).alias("least")).where("rows > 1 and least is not null").select("h", "least")
+    members = written(keys.join(live, "h").where("leads or n >= least").select("h", "set_id"), "members")
     sums = [F.sum(F.pmod(F.xxhash64("set_id", F.lit(salt)), F.lit(1 << 32))).alias(f"s{salt}") for salt in range(3)]  # copies of a set count alike in all groups
-    groups = members.groupBy("h").agg(F.count("*").alias("rows"), *sums).groupBy("rows", "s0", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-    members = written(members.join(_sent(written(groups, "groups")), "h").distinct(), "members")
+    groups = members.groupBy("h").agg(F.count("*").alias("rows"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), *sums).where("lo < hi")
+    groups = written(groups.groupBy("rows", "s0", "s1", "s2").agg(F.min("h").alias("h"), F.first("rows").alias("size")).select("h", "size"), "groups")
+    every = written(members.join(_sent(groups), "h").distinct(), "members")
+    dropped(members, groups)
 
+    # sets with a partner in their block that sizes and bitmaps do not rule out
     signatures = nodes.where("bits is not null").select("set_id", "n_shingles", "bits", "wide")
-    signatures = written(signatures.join(members.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures")
-    stars = members.where("set_id <> lo").select(F.col("lo").alias("a"), F.col("set_id").alias("b")).distinct()
-    stars = written(_near(stars, signatures, num, den), "pairs")
+    signatures = written(signatures.join(every.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures")
+    parts = F.ceil(F.col("size") / BLOCK)
+    none = F.lit(-1).cast("long")
+    blocks = every.select(F.col("h").alias("g"), _part(F.col("set_id"), 2, parts).alias("p"), none.alias("q"), "set_id", F.col("set_id").alias("label"))
+    kept = written(_plausible(blocks, signatures, num, den), "blocks")
+
+    # each against the leader of its block, the pairs of one leader in blocks of texts
+    leaders = kept.groupBy("g", "p").agg(F.min("set_id").alias("a"))
+    stars = written(kept.join(leaders, ["g", "p"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct(), "pairs")
     sets = _fetched(stars.select(F.explode(F.array("a", "b")).alias("set_id")), one_of, docs)
     sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    star = stars.join(sizes, "a").select(F.col("a").alias("g"), _part(F.col("b"), 1, F.col("blocks")).alias("p"), F.lit(-1).alias("q"), F.col("b").alias("set_id"))
-    star = star.unionByName(sizes.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), F.lit(-1).alias("q"), F.col("a").alias("set_id")))
+    star = stars.join(sizes, "a").select(F.col("a").alias("g"), _part(F.col("b"), 1, F.col("blocks")).alias("p"), none.alias("q"), F.col("b").alias("set_id"))
+    star = star.unionByName(sizes.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), none.alias("q"), F.col("a").alias("set_id")))
     links = _joined(star.withColumn("label", F.col("set_id")), sets, frequent, n, num, den)
+    joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "set_id")
 
-    def divided(more_than: int) -> tuple[DataFrame, DataFrame]:
-        """Members with the labels of their classes, and the groups (h, size, top, others) of more sets in several classes."""
-        joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "set_id")
-        labelled = written(members.join(_sent(joined), "set_id", "left").select("h", "set_id", F.coalesce("component", "set_id").alias("label")), "labelled")
-        per = labelled.groupBy("h", "label").agg(F.count("*").alias("size")).groupBy("h").agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.max_by("label", "size").alias("top"))
-        groups = per.where(f"largest < size and size > {more_than}").select("h", "size", "top", (F.col("size") - F.col("largest")).alias("others"))
-        groups = written(groups, "groups")
-        return labelled.join(_sent(groups), "h"), groups
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows with the classes of their sets as labels."""
+        return written(rows.join(_sent(joined), "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component"), "labelled")
 
     def more(blocks: DataFrame) -> None:
-        nonlocal links, sets
-        blocks = written(blocks, "blocks")
-        new = written(blocks.select("set_id").distinct().join(_sent(sets.select("set_id")), "set_id", "left_anti"), "wanted")
-        sets = sets.unionByName(_fetched(new, one_of, docs))
-        links = links.unionByName(_joined(blocks, sets, frequent, n, num, den))
-
-    labelled, groups = divided(2)  # the one pair of a group of two has been compared
-    if groups.count():
-        n_blocks = F.ceil(F.col("size") / BLOCK)
-        more(labelled.select(F.col("h").alias("g"), _part(F.col("set_id"), 2, n_blocks).alias("p"), F.lit(-1).cast("long").alias("q"), "set_id", "label"))
-        labelled, groups = divided(BLOCK)  # smaller ones were one block
-        if groups.count():
-            parts, slices = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
-            zero = F.lit(0).cast("long")
-            every = labelled.select(F.col("h").alias("g"), _part(F.col("set_id"), 3, parts).alias("p"), F.explode(F.sequence(zero, slices - 1)).alias("q"), "set_id", "label")
-            few = labelled.where("label <> top").select(F.col("h").alias("g"), F.explode(F.sequence(zero, parts - 1)).alias("p"), _part(F.col("set_id"), 4, slices).alias("q"), "set_id", "label")
-            more(every.unionByName(few))
-    joined = connected_components(links.select("a", "b"))
-
-    roots = one_of.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"), "doc_id")
+        nonlocal links, sets, joined
+        blocks = written(_plausible(blocks, signatures, num, den), "blocks")
+        unread = blocks.select("set_id").distinct().join(_sent(sets.select("set_id")), "set_id", "left_anti")
+        if unread.limit(1).count():
+            sets = sets.unionByName(_fetched(unread, one_of, docs))
+        new = _joined(blocks, sets, frequent, n, num, den)
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "set_id")
+
+    # blocks of three and more in several classes (the one pair of a block of two has been compared)
+    rows = labelled(kept.drop("label"))
+    several = rows.groupBy("g", "p").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo < hi").select("g", "p")
+    more(rows.join(_sent(written(several, "several")), ["g", "p"]).select("g", "p", "q", "set_id", "label"))
+
+    # groups beyond a block: the sets outside the largest class against all
+    large = every.where(F.col("size") > BLOCK)
+    if large.limit(1).count():
+        rows = labelled(large)
+        per = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", "n").alias("top"))
+        per = written(per.where("most < size").select("h", F.ceil(F.col("size") / BLOCK).alias("parts"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("slices"), "top"), "groups")
+        rows = rows.drop("size").join(_sent(per), "h")
+        zero = F.lit(0).cast("long")
+        whole = rows.select(F.col("h").alias("g"), _part(F.col("set_id"), 3, F.col("parts")).alias("p"), F.explode(F.sequence(zero, F.col("slices") - 1)).alias("q"), "set_id", "label")
+        few = rows.where("label <> top").select(F.col("h").alias("g"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), _part(F.col("set_id"), 4, F.col("slices")).alias("q"), "set_id", "label")
+        more(whole.unionByName(few))
+
+    roots = one_of.join(joined, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"), "doc_id")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = roots.join(least, "root").select("set_id", "component_id")
     return nodes.select("doc_id", "set_id", "n_shingles").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, other columns unchanged.
+    """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, other columns unchanged, whatever their names.
 
     Rows that repeat a doc_id count as copies when their sets are equal or
     linked; one of them stays. Rows with a null doc_id stay.
@@ -366,8 +435,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     classes = similarity_classes(docs, n, num, den).where("doc_id is not null")
     ids = written(classes.groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "classes")
 
-    def of(condition: str) -> DataFrame:
-        return _sent(ids.where(condition).select("doc_id"))
+    def of(condition: str, how: str) -> DataFrame:
+        found = _sent(ids.where(condition).select(F.col("doc_id").alias("id")))
+        return docs.join(found, docs["doc_id"] == found["id"], how)
 
-    once = docs.join(of("not stays or rows > 1"), "doc_id", "left_anti")
-    return once.unionByName(docs.join(of("stays and rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    return of("not stays or rows > 1", "left_anti").union(of("stays and rows > 1", "left_semi").dropDuplicates(["doc_id"]))
