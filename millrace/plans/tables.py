@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.access import SOURCE_KINDS
@@ -69,10 +70,13 @@ def stored_index(spark: SparkSession, sf_dir: str, english: bool = False) -> Ind
     """The stored index of the documents, written when first asked for and again once their files change."""
     files = table(spark, sf_dir, "documents").agg(F.count("*"), F.max("_metadata.file_modification_time").cast("string")).first()
     key = (spark.conf.get("spark.app.id", ""), sf_dir, english, *files)
-    if key not in _stored:
-        path = f"{shared_folder(spark)}/millrace-index-{uuid.uuid4().hex}"
-        write_index(chunks(spark, sf_dir), path, english)
-        _stored[key] = path
+    if key in _stored:
+        try:
+            return read_index(chunks(spark, sf_dir), _stored[key])
+        except AnalysisException:  # the folder has been cleared
+            pass
+    _stored[key] = f"{shared_folder(spark)}/millrace-index-{uuid.uuid4().hex}"
+    write_index(chunks(spark, sf_dir), _stored[key], english)
     return read_index(chunks(spark, sf_dir), _stored[key])
 
 

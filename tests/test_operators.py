@@ -370,6 +370,19 @@ def test_stored_index_equals_an_unstored_one(spark, tmp_path):
     assert {r.chunk_id for r in embedded.where("dense_rank = 1").collect()} == {2}
 
 
+def test_index_of_a_cleared_folder_is_written_again(spark):
+    import shutil
+
+    from millrace.plans import tables
+
+    first = tables.stored_index(spark, "/root/testdata/sf0.001")
+    path = dict(tables._stored)
+    assert tables.stored_index(spark, "/root/testdata/sf0.001").postings.count() == first.postings.count() and tables._stored == path
+    for p in path.values():
+        shutil.rmtree(p.removeprefix("file://"), ignore_errors=True)
+    assert tables.stored_index(spark, "/root/testdata/sf0.001").stats.count() == 2 and tables._stored != path
+
+
 def test_vectors(spark):
     c = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, None)], "document_id long, ordinal int, embedding array<double>")
     v = spark.createDataFrame([(1, 1, [9.0]), (2, 0, [8.0]), (3, 0, [7.0])], "document_id long, ordinal int, embedding array<double>")
