@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm import columns
 from millrace.llm.scratch import dropped, written
-from millrace.llm.textnum import mix, window_hashes, word_batches
+from millrace.llm.textnum import mix, release_memory, window_hashes, word_batches
 
 #: Bytes of item texts searched for at once; further items take another pass over the documents.
 PASS_BYTES = 8 << 20
 #: Positions that a segment covers, and bytes of text searched in step.
-SEGMENT, RUN_BYTES = 256, 1 << 20
+SEGMENT, RUN_BYTES = 256, 1 << 18
 _U = np.uint64
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -177,6 +177,7 @@ def _scan(items, key: str, window: int, n_keep: int) -> Callable:
                 spans.append(merged([*zip((before or [])[0::2], (before or [])[1::2]), *hits.get(i, ())]))
                 known.append(sorted({*(those or ()), *owners.get(i, ())}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(known, pa.list_(pa.string())), *batch.columns[4:]], names)
+        release_memory()
 
     return run
 

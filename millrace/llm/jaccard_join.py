@@ -205,6 +205,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
                             seen, run, held = set(), [], 0
         if run:
             yield summed()
+        release_memory()
 
     counts = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
@@ -234,6 +235,7 @@ def _nodes(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) ->
                     rows.append((key, len(s), parity(s, BITS), wide, order.prefix(s, num, den).view(np.int64)))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), longs, longs, longs))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_key", "set_id", "n_shingles", "bits", "wide", "keys"])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), "text")
     return rows.mapInArrow(prefixes, "doc_id long, text_key long, set_id long, n_shingles long, bits array<long>, wide array<long>, keys array<long>")

@@ -26,7 +26,7 @@ from millrace.llm.textnum import release_memory, window_hashes, word_batches
 
 _U = np.uint64
 #: Bytes of text in a cell, and probe windows in a hash range, on average.
-CELL_BYTES, RANGE_WINDOWS = 8 << 20, 1 << 21
+CELL_BYTES, RANGE_WINDOWS = 4 << 20, 1 << 20
 #: Bits of a block's hash that are compared; the windows themselves are compared by 64 bits.
 PROBE_BITS = 40
 
@@ -136,6 +136,7 @@ def _candidates(window: int, block: int, bits: int) -> Callable:
     cut = _U(64 - PROBE_BITS)
 
     def run(key: tuple, table: pa.Table, matched: pa.Table) -> pa.Table:
+        release_memory()
         blobs = [unpack(b) for b in matched.column("blob").to_pylist()]
         known = np.sort(np.concatenate(blobs)) if blobs else np.zeros(0, _U)
         doc_ids, hashes, docs = table.column("doc_id").to_pylist(), [], []
@@ -166,6 +167,7 @@ def _candidates(window: int, block: int, bits: int) -> Callable:
 
 def _earliest(key: tuple, table: pa.Table) -> pa.Table:
     """Hash range -> for each cell its windows that two documents hold, with the smallest doc_id of all."""
+    release_memory()
     parts = [unpack(b) for b in table.column("blob").to_pylist()]
     h, d = np.concatenate(parts), np.concatenate([_unplanes(b) for b in table.column("docs").to_pylist()])
     many = np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8)
