@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...
                 if held >= POOL_TOKENS:
                     yield packed(False)
         yield packed(True)
-        release_memory()
+        release_memory(drop=False)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, SCHEMA)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,19 @@ _BYTE = 0x9E3779B97F4A7C15 | 1
 _WORD = 0xD6E8FEB86659FD93 | 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+#: Powers of a base that are kept for the next texts.
+KEPT_POWERS = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def release_memory() -> None:
-    """Give back what earlier tasks of this worker have freed; the allocators would keep it."""
+#: What a process keeps for the next task of one operator, to be dropped before those of others.
+on_release: list[Callable[[], None]] = []
+
+
+def release_memory(drop: bool = True) -> None:
+    """Give back what earlier tasks of this worker have freed, as the allocators would keep it; with ``drop``, what other operators keep too."""
+    for f in on_release if drop else ():
+        f()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
@@ -47,7 +55,9 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(size, b, dtype=_U)
             a[0] = 1
             out.append(np.cumprod(a, dtype=_U))
-        have = _powers[base] = (out[0], out[1])
+        have = out[0], out[1]
+        if size <= KEPT_POWERS:
+            _powers[base] = have
     return have
 
 

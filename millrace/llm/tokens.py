@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from millrace.llm.textnum import on_release
+
 #: Letters and digits below U+0250, and white space as the library's patterns mean it.
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 _DIGITS = "".join(c for c in map(chr, range(0x250)) if c.isnumeric())
@@ -23,7 +25,7 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 _BEYOND = re.compile("[^\x00-\u024f]")
 #: Bytes that a process keeps of pieces and their ids, with ENTRY for the dictionary's share of each; those not met lately
 #: go, and pieces of more than LONG characters are not kept, which changes no result.
-TABLE_BYTES, ENTRY, LONG = 256 << 20, 170, 256
+TABLE_BYTES, ENTRY, LONG = 128 << 20, 170, 256
 #: The normalizer of the word-level byte models that this module knows by heart.
 LOWERING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
@@ -114,6 +116,11 @@ class Encoder:
         self.added = sorted(found | {c.lower() for c in found} if self.lower else found)
         self.pieces = _Pieces(self.whole.model)
 
+    def forget(self) -> None:
+        """Keep no pieces."""
+        self.pieces.clear()
+        self.pieces.older, self.pieces.held = {}, 0
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text; none for a null."""
         if not text:
@@ -135,6 +142,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Keep no pieces of any file; tasks of other operators in this process call it by release_memory."""
+    for e in _encoders.values():
+        e.forget()
+
+
+on_release.append(forget)
+
+
 def public_path(name: str) -> str:
     """Where a file of the public tokenizers lies on this machine."""
     import public_tokenizers
