@@ -29,6 +29,8 @@ from millrace.llm.textnum import release_memory
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 #: Hash space of the features, and so their number at most.
 SPACE = 1 << 22
+#: Highest score of a text without known features.
+UNKNOWN = 0.49
 #: Words whose features a task keeps.
 WORDS = 150_000
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,7 +51,11 @@ def features_of(word: bytes) -> tuple[int, ...]:
 
 @dataclass
 class Model:
-    """Weights by feature; a text's score is the logistic of their sum over its distinct features."""
+    """Weights by feature; a text's score is the logistic of their sum over its distinct features.
+
+    A text without a known feature has nothing that speaks against it: its
+    score is UNKNOWN at most, whatever the bias.
+    """
 
     bias: float = -20.0
     weights: dict[int, float] = field(default_factory=dict)
@@ -65,7 +71,8 @@ class Model:
                     f = known[word] = tuple(k for k in features_of(word) if k in weights)
                 if f:
                     hit.update(f)
-            out.append(1.0 / (1.0 + float(np.exp(-np.clip(self.bias + sum(weights[k] for k in sorted(hit)), -30, 30)))))
+            found = 1.0 / (1.0 + float(np.exp(-np.clip(self.bias + sum(weights[k] for k in sorted(hit)), -30, 30))))
+            out.append(found if hit else min(found, UNKNOWN))
             if len(known) > WORDS:
                 known.clear()
         return out
@@ -105,10 +112,8 @@ def fit(documents: list[np.ndarray], positive: np.ndarray, prior: float, chosen:
     Without positives, unlabelled rows or features nothing is learnt.
     """
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
-    if not n_pos or not n_unl or not 0 < prior < 1:
+    if not n_pos or not n_unl or not chosen or not 0 < prior < 1:
         return Model()
-    if not chosen:
-        return Model(bias=float(np.log(prior / (1 - prior))))
     rows = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
     places = np.concatenate(documents).astype(np.int64)
     start = np.full(len(chosen), 2.0)
@@ -224,7 +229,7 @@ def _scored(docs: DataFrame, model: Model, names: Sequence[str]) -> DataFrame:
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` -> ``(score, *keep)`` with the score in 0..1 of each whole text.
 
-    Null and empty texts are scored by the bias alone; equal texts alike; an
+    Null and empty texts are scored by the bias alone, UNKNOWN at most; equal texts alike; an
     empty table gives no rows; ``keep`` may not hold ``score``.
     """
     columns.clash(["score"], keep)
