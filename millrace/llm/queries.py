@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontaminate, html, jaccard_join, license_scan, media, packing, sharding, substring_dedup, tokenbin, toxicity
+from millrace.llm import decontaminate, divergence, fill_middle, html, jaccard_join, license_scan, media, packing, pieces, sharding, substring_dedup, tokenbin, toxicity
 from millrace.llm.scratch import scratch_path
 from millrace.llm.tokens import public_path
 
@@ -65,6 +65,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(license_scan.scan(_documents(spark, sf_dir)))
 
 
+def op11_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_path("piece_bpe_32k.model")
+    ids = pieces.encode(_documents(spark, sf_dir), path)
+    texts = pieces.decode(ids, path, keep=("doc_id", "n_tokens", "ids"))
+    return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir), min_documents=10, top=10)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = fill_middle.transformed(_documents(spark, sf_dir))
+    texts = fill_middle.restored(outputs, keep=("doc_id", "n", "form", "prefix_chars", "middle_chars", "output"))
+    return texts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_hierarchical_packing": op1_hierarchical_packing,
     "op2_matroska_media": op2_matroska_media,
@@ -76,10 +93,15 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_license_scan": op10_license_scan,
+    "op11_sentencepiece_rounds": op11_sentencepiece_rounds,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 #: Words of op3's texts; ASCII letters only change their case.
 _WORDS3 = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: len(x) > 0)"""
+#: Terms of op12.
+_WORDS12 = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: len(x) > 0)"""
 _WORDS7 = r"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: len(x) > 0)"""
 _WORDS8 = r"""list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: len(x) > 0)"""
 
@@ -121,5 +143,43 @@ gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT win.doc_id, unnest(r
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN ks IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, k: NOT list_contains(ks, k)), ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
+""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_WORDS12} AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+one AS (SELECT lang, source, row_number() OVER () AS doc, w FROM d),
+occ AS (SELECT lang, source, doc, unnest(w) AS term FROM one),
+df AS (SELECT lang, term FROM occ GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+v AS (SELECT lang, count(*) AS v FROM df GROUP BY ALL),
+n AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN df USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n.n), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS total FROM n GROUP BY ALL),
+p AS (
+  SELECT gn.lang, gn.source, df.term, coalesce(n.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n.n, 0) + 2) // (gn.total + 2 * v.v) AS p
+  FROM gn JOIN df USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = gn.lang AND n.source = gn.source AND n.term = df.term),
+q AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 2) // (max(ln.total) + 2 * max(v.v)) AS q
+  FROM n JOIN ln USING (lang) JOIN v USING (lang) GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op13_fill_middle": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]'), lambda x: len(x) > 0) AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1:n], '') AS suf FROM d),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS out FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(out) AS output_sha256, sha256(text) AS restored_sha256
+FROM o
 """,
 }
