@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -67,21 +66,16 @@ def stem(word: str) -> str:
     return word
 
 
-def _stems(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str | None] = {}
+class Stems(dict):
+    """Word -> its stem, null for a stop word; of the last MOST words met at least."""
 
-    def one(words):
-        for w in words:
-            if w not in known:
-                known[w] = None if w in STOP_WORDS else stem(w)
-        return [known[w] for w in words]
+    MOST = 200_000
 
-    return tokens.map(one)
-
-
-def english_tokens(tokens: Column) -> Column:
-    """Stems of simple tokens; a stop word stays as null, so that positions do not move."""
-    return F.pandas_udf(_stems, "array<string>")(tokens)
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found = None if word in STOP_WORDS else stem(word)
+        return found
 
 
 @dataclass(frozen=True)

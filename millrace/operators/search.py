@@ -1,20 +1,21 @@
 """Batched hybrid search: exact cosine, BM25 with per-caller document frequencies, weighted reciprocal rank fusion.
 
-Texts are analyzed once: an :class:`Index` holds postings dealt to buckets by
-term, the lengths of chunks and each tenant's statistics, and a search reads
-the buckets of its terms only.
+Texts are analyzed once, into an :class:`~millrace.operators.index.Index`; a
+search reads the postings of its terms, and what the caller sees comes from the
+access classes. Phrases and negations are settled by positions.
 
 Chunks: ``chunk_id, document_id, tenant_id, content, embedding, acl_public,
 acl_groups`` and whatever filters use. Queries are a list on the driver (a
-batch of requests); everything that touches chunks is a DataFrame. Access and
-filters apply below every ranking step. Ranks order by the score rounded to
-nine digits, then by chunk_id.
+batch of requests), and so are the document frequencies of their terms;
+everything that touches chunks is a DataFrame. Access and filters apply below
+every ranking step. Ranks order by the score rounded to nine digits, then by
+chunk_id.
 """
 
 from __future__ import annotations
 
+import math
 import time
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -23,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.access import visible
-from millrace.functions.text import bag_of_words, english_tokens, matches, parse_websearch, query_terms, simple_tokens
+from millrace.functions.text import Clause, bag_of_words, parse_websearch, query_terms
+from millrace.operators.index import Index
+from millrace.operators.vectors import VectorIndex, matrix_of, near, unit
 
 K1, B = 1.2, 0.75
 #: Queries scored in one pass over the chunks.
 QUERY_BLOCK = 256
+#: Weight of a cover of a query's terms, and how many times the candidates a prefilter by cover density keeps.
+COVER, PREFILTER = 0.1, 5
 
 
 @dataclass(frozen=True)
@@ -64,84 +69,6 @@ class Principal:
         return (F.col("tenant_id") == self.tenant_id) & visible(self.groups, self.is_admin)
 
 
-def analyzed(chunks: DataFrame, english: bool = False) -> DataFrame:
-    """Chunks with ``tokens`` (heading and content) and ``n_terms``, the number of distinct terms."""
-    text = F.concat_ws(" ", *(F.col(c) for c in ("heading", "content") if c in chunks.columns))
-    tokens = simple_tokens(text)
-    tokens = english_tokens(tokens) if english else tokens
-    return chunks.withColumn("tokens", tokens).withColumn("n_terms", F.size(F.array_distinct(F.array_compact("tokens"))))
-
-
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """``(tenant_id, chunk_count, avg_len)`` of ``lengths(tenant_id, n_terms)``; the average is 1 at least."""
-    return lengths.groupBy("tenant_id").agg(F.count("*").alias("chunk_count"), F.greatest(F.avg("n_terms"), F.lit(1.0)).alias("avg_len"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """Chunks, their ``postings(term, chunk_id, tf, n_terms, bucket)``, and ``stats`` of tenants."""
-
-    chunks: DataFrame
-    postings: DataFrame
-    stats: DataFrame
-    english: bool = False
-    buckets: int = 1
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
-
-
-def _postings(rows: DataFrame, buckets: int) -> DataFrame:
-    terms = rows.select("chunk_id", "n_terms", F.explode("tokens").alias("term")).where("term is not null")
-    counted = terms.groupBy("term", "chunk_id", "n_terms").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select("term", "chunk_id", "tf", "n_terms", _bucket(F.col("term"), buckets).alias("bucket"))
-
-
-def index_of(chunks: DataFrame, english: bool = False) -> Index:
-    """An index that is not stored: every search analyzes the chunks again."""
-    rows = analyzed(chunks, english)
-    return Index(chunks, _postings(rows, 1), corpus_stats(rows), english)
-
-
-def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: int = 64, bucket_rows: int = 50_000_000) -> None:
-    """Store an index's postings, sorted by term in buckets of terms, and its tenants' statistics.
-
-    A bucket is split by chunk into files of about ``bucket_rows`` postings, so
-    that a very common term does not end up in one task.
-    """
-    lengths = f"{path}/lengths"
-    rows = analyzed(chunks, english)
-    rows.select("chunk_id", "tenant_id", "n_terms").write.parquet(lengths)
-    spark = chunks.sparkSession
-    known = spark.read.parquet(lengths)
-    total = known.agg(F.sum("n_terms")).first()[0] or 0
-    splits = max(1, -(-total // (buckets * bucket_rows)))
-    dealt = _postings(rows, buckets).repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(splits)))
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    corpus_stats(known).withColumn("buckets", F.lit(buckets)).withColumn("english", F.lit(english)).write.parquet(f"{path}/stats")
-
-
-def read_index(chunks: DataFrame, path: str) -> Index:
-    """The stored index of these chunks."""
-    spark = chunks.sparkSession
-    stats = spark.read.parquet(f"{path}/stats")
-    about = stats.select("buckets", "english").first()
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    postings = spark.read.schema(f"term string, chunk_id {kind}, tf int, n_terms int, bucket int").parquet(f"{path}/postings")
-    return Index(chunks, postings, stats.drop("buckets", "english"), bool(about and about[1]), about[0] if about else 1)
-
-
-def matched(index: Index, terms: Sequence[str], seen: DataFrame) -> DataFrame:
-    """Postings of the terms in the chunks ``seen(chunk_id)``."""
-    spark = index.postings.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # the terms of a batch of requests
-    rows = index.postings
-    if index.buckets > 1:
-        rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % index.buckets for t in terms})))
-    return rows.join(wanted, "term", "left_semi").join(seen, "chunk_id", "left_semi").select("term", "chunk_id", "tf", "n_terms")
-
-
 def ranked(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best rows of each query with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "chunk_id")
@@ -159,17 +86,14 @@ def dense(chunks: DataFrame, queries: Sequence[Query], k: int) -> DataFrame:
     found = None
     for at in range(0, len(wanted), QUERY_BLOCK):
         block = wanted[at : at + QUERY_BLOCK]
-        matrix = np.array([q.embedding for q in block], np.float64)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        matrix = unit(np.array([q.embedding for q in block], np.float64))
         ids = np.array([q.query_id for q in block], np.int64)
 
         def score(batches: Iterator[pa.RecordBatch], matrix=matrix, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = batch.column(1)
-                x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-                if x.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"embeddings of {x.shape[1]} and {matrix.shape[1]} numbers")
-                s = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                if not batch.num_rows:
+                    continue
+                s = matrix @ unit(matrix_of(batch.column(1), matrix.shape[1])).T
                 keys = batch.column(0).to_numpy()
                 most = min(k, s.shape[1])
                 cut = -np.partition(-s, most - 1, axis=1)[:, most - 1 : most] - 2e-9
@@ -183,44 +107,132 @@ def dense(chunks: DataFrame, queries: Sequence[Query], k: int) -> DataFrame:
     return ranked(found, k)
 
 
-def idf(index: Index, terms: Sequence[str], sees: Column, tenant_id: str) -> DataFrame:
-    """``(term, df, idf)``: document frequencies among the chunks the caller sees, N of the whole tenant. Terms without a chunk stay."""
-    return _weighed(index, terms, matched(index, terms, index.chunks.where(sees).select("chunk_id")), tenant_id)
+def dense_of_cells(vectors: VectorIndex, queries: Sequence[Query], principal: Principal, k: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
+    """As :func:`dense`, from the cells of a stored vector index that are nearest to the queries; with all cells, the same rows."""
+    wanted = [q for q in queries if q.embedding is not None]
+    found = None
+    for at in range(0, len(wanted), QUERY_BLOCK):
+        block = wanted[at : at + QUERY_BLOCK]
+        rows = near(vectors, [q.query_id for q in block], [q.embedding for q in block], principal.sees(), k, probes, where)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = vectors.rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    return ranked(found, k)
 
 
-def _weighed(index: Index, terms: Sequence[str], found: DataFrame, tenant_id: str) -> DataFrame:
-    counts = found.groupBy("term").agg(F.count("*").alias("df"))
-    one = index.stats.where(F.col("tenant_id") == tenant_id).first()
+def idf(index: Index, terms: Sequence[str], principal: Principal) -> DataFrame:
+    """``(term, df, idf)``: document frequencies among the chunks the caller sees, N of the whole tenant. Terms without a chunk stay.
+
+    A frequency is the sum of those of the classes that the caller sees; no
+    chunk and no posting is read.
+    """
+    spark = index.classes.sparkSession
+    seen = index.classes.where(principal.sees()).select("class_id")
+    counts = index.of_terms(index.frequencies, terms).join(seen, "class_id", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    one = index.stats.where(F.col("tenant_id") == principal.tenant_id).first()
     n, df = F.lit(max(1, one["chunk_count"]) if one else 1), F.coalesce("df", F.lit(0)).cast("long")
-    all_terms = found.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    all_terms = spark.createDataFrame([(t,) for t in terms], "term string")
     return all_terms.join(counts, "term", "left").select("term", df.alias("df"), F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def lexical(index: Index, queries: Sequence[Query], principal: Principal, k: int, where: Column | None = None, any_term: bool = False) -> DataFrame:
+def _occurrences(clause: Clause, places: dict[str, np.ndarray]) -> np.ndarray:
+    """First positions of a clause's occurrences in a chunk, given the positions of each of its terms."""
+    found = None
+    for shift, term in enumerate(clause.terms):
+        if term is None:  # a stop word stood here
+            continue
+        at = places.get(term)
+        if at is None:
+            return np.zeros(0, np.int64)
+        found = at - shift if found is None else np.intersect1d(found, at - shift, assume_unique=True)
+    return np.zeros(0, np.int64) if found is None else found
+
+
+def satisfied(groups: Sequence[Sequence[Clause]], places: dict[str, np.ndarray]) -> bool:
+    """Whether a chunk with these positions of terms satisfies a parsed query."""
+    return any(all((len(_occurrences(c, places)) > 0) != c.negated for c in g) for g in groups)
+
+
+def cover_density(groups: Sequence[Sequence[Clause]], places: dict[str, np.ndarray]) -> float:
+    """Sum over the query's covers of COVER / (1 + words within that belong to no clause).
+
+    A cover is a shortest stretch of text that satisfies an alternative whose
+    negated clauses find nothing in the chunk.
+    """
+    covers: dict[tuple[int, int], int] = {}
+    for g in groups:
+        wanted = [c for c in g if not c.negated]
+        found = [_occurrences(c, places) for c in wanted]
+        if not wanted or not all(map(len, found)) or any(len(_occurrences(c, places)) for c in g if c.negated):
+            continue
+        events = sorted((p + len(c.terms) - 1, p, k) for k, (c, at) in enumerate(zip(wanted, found)) for p in at.tolist())
+        of_clauses = np.unique(np.concatenate([at + i for c, at in zip(wanted, found) for i in range(len(c.terms))]))
+        newest, last = [-1] * len(wanted), -1
+        for end, start, k in events:
+            newest[k] = max(newest[k], start)
+            first = min(newest)
+            if first > last:
+                last = first
+                inside = int(np.searchsorted(of_clauses, end, "right") - np.searchsorted(of_clauses, first))
+                covers[first, end] = max(covers.get((first, end), 0), inside)
+    return sum(COVER / (1 + end - first + 1 - inside) for (first, end), inside in sorted(covers.items()))
+
+
+def _part(idf: float, tf: int, n_terms: int, average: float) -> float:
+    """What a term adds to a chunk's BM25."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_terms / average))
+
+
+def lexical(index: Index, queries: Sequence[Query], principal: Principal, k: int, where: Column | None = None, any_term: bool = False, prefilter: int | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the k best chunks by BM25 that satisfy the query and the filter.
 
     ``any_term`` takes a query as a bag of words; else the web-search language
-    holds (all terms, ``or``, ``-``, phrases), which is checked on the texts of
-    chunks that hold a term.
+    holds (all terms, ``or``, ``-``, phrases), settled by the positions of the
+    terms in a chunk. With ``prefilter``, only the ``prefilter * k`` chunks
+    first by cover density (and then by chunk_id) are scored. Frequencies are
+    those of the caller's chunks, whatever the filter.
     """
     parsed = {q.query_id: bag_of_words(q.text, index.english) if any_term else parse_websearch(q.text, index.english) for q in queries}
-    of = [(i, t) for i, g in parsed.items() for t in query_terms(g)]
-    spark = index.chunks.sparkSession
+    of: dict[str, list[int]] = {}
+    for i, g in parsed.items():
+        for t in query_terms(g):
+            of.setdefault(t, []).append(i)
+    spark = index.classes.sparkSession
     if not of:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    seen = index.chunks.where(principal.sees() if where is None else principal.sees() & where)
-    found = matched(index, sorted({t for _, t in of}), seen.select("chunk_id"))
-    weights = _weighed(index, sorted({t for _, t in of}), found, principal.tenant_id)
-    of_query = spark.createDataFrame(of, "query_id long, term string").join(weights, "term")
-    pairs = found.join(F.broadcast(of_query), "term")  # no more rows than the batch has terms
-    if not any_term:
-        texts = analyzed(seen.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi"), index.english)
-        wanted = F.array_compact(F.array(*(F.when(matches(F.col("tokens"), g), F.lit(i).cast("long")) for i, g in parsed.items() if g)))
-        pairs = pairs.join(texts.select("chunk_id", F.explode(wanted).alias("query_id")), ["chunk_id", "query_id"])
+    terms = sorted(of)
+    found = index.of_terms(index.postings, terms).join(index.classes.where(principal.sees()).select("class_id"), "class_id", "left_semi")
+    if where is not None:
+        found = found.join(index.chunks.where(where).select("chunk_id"), "chunk_id", "left_semi")
+    weights = {r["term"]: r["idf"] for r in idf(index, terms, principal).collect()}  # the terms of a batch of requests
     one = index.stats.where(F.col("tenant_id") == principal.tenant_id).first()
     average = one["avg_len"] if one else 1.0
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / average))
-    return ranked(pairs.groupBy("query_id", F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.sum(part).alias("score")), k)
+    if any_term and prefilter is None:
+        of_query = spark.createDataFrame([(i, t, weights[t]) for t in terms for i in of[t]], "query_id long, term string, idf double")
+        pairs = found.join(F.broadcast(of_query), "term")  # no more rows than the batch has terms
+        part = _part(F.col("idf"), F.col("tf"), F.col("n_terms"), average)
+        return ranked(pairs.groupBy("query_id", F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.sum(part).alias("score")), k)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for chunk, n_terms, held in zip(*(c.to_pylist() for c in batch.columns)):
+                tf = {h["term"]: h["tf"] for h in held}
+                places = {h["term"]: np.cumsum(h["gaps"], dtype=np.int64) for h in held}
+                for i in sorted({i for t in tf for i in of[t]}):
+                    if not satisfied(parsed[i], places):
+                        continue
+                    score = math.fsum(_part(weights[t], tf[t], n_terms, average) for t in query_terms(parsed[i]) if t in tf)
+                    out.append((i, chunk, score, cover_density(parsed[i], places) if prefilter else 0.0))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "chunk_id", "score", "density"])
+
+    held = found.groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.first("n_terms").alias("n_terms"), F.collect_list(F.struct("term", "tf", "gaps")).alias("held"))
+    rows = held.mapInArrow(scored, "query_id long, chunk_id long, score double, density double")
+    if prefilter:
+        rows = ranked(rows, prefilter * k, "density").drop("rank")
+    return ranked(rows.drop("density"), k)
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, alpha: float, rrf_k: int) -> DataFrame:
@@ -239,12 +251,12 @@ def trace(fused: DataFrame) -> DataFrame:
 
 
 def hybrid_search(
-    index: Index, queries: Sequence[Query], principal: Principal, params: Params = Params(), where: Column | None = None, any_term: bool = False, vectors: DataFrame | None = None, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None
+    index: Index, queries: Sequence[Query], principal: Principal, params: Params = Params(), where: Column | None = None, any_term: bool = False, vectors: DataFrame | VectorIndex | None = None, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None
 ) -> DataFrame:
     """The traced union of both channels for each query; blank queries give nothing.
 
-    ``vectors`` are the chunks with embeddings, if those of the index have none;
-    ``embed`` gives the embeddings of queries that come without. Rows within the
+    ``vectors`` are the chunks with embeddings, if those of the index have none,
+    or a stored vector index, of which the nearest cells are read; ``embed`` gives the embeddings of queries that come without. Rows within the
     answer are those with ``fused_rank <= top_k`` and ``normalised >=
     min_score``; the others are what a debugger shows.
     """
@@ -253,9 +265,12 @@ def hybrid_search(
     if embed and (bare := [q for q in asked if q.embedding is None]):
         found = dict(zip((q.query_id for q in bare), map(tuple, embed([q.text for q in bare]))))
         asked = [replace(q, embedding=found.get(q.query_id, q.embedding)) for q in asked]
-    rows = index.chunks if vectors is None else vectors
-    rows = rows.where(principal.sees() if where is None else principal.sees() & where)
-    return trace(fuse(dense(rows, asked, p.candidates), lexical(index, asked, principal, p.candidates, where, any_term=any_term), p.alpha, p.rrf_k))
+    if isinstance(vectors, VectorIndex):
+        close = dense_of_cells(vectors, asked, principal, p.candidates, where=where)
+    else:
+        rows = index.chunks if vectors is None else vectors
+        close = dense(rows.where(principal.sees() if where is None else principal.sees() & where), asked, p.candidates)
+    return trace(fuse(close, lexical(index, asked, principal, p.candidates, where, any_term=any_term), p.alpha, p.rrf_k))
 
 
 def trace_lists(traced: DataFrame, params: Params = Params()) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.access import contains
 from millrace.functions.text import bag_of_words, query_terms
-from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, pipeline, rollups, search, state
-from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, stored_index, table
+from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
+from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, stored_index, stored_vectors, table
 from millrace.sources.connectors import conversation_threads, drive_files, web_pages
 from millrace.streaming.streams import daily_documents, live_jobs, login_outcomes, skip_unchanged
 
@@ -97,6 +97,20 @@ def h_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(search.dense(rows, questions(spark, sf_dir), 60))
 
 
+@_query(f"WITH {_CHUNKS}, {_dense(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
+def h_dense_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact answer from the stored vector index, all cells read."""
+    index = stored_vectors(spark, sf_dir)
+    return _scored(search.dense_of_cells(index, questions(spark, sf_dir), MEMBER, 60, probes=len(index.centres)))
+
+
+@_query()
+def h_dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From as many cells as find 0.95 of the nearest neighbours of stored vectors."""
+    index = stored_vectors(spark, sf_dir)
+    return _scored(search.dense_of_cells(index, questions(spark, sf_dir), MEMBER, 60, probes=vectors.probes_for(index, recall=0.95, k=60)))
+
+
 @_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def h_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(search.lexical(stored_index(spark, sf_dir), questions(spark, sf_dir), MEMBER, 60, any_term=True))
@@ -125,6 +139,28 @@ def h_bm25_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(search.lexical(stored_index(spark, sf_dir), [search.Query(i, q) for i, q in _REQUESTS], MEMBER, 60))
 
 
+_CLOSE = ((1, "the license"), (2, "que la"), (3, "der und"))
+
+
+@_query(
+    f"""WITH {_CHUNKS}, {_TF},
+q(query_id, term) AS (VALUES (1, 'the'), (1, 'license'), (2, 'que'), (2, 'la'), (3, 'der'), (3, 'und')),
+seen AS (SELECT chunk_id, {_TERMS.format('content')} AS k FROM chunks WHERE tenant_id = 'acme' AND {_SEES['member']}),
+spots AS (SELECT chunk_id, k[i] AS term, i FROM (SELECT chunk_id, k, unnest(range(1, len(k) + 1)) AS i FROM seen) WHERE k[i] IN (SELECT term FROM q)),
+near AS (SELECT query_id, chunk_id, i, term, lag(i) OVER p AS i0, lag(term) OVER p AS term0 FROM spots JOIN q USING (term) WINDOW p AS (PARTITION BY query_id, chunk_id ORDER BY i)),
+density AS (SELECT query_id, chunk_id, sum(0.1::DOUBLE / (i - i0)) AS d FROM near WHERE term <> term0 GROUP BY ALL),
+short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) DESC, chunk_id) AS place FROM density) WHERE place <= 10),
+df AS (SELECT term, count(*) AS df FROM tf SEMI JOIN seen USING (chunk_id) GROUP BY ALL),
+bm AS (
+  SELECT query_id, chunk_id, sum(ln(1 + ((SELECT n FROM stats WHERE tenant_id = 'acme') - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / (SELECT avg_len FROM stats WHERE tenant_id = 'acme')))) AS score
+  FROM short JOIN q USING (query_id) JOIN tf USING (chunk_id, term) JOIN df USING (term) JOIN len USING (chunk_id) GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) WHERE rank <= 2"""
+)
+def h_bm25_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best of the ten chunks in which the terms of a request stand closest together."""
+    return _scored(search.lexical(stored_index(spark, sf_dir), [search.Query(i, q) for i, q in _CLOSE], MEMBER, 2, prefilter=search.PREFILTER))
+
+
 @_query()
 def h_bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lexical(stored_index(spark, sf_dir, english=True), questions(spark, sf_dir), MEMBER, 60, any_term=True)
@@ -159,7 +195,7 @@ def h_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT DISTINCT term, coalesce(df, 0) AS df, round(w, 6) AS idf FROM idf LEFT JOIN df USING (term)")
 def h_idf_by_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = sorted({t for q in questions(spark, sf_dir) for t in query_terms(bag_of_words(q.text))})
-    return search.idf(stored_index(spark, sf_dir), terms, MEMBER.sees(), "acme").withColumn("idf", F.round("idf", 6))
+    return search.idf(stored_index(spark, sf_dir), terms, MEMBER).withColumn("idf", F.round("idf", 6))
 
 
 @_query(f"WITH {_CHUNKS}, {_TF} SELECT tenant_id, n AS chunk_count, round(avg_len, 6) AS avg_len FROM stats")
@@ -170,7 +206,7 @@ def h_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_CHUNKS}, {_TF} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM tf GROUP BY ALL")
 def h_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored index term by term; it is written by the first query of a session that needs it."""
-    return stored_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return stored_index(spark, sf_dir).frequencies.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
 
 
 @_query(f"{_fused(_SEES['member'])}, t AS ({_TRACED_SQL}) SELECT query_id, chunk_id, 'dense' AS stage, dense_rank AS rank, dense_score AS score FROM t WHERE dense_rank BETWEEN 1 AND 10 UNION ALL SELECT query_id, chunk_id, 'sparse', sparse_rank, sparse_score FROM t WHERE sparse_rank BETWEEN 1 AND 10 UNION ALL SELECT query_id, chunk_id, 'fused', fused_rank, normalised FROM t WHERE fused_rank <= 8")

@@ -8,14 +8,19 @@ more, independently, in the SQL of :mod:`millrace.plans.registry`.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.access import SOURCE_KINDS
-from millrace.operators.search import Index, Principal, Query, read_index, write_index
+from millrace.operators.index import Index, read_index, write_index
+from millrace.operators.search import Principal, Query
+from millrace.operators.vectors import MOST_CELLS, VectorIndex, read_vectors, write_vectors
 
 MEMBER = Principal("acme", ("engineering",))
 ADMIN = Principal("acme", (), True)
@@ -66,18 +71,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def stored_index(spark: SparkSession, sf_dir: str, english: bool = False) -> Index:
-    """The stored index of the documents, written when first asked for and again once their files change."""
-    files = table(spark, sf_dir, "documents").agg(F.count("*"), F.max("_metadata.file_modification_time").cast("string")).first()
-    key = (spark.conf.get("spark.app.id", ""), sf_dir, english, *files)
+def _kept(spark: SparkSession, sf_dir: str, tables: Sequence[str], tag: str, write: Callable[[str], None], read: Callable[[str], Any]) -> Any:
+    """What ``write(path)`` stores of these tables in the shared folder, written when first asked for and again once their files change or the folder is cleared."""
+    files = [tuple(table(spark, sf_dir, t).agg(F.count("*"), F.max("_metadata.file_modification_time").cast("string")).first()) for t in tables]
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, tag, *files)
     if key in _stored:
         try:
-            return read_index(chunks(spark, sf_dir), _stored[key])
+            return read(_stored[key])
         except AnalysisException:  # the folder has been cleared
             pass
-    _stored[key] = f"{shared_folder(spark)}/millrace-index-{uuid.uuid4().hex}"
-    write_index(chunks(spark, sf_dir), _stored[key], english)
-    return read_index(chunks(spark, sf_dir), _stored[key])
+    _stored[key] = f"{shared_folder(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
+    write(_stored[key])
+    return read(_stored[key])
+
+
+def stored_index(spark: SparkSession, sf_dir: str, english: bool = False) -> Index:
+    """The stored text index of the documents."""
+    rows = chunks(spark, sf_dir)
+    return _kept(spark, sf_dir, ["documents"], f"index-{'english' if english else 'simple'}", lambda path: write_index(rows, path, english), lambda path: read_index(rows, path))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored vector index of the documents' embeddings, in about the square root of their number of cells."""
+    rows = chunks(spark, sf_dir, embedded=True)
+    cells = max(2, min(MOST_CELLS, math.isqrt(table(spark, sf_dir, "embeddings").count())))
+    return _kept(spark, sf_dir, ["documents", "embeddings"], "vectors", lambda path: write_vectors(rows, path, cells), lambda path: read_vectors(rows, path))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> list[Query]:

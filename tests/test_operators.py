@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.access import contains, public_config, secret_keys, visible
 from millrace.functions.text import Clause, matches, parse_websearch, simple_tokens, stem
 from millrace.functions import display
-from millrace.operators import chunking, context, datasets, evaluation, ingest, jobs, mentions, search, state
+from millrace.operators import chunking, context, datasets, evaluation, index, ingest, jobs, mentions, search, state
 from millrace.sources import connectors
 from millrace.streaming import streams
 
@@ -64,7 +64,7 @@ def test_secrets(spark):
 
 def _index(spark):
     rows = [(1, "apple apple pear", [1.0, 0.0], True, []), (2, "apple", [0.0, 1.0], False, ["hr"]), (3, "pear plum", None, True, []), (4, "", [0.6, 0.8], True, []), (5, None, [0.6, 0.8], True, None)]
-    return search.index_of(spark.createDataFrame(rows, "chunk_id long, content string, embedding array<float>, acl_public boolean, acl_groups array<string>").withColumn("tenant_id", F.lit("t")))
+    return index.index_of(spark.createDataFrame(rows, "chunk_id long, content string, embedding array<float>, acl_public boolean, acl_groups array<string>").withColumn("tenant_id", F.lit("t")))
 
 
 def test_alpha_ends_and_access(spark):
@@ -357,15 +357,21 @@ def test_filters_and_orders(spark):
     assert held["one"].count() == 3 and took["one"] > 0
 
 
+def _same_index(one, other):
+    """Equal postings with positions, frequencies, statistics and lengths."""
+    for name, key in (("postings", ["term", "chunk_id", "class_id", "tf", "n_terms", "gaps"]), ("frequencies", ["term", "class_id", "df", "occurrences"]), ("classes", ["class_id", "tenant_id", "acl_public", "acl_groups", "chunks", "terms"]), ("lengths", ["chunk_id", "class_id", "n_terms"]), ("stats", ["tenant_id", "chunk_count", "avg_len"])):
+        a, b = (sorted(map(repr, getattr(i, name).select(key).collect())) for i in (one, other))
+        assert a == b, name
+
+
 def test_stored_index_equals_an_unstored_one(spark, tmp_path):
-    index = _index(spark)
-    search.write_index(index.chunks, str(tmp_path / "i"), buckets=5, bucket_rows=1)
-    stored = search.read_index(index.chunks, str(tmp_path / "i"))
-    key = ["term", "chunk_id", "tf", "n_terms"]
-    assert sorted(map(tuple, stored.postings.select(key).collect())) == sorted(map(tuple, index.postings.select(key).collect()))
+    plain = _index(spark)
+    index.write_index(plain.chunks, str(tmp_path / "i"), buckets=5)
+    stored = index.read_index(plain.chunks, str(tmp_path / "i"))
+    _same_index(stored, plain)
     queries = [search.Query(1, "apple or plum"), search.Query(2, "pear -plum"), search.Query(3, '"apple pear"'), search.Query(4, "nothing")]
     rank = lambda i: sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in search.lexical(i, queries, search.Principal("t", (), True), 9).collect())
-    assert rank(stored) == rank(index) and {(q, c) for q, c, _ in rank(index)} == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)}
+    assert rank(stored) == rank(plain) and {(q, c) for q, c, _ in rank(plain)} == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)}
     embedded = search.hybrid_search(stored, [search.Query(7, "apple")], search.Principal("t", (), True), embed=lambda texts: [(0.0, 1.0) for _ in texts])
     assert {r.chunk_id for r in embedded.where("dense_rank = 1").collect()} == {2}
 
