@@ -26,6 +26,8 @@ from millrace.llm.textnum import release_memory
 STEP = 1_000
 #: Terms of a block on average, and so entries of an array; distinct entries that a task counts before it hands them on.
 BLOCK_TERMS, HELD = 1 << 15, 200_000
+#: Parts in which the terms of a block get their ids.
+PARTS = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -202,9 +204,11 @@ def audit(docs: DataFrame, min_documents: int = 10, top: int = 10) -> DataFrame:
     # part pair
     most = totals.agg(F.max("terms")).first()[0] or 0
     blocks = max(1, -(-most // BLOCK_TERMS))
-    block = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
-    numbered = kept.where("first").select("lang", "term", block.alias("block"))
-    numbered = numbered.withColumn("id", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")))
+    # ids: the place in one of a block's PARTS parts, which are numbered apart
+    part = F.pmod(F.xxhash64("term"), F.lit(blocks * PARTS))
+    numbered = kept.where("first").select("lang", "term", part.alias("part"))
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy("term"))
+    numbered = numbered.select("lang", "term", (F.col("part") % blocks).cast("int").alias("block"), (F.col("part") * (1 << 32) + place).alias("id"))
     held = kept.select("lang", "source", "term", "n").join(numbered, ["lang", "term"])
     arrays = written(held.groupBy("lang", "source", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("terms")), "arrays")
 
