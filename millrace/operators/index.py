@@ -11,7 +11,8 @@ are differences (added minus taken out), so those of an index are plain sums. A
 change writes its own segment only; segments are merged by size.
 
 Layout of a segment: ``postings/bucket=i`` (buckets of terms, sorted by term;
-bucket -1 has one row for each chunk), ``frequencies``, ``classes``, ``gone``.
+bucket -1 has one row for each chunk), ``frequencies``, ``classes``, ``gone``,
+and ``grams`` (lists of chunks by trigram, if the index has any).
 ``manifest/version=n`` names the segments of each version of the index.
 """
 
@@ -28,6 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions.text import Stems
+from millrace.operators.trigrams import holders, trigram_lists
 
 #: Chunks for each bucket of a new index, and its most buckets.
 BUCKET_CHUNKS, MOST_BUCKETS = 50_000, 4096
@@ -39,6 +41,7 @@ _TABLES = {
     "frequencies": "term string, class_id long, df long, occurrences long, bucket int",
     "classes": "class_id long, tenant_id string, acl_public boolean, acl_groups array<string>, chunks long, terms long",
     "gone": "chunk_id {kind}",
+    "grams": "field string, gram long, n int, chunks array<{kind}>, bucket int",
 }
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -51,7 +54,9 @@ class Index:
     being the first position and the distances to the next ones;
     ``frequencies(term, class_id, df, occurrences, bucket)``;
     ``classes(class_id, tenant_id, acl_public, acl_groups, chunks, terms)``;
-    ``lengths(chunk_id, class_id, n_terms)``, one row for each chunk.
+    ``lengths(chunk_id, class_id, n_terms)``, one row for each chunk. A stored
+    index may have ``grams(field, gram, n, chunks, bucket, number)``, which also
+    list chunks that ``gone(_gone, until)`` takes out.
     """
 
     chunks: DataFrame
@@ -61,6 +66,8 @@ class Index:
     lengths: DataFrame
     english: bool = False
     buckets: int = 1
+    grams: DataFrame | None = None
+    gone: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -77,6 +84,23 @@ class Index:
         wanted = rows.sparkSession.createDataFrame([(t,) for t in terms], "term string")
         return rows.join(F.broadcast(wanted), "term", "left_semi")  # the terms of a batch of requests
 
+    def may_hold(self, needle: str, field: str = "content") -> DataFrame | None:
+        """``(chunk_id)`` of a few chunks among which are all whose field holds the needle in any case; null where the index cannot tell.
+
+        It cannot without trigrams, and for needles below three characters.
+        """
+        spark = self.classes.sparkSession
+        low = spark.range(1).select(F.lower(F.lit(needle)).alias("low")).first()["low"]
+        if self.grams is None or len(low) < 3:
+            return None
+        found = holders(self.grams, field, low, self.buckets)
+        return (found if self.gone is None else _left(found, self.gone)).select("chunk_id")
+
+
+def _left(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of segments but for what later segments take out."""
+    return rows.join(gone, (F.col("chunk_id") == F.col("_gone")) & (F.col("number") < F.col("until")), "left_anti")
+
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.when(term.isNull(), -1).otherwise(F.pmod(F.crc32(term.cast("binary")), F.lit(buckets))).cast("int")
@@ -177,20 +201,21 @@ def _store_sums(frequencies: DataFrame, classes: DataFrame, gone: DataFrame, seg
 
 @dataclass(frozen=True)
 class Manifest:
-    """A version of a stored index: its segments with the chunks that each added, the analyzer, the buckets, and the type of chunk ids."""
+    """A version of a stored index: its segments with the chunks that each added, the analyzer, the buckets, the type of chunk ids, and the columns with trigrams."""
 
     version: int
     segments: tuple[tuple[str, int], ...]
     english: bool
     buckets: int
     kind: str
+    fields: tuple[str, ...] = ()
 
 
-_MANIFEST = "number int, segment string, chunks long, english boolean, buckets int, kind string"
+_MANIFEST = "number int, segment string, chunks long, english boolean, buckets int, kind string, fields array<string>"
 
 
 def _publish(spark: SparkSession, path: str, m: Manifest) -> None:
-    rows = [(i, s, n, m.english, m.buckets, m.kind) for i, (s, n) in enumerate(m.segments)]
+    rows = [(i, s, n, m.english, m.buckets, m.kind, list(m.fields)) for i, (s, n) in enumerate(m.segments)]
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest/version={m.version}")
 
 
@@ -199,18 +224,31 @@ def manifest(spark: SparkSession, path: str) -> Manifest:
     rows = spark.read.schema(f"{_MANIFEST}, version int").parquet(f"{path}/manifest").collect()  # a few rows a change
     newest = max(r["version"] for r in rows)
     rows = sorted((r for r in rows if r["version"] == newest), key=lambda r: r["number"])
-    return Manifest(newest, tuple((r["segment"], r["chunks"]) for r in rows), rows[0]["english"], rows[0]["buckets"], rows[0]["kind"])
+    return Manifest(newest, tuple((r["segment"], r["chunks"]) for r in rows), rows[0]["english"], rows[0]["buckets"], rows[0]["kind"], tuple(rows[0]["fields"]))
+
+
+def _store_grams(chunks: DataFrame, fields: Sequence[str], segment: str, buckets: int) -> None:
+    if fields:
+        _store_lists(trigram_lists(chunks, fields).withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int")), segment)
+
 
+def _store_lists(lists: DataFrame, segment: str) -> None:
+    lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "gram").write.partitionBy("bucket").parquet(f"{segment}/grams")
 
-def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: int | None = None) -> None:
-    """Store a new index of the chunks as one segment: one analysis of the texts, one exchange of the postings."""
+
+def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: int | None = None, trigrams: Sequence[str] = ()) -> None:
+    """Store a new index of the chunks as one segment: one analysis of the texts, one exchange of the postings.
+
+    ``trigrams`` names columns whose parts are searched for, see :meth:`Index.may_hold`.
+    """
     spark = chunks.sparkSession
     buckets = buckets or min(MOST_BUCKETS, 1 + chunks.count() // BUCKET_CHUNKS)
     segment = _new_segment(path)
     stored = _store_postings(analyzed(chunks, english), segment, buckets)
     postings, lengths = stored.where("bucket >= 0"), stored.where("bucket = -1")
     _store_sums(_frequencies(postings, buckets), _classes(chunks, lengths), chunks.select("chunk_id").where("false"), segment)
-    _publish(spark, path, Manifest(0, ((segment, lengths.count()),), english, buckets, chunks.schema["chunk_id"].dataType.simpleString()))
+    _store_grams(chunks, trigrams, segment, buckets)
+    _publish(spark, path, Manifest(0, ((segment, lengths.count()),), english, buckets, chunks.schema["chunk_id"].dataType.simpleString(), tuple(trigrams)))
 
 
 def update_index(path: str, before: DataFrame, after: DataFrame, merge: bool = True) -> None:
@@ -230,6 +268,7 @@ def update_index(path: str, before: DataFrame, after: DataFrame, merge: bool = T
     freq = _frequencies(postings, m.buckets).unionByName(_frequencies(old.where("term is not null"), m.buckets, -1))
     classes = _classes(after, lengths).unionByName(_classes(before, old.where("term is null"), -1))
     _store_sums(_summed(freq, "df <> 0 or occurrences <> 0"), classes, before.select("chunk_id").distinct(), segment)
+    _store_grams(after, m.fields, segment, m.buckets)
     _publish(spark, path, replace(m, version=m.version + 1, segments=(*m.segments, (segment, lengths.count()))))
     if merge:
         merge_segments(spark, path)
@@ -254,6 +293,10 @@ def merge_segments(spark: SparkSession, path: str, factor: int = 2) -> None:
     stored = _store_postings(_live(spark, parts).drop("bucket"), segment, m.buckets)
     freq = _summed(_read(spark, parts, "frequencies"), "df <> 0 or occurrences <> 0")
     _store_sums(freq, _summed_classes(_read(spark, parts, "classes")), _read(spark, parts, "gone").select("chunk_id").distinct(), segment)
+    if m.fields:  # an entry goes with its chunk, a list that is left empty goes too
+        entries = _read(spark, parts, "grams").select("field", "gram", "bucket", "number", F.spark_partition_id().alias("part"), F.explode("chunks").alias("chunk_id"))
+        lists = _left(entries, _gone(spark, parts)).groupBy("field", "gram", "bucket", "number", "part").agg(F.count("*").cast("int").alias("n"), F.collect_list("chunk_id").alias("chunks"))
+        _store_lists(lists.select("field", "gram", "n", "chunks", "bucket"), segment)
     _publish(spark, path, replace(m, version=m.version + 1, segments=(*m.segments[:first], (segment, stored.where("bucket = -1").count()))))
 
 
@@ -269,10 +312,12 @@ def _read(spark: SparkSession, m: Manifest, name: str) -> DataFrame:
 def _live(spark: SparkSession, m: Manifest) -> DataFrame:
     """Postings and lengths of the segments but for what later ones take out."""
     rows = _read(spark, m, "postings")
-    if len(m.segments) > 1:
-        later = _read(spark, m, "gone").groupBy("chunk_id").agg(F.max("number").alias("until")).withColumnRenamed("chunk_id", "_gone")
-        rows = rows.join(later, (F.col("chunk_id") == F.col("_gone")) & (F.col("number") < F.col("until")), "left_anti")
-    return rows.drop("number")
+    return (_left(rows, _gone(spark, m)) if len(m.segments) > 1 else rows).drop("number")
+
+
+def _gone(spark: SparkSession, m: Manifest) -> DataFrame:
+    """``(_gone, until)``: chunks taken out, and the segment below whose number they are dead."""
+    return _read(spark, m, "gone").groupBy(F.col("chunk_id").alias("_gone")).agg(F.max("number").alias("until"))
 
 
 def read_index(chunks: DataFrame, path: str) -> Index:
@@ -283,4 +328,5 @@ def read_index(chunks: DataFrame, path: str) -> Index:
     if len(m.segments) > 1:
         freq, classes = _summed(freq, "df > 0"), _summed_classes(classes)
     lengths = rows.where("bucket = -1").select("chunk_id", "class_id", "n_terms")
-    return Index(chunks, rows.where("bucket >= 0"), freq.drop("number"), classes.where("chunks > 0").drop("number"), lengths, m.english, m.buckets)
+    grams, gone = _read(spark, m, "grams") if m.fields else None, _gone(spark, m) if len(m.segments) > 1 else None
+    return Index(chunks, rows.where("bucket >= 0"), freq.drop("number"), classes.where("chunks > 0").drop("number"), lengths, m.english, m.buckets, grams, gone)

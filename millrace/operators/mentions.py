@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.access import kind_rank
+from millrace.operators.index import Index
 
 
 def find_mentions(chunks: DataFrame, needle: str, sees: Column, source_ids: list | None = None) -> DataFrame:
@@ -31,6 +32,33 @@ def find_mentions(chunks: DataFrame, needle: str, sees: Column, source_ids: list
     )
 
 
+#: Chunks that may hold a needle up to which they are named in the scan's filter.
+NAMED_CHUNKS = 1_000
+
+
+def indexed_mentions(index: Index, needle: str, sees: Column, source_ids: list | None = None) -> DataFrame:
+    """As :func:`find_mentions` on the index's chunks, reading those only that hold the needle's rarest trigrams.
+
+    Where the index cannot tell (needles below three characters), all chunks
+    are read. A few chunks are named in the scan's filter, which skips files
+    and row groups of a table in order of chunk_id; more are joined.
+    """
+    return find_mentions(_among(index, index.may_hold(needle)), needle, sees, source_ids)
+
+
+def _among(index: Index, held: DataFrame | None) -> DataFrame:
+    if held is None:
+        return index.chunks
+    some = [r["chunk_id"] for r in held.distinct().limit(NAMED_CHUNKS + 1).collect()]
+    return index.chunks.where(F.col("chunk_id").isin(some)) if len(some) <= NAMED_CHUNKS else index.chunks.join(held, "chunk_id", "left_semi")
+
+
+def titled(index: Index, part: str, sees: Column) -> DataFrame:
+    """Visible chunks whose title contains the part, in any case; through the trigrams of titles where the index has them."""
+    rows = _among(index, index.may_hold(part, "title"))
+    return rows.where(sees).where(F.contains(F.lower("title"), F.lower(F.lit(part))))
+
+
 def ordered(found: DataFrame, limit: int = 200) -> DataFrame:
     """The first mentions by kind of source, title and place in the document."""
     return found.orderBy("kind_order", "title", "ordinal", "chunk_id").limit(limit)

@@ -1,0 +1,57 @@
+"""Trigrams of texts: lists of the chunks that hold three characters in a row, and which of them a needle needs."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+#: Texts whose lists are joined before they are written.
+RUN_TEXTS = 512
+#: Lists of a needle that are intersected, rarest first.
+RAREST = 4
+
+
+def trigrams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text in order, 21 bits a character; none below three characters."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique(a[:-2] << 42 | a[1:-1] << 21 | a[2:])
+
+
+def trigram_lists(chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(field, gram, n, chunks)``: for runs of texts, the chunks that hold each trigram of a lower-cased column; nulls hold none."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = chunks.select("chunk_id", *(F.lower(c).alias(c) for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, RUN_TEXTS):
+                part = batch.slice(first, RUN_TEXTS)
+                for k, field in enumerate(columns):
+                    found = [trigrams(t or "") for t in part.column(k + 1).to_pylist()]
+                    grams = np.concatenate(found)
+                    order = np.argsort(grams, kind="stable")
+                    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])[order]
+                    grams = grams[order]
+                    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1])))
+                    offsets = np.append(starts, len(grams)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), part.column(0).take(pa.array(owner)))
+                    yield pa.RecordBatch.from_arrays([pa.array([field] * len(starts), pa.string()), pa.array(grams[starts]), pa.array(np.diff(offsets)), lists], ["field", "gram", "n", "chunks"])
+
+    return rows.mapInArrow(run, f"field string, gram long, n int, chunks array<{kind}>")
+
+
+def holders(lists: DataFrame, field: str, low: str, buckets: int) -> DataFrame:
+    """``(chunk_id, number)`` of the chunks that hold the rarest trigrams of a lower-cased needle of three characters at least.
+
+    Every chunk that holds the needle is among them. ``lists`` are those of an
+    index's segments, with the ``number`` of the segment.
+    """
+    wanted = trigrams(low).tolist()
+    mine = lists.where((F.col("field") == field) & F.col("bucket").isin(sorted({g % buckets for g in wanted})) & F.col("gram").isin(wanted))
+    sizes = {r["gram"]: r["n"] for r in mine.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # 198 rows at most
+    rarest = sorted(wanted, key=lambda g: (sizes.get(g, 0), g))[:RAREST]
+    entries = mine.where(F.col("gram").isin(rarest)).select("number", F.explode("chunks").alias("chunk_id"))
+    return entries.groupBy("chunk_id", "number").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("chunk_id", "number")

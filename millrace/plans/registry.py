@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from millrace.functions.access import contains
 from millrace.functions.text import bag_of_words, query_terms
 from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
-from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, stored_index, stored_vectors, table
+from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, stored_index, stored_trigrams, stored_vectors, table
 from millrace.sources.connectors import conversation_threads, drive_files, web_pages
 from millrace.streaming.streams import daily_documents, live_jobs, login_outcomes, skip_unchanged
 
@@ -243,6 +243,17 @@ def m_mentions_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.by_source(mentions.find_mentions(chunks(spark, sf_dir), _NEEDLE, MEMBER.sees())).drop("kind_order")
 
 
+@_query(f"{_MENTIONS} SELECT chunk_id, title, source_kind, match_offset, occurrences, snippet FROM found")
+def m_mentions_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mentions from the chunks that hold the needle's rarest trigrams."""
+    return mentions.indexed_mentions(stored_trigrams(spark, sf_dir), _NEEDLE, MEMBER.sees()).select("chunk_id", "title", "source_kind", F.col("match_offset").cast("long").alias("match_offset"), "occurrences", "snippet")
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, title FROM chunks WHERE tenant_id = 'acme' AND {_SEES['member']} AND contains(lower(title), 'rc1/1')")
+def m_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.titled(stored_trigrams(spark, sf_dir), "RC1/1", MEMBER.sees()).select("chunk_id", "title")
+
+
 # ---- predicates, aggregates, state
 
 

@@ -91,6 +91,12 @@ def stored_index(spark: SparkSession, sf_dir: str, english: bool = False) -> Ind
     return _kept(spark, sf_dir, ["documents"], f"index-{'english' if english else 'simple'}", lambda path: write_index(rows, path, english), lambda path: read_index(rows, path))
 
 
+def stored_trigrams(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored text index of the documents with the trigrams of contents and titles."""
+    rows = chunks(spark, sf_dir)
+    return _kept(spark, sf_dir, ["documents"], "trigrams", lambda path: write_index(rows, path, trigrams=("content", "title")), lambda path: read_index(rows, path))
+
+
 def stored_vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The stored vector index of the documents' embeddings, in about the square root of their number of cells."""
     rows = chunks(spark, sf_dir, embedded=True)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.text import matches, parse_websearch, simple_tokens
-from millrace.operators import index, search
+from millrace.operators import index, mentions, search
 from tests.test_operators import _same_index
 
 RULES = [(True, ()), (False, ("a",)), (False, ("b", "a")), (False, ("a", "b", "b")), (None, None), (False, ())]
@@ -136,3 +136,29 @@ def test_prefilter_keeps_the_closest(spark):
     assert len(got) == 2 and {r.chunk_id for r in got} <= {0, 1, 2}
     bag = search.lexical(plain, [search.Query(1, "x y")], search.Principal("t"), 2, any_term=True, prefilter=3).collect()
     assert len(bag) == 2
+
+
+# ---- trigrams
+
+
+def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(6)
+    letters = ["a", "b", "B", "é", "É", "日", "🙂", " ", "%", "İ"]
+    rows = [(i, "t", True, None, None if i == 7 else "".join(rng.choice(letters) for _ in range(rng.choice([0, 2, 3, 40])))) for i in range(120)]
+    shaped = lambda r: _chunks(spark, r).selectExpr("*", "concat('T ', chunk_id) as title", "'web' as source_kind", "'s' as source_id", "0 as ordinal")
+    path = str(tmp_path / "i")
+    index.write_index(shaped(rows), path, buckets=3, trigrams=("content", "title"))
+    changed = [(i, "t", True, None, "aBé" * (i % 3)) for i in range(10, 14)]
+    index.update_index(path, shaped(rows[10:14]), shaped(changed), merge=False)
+    now = [changed[r[0] - 10] if 10 <= r[0] < 14 else r for r in rows]
+    for _ in range(2):
+        stored = index.read_index(shaped(now), path)
+        for needle in ("abé", "aB", "🙂 b", "a%b", "İ é", "abéabé"):
+            got = sorted(map(tuple, mentions.indexed_mentions(stored, needle, F.lit(True)).select("chunk_id", "match_offset", "occurrences").collect()))
+            want = sorted(map(tuple, mentions.find_mentions(stored.chunks, needle, F.lit(True)).select("chunk_id", "match_offset", "occurrences").collect()))
+            assert got == want, needle
+        assert stored.may_hold("ab") is None and stored.may_hold("zzz").count() == 0
+        assert {r.chunk_id for r in mentions.titled(stored, "t 11", F.lit(True)).collect()} == {11, *range(110, 120)}
+        assert {r.chunk_id for r in mentions.titled(stored, "9", F.lit(True)).collect()} == {i for i in range(120) if "9" in str(i)}
+        index.merge_segments(spark, path, factor=10_000)
+    assert len(index.manifest(spark, path).segments) == 1
