@@ -1,8 +1,9 @@
-"""Text analysis: tokens, the web-search query language, and an English analyzer."""
+"""Text analysis: tokens, the web-search query language, and an English analyzer (stop words, and stems by Porter2)."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -19,51 +20,84 @@ def simple_tokens(text: Column) -> Column:
 STOP_WORDS = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
 )
-_VOWEL = "aeiouy"
+# Fixed values of the published English stemmer (Porter2).
+IRREGULAR = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+KEPT_AFTER_PLURAL = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+STEP_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
+    "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEP_4 = dict.fromkeys("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split(), "")
+_REGION = re.compile("[aeiouy][^aeiouy]")
+_VOWEL = re.compile("[aeiouy]")
+_SHORT = re.compile("(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+_DOUBLE = re.compile("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
 
 
-def _measure(stem: str) -> int:
-    """Vowel-consonant sequences of a stem."""
-    return len(re.findall(r"[aeiouy]+[^aeiouy]+", re.sub(r"^y", "Y", stem)))
+def _longest(table: Iterable[str]) -> re.Pattern:
+    """A word's longest ending of a table."""
+    return re.compile("(?:" + "|".join(sorted(table, key=len, reverse=True)) + ")$")
+
+
+_ENDS_2, _ENDS_3, _ENDS_4 = map(_longest, (STEP_2, STEP_3, STEP_4))
+
+
+def _regions(word: str) -> tuple[int, int]:
+    """Where R1 and R2 begin: behind the first consonant after a vowel, and once more."""
+    fixed = re.match("gener|commun|arsen", word)
+    first = fixed or _REGION.search(word)
+    r1 = first.end() if first else len(word)
+    second = _REGION.search(word, r1)
+    return r1, second.end() if second else len(word)
 
 
 def stem(word: str) -> str:
-    """A light suffix stemmer for English: plurals, -ed and -ing, and common derivations."""
-    if len(word) < 3 or not word.isascii():
+    """The stem of a lower-cased word by the published Porter2 algorithm; letters beyond a-z count as consonants."""
+    if word in IRREGULAR or len(word) < 3:
+        return IRREGULAR.get(word, word)
+    word = re.sub("([aeiouy])y", r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    r1, r2 = _regions(word)
+    # plurals
+    if word.endswith("sses"):
+        word = word[:-2]
+    elif word.endswith(("ied", "ies")):
+        word = word[:-2] if len(word) > 4 else word[:-1]
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and _VOWEL.search(word[:-2]):
+        word = word[:-1]
+    if word in KEPT_AFTER_PLURAL:
         return word
-    for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("us", "us"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + put
-            break
-    for end in ("eed", "ingly", "edly", "ing", "ed"):
-        if word.endswith(end):
-            base = word[: -len(end)]
-            if end == "eed":
-                word = base + "ee" if _measure(base) else word
-            elif any(c in _VOWEL for c in base):
-                word = base
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 2 and word[-1] == word[-2] and word[-1] not in "lsz" + _VOWEL:
-                    word = word[:-1]
-                elif _measure(word) == 1 and re.search(r"[^aeiouy][aeiouy][^aeiouywx]$", word):
-                    word += "e"
-            break
-    if len(word) > 2 and word[-1] == "y" and word[-2] not in _VOWEL:
+    # -ed and -ing
+    if found := re.search("eed(?:ly)?$", word):
+        word = word[: found.start()] + "ee" if found.start() >= r1 else word
+    elif (found := re.search("(?:ed|ing)(?:ly)?$", word)) and _VOWEL.search(word[: found.start()]):
+        word = word[: found.start()]
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif _DOUBLE.search(word):
+            word = word[:-1]
+        elif r1 >= len(word) and _SHORT.search(word):
+            word += "e"
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in "aeiouy":
         word = word[:-1] + "i"
-    for end, put in (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("alli", "al"), ("abli", "able"), ("eli", "e")):
-        if word.endswith(end):
-            if _measure(word[: -len(end)]):
-                word = word[: -len(end)] + put
-            break
-    for end in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ful", "ness", "al", "er", "ic"):
-        if word.endswith(end):
-            if _measure(word[: -len(end)]) > 1:
-                word = word[: -len(end)]
-            break
-    if word.endswith("e") and (_measure(word[:-1]) > 1 or _measure(word[:-1]) == 1 and not re.search(r"[^aeiouy][aeiouy][^aeiouywx]$", word[:-1])):
+    # derivations
+    if (found := _ENDS_2.search(word)) and (at := found.start()) >= r1:
+        end, before = found.group(), word[at - 1 : at]
+        if (end != "ogi" or before == "l") and (end != "li" or before in tuple("cdeghkmnrt")):
+            word = word[:at] + STEP_2[end]
+    if (found := _ENDS_3.search(word)) and found.start() >= (r2 if found.group() == "ative" else r1):
+        word = word[: found.start()] + STEP_3[found.group()]
+    if (found := _ENDS_4.search(word)) and found.start() >= r2 and (found.group() != "ion" or word[: found.start()].endswith(("s", "t"))):
+        word = word[: found.start()]
+    last = len(word) - 1
+    if word.endswith("e"):
+        word = word[:-1] if last >= r2 or last >= r1 and not _SHORT.search(word[:-1]) else word
+    elif word.endswith("ll") and last >= r2:
         word = word[:-1]
-    return word
+    return word.replace("Y", "y")
 
 
 class Stems(dict):

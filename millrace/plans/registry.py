@@ -45,9 +45,52 @@ len AS (SELECT chunk_id, count(*) AS n_terms FROM tf GROUP BY ALL),
 stats AS (SELECT tenant_id, count(*) AS n, greatest(avg(coalesce(n_terms, 0)), 1) AS avg_len FROM chunks LEFT JOIN len USING (chunk_id) GROUP BY ALL)"""
 
 
-def _lexical(sees: str) -> str:
-    return f"""{_TF},
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
+_STOP = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+
+
+def _endings(ends: list[tuple[str, str, str]]) -> str:
+    """CASE of endings, the first that fits: (ending, what takes its place, condition on the region or the letters before)."""
+    return "CASE " + " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN {c.format(n=len(e))} THEN w[1:length(w) - {len(e)}] || '{put}' ELSE w END" for e, put, c in sorted(ends, key=lambda x: -len(x[0]))) + " ELSE w END"
+
+
+_R1, _R2 = "length(w) - {n} >= p1", "length(w) - {n} >= p2"
+_TWO = "ational ate,tional tion,enci ence,anci ance,abli able,entli ent,izer ize,ization ize,ation ate,ator ate,alism al,aliti al,alli al,fulness ful,ousli ous,ousness ous,iveness ive,iviti ive,biliti ble,bli ble,fulli ful,lessli less"
+_THREE = "ational ate,tional tion,alize al,icate ic,iciti ic,ical ic"
+_STEMS = f"""st0 AS (SELECT DISTINCT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM words),
+st1 AS (SELECT *, length(coalesce(nullif(regexp_extract(w, '^(gener|commun|arsen)'), ''), nullif(regexp_extract(w, '^.*?[aeiouy][^aeiouy]'), ''), w)) AS p1 FROM st0),
+st2 AS (
+  SELECT term, p1, p1 + length(coalesce(nullif(regexp_extract(w[p1 + 1:], '^.*?[aeiouy][^aeiouy]'), ''), w[p1 + 1:])) AS p2,
+    CASE WHEN ends_with(w, 'sses') THEN w[1:length(w) - 2] WHEN regexp_matches(w, 'ie[ds]$') THEN CASE WHEN length(w) > 4 THEN w[1:length(w) - 2] ELSE w[1:length(w) - 1] END
+      WHEN regexp_matches(w, '[aeiouy].+s$') AND NOT regexp_matches(w, '[us]s$') THEN w[1:length(w) - 1] ELSE w END AS w FROM st1),
+st3 AS (SELECT *, list_contains(['inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed'], w) AS done, regexp_replace(w, '(ed|ing)(ly)?$', '') AS b FROM st2),
+st4 AS (
+  SELECT term, p1, p2, done, CASE WHEN done THEN w WHEN regexp_matches(w, 'eed(ly)?$') THEN CASE WHEN length(regexp_replace(w, 'eed(ly)?$', '')) >= p1 THEN regexp_replace(w, 'eed(ly)?$', 'ee') ELSE w END
+    WHEN b <> w AND regexp_matches(b, '[aeiouy]') THEN CASE WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN b[1:length(b) - 1]
+      WHEN p1 >= length(b) AND regexp_matches(b, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$') THEN b || 'e' ELSE b END
+    ELSE w END AS w FROM st3),
+st5 AS (SELECT term, p1, p2, done, CASE WHEN NOT done AND regexp_matches(w, '.[^aeiouy][yY]$') THEN w[1:length(w) - 1] || 'i' ELSE w END AS w FROM st4),
+st6 AS (SELECT term, p1, p2, done, CASE WHEN done THEN w ELSE {_endings([(*x.split(), _R1) for x in _TWO.split(',')] + [('ogi', 'og', _R1 + " AND ends_with(w, 'logi')"), ('li', '', _R1 + " AND regexp_matches(w, '[cdeghkmnrt]li$')")])} END AS w FROM st5),
+st7 AS (SELECT term, p1, p2, done, CASE WHEN done THEN w ELSE {_endings([(*x.split(), _R1) for x in _THREE.split(',')] + [('ful', '', _R1), ('ness', '', _R1), ('ative', '', _R2)])} END AS w FROM st6),
+st8 AS (SELECT term, p1, p2, done, CASE WHEN done THEN w ELSE {_endings([(x, '', _R2) for x in 'al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize'.split()] + [('ion', '', _R2 + " AND regexp_matches(w, '[st]ion$')")])} END AS w FROM st7),
+st9 AS (
+  SELECT term, CASE WHEN NOT done AND ends_with(w, 'e') AND (length(w) - 1 >= p2 OR length(w) - 1 >= p1 AND NOT regexp_matches(w[1:length(w) - 1], '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$')) THEN w[1:length(w) - 1]
+    WHEN NOT done AND ends_with(w, 'll') AND length(w) - 1 >= p2 THEN w[1:length(w) - 1] ELSE w END AS w FROM st8),
+irregular(term, w) AS (VALUES ('skis', 'ski'), ('skies', 'sky'), ('dying', 'die'), ('lying', 'lie'), ('tying', 'tie'), ('idly', 'idl'), ('gently', 'gentl'), ('ugly', 'ugli'), ('early', 'earli'), ('only', 'onli'), ('singly', 'singl'), ('sky', 'sky'), ('news', 'news'), ('howe', 'howe'), ('atlas', 'atlas'), ('cosmos', 'cosmos'), ('bias', 'bias'), ('andes', 'andes')),
+stems AS (
+  SELECT s.term, CASE WHEN length(s.term) < 3 THEN s.term ELSE coalesce(i.w, replace(s.w, 'Y', 'y')) END AS stem FROM st9 s LEFT JOIN irregular i USING (term)
+  WHERE NOT list_contains(string_split('{_STOP}', ' '), s.term))"""
+_TF_ENGLISH = f"""raw AS (SELECT chunk_id, unnest({_TERMS.format('content')}) AS term FROM chunks),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
+words AS (SELECT DISTINCT term FROM raw UNION SELECT DISTINCT term FROM asked),
+{_STEMS},
+tok AS (SELECT chunk_id, stem AS term FROM raw JOIN stems USING (term)),
+{_TF.partition('FROM chunks),')[2].strip()}"""
+
+
+def _lexical(sees: str, english: bool = False) -> str:
+    q = "q AS (SELECT DISTINCT query_id, stem AS term FROM asked JOIN stems USING (term))" if english else f"q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0)"
+    return f"""{_TF_ENGLISH if english else _TF},
+{q},
 seen AS (SELECT chunk_id FROM chunks WHERE tenant_id = 'acme' AND {sees}),
 df AS (SELECT term, count(*) AS df FROM tf SEMI JOIN seen USING (chunk_id) GROUP BY ALL),
 idf AS (SELECT query_id, term, ln(1 + ((SELECT n FROM stats WHERE tenant_id = 'acme') - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM q LEFT JOIN df USING (term)),
@@ -161,9 +204,15 @@ def h_bm25_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(search.lexical(stored_index(spark, sf_dir), [search.Query(i, q) for i, q in _CLOSE], MEMBER, 2, prefilter=search.PREFILTER))
 
 
-@_query()
+@_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'], english=True)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
 def h_bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical(stored_index(spark, sf_dir, english=True), questions(spark, sf_dir), MEMBER, 60, any_term=True)
+    return _scored(search.lexical(stored_index(spark, sf_dir, english=True), questions(spark, sf_dir), MEMBER, 60, any_term=True))
+
+
+@_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'], english=True)} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM tf GROUP BY ALL")
+def h_index_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored English index, stem by stem."""
+    return stored_index(spark, sf_dir, english=True).frequencies.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
 
 
 @_query(f"{_fused(_SEES['member'])} {_TRACED_SQL}")

@@ -27,8 +27,21 @@ def test_parse_websearch():
     assert parse_websearch('"state of art"', english=True) == [[Clause(("state", None, "art"))]]
 
 
+# the algorithm's published sample of words and stems, and cases of each of its rules
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist
+consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol consols consol
+consonant conson consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir
+constable constabl constables constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee
+kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive
+knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot
+caresses caress ties tie cries cri gas gas this this gaps gap kiwis kiwi hopping hop hoped hope luxuriated luxuri falling fall cry cri by by say say happy happi skies sky dying die news news proceed proceed inning inning
+generate generat generalization general communication communic arsenal arsenal relational relat conditional condit rational ration geologi geolog hopefulness hope sensibilities sensibl adjustment adjust adoption adopt controlling control roll roll yes yes youth youth boyish boyish café café cafés café"""
+
+
 def test_stem():
-    assert [stem(w) for w in ("running", "ponies", "hopping", "relational", "cats", "caress")] == ["run", "poni", "hop", "relat", "cat", "caress"]
+    words = STEMS.split()
+    assert [(w, stem(w)) for w in words[::2]] == list(zip(words[::2], words[1::2]))
+    assert [stem(w) for w in ("running", "ponies", "hopping", "relational", "cats", "caress", "", "a", "ss", "日本s")] == ["run", "poni", "hop", "relat", "cat", "caress", "", "a", "ss", "日本s"]
 
 
 def test_matches(spark):
