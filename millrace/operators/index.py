@@ -201,7 +201,7 @@ def _store_sums(frequencies: DataFrame, classes: DataFrame, gone: DataFrame, seg
 
 @dataclass(frozen=True)
 class Manifest:
-    """A version of a stored index: its segments with the chunks that each added, the analyzer, the buckets, the type of chunk ids, and the columns with trigrams."""
+    """A version of a stored index: its segments with the chunks that each added, the analyzer, the buckets, the type of chunk ids, the columns with trigrams, and the last change's name."""
 
     version: int
     segments: tuple[tuple[str, int], ...]
@@ -209,13 +209,14 @@ class Manifest:
     buckets: int
     kind: str
     fields: tuple[str, ...] = ()
+    batch: str | None = None
 
 
-_MANIFEST = "number int, segment string, chunks long, english boolean, buckets int, kind string, fields array<string>"
+_MANIFEST = "number int, segment string, chunks long, english boolean, buckets int, kind string, fields array<string>, batch string"
 
 
 def _publish(spark: SparkSession, path: str, m: Manifest) -> None:
-    rows = [(i, s, n, m.english, m.buckets, m.kind, list(m.fields)) for i, (s, n) in enumerate(m.segments)]
+    rows = [(i, s, n, m.english, m.buckets, m.kind, list(m.fields), m.batch) for i, (s, n) in enumerate(m.segments)]
     spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest/version={m.version}")
 
 
@@ -224,7 +225,7 @@ def manifest(spark: SparkSession, path: str) -> Manifest:
     rows = spark.read.schema(f"{_MANIFEST}, version int").parquet(f"{path}/manifest").collect()  # a few rows a change
     newest = max(r["version"] for r in rows)
     rows = sorted((r for r in rows if r["version"] == newest), key=lambda r: r["number"])
-    return Manifest(newest, tuple((r["segment"], r["chunks"]) for r in rows), rows[0]["english"], rows[0]["buckets"], rows[0]["kind"], tuple(rows[0]["fields"]))
+    return Manifest(newest, tuple((r["segment"], r["chunks"]) for r in rows), rows[0]["english"], rows[0]["buckets"], rows[0]["kind"], tuple(rows[0]["fields"]), rows[0]["batch"])
 
 
 def _store_grams(chunks: DataFrame, fields: Sequence[str], segment: str, buckets: int) -> None:
@@ -251,16 +252,19 @@ def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: in
     _publish(spark, path, Manifest(0, ((segment, lengths.count()),), english, buckets, chunks.schema["chunk_id"].dataType.simpleString(), tuple(trigrams)))
 
 
-def update_index(path: str, before: DataFrame, after: DataFrame, merge: bool = True) -> None:
+def update_index(path: str, before: DataFrame, after: DataFrame, merge: bool = True, batch: str | None = None) -> None:
     """Take the chunks ``before`` out of a stored index and put the chunks ``after`` in, as one new segment.
 
     ``before`` holds the rows as they were indexed (texts and access rules), so
     that their frequencies can be taken off; a chunk in both is replaced. The
     work and what is written grow with the two tables, not with the index, but
-    for merges: see :func:`merge_segments`.
+    for merges: see :func:`merge_segments`. A change with the name of the last
+    one is that change once more, and is left out.
     """
     spark = before.sparkSession
     m = manifest(spark, path)
+    if batch is not None and batch == m.batch:
+        return
     segment = _new_segment(path)
     stored = _store_postings(analyzed(after, m.english), segment, m.buckets)
     postings, lengths = stored.where("bucket >= 0"), stored.where("bucket = -1")
@@ -269,7 +273,7 @@ def update_index(path: str, before: DataFrame, after: DataFrame, merge: bool = T
     classes = _classes(after, lengths).unionByName(_classes(before, old.where("term is null"), -1))
     _store_sums(_summed(freq, "df <> 0 or occurrences <> 0"), classes, before.select("chunk_id").distinct(), segment)
     _store_grams(after, m.fields, segment, m.buckets)
-    _publish(spark, path, replace(m, version=m.version + 1, segments=(*m.segments, (segment, lengths.count()))))
+    _publish(spark, path, replace(m, version=m.version + 1, segments=(*m.segments, (segment, lengths.count())), batch=batch))
     if merge:
         merge_segments(spark, path)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators import ingest, state
+from millrace.operators.buckets import Buckets
 from millrace.operators.chunking import chunk_documents, totals
+from millrace.operators.index import update_index
 
 
 @dataclass(frozen=True)
@@ -72,3 +74,45 @@ def ingest_batch(requests: DataFrame, documents: DataFrame, chunks: DataFrame, v
         F.when(ready, F.col("tokens")).alias("token_count"),
     )
     return state.set_stage(documents, changes, now), after
+
+
+def indexed_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as the text index takes them: the id follows from the document and the place in it."""
+    return chunks.withColumn("chunk_id", F.xxhash64("document_id", "ordinal"))
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
+
+
+def ingest_stored(requests: DataFrame, documents: Buckets, chunks: Buckets, index: str, staging: str, versions: Versions, embed: Callable[[DataFrame], DataFrame], now: Column, batch: str, force: bool = False) -> None:
+    """:func:`ingest_batch` on stored tables and their text index (of :func:`indexed_rows`).
+
+    Only the buckets of the requested documents are read and written, and the
+    index gets one segment of the chunks that differ. What is computed (texts,
+    vectors) is staged in the folder ``staging`` first; a batch that was cut
+    off is repeated under its name and leaves the same tables and index. A
+    document whose chunks are not as many as counted stops the batch before
+    anything is written.
+    """
+    spark, keys = requests.sparkSession, requests.select("document_id").distinct()
+    place = f"{staging}/{batch}"
+    after = ingest_batch(requests, documents.of(keys), chunks.of(keys), versions, embed, now, force)
+    for name, rows in zip(("documents", "chunks"), after):
+        if not whole(spark, f"{place}/{name}"):  # a staged batch is not computed again
+            rows.write.mode("overwrite").parquet(f"{place}/{name}")
+    new_documents, new_chunks = (spark.read.schema(t.schema).parquet(f"{place}/{n}") for n, t in (("documents", documents), ("chunks", chunks)))
+    if not new_chunks.where((F.col("embedding_version") == versions.embedding) & F.col("embedding").isNull()).isEmpty():
+        raise ValueError("refusing to write: chunks without a vector")
+
+    old, new = (indexed_rows(c) for c in (chunks.of(keys), new_chunks))
+    same = ["chunk_id", *(c for c in ("tenant_id", "heading", "content", "acl_public", "acl_groups") if c in chunks.schema.names)]
+    gone, fresh = (a.join(b.select(F.struct(*same).alias("_same")), F.struct(*(F.col(c) for c in same)).eqNullSafe(F.col("_same")), "left_anti") for a, b in ((old, new), (new, old)))
+    update_index(index, gone, fresh, batch=batch)
+    expected = new_documents.where("stage = 'ready' and chunk_count is not null").select("document_id", F.col("chunk_count").alias("n"))
+    counted = new_chunks.join(expected.select("document_id"), "document_id", "left_semi")
+    chunks.replace(expected.select("document_id"), counted, expected)
+    documents.replace(keys, new_documents)
