@@ -36,6 +36,33 @@ def truth_level(chunks: Column, documents: Column, sources: Column) -> Column:
     return F.when(has(chunks), "chunk").when(has(documents), "document").when(has(sources), "source").otherwise("none")
 
 
+#: Words of a passage below which it is looked for in every text, and such passages of one pass.
+KEYED_WORDS, SCANNED = 4, 200
+
+
+def passage_truth(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """``passages(question_id, passage)`` and ``documents(label, text)`` -> ``(question_id, label)`` of the texts that hold a passage.
+
+    A passage of four words at least is keyed by its longest two neighbouring
+    inner words, which stand whole in every text that holds it; shorter ones
+    (a few of the questions) are looked for in every text. Null passages and
+    texts hold nothing; the empty passage is in every text.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    longest = lambda p: F.array_max(F.transform(p, lambda x: F.struct(F.length(x).alias("n"), x.alias("pair"))))["pair"]
+    split = passages.where("passage is not null").withColumn("w", words("passage"))
+    long_ones = split.where(F.size("w") >= KEYED_WORDS).select("question_id", "passage", longest(pairs(F.slice("w", 2, F.size("w") - 2))).alias("pair"))
+    rows = documents.where("text is not null").select("label", "text")
+    candidates = rows.select("label", F.explode(F.array_distinct(pairs(words("text")))).alias("pair")).join(long_ones.select("question_id", "pair"), "pair").select("question_id", "label")
+    found = candidates.join(long_ones.select("question_id", "passage"), "question_id").join(rows, "label").where(F.contains("text", "passage")).select("question_id", "label")
+    short = [(r["question_id"], r["passage"]) for r in split.where(F.size("w") < KEYED_WORDS).select("question_id", "passage").collect()]  # questions of one evaluation
+    for at in range(0, len(short), SCANNED):
+        held = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(p)), F.lit(q)) for q, p in short[at : at + SCANNED])))
+        found = found.unionByName(rows.select(F.explode(held).alias("question_id"), "label").withColumn("question_id", F.col("question_id").cast(passages.schema["question_id"].dataType)))
+    return found
+
+
 def first_ranks(ranked: DataFrame) -> DataFrame:
     """Each label once, at its first rank, ranks closed up."""
     firsts = ranked.groupBy("question_id", "label").agg(F.min("rank").alias("rank"))

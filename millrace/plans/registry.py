@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.access import contains
 from millrace.functions.text import bag_of_words, query_terms
-from millrace.operators import chunking, context, evaluation, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
-from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, stored_index, stored_trigrams, stored_vectors, table
-from millrace.sources.connectors import conversation_threads, drive_files, web_pages
+from millrace.operators import buckets, chunking, context, evaluation, index, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
+from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, shared_folder, stored_index, stored_trigrams, stored_vectors, table
+from millrace.sources.connectors import conversation_threads, drive_files, next_cursors, web_pages
 from millrace.streaming.streams import daily_documents, live_jobs, login_outcomes, skip_unchanged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,15 +144,15 @@ def h_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_CHUNKS}, {_dense(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense")
 def h_dense_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact answer from the stored vector index, all cells read."""
-    index = stored_vectors(spark, sf_dir)
-    return _scored(search.dense_of_cells(index, questions(spark, sf_dir), MEMBER, 60, probes=len(index.centres)))
+    stored = stored_vectors(spark, sf_dir)
+    return _scored(search.dense_of_cells(stored, questions(spark, sf_dir), MEMBER, 60, probes=len(stored.centres)))
 
 
 @_query()
 def h_dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From as many cells as find 0.95 of the nearest neighbours of stored vectors."""
-    index = stored_vectors(spark, sf_dir)
-    return _scored(search.dense_of_cells(index, questions(spark, sf_dir), MEMBER, 60, probes=vectors.probes_for(index, recall=0.95, k=60)))
+    stored = stored_vectors(spark, sf_dir)
+    return _scored(search.dense_of_cells(stored, questions(spark, sf_dir), MEMBER, 60, probes=vectors.probes_for(stored, recall=0.95, k=60)))
 
 
 @_query(f"WITH {_CHUNKS}, {_lexical(_SEES['member'])} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse")
@@ -258,6 +259,20 @@ def h_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_index(spark, sf_dir).frequencies.groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences"))
 
 
+@_query(
+    f"""WITH {_CHUNKS.replace('text AS content', "CASE WHEN doc_id % 100 = 3 THEN text || ' zebra zebra' ELSE text END AS content").replace('FROM documents)', 'FROM documents WHERE doc_id % 100 <> 7)')}, {_TF}
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM tf GROUP BY ALL"""
+)
+def h_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index after a change of two hundredths: one segment beside the first; frequencies are sums of both."""
+    rows, path = chunks(spark, sf_dir), f"{shared_folder(spark)}/millrace-index-{uuid.uuid4().hex}"
+    index.write_index(rows, path)
+    changed = rows.where("chunk_id % 100 = 3").withColumn("content", F.concat("content", F.lit(" zebra zebra")))
+    index.update_index(path, rows.where("chunk_id % 100 in (3, 7)"), changed, batch="1")
+    now = index.read_index(rows.where("chunk_id % 100 <> 7"), path)
+    return now.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
 @_query(f"{_fused(_SEES['member'])}, t AS ({_TRACED_SQL}) SELECT query_id, chunk_id, 'dense' AS stage, dense_rank AS rank, dense_score AS score FROM t WHERE dense_rank BETWEEN 1 AND 10 UNION ALL SELECT query_id, chunk_id, 'sparse', sparse_rank, sparse_score FROM t WHERE sparse_rank BETWEEN 1 AND 10 UNION ALL SELECT query_id, chunk_id, 'fused', fused_rank, normalised FROM t WHERE fused_rank <= 8")
 def h_trace_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.trace_lists(_traced(spark, sf_dir, "member")).withColumn("score", F.round("score", 6))
@@ -389,6 +404,22 @@ def d_acl_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.sync_chunk_access(rows, changed).select("chunk_id", "acl_public", F.array_join("acl_groups", ",").alias("acl_groups"))
 
 
+@_query(
+    """SELECT doc_id AS document_id, CASE WHEN doc_id % 100 = 3 THEN md5(text || '!') ELSE md5(text) END AS content_hash FROM documents WHERE doc_id % 100 <> 7
+UNION ALL SELECT -1 - doc_id, md5(text) FROM documents WHERE doc_id % 100 = 4"""
+)
+def d_replace_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after three changes of a hundredth each (new texts, gone, added), of which one is applied twice."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.md5("text").alias("content_hash"), "text")
+    stored = buckets.write_buckets(d.select("document_id", "content_hash"), f"{shared_folder(spark)}/millrace-buckets-{uuid.uuid4().hex}")
+    new = d.where("document_id % 100 = 3").select("document_id", F.md5(F.concat("text", F.lit("!"))).alias("content_hash"))
+    gone = d.where("document_id % 100 = 7").select("document_id")
+    added = d.where("document_id % 100 = 4").select((-1 - F.col("document_id")).alias("document_id"), "content_hash")
+    for keys, rows in ((new, new), (gone, new.where("false")), (added, added), (new, new)):
+        stored.replace(keys, rows)
+    return stored.rows()
+
+
 @_query(
     f"""WITH {_JOBS}, taken AS (SELECT id FROM jobs WHERE status = 'queued' AND ts <= {_NOW} AND kind IN ('click', 'view') ORDER BY priority, ts, id LIMIT 25)
 SELECT id, CASE WHEN t.id IS NULL THEN status ELSE 'running' END AS status, CASE WHEN t.id IS NULL THEN attempts ELSE attempts + 1 END AS attempts,
@@ -561,7 +592,7 @@ def i_chunk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT page_id AS external_id, CASE WHEN page_id % 3 = 0 THEN 'too large to download' END AS problem, CASE page_id % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'html' WHEN 2 THEN 'code' ELSE 'pdf' END AS kind, page_id % 3 > 0 AND page_id % 5 < 3 AS has_text
+    """SELECT page_id AS external_id, CASE WHEN page_id % 3 = 0 THEN 'too large to download' END AS problem, CASE page_id % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'html' WHEN 2 THEN 'code' ELSE 'pdf' END AS kind, CASE WHEN page_id % 3 > 0 AND page_id % 5 < 3 THEN md5(html) END AS text_md5
 FROM pages WHERE page_id % 5 < 4 AND page_id % 11 > 0"""
 )
 def c_drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -571,7 +602,7 @@ def c_drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("id"), F.when(k == 2, "a.py").otherwise("a.bin").alias("name"), mime.alias("mime_type"), F.when(F.col("page_id") % 3 == 0, 30 << 20).otherwise(100).alias("size"), F.timestamp_seconds("page_id").alias("modified_at"),
         (F.col("page_id") % 11 == 0).alias("trashed"), F.array(F.lit("f")).alias("parents"), F.lit("o").alias("owner"), F.col("url").alias("link"), F.col("html").cast("binary").alias("data"),
     )
-    return drive_files(files, None, "f").select("external_id", "problem", "kind", F.col("text").isNotNull().alias("has_text"))
+    return drive_files(files, None, "f").select("external_id", "problem", "kind", F.md5("text").alias("text_md5"))
 
 
 # ---- documents, jobs and users
@@ -640,9 +671,17 @@ def a_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.usage(calls, "model")
 
 
-@_query("SELECT source AS source_id, max(TIMESTAMP '2024-01-01' + to_seconds(doc_id)) AS cursor FROM documents GROUP BY ALL")
+@_query(
+    """SELECT source AS source_id, max(CASE WHEN doc_id % 3 > 0 OR source = 'src3' THEN TIMESTAMP '2024-01-01' + to_seconds(CASE WHEN doc_id % 3 > 0 THEN doc_id ELSE 10 * doc_id END) END) AS cursor
+FROM documents WHERE source <> 'src5' OR doc_id % 3 > 0 GROUP BY ALL"""
+)
 def a_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_id")).agg(F.max(F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, doc_id)")).alias("cursor"))
+    """Cursors after a read of two thirds of the documents; one source's cursor is ahead of them."""
+    at = lambda n: F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, {n})")
+    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "source_id")
+    fetched = d.where("doc_id % 3 > 0").select("source_id", at("doc_id").alias("updated_at"))
+    stored = d.where("doc_id % 3 = 0 and source_id <> 'src5'").groupBy("source_id").agg(F.max(F.when(F.col("source_id") == "src3", at("10 * doc_id"))).alias("cursor"))
+    return next_cursors(fetched, stored)
 
 
 @_query("WITH e AS (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, ',' ORDER BY first, role) AS roles FROM e GROUP BY ALL")
@@ -681,13 +720,7 @@ metrics AS (
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics at 3 of a made-up ranking of the documents that hold each benchmark passage."""
     items, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    # a passage's longest word but the first and last stands whole in every text that holds it
-    words = lambda c: F.split(c, r"\s+")
-    inner = F.array_sort(F.slice(words("text"), 2, F.greatest(F.lit(0), F.size(words("text")) - 2)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    keyed = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"), F.get(inner, F.lit(0)).alias("word"))
-    rows = d.select(F.col("doc_id").alias("label"), F.col("text"))
-    held = rows.select("label", F.explode(F.array_distinct(words("text"))).alias("word")).join(keyed.where("word is not null").select("question_id", "word"), "word").select("question_id", "label")
-    truth = held.join(keyed.select("question_id", "passage"), "question_id").join(rows, "label").where(F.contains("text", "passage")).select("question_id", "label")
+    truth = evaluation.passage_truth(items.select(F.col("item_id").alias("question_id"), F.col("text").alias("passage")), d.select(F.col("doc_id").alias("label"), "text"))
     order = Window.partitionBy("question_id").orderBy((F.col("label") * 7919 + F.col("question_id")) % 10007, "label")
     ranked = truth.withColumn("rank", F.row_number().over(order)).where("(question_id + rank) % 3 > 0")
     return evaluation.question_metrics(items.select(F.col("item_id").alias("question_id")), ranked, truth, 3)

@@ -129,6 +129,12 @@ def next_cursor(rows: DataFrame, before: Column | None = None, column: str = "up
     return F.greatest(*found) if len(found) > 1 else found[0] if found else None
 
 
+def next_cursors(rows: DataFrame, stored: DataFrame, by: str = "source_id", column: str = "updated_at") -> DataFrame:
+    """``stored(by, cursor)`` moved on to the newest time among each source's rows; a cursor never goes back, and sources of either table have one."""
+    newest = rows.groupBy(by).agg(F.max(column).alias("_newest"))
+    return stored.select(by, "cursor").join(newest, by, "full_outer").select(by, F.greatest("cursor", "_newest").alias("cursor"))
+
+
 def enqueue_documents(documents: DataFrame, jobs: DataFrame, fetched: DataFrame, source: DataFrame, now: Column, first_job: int, priority: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fetched rows ``(document_id, source_id, external_id, title, kind, text, data)`` -> documents, jobs and blobs.
 
@@ -150,11 +156,13 @@ def enqueue_documents(documents: DataFrame, jobs: DataFrame, fetched: DataFrame,
 
 
 def clean_message(text: Column, users: dict[str, str] | None = None) -> Column:
-    """Chat markup as plain text on one line."""
-    out = F.coalesce(text, F.lit(""))
-    for key, name in (users or {}).items():
-        out = F.regexp_replace(out, rf"<@{re.escape(key)}(\|[^>]*)?>", "@" + name)
-    out = F.regexp_replace(out, r"<@([A-Z0-9]+)(\|[^>]*)?>", "@$1")
+    """Chat markup as plain text on one line; mentions take the names of ``users`` by id, however many there are."""
+    said = F.coalesce(text, F.lit(""))
+    mention, names = r"<@([^|>]+)(?:\|[^>]*)?>", F.from_json(F.lit(json.dumps(users or {})), "map<string,string>")
+    ids, raw = F.regexp_extract_all(said, F.lit(mention), F.lit(1)), F.regexp_extract_all(said, F.lit(f"({mention})"), F.lit(1))
+    shown = F.zip_with(ids, raw, lambda i, m: F.coalesce(F.concat(F.lit("@"), F.try_element_at(names, i)), F.when(i.rlike("^[A-Z0-9]+$"), F.concat(F.lit("@"), i)), m))
+    between = F.split(said, mention, -1)
+    out = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(shown, i), F.lit("")))), "")
     out = F.regexp_replace(out, r"<#[A-Z0-9]+\|([^>]+)>", "#$1")
     out = F.regexp_replace(out, r"<#([A-Z0-9]+)\|?>", "#$1")
     out = F.regexp_replace(out, r"<(?:https?:|mailto:)[^|>]+\|([^>]+)>", "$1")
@@ -203,42 +211,65 @@ def conversation_threads(turns: DataFrame) -> DataFrame:
     return threads.select("conv_id", F.size("entries").alias("message_count"), F.concat_ws("\n", title, F.col("entries.line")).alias("text"))
 
 
+# Signs around rich text by its marks, from the inside out.
+_SIGNS = (("code", "`"), ("bold", "**"), ("italic", "*"), ("strikethrough", "~~"))
+
+
 def _rich(parts: list[dict] | None) -> str:
+    """Pieces of rich text as Markdown; blank ones take neither signs nor links."""
     out = []
     for p in parts or []:
-        text, marks = p.get("plain_text") or "", p.get("annotations") or {}
+        text, before, after = p.get("plain_text") or "", "", ""
         if text.strip():
-            for mark, sign in (("code", "`"), ("bold", "**"), ("italic", "*"), ("strikethrough", "~~")):
-                text = f"{sign}{text}{sign}" if marks.get(mark) else text
-            text = f"[{text}]({p['href']})" if p.get("href") else text
-        out.append(text)
+            marks = p.get("annotations") or {}
+            signs = [sign for mark, sign in _SIGNS if marks.get(mark)]
+            before, after = "".join(reversed(signs)), "".join(signs)
+            if p.get("href"):
+                before, after = "[" + before, f"{after}]({p['href']})"
+        out += before, text, after
     return "".join(out)
 
 
-_BLOCKS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> ", "callout": "> ", "toggle": "- ", "paragraph": ""}
-_MEDIA = {"image", "file", "video", "pdf", "embed", "bookmark"}
+# A block's line by its kind, and the field without which it says nothing. Kinds that are not named are plain text.
+_LINES = {
+    "heading_1": ("# {said}", "said"), "heading_2": ("## {said}", "said"), "heading_3": ("### {said}", "said"), "bulleted_list_item": ("- {said}", "said"), "numbered_list_item": ("1. {said}", "said"),
+    "quote": ("> {icon}{said}", "said"), "callout": ("> {icon}{said}", "said"), "toggle": ("- {said}", "said"), "code": ("```{language}\n{text}\n```", "text"), "to_do": ("- [{tick}] {text}", "text"),
+    "image": ("[{label}]({url})", "url"), "file": ("[{label}]({url})", "url"), "video": ("[{label}]({url})", "url"), "pdf": ("[{label}]({url})", "url"), "embed": ("[{label}]({url})", "url"), "bookmark": ("[{label}]({url})", "url"),
+    "equation": ("$$ {expression} $$", "expression"), "table_row": ("| {cells} |", "cells"), "divider": ("---", None), "child_page": ("- {title}", None),
+}
+_PLAIN = ("{said}", "said")
+
+
+def _said(kind: str, own: dict) -> str:
+    text = _rich(own.get("rich_text"))
+    return text if text.strip() else ""
+
+
+def _icon(kind: str, own: dict) -> str:
+    sign = ((own.get("icon") or {}).get("emoji") or "").strip()
+    return f"{sign} " if sign else ""
+
+
+#: Fields of the lines, from a block's kind and content.
+_FIELDS: dict[str, Callable[[str, dict], str]] = {
+    "said": _said,
+    "icon": _icon,
+    "text": lambda kind, own: _rich(own.get("rich_text")),
+    "language": lambda kind, own: own.get("language") or "",
+    "tick": lambda kind, own: "x" if own.get("checked") else " ",
+    "url": lambda kind, own: own.get("url") or (own.get("external") or {}).get("url") or "",
+    "label": lambda kind, own: _rich(own.get("caption")) or kind,
+    "expression": lambda kind, own: own.get("expression") or "",
+    "cells": lambda kind, own: " | ".join(map(_rich, own.get("cells") or [])),
+    "title": lambda kind, own: own.get("title") or "Untitled",
+}
 
 
 def _block_line(kind: str, own: dict) -> str:
     """One block without its children; empty if it says nothing."""
-    text = _rich(own.get("rich_text"))
-    if kind in _MEDIA:
-        url = own.get("url") or (own.get("external") or {}).get("url")
-        return f"[{_rich(own.get('caption')) or kind}]({url})" if url else ""
-    if kind == "equation":
-        return f"$$ {own['expression']} $$" if own.get("expression") else ""
-    if kind == "divider":
-        return "---"
-    if kind == "code":
-        return f"```{own.get('language') or ''}\n{text}\n```" if text else ""
-    if kind == "to_do":
-        return f"- [{'x' if own.get('checked') else ' '}] {text}" if text else ""
-    if kind == "table_row":
-        return "| " + " | ".join(map(_rich, own["cells"])) + " |" if own.get("cells") else ""
-    if kind == "child_page":
-        return f"- {own.get('title') or 'Untitled'}"
-    icon = ((own.get("icon") or {}).get("emoji") or "").strip() if kind in ("callout", "quote") else ""
-    return _BLOCKS.get(kind, "") + (f"{icon} " if icon else "") + text if text.strip() else ""
+    line, needed = _LINES.get(kind, _PLAIN)
+    values = {name: _FIELDS[name](kind, own) for name in {needed} - {None} | set(re.findall(r"{(\w+)}", line))}
+    return line.format_map(values) if needed is None or values[needed] else ""
 
 
 def blocks_markdown(blocks: list[dict], depth: int = 0, most_depth: int = 4) -> str:

@@ -550,3 +550,24 @@ def test_embedding_batches(spark):
 def test_group_list(spark):
     d = spark.createDataFrame([("a, b,,",), ('["x", " y ", ""]',), ("",), (None,), ("[broken",)], "t string")
     assert [r[0] for r in d.select(ingest.group_list(F.col("t"))).collect()] == [["a", "b"], ["x", "y"], [], [], []]
+
+
+def test_truth_of_short_passages(spark):
+    passages = [(1, "alpha beta"), (2, "alpha"), (3, "a b c d e"), (4, None), (5, ""), (6, "lph"), (7, "x  y\nz w v")]
+    documents = [(10, "an alpha beta gamma"), (11, "alpha\nbeta"), (12, "aa b c d ee"), (13, None), (14, "x  y\nz w vv"), (15, "")]
+    p, d = spark.createDataFrame(passages, "question_id long, passage string"), spark.createDataFrame(documents, "label long, text string")
+    want = {(q, n) for q, x in passages for n, t in documents if x is not None and t is not None and x in t}
+    assert {tuple(r) for r in evaluation.passage_truth(p, d).select("question_id", "label").collect()} == want
+
+
+def test_many_names_in_messages(spark):
+    names = {f"U{i}": f"n{i}" for i in range(1000)} | {"x y": "$1 & co"}
+    d = spark.createDataFrame([("<@U7> and <@U999|old>, <@U5000|who> <@nobody> <@x y>",), (None,), ("<@U1><@U2>",), ("plain",)], "t string")
+    assert [r[0] for r in d.select(connectors.clean_message(F.col("t"), names)).collect()] == ["@n7 and @n999, @U5000 <@nobody> @$1 & co", "", "@n1@n2", "plain"]
+
+
+def test_cursors_never_go_back(spark):
+    at = lambda n: dt.datetime(2024, 1, n)
+    rows = spark.createDataFrame([("a", at(2)), ("a", at(5)), ("b", at(1)), ("c", None)], "source_id string, updated_at timestamp")
+    stored = spark.createDataFrame([("a", at(3)), ("b", at(4)), ("d", at(9))], "source_id string, cursor timestamp")
+    assert {tuple(r) for r in connectors.next_cursors(rows, stored).collect()} == {("a", at(5)), ("b", at(4)), ("c", None), ("d", at(9))}
