@@ -27,6 +27,8 @@ from millrace.llm.textnum import release_memory, window_hashes, word_batches
 _U = np.uint64
 #: Bytes of text in a cell, and probe windows in a hash range, on average.
 CELL_BYTES, RANGE_WINDOWS = 4 << 20, 1 << 20
+#: Equal rows of a cell at most (on average), and so many texts with more as are sent to all tasks; beyond that they are joined.
+COPIES, SENT_COPIED = 2_000, 20_000
 #: Bits of a block's hash that are compared; the windows themselves are compared by 64 bits.
 PROBE_BITS = 40
 
@@ -227,6 +229,24 @@ def _removed(window: int, keep: Sequence[str], joined: bool) -> Callable:
 RESULTS = ["doc_id", "n_words", "n_removed", "kept_text"]
 
 
+def _dealt(rows: DataFrame, cells: int) -> DataFrame:
+    """Rows with their ``cell``: a hash of doc_id and text; of more than COPIES equal rows, each COPIES have one of their own.
+
+    Which of the equal rows go to which cell makes no difference: equal rows
+    with one doc_id do not count as earlier than each other, and each of their
+    cells holds what the others do.
+    """
+    name = F.xxhash64("doc_id", "text")
+    copied = rows.groupBy(name.alias("name")).agg(F.count("*").alias("copies")).where(F.col("copies") > COPIES)
+    known = copied.limit(SENT_COPIED + 1).collect()
+    if not known:
+        return rows.withColumn("cell", F.pmod(name, F.lit(cells)))
+    table = F.broadcast(rows.sparkSession.createDataFrame(known, copied.schema)) if len(known) <= SENT_COPIED else copied
+    part = F.pmod(F.monotonically_increasing_id(), F.ceil(F.coalesce("copies", F.lit(1)) / COPIES))
+    named = rows.withColumn("name", name).join(table, "name", "left")
+    return named.withColumn("cell", F.pmod(F.when(part > 0, F.xxhash64("name", part)).otherwise(F.col("name")), F.lit(cells))).drop("name", "copies")
+
+
 def _kept(docs: DataFrame, window: int, names: Sequence[str], joined: bool) -> DataFrame:
     """RESULTS, and ``names`` as k_0, k_1 ..."""
     spark = docs.sparkSession
@@ -235,7 +255,7 @@ def _kept(docs: DataFrame, window: int, names: Sequence[str], joined: bool) -> D
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CELL_BYTES))
     bits = max(6, (size // 6 // RANGE_WINDOWS).bit_length())
-    base = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)))
+    base = _dealt(rows, cells)
 
     probes = base.groupBy("cell").applyInArrow(_probes(window, block, bits), "part long, cell long, blob binary")
     matched = probes.groupBy("part").applyInArrow(_matched, "cell long, blob binary")

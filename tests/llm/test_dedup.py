@@ -176,3 +176,16 @@ def test_hashes_depend_on_content_only():
     one = [s.tolist() for s in textnum.shingle_sets(texts, 2)]
     many = [next(textnum.shingle_sets([t], 2)).tolist() for t in texts]
     assert one == many and set(one[0]) <= set(one[2]) and [len(s) for s in one] == [3, 0, 5, 0, 1]
+
+
+def test_equal_rows_are_spread_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "COPIES", 500)
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = spark.range(100_000).selectExpr("7L as doc_id", f"'{text}' as text").unionByName(spark.range(20_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text"))
+    sizes = [r["count"] for r in substring_dedup._dealt(rows, 1000).groupBy("cell").count().collect()]
+    assert sum(sizes) == 120_000 and max(sizes) <= 3000
+    few = spark.range(3000).selectExpr("7L as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(8, "x " + text), (6, "y")], "doc_id long, text string"))
+    for most in (20_000, 0):
+        monkeypatch.setattr(substring_dedup, "SENT_COPIED", most)
+        got = Counter(map(tuple, substring_dedup.remove_repeats(few, 50).select("doc_id", "n_words", "n_removed").collect()))
+        assert got == Counter({(7, 60, 0): 3000, (8, 61, 60): 1, (6, 1, 0): 1})
