@@ -70,14 +70,27 @@ class WuManber:
         starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         owner = np.repeat(np.arange(len(texts)), n)
         bucket = _both(pairs[starts + length - self.pair], pairs[starts])
-        order = np.lexsort((window_hashes(h, length)[starts], bucket))
-        self.bucket, self.starts, self.owner = bucket[order], starts[order], owner[order].astype(np.int32)
+        # each distinct window once, with the run of its owners
+        whole = window_hashes(h, length)[starts]
+        order = np.lexsort((owner, whole, bucket))
+        bucket, whole, starts, self.owner = bucket[order], whole[order], starts[order], owner[order].astype(np.int32)
+        same = np.zeros(len(order), bool)
+        same[1:] = (bucket[1:] == bucket[:-1]) & (whole[1:] == whole[:-1])
+        for i in np.flatnonzero(same).tolist():  # a window is the one before it if its words are
+            same[i] = self.window(starts[i]) == self.window(starts[i - 1])
+        firsts = np.flatnonzero(~same)
+        self.bucket, self.starts, self.runs = bucket[firsts], starts[firsts], np.append(firsts, len(order))
 
     def window(self, start: int) -> bytes:
         return self.buffer[self.byte[start] : self.byte[start + self.length] - 1]
 
-    def search(self, h: np.ndarray, offsets: np.ndarray, words: Callable[[int], list[bytes]]) -> Iterator[tuple[int, int, set[int]]]:
-        """(text, first word, owners) of every occurrence in texts of words with hashes ``h[offsets[i]:offsets[i + 1]]``."""
+    def owners_of(self, windows: set[int]) -> set[str]:
+        """The owners of some distinct windows (those that have a name)."""
+        found = {k for w in windows for k in self.owner[self.runs[w] : self.runs[w + 1]].tolist()}
+        return {o for k in found if (o := self.owners[k]) is not None}
+
+    def search(self, h: np.ndarray, offsets: np.ndarray, words: Callable[[int], list[bytes]]) -> Iterator[tuple[int, int, int]]:
+        """(text, first word, distinct window) of every occurrence in texts of words with hashes ``h[offsets[i]:offsets[i + 1]]``."""
         m, jump = self.length, self.length - self.pair + 1
         pairs = window_hashes(h, self.pair)
         begin, size = offsets[:-1] + m - self.pair, np.diff(offsets) - m + 1
@@ -103,14 +116,12 @@ class WuManber:
         hit = self.bucket[np.minimum(low, len(self.bucket) - 1)] == key
         for i, k, first in sorted(zip(text[hit].tolist(), (start[hit] - offsets[text[hit]]).tolist(), low[hit].tolist())):
             here = b" ".join(words(i)[k : k + m])
-            owners, last, same = set(), first, False
+            last = first
             while last < len(self.bucket) and self.bucket[last] == self.bucket[first]:
                 if self.window(self.starts[last]) == here:
-                    owners.add(int(self.owner[last]))
-                    same = True
+                    yield i, k, last
+                    break
                 last += 1
-            if same:
-                yield i, k, owners
 
 
 def searchers(items: Sequence[tuple[str | None, str | None]], window: int) -> list[WuManber]:
@@ -153,7 +164,7 @@ def _scan(items, key: str, window: int, n_keep: int) -> Callable:
             texts = batch.column(1).to_pylist()
             n_words = [0] * len(texts)
             hits: dict[int, list[tuple[int, int]]] = {}
-            owners: dict[int, set[str]] = {}
+            windows: dict[tuple[int, int], set[int]] = {}
             for first, h, offsets in word_batches(texts, size=RUN_BYTES, table=_WORD_BYTES):
                 n_words[first : first + len(offsets) - 1] = np.diff(offsets).tolist()
                 split: dict[int, list[bytes]] = {}
@@ -164,14 +175,17 @@ def _scan(items, key: str, window: int, n_keep: int) -> Callable:
                         split[i] = words_of(texts[first + i])
                     return split[i]
 
-                for w in found_by:
-                    for i, start, mine in w.search(h, offsets, words):
+                for at, w in enumerate(found_by):
+                    for i, start, window_at in w.search(h, offsets, words):
                         spans = hits.setdefault(first + i, [])
                         if spans and spans[-1][0] <= start <= spans[-1][1]:
                             spans[-1] = (spans[-1][0], max(spans[-1][1], start + w.length))
                         else:
                             spans.append((start, start + w.length))
-                        owners.setdefault(first + i, set()).update(o for k in mine if (o := w.owners[k]) is not None)
+                        windows.setdefault((first + i, at), set()).add(window_at)
+            owners: dict[int, set[str]] = {}
+            for (i, at), those in windows.items():
+                owners.setdefault(i, set()).update(found_by[at].owners_of(those))
             spans, known = [], []
             for i, (before, those) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 spans.append(merged([*zip((before or [])[0::2], (before or [])[1::2]), *hits.get(i, ())]))
