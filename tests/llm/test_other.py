@@ -118,7 +118,7 @@ def test_wu_manber_overlaps(monkeypatch):
         items = [(str(i), [rng.choice([b"a", b"b", b"c"]) for _ in range(m + rng.randrange(3))]) for i in range(4)]
         search = decontaminate.WuManber(m, items)
         [(_, h, offsets)] = list(decontaminate.word_batches([b" ".join(t).decode() for t in texts]))
-        got = {(i, k): {search.owners[o] for o in owners} for i, k, owners in search.search(h, offsets, lambda i: texts[i])}
+        got = {(i, k): search.owners_of({w}) for i, k, w in search.search(h, offsets, lambda i: texts[i])}
         want = {}
         for i, words in enumerate(texts):
             for k in range(len(words) - m + 1):
@@ -127,11 +127,28 @@ def test_wu_manber_overlaps(monkeypatch):
         assert got == want
 
 
+def test_items_with_one_passage_are_compared_once():
+    rng = random.Random(9)
+    prompt = " ".join(f"p{k}" for k in range(12))
+    took = []
+    for n in (500, 4000):
+        [search] = decontaminate.searchers([(str(i), f"{prompt} q{i}") for i in range(n)], 10)
+        assert len(search.bucket) == n + 3  # the prompt's three windows, and one for each item
+        texts = [" ".join(f"w{rng.randrange(99)}" for _ in range(50)) + " " + prompt for _ in range(50)]
+        [(_, h, offsets)] = list(decontaminate.word_batches(texts))
+        began = time.perf_counter()
+        found = list(search.search(h, offsets, lambda i, texts=texts: decontaminate.words_of(texts[i])))
+        took.append(time.perf_counter() - began)
+        assert len(found) == 150 and {k for _, k, _ in found} == {50, 51, 52}
+        assert search.owners_of({w for _, _, w in found}) == {str(i) for i in range(n)}
+    assert took[1] < 4 * took[0] + 0.1
+
+
 def test_search_tables_stay_small():
     rng = random.Random(4)
     items = [(str(i), " ".join(f"w{rng.randrange(30_000)}" for _ in range(200))) for i in range(500)]
     [search] = decontaminate.searchers(items, 10)
-    arrays = (search.byte, search.keys, search.shift, search.bucket, search.starts, search.owner)
+    arrays = (search.byte, search.keys, search.shift, search.bucket, search.starts, search.runs, search.owner)
     assert sum(a.nbytes for a in arrays) + len(search.buffer) < 60 * 100_000
 
 
@@ -190,6 +207,17 @@ def test_common_lines_that_repeat():
     assert time.process_time() - start < 1
 
 
+def test_names_that_leave_it_open(spark):
+    """Blocks of an article named by a furniture word among others stay, unless a neighbour shares their lines."""
+    page = lambda k, own: f"""<html><body><nav>Menu</nav><article><h1>Title {k}</h1><p>First words of {k} <span class="share-price">at {k}</span>.</p>{own}
+<div class="share-tools">Send this page to a friend</div><div class="cookie-banner-wrap">We use cookies {k}</div><div class="comments">Reader {k} says</div><p>Last words of {k} and many more that no other page has, {k * 'x'}</p></article></body></html>"""
+    own = ['<section class="related-work"><p>Earlier papers</p></section>', '<p id="search-results">We found</p>', '<div class="share-price">Shares rose</div>', '<div class="adSlot">Buy</div>']
+    pages = [(k, f"http://h.org/a/{k}", page(k, own[k - 1])) for k in range(1, 5)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, middle in enumerate((" Earlier papers", " We found", " Shares rose", ""), 1):
+        assert got[k] == f"Title {k} First words of {k} at {k}.{middle} Last words of {k} and many more that no other page has, {k * 'x'}"
+
+
 @pytest.mark.parametrize("part", ["<a ", "<a \"", "<a '>", "<", "<![CDATA[", "<!x", "</script ", "<!--", "<div>", "<li></li>", "<td>x", "</b>", "<a b=\"c\"", "&", "&#", "<div x='>' \">"])
 def test_pages_are_read_in_linear_time(part):
     times = []
