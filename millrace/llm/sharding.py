@@ -30,10 +30,6 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*(F.struct(F.xxhash64(key, F.lit(s), F.lit(seed)).alias("h"), F.lit(s).alias("shard")) for s in range(shards)))["shard"] if shards > 1 else F.lit(0)
 
 
-def _sent(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
-
-
 def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, payload: tuple[str, ...] = ("text",)) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, size, shard, slot, grown_shard, *payload)``, a row for each row.
 
@@ -70,14 +66,16 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     width = min(every, PARTITIONS)
     at = F.expr(f"cast(bucket * {width} div {every} as int)")
     held = [c for c in dealt.columns if c not in ("bucket", "place", "crc")]
-    gathered = dealt.select("bucket", F.struct("doc_id", "size", "crc", *(c for c in held if c not in by)).alias("record")).withColumn("at", at)
-    gathered = gathered.repartitionById(width, F.col("at")).groupBy("at", "bucket").agg(F.sort_array(F.collect_list("record")).alias("records"))
-    mixed = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", seed + 2).alias("records"))
-
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("shard", F.expr(f"cast(bucket div {buckets} as int)"))
-    before = sizes.select("bucket", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    before = F.broadcast(before) if every <= SENT_ROWS else before
-    placed = mixed.join(before, "bucket").select("shard", "before", F.posexplode("records").alias("place", "record"))
+    record = F.struct("doc_id", "size", "crc", *(c for c in held if c not in by))
+    rows = dealt.select("bucket", at.alias("at"), record.alias("record"), F.lit(None).cast("long").alias("before"))
+    # each bucket's first slot goes where its records go, so that the texts are shuffled once at any size
+    shard = F.expr(f"cast(bucket div {buckets} as int)")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("shard", shard)
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
+    firsts = sizes.select("bucket", at.alias("at"), F.lit(None).cast(rows.schema["record"].dataType).alias("record"), before.alias("before"))
+    gathered = rows.unionByName(firsts).repartitionById(width, F.col("at")).groupBy("at", "bucket").agg(F.sort_array(F.collect_list("record")).alias("records"), F.max("before").alias("before"))
+    mixed = gathered.sortWithinPartitions("bucket").select(shard.alias("shard"), "before", F.shuffle("records", seed + 2).alias("records"))
+    placed = mixed.select("shard", "before", F.posexplode("records").alias("place", "record"))
     return placed.select(
         "record.doc_id",
         "record.size",
