@@ -12,7 +12,7 @@ change writes its own segment only; segments are merged by size.
 
 Layout of a segment: ``postings/bucket=i`` (buckets of terms, sorted by term;
 bucket -1 has one row for each chunk), ``frequencies``, ``classes``, ``gone``,
-and ``grams`` (lists of chunks by trigram, if the index has any).
+and ``grams`` (lists of chunks by trigrams or values, if the index has any).
 ``manifest/version=n`` names the segments of each version of the index.
 """
 
@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions.text import Stems
-from millrace.operators.trigrams import holders, trigram_lists
+from millrace.operators.keylists import JSON, holders, key_lists, path_values, trigrams
 
 #: Chunks for each bucket of a new index, and its most buckets.
 BUCKET_CHUNKS, MOST_BUCKETS = 50_000, 4096
@@ -68,6 +69,7 @@ class Index:
     buckets: int = 1
     grams: DataFrame | None = None
     gone: DataFrame | None = None
+    fields: tuple[str, ...] = ()
 
     @property
     def stats(self) -> DataFrame:
@@ -91,9 +93,19 @@ class Index:
         """
         spark = self.classes.sparkSession
         low = spark.range(1).select(F.lower(F.lit(needle)).alias("low")).first()["low"]
-        if self.grams is None or len(low) < 3:
+        return None if len(low) < 3 else self._holders(field, trigrams(low).tolist())
+
+    def may_contain(self, wanted: Any, field: str = "metadata") -> DataFrame | None:
+        """``(chunk_id)`` of a few chunks among which are all whose JSON field contains the value; null where the index cannot tell.
+
+        It cannot without lists of the field, and for a value without scalars.
+        """
+        return self._holders(field + JSON, path_values(wanted).tolist())
+
+    def _holders(self, field: str, keys: list[int]) -> DataFrame | None:
+        if self.grams is None or field not in self.fields or not keys:
             return None
-        found = holders(self.grams, field, low, self.buckets)
+        found = holders(self.grams, field, keys, self.buckets)
         return (found if self.gone is None else _left(found, self.gone)).select("chunk_id")
 
 
@@ -201,7 +213,7 @@ def _store_sums(frequencies: DataFrame, classes: DataFrame, gone: DataFrame, seg
 
 @dataclass(frozen=True)
 class Manifest:
-    """A version of a stored index: its segments with the chunks that each added, the analyzer, the buckets, the type of chunk ids, the columns with trigrams, and the last change's name."""
+    """A version of a stored index: its segments with the chunks that each added, the analyzer, the buckets, the type of chunk ids, the columns with lists of keys, and the last change's name."""
 
     version: int
     segments: tuple[tuple[str, int], ...]
@@ -230,17 +242,18 @@ def manifest(spark: SparkSession, path: str) -> Manifest:
 
 def _store_grams(chunks: DataFrame, fields: Sequence[str], segment: str, buckets: int) -> None:
     if fields:
-        _store_lists(trigram_lists(chunks, fields).withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int")), segment)
+        _store_lists(key_lists(chunks, fields).withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int")), segment)
 
 
 def _store_lists(lists: DataFrame, segment: str) -> None:
     lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "gram").write.partitionBy("bucket").parquet(f"{segment}/grams")
 
 
-def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: int | None = None, trigrams: Sequence[str] = ()) -> None:
+def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: int | None = None, fields: Sequence[str] = ()) -> None:
     """Store a new index of the chunks as one segment: one analysis of the texts, one exchange of the postings.
 
-    ``trigrams`` names columns whose parts are searched for, see :meth:`Index.may_hold`.
+    ``fields`` names columns whose parts are searched for (:meth:`Index.may_hold`),
+    or, with ``@json`` behind the name, whose JSON is (:meth:`Index.may_contain`).
     """
     spark = chunks.sparkSession
     buckets = buckets or min(MOST_BUCKETS, 1 + chunks.count() // BUCKET_CHUNKS)
@@ -248,8 +261,8 @@ def write_index(chunks: DataFrame, path: str, english: bool = False, buckets: in
     stored = _store_postings(analyzed(chunks, english), segment, buckets)
     postings, lengths = stored.where("bucket >= 0"), stored.where("bucket = -1")
     _store_sums(_frequencies(postings, buckets), _classes(chunks, lengths), chunks.select("chunk_id").where("false"), segment)
-    _store_grams(chunks, trigrams, segment, buckets)
-    _publish(spark, path, Manifest(0, ((segment, lengths.count()),), english, buckets, chunks.schema["chunk_id"].dataType.simpleString(), tuple(trigrams)))
+    _store_grams(chunks, fields, segment, buckets)
+    _publish(spark, path, Manifest(0, ((segment, lengths.count()),), english, buckets, chunks.schema["chunk_id"].dataType.simpleString(), tuple(fields)))
 
 
 def update_index(path: str, before: DataFrame, after: DataFrame, merge: bool = True, batch: str | None = None) -> None:
@@ -333,4 +346,4 @@ def read_index(chunks: DataFrame, path: str) -> Index:
         freq, classes = _summed(freq, "df > 0"), _summed_classes(classes)
     lengths = rows.where("bucket = -1").select("chunk_id", "class_id", "n_terms")
     grams, gone = _read(spark, m, "grams") if m.fields else None, _gone(spark, m) if len(m.segments) > 1 else None
-    return Index(chunks, rows.where("bucket >= 0"), freq.drop("number"), classes.where("chunks > 0").drop("number"), lengths, m.english, m.buckets, grams, gone)
+    return Index(chunks, rows.where("bucket >= 0"), freq.drop("number"), classes.where("chunks > 0").drop("number"), lengths, m.english, m.buckets, grams, gone, m.fields)

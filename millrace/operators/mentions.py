@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.access import kind_rank
+from millrace.functions.access import contains, kind_rank
 from millrace.operators.index import Index
 
 
@@ -53,6 +55,12 @@ def _among(index: Index, held: DataFrame | None) -> DataFrame:
     return index.chunks.where(F.col("chunk_id").isin(some)) if len(some) <= NAMED_CHUNKS else index.chunks.join(held, "chunk_id", "left_semi")
 
 
+def with_metadata(index: Index, wanted: Any, sees: Column) -> DataFrame:
+    """Visible chunks whose JSON ``metadata`` contains the wanted value; JSON is parsed for those only that the lists of its rarest values leave."""
+    rows = _among(index, index.may_contain(wanted))
+    return rows.where(sees).where(contains(F.try_parse_json("metadata"), wanted))
+
+
 def titled(index: Index, part: str, sees: Column) -> DataFrame:
     """Visible chunks whose title contains the part, in any case; through the trigrams of titles where the index has them."""
     rows = _among(index, index.may_hold(part, "title"))

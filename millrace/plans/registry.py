@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from millrace.functions.access import contains
 from millrace.functions.text import bag_of_words, query_terms
 from millrace.operators import buckets, chunking, context, evaluation, index, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
-from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, shared_folder, stored_index, stored_trigrams, stored_vectors, table
+from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, shared_folder, stored_index, stored_lists, stored_vectors, table
 from millrace.sources.connectors import conversation_threads, drive_files, next_cursors, web_pages
 from millrace.streaming.streams import daily_documents, live_jobs, login_outcomes, skip_unchanged
 
@@ -310,12 +310,12 @@ def m_mentions_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_MENTIONS} SELECT chunk_id, title, source_kind, match_offset, occurrences, snippet FROM found")
 def m_mentions_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same mentions from the chunks that hold the needle's rarest trigrams."""
-    return mentions.indexed_mentions(stored_trigrams(spark, sf_dir), _NEEDLE, MEMBER.sees()).select("chunk_id", "title", "source_kind", F.col("match_offset").cast("long").alias("match_offset"), "occurrences", "snippet")
+    return mentions.indexed_mentions(stored_lists(spark, sf_dir), _NEEDLE, MEMBER.sees()).select("chunk_id", "title", "source_kind", F.col("match_offset").cast("long").alias("match_offset"), "occurrences", "snippet")
 
 
 @_query(f"WITH {_CHUNKS} SELECT chunk_id, title FROM chunks WHERE tenant_id = 'acme' AND {_SEES['member']} AND contains(lower(title), 'rc1/1')")
 def m_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.titled(stored_trigrams(spark, sf_dir), "RC1/1", MEMBER.sees()).select("chunk_id", "title")
+    return mentions.titled(stored_lists(spark, sf_dir), "RC1/1", MEMBER.sees()).select("chunk_id", "title")
 
 
 # ---- predicates, aggregates, state
@@ -328,6 +328,12 @@ def p_metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described.where(contains(F.col("metadata"), {"lang": "en", "labels": {"toxic": 1}})).select("chunk_id")
 
 
+@_query(f"WITH {_CHUNKS} SELECT chunk_id FROM chunks JOIN labels ON doc_id = chunk_id WHERE toxic = 1 AND lang = 'en' AND tenant_id = 'acme' AND {_SEES['member']}")
+def p_metadata_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter by lists of values at paths, before any JSON is parsed."""
+    return mentions.with_metadata(stored_lists(spark, sf_dir), {"lang": "en", "labels": {"toxic": 1}}, MEMBER.sees()).select("chunk_id")
+
+
 @_query(f"WITH {_CHUNKS}, wanted AS (SELECT DISTINCT source_id FROM chunks WHERE source_kind IN ('slack', 'jira')) SELECT chunk_id, source_id FROM chunks SEMI JOIN wanted USING (source_id)")
 def p_source_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)

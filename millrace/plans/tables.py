@@ -91,10 +91,17 @@ def stored_index(spark: SparkSession, sf_dir: str, english: bool = False) -> Ind
     return _kept(spark, sf_dir, ["documents"], f"index-{'english' if english else 'simple'}", lambda path: write_index(rows, path, english), lambda path: read_index(rows, path))
 
 
-def stored_trigrams(spark: SparkSession, sf_dir: str) -> Index:
-    """The stored text index of the documents with the trigrams of contents and titles."""
-    rows = chunks(spark, sf_dir)
-    return _kept(spark, sf_dir, ["documents"], "trigrams", lambda path: write_index(rows, path, trigrams=("content", "title")), lambda path: read_index(rows, path))
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with ``metadata``, a JSON document of their language and labels."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.struct("toxic", "quality").alias("labels"))
+    rows = chunks(spark, sf_dir).join(labels, "chunk_id", "left")
+    return rows.withColumn("metadata", F.to_json(F.struct("lang", "labels"))).drop("labels")
+
+
+def stored_lists(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored text index of the documents with lists for parts of contents and titles and for metadata."""
+    rows = described(spark, sf_dir)
+    return _kept(spark, sf_dir, ["documents", "labels"], "lists", lambda path: write_index(rows, path, fields=("content", "title", "metadata@json")), lambda path: read_index(rows, path))
 
 
 def stored_vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:

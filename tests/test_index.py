@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.access import contains
 from millrace.functions.text import matches, parse_websearch, simple_tokens
 from millrace.operators import index, mentions, search
 from tests.test_operators import _same_index
@@ -147,7 +148,7 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     rows = [(i, "t", True, None, None if i == 7 else "".join(rng.choice(letters) for _ in range(rng.choice([0, 2, 3, 40])))) for i in range(120)]
     shaped = lambda r: _chunks(spark, r).selectExpr("*", "concat('T ', chunk_id) as title", "'web' as source_kind", "'s' as source_id", "0 as ordinal")
     path = str(tmp_path / "i")
-    index.write_index(shaped(rows), path, buckets=3, trigrams=("content", "title"))
+    index.write_index(shaped(rows), path, buckets=3, fields=("content", "title"))
     changed = [(i, "t", True, None, "aBé" * (i % 3)) for i in range(10, 14)]
     index.update_index(path, shaped(rows[10:14]), shaped(changed), merge=False)
     now = [changed[r[0] - 10] if 10 <= r[0] < 14 else r for r in rows]
@@ -162,3 +163,18 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
         assert {r.chunk_id for r in mentions.titled(stored, "9", F.lit(True)).collect()} == {i for i in range(120) if "9" in str(i)}
         index.merge_segments(spark, path, factor=10_000)
     assert len(index.manifest(spark, path).segments) == 1
+
+
+def test_metadata_by_values_at_paths(spark, tmp_path):
+    documents = ['{"a": 1, "b": {"c": ["x", {"d": true}], "e": null}}', '{"a": 1.0, "b": {"c": "x"}}', '{"a": "1"}', '{"b": {"e": null, "c": ["y"]}}', "[1, 2]", "not json", None, '{"a": [1]}', "{}"]
+    rows = _chunks(spark, [(i, "t", True, None, "w") for i in range(len(documents))])
+    rows = rows.join(spark.createDataFrame(list(enumerate(documents)), "chunk_id long, metadata string"), "chunk_id")
+    index.write_index(rows, str(tmp_path / "i"), buckets=3, fields=("metadata@json",))
+    stored = index.read_index(rows, str(tmp_path / "i"))
+    for wanted in ({"a": 1}, {"b": {"c": ["x"]}}, {"b": {"c": [{"d": True}]}}, {"b": {"e": None}}, {"a": 1, "b": {"c": "x"}}, [1], {"a": "2"}, {}, {"b": {}}):
+        got = {r.chunk_id for r in mentions.with_metadata(stored, wanted, F.lit(True)).collect()}
+        want = {r.chunk_id for r in rows.where(contains(F.try_parse_json("metadata"), wanted)).collect()}
+        assert got == want, wanted
+    held = stored.may_contain({"a": 1})
+    assert {r.chunk_id for r in held.collect()} == {0, 1} and stored.may_contain({}) is None
+    assert "In(gram" in held._jdf.queryExecution().toString() or "EqualTo(gram" in held._jdf.queryExecution().toString()
