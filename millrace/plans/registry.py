@@ -364,6 +364,26 @@ def a_query_stats_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.query_stats_daily(traces)
 
 
+@_query(
+    """WITH e AS (SELECT 't' || (user_id % 3) AS tenant_id, date_trunc('day', ts) AS day, value AS ms, event_type = 'error' AS bad, CAST(ceil(round(ln(value) / ln(1 + 0.1 / 0.95), 9)) AS BIGINT) AS bucket FROM events),
+b AS (SELECT tenant_id, day, bucket, count(*) AS n, min(ms) AS low, max(ms) AS high FROM e GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER p - n AS before, sum(n) OVER (PARTITION BY tenant_id, day) AS total FROM b WINDOW p AS (PARTITION BY tenant_id, day ORDER BY bucket)),
+r AS (SELECT *, unnest(range(n)) AS k FROM c),
+v AS (SELECT tenant_id, day, total, before + k AS rank, CASE WHEN k = 0 THEN low WHEN k = n - 1 THEN high ELSE low + (high - low) * k / (n - 1) END AS ms FROM r),
+q AS (
+  SELECT tenant_id, day, p, max(ms) FILTER (rank = floor(p * (total - 1))) AS a, max(ms) FILTER (rank = ceil(p * (total - 1))) AS z, max(p * (total - 1)) AS place
+  FROM v CROSS JOIN (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) x(p) GROUP BY ALL),
+s AS (SELECT tenant_id, day, p, round(a + (z - a) * (place - floor(place)), 6) AS ms FROM q),
+t AS (SELECT tenant_id, day, count(*) AS queries, round(sum(ms / 1000), 6) AS cost_usd, round(avg(ms / 1000), 9) AS cost_per_query, count(*) FILTER (bad) AS errors FROM e GROUP BY ALL)
+SELECT tenant_id, day, queries, max(ms) FILTER (p = 0.5) AS p50_ms, max(ms) FILTER (p = 0.95) AS p95_ms, max(ms) FILTER (p = 0.99) AS p99_ms, cost_usd, cost_per_query, errors FROM t JOIN s USING (tenant_id, day) GROUP BY ALL"""
+)
+def a_query_stats_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rollup from hourly sketches of two halves."""
+    traces = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), F.col("ts").alias("created_at"), F.col("value").alias("total_ms"), (F.col("value") / 1000).alias("cost_usd"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    halves = [rollups.latency_sketches(traces.where(F.col("event_id") % 2 == k), error=0.05) for k in (0, 1)]
+    return rollups.sketched_stats(halves[0].unionByName(halves[1]))
+
+
 _JOBS = """jobs AS (
   SELECT event_id AS id, event_type AS kind, CASE WHEN event_id % 4 < 2 THEN 'queued' WHEN event_id % 4 = 2 THEN 'running' ELSE 'succeeded' END AS status, CAST(user_id % 5 AS INT) AS priority,
     CAST(event_id % 6 AS INT) AS attempts, ts, user_id FROM events)"""

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import numpy as np
@@ -571,3 +572,25 @@ def test_cursors_never_go_back(spark):
     rows = spark.createDataFrame([("a", at(2)), ("a", at(5)), ("b", at(1)), ("c", None)], "source_id string, updated_at timestamp")
     stored = spark.createDataFrame([("a", at(3)), ("b", at(4)), ("d", at(9))], "source_id string, cursor timestamp")
     assert {tuple(r) for r in connectors.next_cursors(rows, stored).collect()} == {("a", at(5)), ("b", at(4)), ("c", None), ("d", at(9))}
+
+
+def test_sketches_merge_and_stay_close(spark):
+    from millrace.operators import rollups
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), dt.datetime(2024, 1, 1 + i % 2, i % 24), rng.choice([None, 0.0, -1.0]) if i % 50 == 0 else math.exp(rng.gauss(3, 2)), 0.5, "x" if i % 9 == 0 else None) for i in range(4000)]
+    rows += [("c", dt.datetime(2024, 1, 1), v, 1.0, None) for v in (5.0, 1.0, 3.0)] + [("d", dt.datetime(2024, 1, 1), None, 1.0, None)]
+    traces = spark.createDataFrame(rows, "tenant_id string, created_at timestamp, total_ms double, cost_usd double, error string")
+    whole = rollups.latency_sketches(traces, "day")
+    parts = [rollups.latency_sketches(traces.where(F.crc32(F.col("created_at").cast("string").cast("binary")) % 3 == k)) for k in range(3)]
+    merged = rollups.merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    columns = ["tenant_id", "at", "bucket", "n", "low", "high", "errors"]
+    assert sorted(map(repr, merged.select(columns).collect())) == sorted(map(repr, whole.select(columns).collect()))
+    exact = {(r.tenant_id, r.day): r for r in rollups.query_stats_daily(traces).collect()}
+    got = {(r.tenant_id, r.day): r for r in rollups.sketched_stats(merged).collect()}
+    assert got.keys() == exact.keys()
+    for key, r in got.items():
+        assert (r.queries, r.errors) == (exact[key].queries, exact[key].errors)
+        for p in ("p50_ms", "p95_ms", "p99_ms"):
+            assert r[p] == exact[key][p] or abs(r[p] - exact[key][p]) <= 2.1 * rollups.ERROR * exact[key][p]
+    assert got["c", dt.datetime(2024, 1, 1)].p50_ms == 3.0 and got["d", dt.datetime(2024, 1, 1)].p50_ms is None
