@@ -12,7 +12,7 @@ from millrace.functions.text import bag_of_words, query_terms
 from millrace.operators import buckets, chunking, context, evaluation, index, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
 from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, shared_folder, stored_index, stored_lists, stored_vectors, table
 from millrace.sources.connectors import conversation_threads, drive_files, next_cursors, web_pages
-from millrace.streaming.streams import daily_documents, live_jobs, login_outcomes, skip_unchanged
+from millrace.streaming.streams import accepted_requests, daily_documents, live_jobs, login_outcomes, skip_unchanged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -841,6 +841,17 @@ def t_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_jobs(table(spark, sf_dir, "events"), ["event_type", "user_id"]).select("event_type", "user_id")
 
 
+@_query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_key, ts, event_id, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'ask' END AS what FROM events),
+o AS (SELECT *, lag(what) OVER k AS was, lag(ts) OVER k AS asked_at FROM e WINDOW k AS (PARTITION BY job_key ORDER BY ts, event_id))
+SELECT job_key, event_id FROM o WHERE what = 'ask' AND (was IS NULL OR was = 'done' OR epoch_ms(ts) - epoch_ms(asked_at) > 86400000)"""
+)
+def t_accepted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event of a user asks for a job of theirs, but for a purchase, which ends it."""
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_key"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "done").otherwise("ask").alias("what"))
+    return accepted_requests(asked, 86_400).select("job_key", "event_id")
+
+
 @_query(
     """WITH RECURSIVE a AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS ok, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'purchase')),
 r AS (

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from millrace.operators.ingest import content_hash
 
@@ -34,6 +36,63 @@ def live_jobs(events: DataFrame, keys: list[str], lateness: str = "26 hours") ->
     return events.dropDuplicates(keys)
 
 
+class LiveKeys(StatefulProcessor):
+    """A key's last event, for as long as its job may be live: one small state a live job, none for the others."""
+
+    def __init__(self, expiry_ms: int):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def _release(self) -> None:
+        if self.last.exists():
+            self.handle.deleteTimer(self.last.get()[0] + self.expiry_ms)
+            self.last.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        at, accepted = self.last.get()[0] if self.last.exists() else None, []
+        for when, what in zip((frame["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist(), frame["what"].tolist()):
+            accepted.append(what == "ask" and (at is None or when - at > self.expiry_ms))
+            at = when if what == "ask" else None
+        self._release()
+        if at is not None:
+            self.last.update((at,))
+            self.handle.registerTimer(at + self.expiry_ms)
+        kept = frame[accepted]
+        yield pd.DataFrame({"job_key": key[0], "event_id": kept["event_id"], "ts": kept["ts"]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.expiry_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def accepted_requests(events: DataFrame, expiry_seconds: int = 86_400, lateness: str = "1 hour") -> DataFrame:
+    """``events(job_key, ts, event_id, what)`` -> ``(job_key, event_id, ts)`` of the requests that start a job, for batches and streams alike.
+
+    ``what`` is ``ask`` or ``done``. A request is taken in unless a job of its
+    key is live: one that was asked for (again) less than ``expiry_seconds`` ago
+    and is not done. So a key is free again when its job ends, not after some
+    time, and a job that is lost frees it in the end. A stream keeps one state
+    for each live job, released by its end or by a timer, drops events later
+    than ``lateness``, and takes a key's events in the order of its batches
+    (state store: RocksDB). Null keys ask for nothing.
+    """
+    rows = events.where("job_key is not null and what in ('ask', 'done')").select(F.col("job_key").cast("string").alias("job_key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), "what")
+    if rows.isStreaming:
+        return watermarked(rows, lateness).groupBy("job_key").transformWithStateInPandas(LiveKeys(expiry_seconds * 1000), "job_key string, event_id long, ts timestamp", "Append", "EventTime")
+    before = Window.partitionBy("job_key").orderBy("ts", "event_id")
+    was, at = F.lag("what").over(before), F.lag("ts").over(before)
+    free = was.isNull() | (was == "done") | (F.unix_millis("ts") - F.unix_millis(at) > expiry_seconds * 1000)
+    return rows.withColumn("free", free).where("what = 'ask' and free").select("job_key", "event_id", "ts")
+
+
 class Attempts:
     """A user's failures since the last success or the end of a lockout, and when a lockout ends."""
 
