@@ -494,6 +494,81 @@ def test_training_takes_the_non_negative_branch(monkeypatch):
     assert min(seen) < 0 and abs(np.mean(seen[-50:])) < 0.05 and model.weights[11] > 0
 
 
+def test_the_risk_does_the_work(monkeypatch):
+    """Hidden positives outnumber the confirmed ones: the corrected risk scores their feature toxic, the plain one from the same start does not."""
+    documents = [np.array([0], "<i4")] * 20 + [np.array([0], "<i4")] * 60 + [np.array([1], "<i4")] * 140
+    positive = np.arange(220) < 20
+    model = toxicity.fit(documents, positive, 0.3, [0, 1])
+    logit = lambda m, k: m.bias + m.weights[k]
+    assert logit(model, 0) > 0 > logit(model, 1)
+
+    def plain(g, positive, prior):
+        s = 1 / (1 + np.exp(-g))
+        return 1.0, 0.0, np.where(positive, s - 1, s) / len(g)
+
+    monkeypatch.setattr(toxicity, "risk", plain)
+    assert logit(toxicity.fit(documents, positive, 0.3, [0, 1]), 0) < 0
+
+
+def _plain_training(rows, labels):
+    """The whole training in lists and sums: features, choice, and the descent."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    known = {d: t for d, t in labels if not held(d)}
+    prior = sum(known.values()) / len(known)
+    of = {d: set().union(*(toxicity.features_of(w.encode()) for w in re.findall("[0-9a-z]+", t.lower()))) for d, t in rows}
+    sample = [(of[d], True) for d in sorted(known) if known[d] == 1] + [(of[d], False) for d in sorted(of) if not held(d)]
+    n_pos = sum(p for _, p in sample)
+    n_unl = len(sample) - n_pos
+    chosen = []
+    for f in sorted(set().union(*(x for x, _ in sample))):
+        pos, unl = (sum(f in x for x, p in sample if p == side) for side in (True, False))
+        expected = unl * n_pos / n_unl
+        if pos >= 3 and (pos - expected) / (expected + 1) ** 0.5 >= 3.5 and pos >= (1 / (4 * prior) if prior < 0.2 else 1.5) * expected:
+            chosen.append(f)
+    w, b = dict.fromkeys(chosen, 2.0), float(np.log(prior / (1 - prior)))
+    m, v = dict.fromkeys([*chosen, "b"], 0.0), dict.fromkeys([*chosen, "b"], 0.0)
+    for t in range(1, 401):
+        g = [b + sum(w[f] for f in x if f in w) for x, _ in sample]
+        s = [1 / (1 + np.exp(-x)) for x in g]
+        below = [np.log1p(np.exp(x)) for x in g]
+        negative = sum(y for y, (_, p) in zip(below, sample) if not p) / n_unl - prior * sum(y for y, (_, p) in zip(below, sample) if p) / n_pos
+        pull = [-prior * y / n_pos if p else y / n_unl for y, (_, p) in zip(s, sample)]
+        push = [-prior * (1 - y) / n_pos if p else 0.0 for y, (_, p) in zip(s, sample)]
+        d = [x + y for x, y in zip(pull, push)] if negative >= 0 else [-x for x in pull]
+        slope = {f: sum(y for y, (x, _) in zip(d, sample) if f in x) + 1e-3 * w[f] for f in chosen} | {"b": sum(d)}
+        for k, y in slope.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * y, 0.999 * v[k] + 0.001 * y * y
+            step = 0.05 * (m[k] / (1 - 0.9**t)) / ((v[k] / (1 - 0.999**t)) ** 0.5 + 1e-8)
+            if k == "b":
+                b -= step
+            else:
+                w[k] -= step
+    return w, b, of
+
+
+def test_model_and_scores_against_a_plain_recomputation(spark):
+    rng = random.Random(11)
+    rows = [(d, " ".join([f"c{rng.randrange(40)}" for _ in range(12)] + (["vile", "nasty"] if d % 6 == 0 else []))) for d in range(150)]
+    labels = [(d, int(d % 6 == 0)) for d in range(0, 150, 2)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    weights, bias, of = _plain_training(rows, labels)
+    assert set(model.weights) == set(weights) != set() and np.isclose(model.bias, bias, atol=1e-6)
+    assert all(np.isclose(model.weights[f], weights[f], atol=1e-6) for f in weights)
+    for r in toxicity.score(docs, model, keep=("doc_id",)).collect():
+        hit = of[r.doc_id] & set(weights)
+        want = 1 / (1 + np.exp(-(bias + sum(weights[f] for f in hit))))
+        assert np.isclose(r.score, want if hit else min(want, toxicity.UNKNOWN), atol=1e-6)
+
+
+def test_a_corpus_without_learnt_features_loses_no_row(spark):
+    rows = spark.createDataFrame([(i, f"clean words {i}") for i in range(42)] + [(None, None), (50, "")], "doc_id long, text string")
+    for labels in ([(1, 1), (2, 0)], [(1, 1), (2, 1)], [(1, 1)], [(1, 0)], []):
+        model = toxicity.train(rows, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert toxicity.without_toxic(rows, model).count() == 44
+    assert toxicity.without_toxic(rows, toxicity.Model(3.0, {1: 1.0})).count() == 44
+
+
 def test_repeated_ids_are_used_once(spark):
     rows = [(i, "bad words here" if i % 3 == 0 else "good words there") for i in range(60)]
     docs = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string")
