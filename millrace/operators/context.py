@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUDGET = 60_000
+# Fixed value: what stands between the entries of a context.
+BETWEEN = "\n\n---\n\n"
 
 
 def pack_context(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -21,10 +25,40 @@ def pack_context(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def context_text(packed: DataFrame) -> DataFrame:
-    """The joined context of each query and its estimated tokens (0 if empty)."""
+    """The joined context of each query and its estimated tokens (1 at least)."""
     joined = packed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("marker", "entry"))).alias("entries"))
-    text = F.array_join("entries.entry", "\n\n")
-    return joined.select("query_id", text.alias("context"), F.floor(F.length(text) / 4).cast("long").alias("tokens"))
+    text = F.array_join("entries.entry", BETWEEN)
+    return joined.select("query_id", text.alias("context"), F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long").alias("tokens"))
+
+
+def source_line(heading: Column, title: Column, page: Column) -> Column:
+    """What an entry's header says of its source: the heading, or else the title, and the page (if it has one)."""
+    some = lambda c: F.when(c != "", c)
+    return F.concat_ws(" · ", F.coalesce(some(heading), some(title)), F.when(page != 0, F.concat(F.lit("p."), page.cast("string"))))
+
+
+#: What a model is told of its answer, whatever a tenant's own words; the one before the last holds unless the search is strict, the last one if it is.
+RULES = (
+    "Base every statement on the numbered passages of the message.",
+    "End each sentence with the marker of the passage it rests on, such as [2]; each fact needs one.",
+    "Use no marker that the passages do not have.",
+    "Put the passages into your own words instead of repeating them.",
+    "Where the passages tell only a part, answer that part and name what they leave open.",
+    "Where the passages do not tell, say so, name what is missing, and add nothing from elsewhere.",
+)
+
+
+def system_text(own: Column, strict: Column, rules: Sequence[str] = RULES) -> Column:
+    """A tenant's own words and the rules for an answer, one a line; ``strict`` chooses between the last two."""
+    *always, partly, strictly = (f"- {r}" for r in rules)
+    return F.concat(F.trim(own), F.lit("\n\nRules:\n"), F.concat_ws("\n", *map(F.lit, always), F.when(strict, strictly).otherwise(partly)))
+
+
+def prompts(questions: DataFrame, packed: DataFrame) -> DataFrame:
+    """``questions(query_id, text)`` with their contexts -> ``(query_id, prompt, tokens)``; a question without passages has an empty context."""
+    asked = questions.join(context_text(packed), "query_id", "left")
+    text = F.concat(F.lit("Context passages:\n\n"), F.coalesce("context", F.lit("")), F.lit(f"{BETWEEN}Question: "), F.coalesce("text", F.lit("")))
+    return asked.select("query_id", text.alias("prompt"), F.coalesce("tokens", F.lit(1)).cast("long").alias("tokens"))
 
 
 def citations(answer: Column, n: Column) -> Column:

@@ -7,11 +7,13 @@ apply are null.
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Phrases that mean an answer was not found.
@@ -218,25 +220,60 @@ def _draws(n: int, resamples: int, seed: int) -> Iterator[np.ndarray]:
         held = held[size:]
 
 
+@functools.lru_cache(maxsize=2)
+def _all_draws(n: int, resamples: int, seed: int) -> np.ndarray:
+    """All draws of a small size at once; groups of one size share them."""
+    return np.concatenate([d.astype(np.int32) for d in _draws(n, resamples, seed)])
+
+
+def _means(deltas: np.ndarray, first: int, last: int, resamples: int, seed: int) -> np.ndarray:
+    """Means of the resamples first .. last - 1."""
+    n, at, out = len(deltas), 0, []
+    if n * resamples <= DRAWS:
+        return deltas[_all_draws(n, resamples, seed)[first:last]].mean(axis=1)
+    for draw in _draws(n, last, seed):
+        if at + len(draw) > first:
+            out.append(deltas[draw[max(0, first - at) :]].mean(axis=1))
+        at += len(draw)
+    return np.concatenate(out)
+
+
+#: Draws of one task; a larger comparison is cut into blocks of its resamples.
+BLOCK_DRAWS = 50_000_000
+
+
 def bootstrap(pairs: DataFrame, by: str = "metric", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """``pairs(by, question_id, delta)`` -> a paired bootstrap for each value of ``by``: interval, disagreement, verdict.
 
     The draws are those of Python's generator with the seed, over the questions
     in order, so groups of one size share them. A group is the list of one
-    run's questions, which an evaluation answered one by one.
+    run's questions, which an evaluation answered one by one; its resamples are
+    spread over tasks in blocks of about BLOCK_DRAWS draws, each of which runs
+    the generator up to its first draw.
     """
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        deltas = group.sort_values("question_id")["delta"].to_numpy(float)
-        n, observed = len(deltas), float(deltas.mean())
-        means = np.sort(np.concatenate([deltas[draw].mean(axis=1) for draw in _draws(n, resamples, seed)]))
+    asked = F.array_sort(F.collect_list(F.struct("question_id", "delta")))
+    runs = pairs.groupBy(F.col(by).cast("string").alias("run")).agg(F.transform(asked, lambda x: x["delta"].cast("double")).alias("deltas"))
+    blocks = F.least(F.lit(resamples), F.greatest(F.lit(1), F.ceil(F.size("deltas") * F.lit(float(resamples)) / BLOCK_DRAWS))).cast("int")
+    parts = runs.withColumn("blocks", blocks).select("run", "deltas", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).repartition("run", "block")
+
+    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, deltas, of, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x = deltas.values.to_numpy(zero_copy_only=False).astype(float)
+                means = _means(x, block * resamples // of, (block + 1) * resamples // of, resamples, seed)
+                yield pa.RecordBatch.from_arrays([pa.array([run], pa.string()), pa.array([len(x)], pa.int64()), pa.array([float(x.mean())]), pa.array([means], pa.list_(pa.float64()))], ["run", "n", "observed", "means"])
+
+    def judged(group: pd.DataFrame) -> pd.DataFrame:
+        n, observed = int(group["n"].iloc[0]), float(group["observed"].iloc[0])
+        means = np.sort(np.concatenate(list(group["means"])))
         low, high = float(means[int(0.025 * resamples)]), float(means[min(resamples - 1, int(0.975 * resamples))])
         against = int((means <= 0).sum()) if observed > 0 else int((means >= 0).sum()) if observed < 0 else resamples
         decisive = low > 0 or high < 0
         word = "inconclusive" if not decisive else "better" if observed > 0 else "worse"
-        return pd.DataFrame([(group[by].iloc[0], n, observed, low, high, against / resamples, decisive, word)], columns=[by, "n", "delta", "ci_low", "ci_high", "disagreement", "decisive", "verdict"])
+        return pd.DataFrame([(group["run"].iloc[0], n, observed, low, high, against / resamples, decisive, word)], columns=[by, "n", "delta", "ci_low", "ci_high", "disagreement", "decisive", "verdict"])
 
-    return pairs.select(by, "question_id", "delta").groupBy(by).applyInPandas(one, f"{by} string, n long, delta double, ci_low double, ci_high double, disagreement double, decisive boolean, verdict string")
+    means = parts.mapInArrow(resampled, "run string, n long, observed double, means array<double>")
+    return means.groupBy("run").applyInPandas(judged, f"{by} string, n long, delta double, ci_low double, ci_high double, disagreement double, decisive boolean, verdict string")
 
 
 def verdict_text(n: Column, delta: Column, low: Column, high: Column) -> Column:

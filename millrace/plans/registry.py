@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.access import contains
 from millrace.functions.text import bag_of_words, query_terms
-from millrace.operators import buckets, chunking, context, evaluation, index, ingest, jobs as queue, mentions, pipeline, rollups, search, state, vectors
+from millrace.operators import buckets, chunking, context, datasets, evaluation, index, ingest, jobs as queue, listings, mentions, pipeline, rollups, search, state, vectors
 from millrace.plans.tables import ADMIN, MEMBER, NOW, STRANGER, chunks, jobs, questions, shared_folder, stored_index, stored_lists, stored_vectors, table
-from millrace.sources.connectors import conversation_threads, drive_files, next_cursors, web_pages
+from millrace.sources.connectors import conversation_threads, drive_files, next_cursors, repository_files, web_pages
 from millrace.streaming.streams import accepted_requests, daily_documents, live_jobs, login_outcomes, skip_unchanged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -872,3 +872,100 @@ def t_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     stored = d.where("document_id % 3 = 0").select("document_id", ingest.content_hash(F.array("text")).alias("content_hash"))
     return skip_unchanged(d, stored).select("document_id")
+
+
+# ---- listings, datasets, connectors and answers
+
+
+@_query("SELECT o_orderkey AS document_id, c_name AS source_name, c_mktsegment AS source_kind FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+def j_documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200 of a tenant (a status), from one source's kind; customers are the sources."""
+    rows = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("tenant_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("created_at"))
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_mktsegment").alias("kind"), F.col("c_name").alias("name"))
+    return listings.documents_of(rows, sources, "F").select("document_id", "source_name", "source_kind")
+
+
+@_query(
+    """WITH a AS (SELECT n_name AS tenant_slug, lower(c_name) AS email, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING')
+SELECT tenant_slug, email FROM a WHERE k = 1"""
+)
+def j_first_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("tenant_id"), F.lower("c_name").alias("email"), (F.col("c_mktsegment") == "BUILDING").alias("is_admin"), F.col("c_acctbal").alias("created_at"))
+    tenants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("slug"), F.col("n_comment" if "n_comment" in table(spark, sf_dir, "nation").columns else "n_name").alias("name"))
+    return listings.first_admins(users, tenants)
+
+
+@_query(
+    """WITH e AS (SELECT conv_id AS question_id, role || '/' || (conv_id % 40) AS title FROM conversations GROUP BY ALL), d AS (SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'user' ELSE 'assistant' END || '/' || (doc_id % 37) AS title FROM documents),
+n AS (SELECT title, max(doc_id) AS document_id FROM d GROUP BY ALL)
+SELECT question_id, document_id FROM e JOIN n USING (title)"""
+)
+def j_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of expected documents as the newest document of each."""
+    expected = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.concat_ws("/", "role", (F.col("conv_id") % 40).cast("string")).alias("title")).distinct()
+    title = F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant"), (F.col("doc_id") % 37).cast("string"))
+    rows = table(spark, sf_dir, "documents").select(F.lit("t").alias("tenant_id"), title.alias("title"), F.col("doc_id").alias("document_id"), F.timestamp_seconds("doc_id").alias("created_at"))
+    return datasets.resolve_titles(expected, rows)[0]
+
+
+@_query("SELECT 1000000 + doc_id AS id, 'reindex/' || doc_id AS dedupe_key, CAST(500 AS INT) AS priority FROM documents WHERE lang <> 'en'")
+def d_reindex_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of another embedding version (here: language) ask for work once each."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("embedding_version"))
+    return queue.reindex_jobs(rows.unionByName(rows), "en", 1_000_000, F.expr(NOW)).select("id", "dedupe_key", "priority")
+
+
+@_query(
+    """WITH f AS (SELECT doc_id, source || '/' || CASE doc_id % 6 WHEN 0 THEN 'node_modules/a.js' WHEN 1 THEN 'a.min.js' WHEN 2 THEN 'b.py' WHEN 3 THEN 'c.md' WHEN 4 THEN 'yarn.lock' ELSE 'd.go' END AS path, text FROM documents)
+SELECT doc_id || '/' || path AS external_id, CASE doc_id % 6 WHEN 3 THEN 'md' ELSE 'code' END AS kind, md5(text) AS text_md5 FROM f WHERE doc_id % 6 IN (2, 3, 5) AND doc_id % 4 > 0 AND strlen(text) <= 400000"""
+)
+def c_repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of repositories that a comparison of two commits names, without built and vendored ones."""
+    name = F.element_at(F.array(*map(F.lit, ("node_modules/a.js", "a.min.js", "b.py", "c.md", "yarn.lock", "d.go"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.col("doc_id").cast("string"), "source", name).alias("path"), F.octet_length("text").alias("size"), F.col("text").alias("content"))
+    return repository_files(files.drop("doc_id"), files.where("doc_id % 4 > 0").select("path")).select("external_id", "kind", F.md5("text").alias("text_md5"))
+
+
+@_query(
+    """WITH a AS (SELECT doc_id, [doc_id % 7, doc_id % 5, 9] AS cited, [doc_id % 5, 1, 2] AS retrieved, CASE WHEN doc_id % 3 = 0 THEN [CAST(9 AS BIGINT)] ELSE [] END AS relevant FROM documents)
+SELECT doc_id, round(len(list_filter(cited, lambda c: list_contains(CASE WHEN len(relevant) > 0 THEN relevant ELSE retrieved END, c))) / 3.0::DOUBLE, 9) AS accuracy FROM a"""
+)
+def e_citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n = table(spark, sf_dir, "documents"), F.lit
+    cited, retrieved = F.array(F.col("doc_id") % 7, F.col("doc_id") % 5, n(9).cast("long")), F.array(F.col("doc_id") % 5, n(1).cast("long"), n(2).cast("long"))
+    relevant = F.when(F.col("doc_id") % 3 == 0, F.array(n(9).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return d.select("doc_id", F.round(evaluation.citation_accuracy(cited, retrieved, relevant), 9).alias("accuracy"))
+
+
+@_query(
+    """WITH h AS (SELECT source AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, doc_id % 13 AS rating FROM documents),
+u AS (SELECT *, count(*) FILTER (source_missing) OVER (PARTITION BY query_id) AS missing FROM (SELECT *, query_id = 'src3' AND place = 2 AS source_missing FROM h))
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN missing = 0 THEN least(rating / 10, 1) END DESC NULLS LAST, place) AS final_rank FROM u"""
+)
+def h_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source by their rating of 0..10; one source lacks a rating and keeps its order."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    hits = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), place.alias("place")).withColumn("fused", 1 / F.col("place"))
+    ratings = hits.where("not (query_id = 'src3' and place = 2)").select("query_id", "chunk_id", (F.col("chunk_id") % 13).cast("double").alias("rating"))
+    return search.reranked(hits, ratings).select("query_id", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@_query(
+    r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents), p AS (SELECT doc_id, string_split_regex(regexp_replace(flat, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)) AS parts FROM f),
+o AS (SELECT doc_id, CASE WHEN length(parts[1]) < 90 AND len(parts) > 1 THEN parts[1] || ' ' || parts[2] ELSE parts[1] END AS t FROM p)
+SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(t[1:240], '\s+\S*$', '') || '…' ELSE t END AS lead FROM o"""
+)
+def e_snippet_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", context.lead(F.col("text")).alias("lead"))
+
+
+@_query(
+    """WITH e AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS marker, lang, text FROM documents),
+n AS (SELECT *, '[' || marker || '] ' || lang || chr(10) || text AS entry FROM e), u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY marker) AS used FROM n),
+c AS (SELECT query_id, string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY marker) AS context FROM u WHERE used <= 60000 OR marker = 1 GROUP BY ALL)
+SELECT query_id, md5('Context passages:' || chr(10) || chr(10) || context || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || 'What of ' || query_id || '?') AS prompt_md5, greatest(1, length(context) // 4) AS tokens FROM c"""
+)
+def e_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), F.col("lang").alias("source"), F.col("text").alias("content"))
+    asked = hits.select("query_id").distinct().withColumn("text", F.concat(F.lit("What of "), "query_id", F.lit("?")))
+    return context.prompts(asked, context.pack_context(hits)).select("query_id", F.md5("prompt").alias("prompt_md5"), "tokens")

@@ -271,6 +271,33 @@ def test_bootstrap_is_exact(spark, monkeypatch):
         assert np.concatenate(list(evaluation._draws(n, 300, evaluation.SEED))).tolist() == [[rng.randrange(n) for _ in range(n)] for _ in range(300)]
 
 
+def test_bootstrap_in_blocks_is_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = spark.createDataFrame([(m, i, rng.random() - 0.4) for m, n in (("a", 5), ("b", 40), ("c", 40), ("d", 1)) for i in range(n)], "metric string, question_id long, delta double")
+    whole = sorted(map(repr, evaluation.bootstrap(pairs, resamples=300).collect()))
+    monkeypatch.setattr(evaluation, "BLOCK_DRAWS", 1_000)
+    assert sorted(map(repr, evaluation.bootstrap(pairs, resamples=300).collect())) == whole
+    deltas = np.array([rng.random() for _ in range(17)])
+    many = evaluation._means(deltas, 0, 300, 300, 1)
+    monkeypatch.setattr(evaluation, "DRAWS", 100)
+    assert np.concatenate([evaluation._means(deltas, a, b, 300, 1) for a, b in ((0, 7), (7, 150), (150, 300))]).tolist() == many.tolist()
+
+
+def test_listings(spark):
+    from millrace.operators import listings
+
+    at = lambda n: dt.datetime(2024, 1, n)
+    docs = spark.createDataFrame([(1, "t", "s", at(1)), (2, "t", "s", at(3)), (3, "t", "r", at(2)), (4, "u", "s", at(4))], "document_id long, tenant_id string, source_id string, created_at timestamp")
+    sources = spark.createDataFrame([("s", "web", "Site"), ("r", "slack", "Chat")], "source_id string, kind string, name string")
+    assert [(r.document_id, r.source_name) for r in listings.documents_of(docs, sources, "t").collect()] == [(2, "Site"), (3, "Chat"), (1, "Site")]
+    assert [r.document_id for r in listings.documents_of(docs, sources, "t", "s", 1).collect()] == [2]
+    users = spark.createDataFrame([(1, "t", "A@x", True, at(2)), (2, "t", "b@x", True, at(1)), (3, "u", "a@x", False, at(1))], "user_id long, tenant_id string, email string, is_admin boolean, created_at timestamp")
+    tenants = spark.createDataFrame([("t", "tee", "T"), ("u", "you", "U")], "tenant_id string, slug string, name string")
+    assert {r.user_id for r in listings.accounts(users, tenants, " a@X").collect()} == {1, 3}
+    assert {r.user_id for r in listings.accounts(users, tenants, "a@x", "you").collect()} == {3}
+    assert [tuple(r) for r in listings.first_admins(users, tenants).collect()] == [("tee", "b@x")]
+
+
 def test_answers_checks(spark):
     d = spark.createDataFrame([("We could NOT find it", ["find", "x"], ["not"])], "a string, w array<string>, u array<string>")
     r = d.select(evaluation.missing_phrases(F.col("a"), F.col("w")), evaluation.forbidden_phrases(F.col("a"), F.col("u")), evaluation.abstained(F.col("a"))).first()
@@ -419,7 +446,13 @@ def test_members(spark):
 
 def test_context_and_replies(spark):
     packed = context.pack_context(spark.createDataFrame([(1, 1, "s", "aa"), (1, 2, "s", "bb"), (2, 1, None, None)], "query_id long, rank int, source string, content string"))
-    assert {r.query_id: (r.context, r.tokens) for r in context.context_text(packed).collect()} == {1: ("[1] s\naa\n\n[2] s\nbb", 4), 2: ("[1] \n", 1)}
+    assert {r.query_id: (r.context, r.tokens) for r in context.context_text(packed).collect()} == {1: ("[1] s\naa\n\n---\n\n[2] s\nbb", 5), 2: ("[1] \n", 1)}
+    asked = spark.createDataFrame([(1, "who?"), (3, None)], "query_id long, text string")
+    assert {r.query_id: (r.prompt, r.tokens) for r in context.prompts(asked, packed).collect()} == {1: ("Context passages:\n\n[1] s\naa\n\n---\n\n[2] s\nbb\n\n---\n\nQuestion: who?", 5), 3: ("Context passages:\n\n\n\n---\n\nQuestion: ", 1)}
+    said = spark.createDataFrame([(" be kind ", True), ("x", False)], "own string, strict boolean").select(context.system_text(F.col("own"), F.col("strict")).alias("t")).collect()
+    assert said[0].t.startswith("be kind\n\nRules:\n- ") and said[0].t.endswith(context.RULES[5]) and said[1].t.endswith(context.RULES[4]) and said[0].t.count("\n- ") == 5
+    lines = spark.createDataFrame([("h", "t", 3), ("", "t", None), (None, None, 2), (None, "t", 0)], "h string, t string, p int").select(context.source_line(F.col("h"), F.col("t"), F.col("p")).alias("s")).collect()
+    assert [r.s for r in lines] == ["h · p.3", "t", "p.2", "t"]
     texts = ['{"a": 1}', 'Sure:\n```json\n{"a": 1}\n``` ok', "so {\"a\": 1}.", "nothing", None, "{broken"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in d.select(F.try_variant_get(context.json_reply(F.col("t")), "$.a", "int")).collect()] == [1, 1, 1, None, None, None]
