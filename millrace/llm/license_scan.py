@@ -6,9 +6,9 @@ of twice PIECE shingles that overlap by half, so every run of up to PIECE + 1
 shingles lies whole in one of them. Each window keeps the minima of BANDS hash
 functions; with one row in a band, a window that holds m of a piece's shingles
 agrees with the piece in some band with probability 1 - (1 - s) ** BANDS, where
-s is their Jaccard similarity, m / 16 at least for a full window: for the three
-shingles of the shortest template 1 - (13 / 16) ** 64 > 0.999998, for five
-1 - 3e-11. What the bands retrieve is then checked on the document's shingles
+s is their Jaccard similarity, m / 16 at least for a full window: for the two
+shingles of the shortest template 1 - (14 / 16) ** 64 > 0.9998, for three
+0.999998, for five 1 - 3e-11. What the bands retrieve is then checked on the document's shingles
 themselves.
 """
 
@@ -70,7 +70,13 @@ _APACHE = (
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
 #: Customary statements and passages of public licenses, as (name, text). "BSD" opens all BSD licenses.
+# Identifiers of licenses in the lines that name them so.
+SPDX = (
+    "0BSD AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense"
+).split()
+
 TEMPLATES = (
+    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
     *_gnu("AGPL-3.0", "GNU Affero General Public License", "3", "program", ":"),
     ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community"),
@@ -117,6 +123,7 @@ TEMPLATES = (
 
 #: Names, versions and joints that tell a license from its relatives: a template that holds one of them asks for all its shingles.
 TELLING = (
+    *(f"License-Identifier: {name}" for name in SPDX),
     *(f"{verb} under the" for verb in ("licensed", "released", "distributed")),
     *(f"GNU {kind}General Public License" for kind in ("", "Lesser ", "Affero ")),
     *(f"License version {v}" for v in ("2", "2.1", "3")),

@@ -427,6 +427,38 @@ def test_licenses_and_their_relatives(spark):
     assert [(cases[r.doc_id][0], r.licenses) for r in sorted(got, key=lambda r: r.doc_id)] == cases
 
 
+def test_identifier_lines(spark):
+    rng = random.Random(12)
+    filler = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    rows = [(i, f"{filler(rng.randrange(60))}\n// SPDX-License-Identifier: {name}\n{filler(rng.randrange(60))}") for i, name in enumerate(license_scan.SPDX)]
+    rows += [(100, "SPDX-License-Identifier: MIT"), (101, "# spdx-license-identifier: GPL-2.0-or-later WITH x"), (102, "SPDX-License-Identifier: Other-1.0"), (103, "the license identifier MIT"), (104, "SPDX-License-Identifier: (MIT OR Apache-2.0)")]
+    got = {r.doc_id: r.licenses for r in license_scan.licenses(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == dict(enumerate(license_scan.SPDX)) | {100: "MIT", 101: "GPL-2.0", 102: "", 103: "", 104: "MIT"}
+
+
+def test_band_recall_at_the_threshold():
+    """Texts that hold 0.8 of a template's shingles, in a place of their own: the bands retrieve all of them."""
+    rng = random.Random(13)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    asked = missed = 0
+    for t, (_, text) in enumerate(license_scan.TEMPLATES):
+        words = license_scan.plain(text).split()
+        n = len(words) - license_scan.SHINGLE + 1
+        for _ in range(5):
+            lost = list(words)
+            for at in rng.sample(range(len(words)), len(words)):
+                trial = [*lost[:at], f"x{at}", *lost[at + 1 :]]
+                [(_, h, _)] = list(license_scan.shingle_batches([" ".join(trial)]))
+                if len(np.intersect1d(h, index.sets[t])) >= license_scan.THRESHOLD * len(index.sets[t]):
+                    lost = trial
+            around = " ".join([*(f"a{rng.randrange(999)}" for _ in range(rng.randrange(40))), *lost, *(f"b{rng.randrange(999)}" for _ in range(rng.randrange(40)))])
+            [(_, h, ends)] = list(license_scan.shingle_batches([around]))
+            asked, missed = asked + 1, missed + (t not in index.candidates(h, ends).get(0, ()))
+            if n > 60:
+                break
+    assert asked > 200 and missed == 0
+
+
 def test_licenses_in_parts_and_other_order(spark):
     """Whole texts with a clause lost, sentences in another order, words changed here and there."""
     rng = random.Random(4)
