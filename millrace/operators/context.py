@@ -81,7 +81,7 @@ def cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
     Cached input costs a tenth. An unknown model has no cost and is marked.
     """
-    joined = calls.join(F.broadcast(prices), "model", "left")  # a price list
+    joined = calls.join(prices, "model", "left")
     paid = F.greatest(F.lit(0), F.col("input_tokens") - F.col("cached_tokens"))
     usd = (paid * F.col("input_rate") + F.col("cached_tokens") * F.col("input_rate") * 0.1 + F.col("output_tokens") * F.col("output_rate")) / 1e6
     return joined.withColumn("cost_usd", usd).withColumn("unknown_model", F.col("input_rate").isNull())

@@ -33,7 +33,7 @@ from millrace.functions.text import Stems
 from millrace.operators.keylists import JSON, holders, key_lists, path_values, trigrams
 
 #: Chunks for each bucket of a new index, and its most buckets.
-BUCKET_CHUNKS, MOST_BUCKETS = 50_000, 4096
+BUCKET_CHUNKS, MOST_BUCKETS = 1_000, 4096
 #: Terms up to which a search names them in the scan's filter; more are joined.
 NAMED_TERMS = 400
 #: Tables of a segment; {kind} is the type of chunk ids.

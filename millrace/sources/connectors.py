@@ -143,7 +143,7 @@ def enqueue_documents(documents: DataFrame, jobs: DataFrame, fetched: DataFrame,
     title and kind only. A job carries the text, a blob ``(document_id, data)``
     the bytes; a document with a live job gets no second one.
     """
-    owned = fetched.join(F.broadcast(source), "source_id")  # a few sources
+    owned = fetched.join(source, "source_id")
     new = owned.select("document_id", "tenant_id", "source_id", "external_id", "title", "kind", F.col("default_acl_public").alias("acl_public"), F.col("default_acl_groups").alias("acl_groups"))
     after = upsert(documents, new, ["document_id"], ["title", "kind"])
     none = lambda c: F.lit(None).cast(jobs.schema[c].dataType)

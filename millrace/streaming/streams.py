@@ -138,7 +138,10 @@ def login_outcomes(attempts: DataFrame, failures: int = 8, seconds: int = 300) -
             state = Attempts(failures, seconds, *(held.get if held.exists else (0, 0.0)))
             frame = pd.concat(list(frames))
             yield said(frame, key[0], state)
-            held.update((state.hits, state.until))
+            if state.hits or state.until:
+                held.update((state.hits, state.until))
+            elif held.exists:
+                held.remove()  # only users with failures behind them keep a state
 
         return rows.groupBy("user_id").applyInPandasWithState(keyed, schema, "hits int, until double", "append", GroupStateTimeout.NoTimeout)
 
