@@ -43,17 +43,20 @@ class Buckets:
         """The keys' buckets, of which there are ``count`` at most."""
         return sorted(r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect())
 
+    def check(self, new: DataFrame, expected: DataFrame) -> None:
+        """ValueError for a key whose rows in ``new`` are not the n of ``expected(key, n)``."""
+        given = new.groupBy(self.key).agg(F.count("*").alias("given"))
+        odd = expected.join(given, self.key, "full_outer").where(F.coalesce("n", F.lit(0)) != F.coalesce("given", F.lit(0))).select(self.key, "n", "given").limit(3).collect()
+        if odd:
+            raise ValueError(f"refusing to write: rows are missing or too many, such as {[tuple(r) for r in odd]}")
+
     def replace(self, keys: DataFrame, new: DataFrame, expected: DataFrame | None = None) -> None:
         """All rows of ``keys`` replaced by ``new``; a key without new rows is gone, a new row's key counts as one of them.
 
-        ``expected(key, n)`` is checked before anything is written: a key whose
-        new rows are not n raises ValueError.
+        ``expected(key, n)`` is checked before anything is written, see :meth:`check`.
         """
         if expected is not None:
-            given = new.groupBy(self.key).agg(F.count("*").alias("given"))
-            odd = expected.join(given, self.key, "full_outer").where(F.coalesce("n", F.lit(0)) != F.coalesce("given", F.lit(0))).select(self.key, "n", "given").limit(3).collect()
-            if odd:
-                raise ValueError(f"refusing to write: rows are missing or too many, such as {[tuple(r) for r in odd]}")
+            self.check(new, expected)
         asked = keys.select(self.key).unionByName(new.select(self.key)).distinct()
         touched = self.touched(asked)
         old = self._stored().where(F.col("bucket").isin(touched))

@@ -108,11 +108,13 @@ def ingest_stored(requests: DataFrame, documents: Buckets, chunks: Buckets, inde
     if not new_chunks.where((F.col("embedding_version") == versions.embedding) & F.col("embedding").isNull()).isEmpty():
         raise ValueError("refusing to write: chunks without a vector")
 
+    expected = new_documents.where("stage = 'ready' and chunk_count is not null").select("document_id", F.col("chunk_count").alias("n"))
+    counted = new_chunks.join(expected.select("document_id"), "document_id", "left_semi")
+    chunks.check(counted, expected)
+
     old, new = (indexed_rows(c) for c in (chunks.of(keys), new_chunks))
     same = ["chunk_id", *(c for c in ("tenant_id", "heading", "content", "acl_public", "acl_groups") if c in chunks.schema.names)]
     gone, fresh = (a.join(b.select(F.struct(*same).alias("_same")), F.struct(*(F.col(c) for c in same)).eqNullSafe(F.col("_same")), "left_anti") for a, b in ((old, new), (new, old)))
     update_index(index, gone, fresh, batch=batch)
-    expected = new_documents.where("stage = 'ready' and chunk_count is not null").select("document_id", F.col("chunk_count").alias("n"))
-    counted = new_chunks.join(expected.select("document_id"), "document_id", "left_semi")
-    chunks.replace(expected.select("document_id"), counted, expected)
+    chunks.replace(expected.select("document_id"), counted)
     documents.replace(keys, new_documents)
