@@ -3,6 +3,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -38,7 +39,7 @@ def same_rows(spark_rows, sql_rows):
     names = sorted(spark_rows.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return f"{float(v):.6f}" if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind in "iuf" or isinstance(v, int) and not isinstance(v, bool) else str(v)
 
