@@ -40,8 +40,8 @@ def tidy(text: Column) -> Column:
     """Line ends, no-break spaces, blank lines and trailing blanks made plain; stripped."""
     out = F.replace(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(" "), F.lit(" "))
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"(?m)[ \t]+$", "")
-    return F.regexp_replace(out, r"^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
+    out = F.regexp_replace(out, r"(?md)[ \t]+$", "")  # d: a line ends at \n alone
+    return F.regexp_replace(out, r"(?d)^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
 
 
 def _character(number: Column) -> Column:
