@@ -59,6 +59,22 @@ def test_segments_equal_a_fresh_index(spark, rows, tmp_path):
         assert a == b and a
 
 
+def test_files_grow_with_rows_and_not_with_their_square(spark, tmp_path):
+    """A large partition that is split writes a bucket's rows, not those of many buckets in each part."""
+    text = " ".join(f"w{i}" for i in range(300))
+    chunks = spark.range(0, 400, 1, 8).select(F.col("id").alias("chunk_id"), F.lit("t").alias("tenant_id"), F.lit(True).alias("acl_public"), F.array().cast("array<string>").alias("acl_groups"), F.lit(text).alias("content"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "16k")
+        index.write_index(chunks, str(tmp_path), buckets=60)
+    finally:
+        spark.conf.set(key, before)
+    assert sum("/postings/" in f and f.endswith(".parquet") for f in _files(tmp_path)) <= 61 * 4
+    found = index.read_index(chunks, str(tmp_path))
+    assert found.postings.count() == 400 * 300 and found.lengths.count() == 400
+
+
 def test_merge_by_size(spark, tmp_path):
     path, rng = str(tmp_path / "i"), random.Random(3)
     chunks = {r[0]: r for r in _rows(rng, range(4))}
