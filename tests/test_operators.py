@@ -187,6 +187,17 @@ def test_cover_and_pieces():
         assert text.endswith(tail) and (len(tail) <= 2 * chunking.OVERLAP) and (tail == text or not tail or len(tail) >= chunking.OVERLAP or len(chunking.sentence_spans(text[-2 * chunking.OVERLAP :])) >= 1)
 
 
+def test_chunks_of_few_documents_are_held_at_once():
+    import pyarrow as pa
+
+    n = 2 * chunking.DOCUMENTS + 1
+    texts = [[f"Text {i}."] if i % 5 else [None] for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), *(pa.array(c, pa.string()) for c in (["txt"] * n, ["t"] * n, [None] * n, [None] * n)), pa.array(texts, pa.list_(pa.string()))], ["document_id", "kind", "title", "language", "path", "pages"])
+    found = list(chunking.chunk_batches(iter([batch])))
+    assert len(found) == 3 and max(b.num_rows for b in found) <= chunking.DOCUMENTS
+    assert [r["document_id"] for b in found for r in b.to_pylist()] == [i for i in range(n) if i % 5]
+
+
 def test_prose_windows_hold_every_sentence_in_order():
     rng = random.Random(5)
     for _ in range(30):
