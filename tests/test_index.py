@@ -75,6 +75,19 @@ def test_files_grow_with_rows_and_not_with_their_square(spark, tmp_path):
     assert found.postings.count() == 400 * 300 and found.lengths.count() == 400
 
 
+def test_rows_stored_are_terms_of_runs_and_not_postings(spark, tmp_path):
+    """A term of many chunks is a row for each run of chunks, also after a merge."""
+    path = str(tmp_path / "i")
+    text = F.concat(F.lit("all of them "), F.col("id").cast("string"))
+    made = lambda a, b: spark.range(a, b, 1, 2).select(F.col("id").alias("chunk_id"), F.lit("t").alias("tenant_id"), F.lit(True).alias("acl_public"), F.array().cast("array<string>").alias("acl_groups"), text.alias("content"))
+    index.write_index(made(0, 300), path, buckets=2)
+    index.update_index(path, made(0, 10), made(300, 700))
+    assert len(index.manifest(spark, path).segments) == 1
+    stored = spark.read.parquet(f"{index.manifest(spark, path).segments[0][0]}/postings")
+    assert stored.where("term in ('all', 'of', 'them')").count() == 3 and stored.where("term is null").count() == 1 and stored.where("term > '' and term < 'a'").count() == 690
+    _same_index(index.read_index(made(10, 700), path), index.index_of(made(10, 700)))
+
+
 def test_merge_by_size(spark, tmp_path):
     path, rng = str(tmp_path / "i"), random.Random(3)
     chunks = {r[0]: r for r in _rows(rng, range(4))}
