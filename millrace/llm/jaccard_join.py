@@ -345,6 +345,19 @@ def _part(of: Column, salt: int, n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64(of, F.lit(salt)), n_blocks)
 
 
+def _members(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, set_id) of the sets that share a member of their prefixes with another set, a shorter one within its first part.
+
+    Most members are held by one set only. Rows are shuffled once, and counted
+    and chosen where they then are, so the way is the same at every size.
+    """
+    first = f"n_shingles - (2 * {num} * n_shingles + {num + den - 1}) div {num + den} + 1"
+    keys = nodes.where("keys is not null").select("set_id", "n_shingles", F.expr(first).alias("first"), F.posexplode("keys").alias("at", "h"))
+    keys = keys.select("h", "set_id", F.col("n_shingles").cast("int").alias("n"), F.expr("at < first").alias("leads")).repartition("h")
+    live = keys.groupBy("h").agg(F.min(F.when(F.col("leads"), F.col("n"))).alias("least"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi and least is not null").select("h", "least")
+    return keys.join(live.hint("merge"), "h").where("leads or n >= least").select("h", "set_id")
+
+
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id)``, one row for each row.
 
@@ -360,12 +373,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     nodes = written(_nodes(docs, n, num, den, frequent), "nodes")
     one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("set_id", "r.doc_id", "r.text_key")
 
-    # groups: the sets that share a member of their prefixes, a shorter one within its first part
-    first = f"n_shingles - (2 * {num} * n_shingles + {num + den - 1}) div {num + den} + 1"
-    keys = nodes.where("keys is not null").select("set_id", "n_shingles", F.expr(first).alias("first"), F.posexplode("keys").alias("at", "h"))
-    keys = keys.select("h", "set_id", F.col("n_shingles").cast("int").alias("n"), F.expr("at < first").alias("leads"))
-    live = keys.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.when(F.col("leads"), F.col("n"))).alias("least")).where("rows > 1 and least is not null").select("h", "least")
-    members = written(keys.join(live, "h").where("leads or n >= least").select("h", "set_id"), "members")
+    members = written(_members(nodes, num, den), "members")
     sums = [F.sum(F.pmod(F.xxhash64("set_id", F.lit(salt)), F.lit(1 << 32))).alias(f"s{salt}") for salt in range(3)]  # copies of a set count alike in all groups
     groups = members.groupBy("h").agg(F.count("*").alias("rows"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), *sums).where("lo < hi")
     groups = written(groups.groupBy("rows", "s0", "s1", "s2").agg(F.min("h").alias("h"), F.first("rows").alias("size")).select("h", "size"), "groups")

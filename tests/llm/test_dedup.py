@@ -189,3 +189,13 @@ def test_equal_rows_are_spread_over_cells(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, "SENT_COPIED", most)
         got = Counter(map(tuple, substring_dedup.remove_repeats(few, 50).select("doc_id", "n_words", "n_removed").collect()))
         assert got == Counter({(7, 60, 0): 3000, (8, 61, 60): 1, (6, 1, 0): 1})
+
+
+def test_members_are_shuffled_once(spark):
+    """Rows of prefixes are counted and chosen behind one exchange, however few are chosen."""
+    rows = [(1, 10, [7, 8]), (2, 10, [7, 9]), (3, 10, [5, 6]), (3, 10, [5, 6]), (4, 40, [11, 12, 7]), (5, 10, None)]
+    nodes = spark.createDataFrame(rows, "set_id long, n_shingles long, keys array<long>")
+    found = jaccard_join._members(nodes, 85, 100)
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (7, 4)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(h") == 2 and plan.count("ReusedExchange") == 1 and "Broadcast" not in plan
