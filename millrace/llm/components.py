@@ -11,6 +11,8 @@ from millrace.llm.scratch import dropped, written
 
 #: Nodes that a task holds while it contracts links.
 HELD = 1 << 18
+#: Links for each task that contracts them; so many have at most half of HELD nodes.
+LINKS = 1 << 16
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -43,6 +45,10 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def _tasks(links: int) -> int:
+    return max(1, -(-links // LINKS))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links(a long, b long)`` -> ``(node, component)``, component being the smallest node reachable.
 
@@ -50,11 +56,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbours meet in one place; each round is written to the shared folder.
     Null ends and self-links are ignored. Nodes without links are not returned.
     The rounds needed grow with the logarithm of the longest path between
-    partitions.
+    partitions. Tasks that contract links are dealt LINKS of them, whatever the
+    session's shuffle partitions; up to LINKS links in all are one such task,
+    whose stars are the components. ``links`` is read twice.
     """
+    some = links.count()
     oriented = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(_contracted(oriented), "links"), None
-    while True:
+    edges, before = written(_contracted(oriented.coalesce(_tasks(some))), "links"), None
+    while some > LINKS:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -64,7 +73,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        after = written(_contracted(small), "links")
+        after = written(_contracted(small.coalesce(_tasks(now[0]))), "links")
         dropped(edges)
         edges = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

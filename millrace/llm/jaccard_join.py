@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.scratch import dropped, written
+from millrace.llm.scratch import dropped, tasks_for, written
 from millrace.llm.textnum import release_memory, shingle_sets
 
 #: Shingles whose document counts are summed over the corpus to order the sets: those that come this often in a run of COUNT_RUN.
@@ -49,6 +49,8 @@ BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 13, 3000
 PAIRS = 1 << 16
 #: Rows of ids that may be sent to all tasks; beyond that both sides are shuffled.
 SENT_IDS = 1_000_000
+#: Documents for each task of a step, at least.
+TASK_DOCS = 1_000
 
 
 class Order:
@@ -251,16 +253,16 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SENT_IDS else rows
 
 
-def _fetched(wanted: DataFrame, one_of: DataFrame, docs: DataFrame) -> DataFrame:
+def _fetched(wanted: DataFrame, one_of: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
     """(set_id, text) of the sets in ``wanted(set_id)``, each once; rows without a doc_id are found by their texts."""
-    wanted = written(wanted.distinct().join(one_of.select("set_id", F.col("doc_id").alias("id"), F.col("text_key").alias("k")), "set_id"), "wanted")
+    wanted = written(wanted.distinct().join(one_of.select("set_id", F.col("doc_id").alias("id"), F.col("text_key").alias("k")), "set_id"), "wanted", tasks)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
     sent = _sent(wanted)
     found = written(texts.join(sent, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), "sets")
-    return found if found.count() == wanted.count() else written(found.dropDuplicates(["set_id"]), "sets")
+    return found if found.count() == wanted.count() else written(found.dropDuplicates(["set_id"]), "sets", tasks)
 
 
-def _whole_blocks(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def _whole_blocks(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, tasks: int) -> DataFrame:
     """``rows(g, p, q, ...)`` -> what ``work`` makes of tables of whole blocks (g, p, q) and the first row of each, with the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +288,10 @@ def _whole_blocks(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Tab
             yield from done(pa.Table.from_batches(held))
         release_memory()
 
-    return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(run, schema)
+    return rows.repartition("g", "p", "q").coalesce(tasks).sortWithinPartitions("g", "p", "q").mapInArrow(run, schema)
 
 
-def _plausible(blocks: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+def _plausible(blocks: DataFrame, signatures: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     """The rows of ``blocks(g, p, q, set_id, label)`` that have a partner of another label in their block which sizes and bitmaps do not rule out."""
 
     def pick(table: pa.Table, starts: np.ndarray) -> pa.Table:
@@ -316,10 +318,10 @@ def _plausible(blocks: DataFrame, signatures: DataFrame, num: int, den: int) ->
         return table.select(["g", "p", "q", "set_id", "label"]).filter(pa.array(keep))
 
     rows = blocks.join(signatures, "set_id").select("g", "p", "q", "set_id", "label", "n_shingles", "bits", "wide")
-    return _whole_blocks(rows, pick, "g long, p long, q long, set_id long, label long")
+    return _whole_blocks(rows, pick, "g long, p long, q long, set_id long, label long", tasks)
 
 
-def _joined(blocks: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+def _joined(blocks: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, num: int, den: int, tasks: int) -> DataFrame:
     """``blocks(g, p, q, set_id, label)`` -> links ``(a, b, overlap)`` that join all similar sets of each block (g, p, q)."""
     order = Order(frequent)
 
@@ -338,7 +340,7 @@ def _joined(blocks: DataFrame, sets: DataFrame, frequent: np.ndarray, n: int, nu
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "overlap"), columns)})
 
     rows = blocks.join(sets, "set_id").select("g", "p", "q", "set_id", "label", "text")
-    return written(_whole_blocks(rows, walk, "a long, b long, overlap long"), "links")
+    return written(_whole_blocks(rows, walk, "a long, b long, overlap long", tasks), "links")
 
 
 def _part(of: Column, salt: int, n_blocks: Column) -> Column:
@@ -371,44 +373,45 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     frequent = _frequent(docs, n)
     nodes = written(_nodes(docs, n, num, den, frequent), "nodes")
+    tasks = tasks_for(docs.sparkSession, nodes.count(), TASK_DOCS)
     one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("set_id", "r.doc_id", "r.text_key")
 
-    members = written(_members(nodes, num, den), "members")
+    members = written(_members(nodes, num, den), "members", tasks)
     sums = [F.sum(F.pmod(F.xxhash64("set_id", F.lit(salt)), F.lit(1 << 32))).alias(f"s{salt}") for salt in range(3)]  # copies of a set count alike in all groups
     groups = members.groupBy("h").agg(F.count("*").alias("rows"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), *sums).where("lo < hi")
-    groups = written(groups.groupBy("rows", "s0", "s1", "s2").agg(F.min("h").alias("h"), F.first("rows").alias("size")).select("h", "size"), "groups")
-    every = written(members.join(_sent(groups), "h").distinct(), "members")
+    groups = written(groups.groupBy("rows", "s0", "s1", "s2").agg(F.min("h").alias("h"), F.first("rows").alias("size")).select("h", "size"), "groups", tasks)
+    every = written(members.join(_sent(groups), "h").distinct(), "members", tasks)
     dropped(members, groups)
 
     # sets with a partner in their block that sizes and bitmaps do not rule out
     signatures = nodes.where("bits is not null").select("set_id", "n_shingles", "bits", "wide")
-    signatures = written(signatures.join(every.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures")
+    signatures = written(signatures.join(every.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"]), "signatures", tasks)
     parts = F.ceil(F.col("size") / BLOCK)
     none = F.lit(-1).cast("long")
     blocks = every.select(F.col("h").alias("g"), _part(F.col("set_id"), 2, parts).alias("p"), none.alias("q"), "set_id", F.col("set_id").alias("label"))
-    kept = written(_plausible(blocks, signatures, num, den), "blocks")
+    kept = written(_plausible(blocks, signatures, num, den, tasks), "blocks")
 
     # each against the leader of its block, the pairs of one leader in blocks of texts
     leaders = kept.groupBy("g", "p").agg(F.min("set_id").alias("a"))
-    stars = written(kept.join(leaders, ["g", "p"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct(), "pairs")
-    sets = _fetched(stars.select(F.explode(F.array("a", "b")).alias("set_id")), one_of, docs)
+    stars = written(kept.join(leaders, ["g", "p"]).where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct(), "pairs", tasks)
+    sets = _fetched(stars.select(F.explode(F.array("a", "b")).alias("set_id")), one_of, docs, tasks)
     sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     star = stars.join(sizes, "a").select(F.col("a").alias("g"), _part(F.col("b"), 1, F.col("blocks")).alias("p"), none.alias("q"), F.col("b").alias("set_id"))
     star = star.unionByName(sizes.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), none.alias("q"), F.col("a").alias("set_id")))
-    links = _joined(star.withColumn("label", F.col("set_id")), sets, frequent, n, num, den)
+    links = _joined(star.withColumn("label", F.col("set_id")), sets, frequent, n, num, den, tasks)
     joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "set_id")
 
     def labelled(rows: DataFrame) -> DataFrame:
         """Rows with the classes of their sets as labels."""
-        return written(rows.join(_sent(joined), "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component"), "labelled")
+        return written(rows.join(_sent(joined), "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component"), "labelled", tasks)
 
     def more(blocks: DataFrame) -> None:
         nonlocal links, sets, joined
-        blocks = written(_plausible(blocks, signatures, num, den), "blocks")
+        blocks = written(_plausible(blocks, signatures, num, den, tasks), "blocks")
         unread = blocks.select("set_id").distinct().join(_sent(sets.select("set_id")), "set_id", "left_anti")
         if unread.limit(1).count():
-            sets = sets.unionByName(_fetched(unread, one_of, docs))
-        new = _joined(blocks, sets, frequent, n, num, den)
+            sets = sets.unionByName(_fetched(unread, one_of, docs, tasks))
+        new = _joined(blocks, sets, frequent, n, num, den, tasks)
         if new.limit(1).count():
             links = links.unionByName(new)
             joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "set_id")
@@ -416,14 +419,14 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # blocks of three and more in several classes (the one pair of a block of two has been compared)
     rows = labelled(kept.drop("label"))
     several = rows.groupBy("g", "p").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo < hi").select("g", "p")
-    more(rows.join(_sent(written(several, "several")), ["g", "p"]).select("g", "p", "q", "set_id", "label"))
+    more(rows.join(_sent(written(several, "several", tasks)), ["g", "p"]).select("g", "p", "q", "set_id", "label"))
 
     # groups beyond a block: the sets outside the largest class against all
     large = every.where(F.col("size") > BLOCK)
     if large.limit(1).count():
         rows = labelled(large)
         per = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", "n").alias("top"))
-        per = written(per.where("most < size").select("h", F.ceil(F.col("size") / BLOCK).alias("parts"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("slices"), "top"), "groups")
+        per = written(per.where("most < size").select("h", F.ceil(F.col("size") / BLOCK).alias("parts"), F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("slices"), "top"), "groups", tasks)
         rows = rows.drop("size").join(_sent(per), "h")
         zero = F.lit(0).cast("long")
         whole = rows.select(F.col("h").alias("g"), _part(F.col("set_id"), 3, F.col("parts")).alias("p"), F.explode(F.sequence(zero, F.col("slices") - 1)).alias("q"), "set_id", "label")

@@ -199,3 +199,41 @@ def test_members_are_shuffled_once(spark):
     assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (7, 4)]
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning(h") == 2 and plan.count("ReusedExchange") == 1 and "Broadcast" not in plan
+
+
+def test_tasks_follow_the_rows(spark, docs, corpus, monkeypatch):
+    """A session with many more shuffle partitions than the rows need runs few tasks in a step, and few links need no rounds."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before, files = [spark.conf.get(k) for k in names], []
+
+    def seen(write):
+        def run(df, tag, *tasks):
+            out = write(df, tag, *tasks)
+            files.append((tag, len(out.inputFiles())))
+            return out
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "written", seen(jaccard_join.written))
+    monkeypatch.setattr(components, "written", seen(components.written))
+    try:
+        for k, v in zip(names, ("50", "false")):
+            spark.conf.set(k, v)
+        got = Counter(tuple(r) for r in jaccard_join.similarity_classes(docs, 4, 85, 100).collect())
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
+    assert got == brute_components(corpus, 4, 85, 100)
+    assert max(n for _, n in files) <= spark.sparkContext.defaultParallelism
+    assert [tag for tag, _ in files].count("links") <= 4  # a table of links and one of components, at two places at most
+
+
+def test_components_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "LINKS", 6)
+    monkeypatch.setattr(components, "HELD", 12)
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, rng.integers(0, 70, 2))) for _ in range(50)] + [(100 + i, 101 + i) for i in range(25)]
+    nodes = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    label = classes_of([(nodes.index(a), nodes.index(b)) for a, b in pairs if a != b], len(nodes))
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert got == {x: nodes[k] for x, k in zip(nodes, label)}
