@@ -207,3 +207,14 @@ def test_metadata_by_values_at_paths(spark, tmp_path):
     held = stored.may_contain({"a": 1})
     assert {r.chunk_id for r in held.collect()} == {0, 1} and stored.may_contain({}) is None
     assert "In(gram" in held._jdf.queryExecution().toString() or "EqualTo(gram" in held._jdf.queryExecution().toString()
+
+
+def test_positions_are_one_flat_list_of_a_run(spark):
+    """A row of a run holds plain lists only: a list for each posting would be shuffled and written with a header of its own."""
+    chunks = _chunks(spark, [(1, "t", True, (), "b a b"), (2, "t", True, (), None), (3, "t", True, (), "a c a a")]).coalesce(1)
+    got = {r.term: (r.chunks, r.ends, r.gaps) for r in index.analyzed(chunks).collect()}
+    assert got == {None: ([1, 2, 3], [0, 0, 0], []), "a": ([1, 3], [1, 4], [1, 0, 2, 1]), "b": ([1], [2], [0, 2]), "c": ([3], [1], [1])}
+    spread = {(r.term, r.chunk_id): (r.tf, r.n_terms, r.gaps) for r in index.index_of(chunks).postings.collect()}
+    assert spread == {("a", 1): (1, 2, [1]), ("a", 3): (3, 2, [0, 2, 1]), ("b", 1): (2, 2, [0, 2]), ("c", 3): (1, 2, [1])}
+    again = {r.term: (sorted(r.chunks), r.ends[-1], len(r.gaps)) for r in index._gathered(index.index_of(chunks).postings, 1).collect()}
+    assert again == {"a": ([1, 3], 4, 4), "b": ([1], 2, 2), "c": ([3], 1, 1)}
