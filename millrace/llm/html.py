@@ -307,14 +307,19 @@ def line_hashes(found: Sequence[Line]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.text) - (1 << 63) for x in found]
 
 
-def without_shared(found: Sequence[Line], neighbours: Sequence[Sequence[int]]) -> list[str]:
-    """Texts of the lines that the first neighbour that is no copy does not share (all, if every one is); lines of an article stay, but for doubtful ones."""
-    own, letters = line_hashes(found), sum(len(x.text) for x in found)
+def shared(own: Sequence[int], marks: Sequence[int], neighbours: Sequence[Sequence[int]]) -> tuple[int, list[int]]:
+    """How many of the text's lines the first neighbour that is no copy has as well, and the places among them of those that go (none, if every one is a copy).
+
+    ``own`` are the hashes of a page's lines, ``marks`` their lengths: 0 for a
+    line that is not of the text, negative for one that stays.
+    """
+    kept = [(h, m) for h, m in zip(own, marks) if m]
+    hashes, letters = [h for h, _ in kept], sum(abs(m) for _, m in kept)
     for other in neighbours:
-        shared = set(common(own, other))
-        if sum(len(found[i].text) for i in shared) < COPY * letters:
-            return [x.text for i, x in enumerate(found) if i not in shared or x.article and not x.doubtful]
-    return [x.text for x in found]
+        both = common(hashes, other)
+        if sum(abs(kept[i][1]) for i in both) < COPY * letters:
+            return len(both), sorted(i for i in both if kept[i][1] > 0)
+    return 0, []
 
 
 def _place(url: str | None) -> tuple[str, str]:
@@ -332,39 +337,43 @@ def _alike(a: str, b: str) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> ``(page_id, url, host, path, text, bare, sure, hashes)``, written to the shared folder.
+    """``pages(page_id, url, html)`` -> ``(page_id, url, host, path, text, bare, marks, hashes)``, written to the shared folder.
 
-    ``text`` is that of an explicit article without doubtful lines; ``bare``
-    are the lines of other pages (of their article, if they have one), and
-    ``sure`` which of them stay whatever neighbours share; ``hashes`` are those
-    of all lines of a page. Every page is read once.
+    ``text`` is that of an explicit article without doubtful lines, which loses
+    none; ``bare`` are the lines of other pages (of their article, if they have
+    one); ``hashes`` are those of all lines of a page, and ``marks`` say which
+    are of the text, how long they are and whether they stay whatever neighbours
+    share: see :func:`shared`. Every page is read once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
                 for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     found = lines(html)
-                    kept = [x for x in found if x.article] or found
+                    inside = any(x.article for x in found)
+                    kept = [x for x in found if x.article or not inside]
                     settled = all(x.article and not x.doubtful for x in kept)
                     bare = [] if settled else kept
-                    rows.append((*_place(url), " ".join(x.text for x in kept) if settled else "", [x.text for x in bare], [x.article and not x.doubtful for x in bare], line_hashes(found)))
+                    rows.append((*_place(url), " ".join(x.text for x in kept) if settled else "", [x.text for x in bare], [0 if inside and not x.article else -len(x.text) if x.article and not x.doubtful else len(x.text) for x in found], line_hashes(found)))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["page_id", "url", "host", "path", "text", "bare", "sure", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["page_id", "url", "host", "path", "text", "bare", "marks", "hashes"])
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return written(base.mapInArrow(run, "page_id long, url string, host string, path string, text string, bare array<string>, sure array<boolean>, hashes array<long>"), "parsed")
+    return written(base.mapInArrow(run, "page_id long, url string, host string, path string, text string, bare array<string>, marks array<int>, hashes array<long>"), "parsed")
 
 
-def nearest(pages: DataFrame) -> DataFrame:
-    """``(host, hashes)`` of parsed pages -> ``(host, key, neighbours)``: line hashes of up to SIDE pages on each side, nearest first.
+def differences(pages: DataFrame) -> DataFrame:
+    """``(host, path, hashes, marks)`` of parsed pages -> ``(host, key, marks, n_shared, gone)`` of every page: what :func:`shared` finds in up to SIDE pages on each side, nearest first.
 
-    ``key`` is the hash of the page's lines; pages of a host with the same lines are one.
+    ``key`` is the hash of the page's lines; pages of a host with the same lines
+    are one, compared once for each of their ``marks``. Only hashes travel, no
+    texts. The result is written to the shared folder.
     """
     spark = pages.sparkSession
-    one = pages.select("host", "path", F.xxhash64("hashes").alias("key"), "hashes", (F.size("bare") > 0).alias("bare")).groupBy("host", "key").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.max("bare").alias("bare"))
+    one = pages.select("host", "path", F.xxhash64("hashes").alias("key"), "hashes", "marks").groupBy("host", "key").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.collect_set("marks").alias("marks"))
     order = ["host", "path", "key"]
     ranged = one.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "pages")
@@ -379,18 +388,20 @@ def nearest(pages: DataFrame) -> DataFrame:
     rows = ranged.withColumn("own", F.lit(True)).unionByName(shown.select(*ranged.columns, F.lit(False).alias("own")))
     row = F.struct("host", "path", "hashes")
     others = F.array(*(f(row, k).over(inside) for k in range(1, SIDE + 1) for f in (F.lag, F.lead)))
-    near = rows.withColumn("others", others).where("own and bare").select("host", "path", "key", "others")
+    near = rows.withColumn("others", others).where("own").select("host", "path", "key", "hashes", "marks", "others")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
-            out = []
-            for host, path, others in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
-                found = [x for x in others if x and x["host"] == host]
-                found.sort(key=lambda x: -_alike(path, x["path"]))
-                out.append([x["hashes"] for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int64())))], ["host", "key", "neighbours"])
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for host, path, key, own, marks, others in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    found = [x for x in others if x and x["host"] == host]
+                    found.sort(key=lambda x: -_alike(path, x["path"]))
+                    out += [(host, key, m, *shared(own, m, [x["hashes"] for x in found])) for m in marks]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["host", "key", "marks", "n_shared", "gone"])
 
-    return near.mapInArrow(choose, "host string, key long, neighbours array<array<long>>")
+    return written(near.mapInArrow(choose, "host string, key long, marks array<int>, n_shared long, gone array<int>"), "differences")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -406,11 +417,12 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [" ".join(without_shared([Line(*x) for x in zip(found, sure)], others or [])) for found, sure, others in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [" ".join(x for i, x in enumerate(found) if i not in (gone or ())) for found, gone in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     split = parsed(pages)
     settled = split.where("size(bare) = 0").select("page_id", "url", "text")
-    rest = split.where("size(bare) > 0").withColumn("key", F.xxhash64("hashes")).join(nearest(split), ["host", "key"], "left")
-    rest = rest.select("page_id", "url", "bare", "sure", "neighbours").mapInArrow(compared, "page_id long, url string, text string")
+    less = differences(split).where("size(gone) > 0").select("host", "key", F.xxhash64("marks").alias("mark"), "gone")
+    rest = split.where("size(bare) > 0").withColumns({"key": F.xxhash64("hashes"), "mark": F.xxhash64("marks")}).join(less, ["host", "key", "mark"], "left")
+    rest = rest.select("page_id", "url", "bare", "gone").mapInArrow(compared, "page_id long, url string, text string")
     return settled.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -620,3 +620,13 @@ def test_scores_of_odd_rows(spark, docs, nothing):
         toxicity.score(docs, model, keep=("Score",))
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and kept.where("score = 'x'").count() == kept.count() > 0
+
+
+def test_every_page_is_compared(spark):
+    """Pages whose article markup settles are compared with their neighbours, too: shared lines are found, and stay."""
+    page = lambda k: f"<nav>Menu</nav><article><p>Story {k} in words that only it has {'z' * 9 * k}</p><p>A quotation</p></article>"
+    frame = spark.createDataFrame([(k, f"http://h.org/{k}", page(k)) for k in range(1, 5)], "page_id long, url string, html string")
+    found = html.differences(html.parsed(frame)).collect()
+    assert [(r.n_shared, r.gone) for r in found] == [(1, [])] * 4
+    assert all(r.text.endswith("z A quotation") for r in html.main_text(frame).collect())
+    assert html.shared([1, 2, 3, 4], [0, -9, 5, 40], [[2, 3, 4], [1, 2, 3]]) == (2, [1])
