@@ -34,17 +34,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.scratch import dropped, tasks_for, written
+from millrace.llm.scratch import dropped, shuffles_removed, tasks_for, written
+from millrace.llm.substring_dedup import pack, unpack
 from millrace.llm.textnum import release_memory, shingle_sets
 
-#: Shingles whose document counts are summed over the corpus to order the sets: those that come this often in a run of COUNT_RUN.
-COUNT_FLOOR, COUNT_RUN = 8, 1 << 20
-#: The most frequent of them are ordered last. Any choice gives the same links; it bounds what is sent to the tasks.
+#: Members that so many sets have among their first by hash are ordered last, whatever the number of documents; members counted at once, and documents for each range of hashes in which counts are summed.
+COUNT_FLOOR, COUNT_RUN, RANGE_DOCS = 32, 1 << 20, 2048
+#: Such ranges for each task, at least.
+TASK_RANGES = 8
+#: So many of them at most, the most frequent. Any choice gives the same links; it bounds what is sent to the tasks.
 FREQUENT = 50_000
 #: Sets in a block, on average.
 BLOCK = 192
-#: Bits of a set's parity bitmap; sets beyond WIDE_FROM members, which would fill it, have a wide one as well.
-BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 13, 3000
+#: Bits of a set's parity bitmap; sets beyond WIDE_FROM members, which would fill it, have a wide one as well. Bitmaps of unlike sets
+#: differ in half of the bits at most, those of partners at 0.8 in a ninth of both sizes: from 2,300 members on, 1024 bits rule out nothing.
+BITS, WIDE_BITS, WIDE_FROM = 1024, 1 << 13, 1500
 #: Pairs of bitmaps compared at once.
 PAIRS = 1 << 16
 #: Rows of ids that may be sent to all tasks; beyond that both sides are shuffled.
@@ -71,10 +75,11 @@ class Order:
     def prefix(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
         """The first members of a sorted set, of which it shares one with every set that meets the threshold."""
         size = prefix_length(len(s), num, den)
-        late = self.late(s)
-        rare = s[late < 0]
-        if len(rare) >= size:
-            return rare[:size]
+        for most in (2 * size, len(s)):
+            late = self.late(s[:most])
+            rare = s[:most][late < 0]
+            if len(rare) >= size:
+                return rare[:size]
         often = s[late >= 0]
         return np.concatenate([rare, often[np.argsort(late[late >= 0], kind="stable")][: size - len(rare)]])
 
@@ -183,33 +188,55 @@ def _set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Hash and rank of the shingles ordered last: a bounded list, summed over the counts of all documents."""
+def _frequent(docs: DataFrame, n: int, num: int, den: int) -> np.ndarray:
+    """The members ordered last, by rising frequency: a bounded list of those that COUNT_FLOOR sets and more have among their first.
+
+    These are the first by hash, twice as many as a prefix has, since members
+    ordered last make room for others. All are counted, as one that is rare in
+    every part of the corpus can still be in many sets. They travel as packed
+    arrays, each from a run to a range of turned hashes (the first are low).
+    """
+    bits = max(1, (docs.count() // RANGE_DOCS).bit_length())
+    half = np.uint64(32)
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         run, held = [], 0
 
-        def summed() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(run), return_counts=True)
-            often = c >= COUNT_FLOOR
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])], ["h", "c"])
+        def packed() -> pa.RecordBatch:
+            h = np.concatenate(run)
+            h, c = np.unique(h << half | h >> half, return_counts=True)
+            cuts = [*np.searchsorted(h, starts).tolist(), len(h)]
+            rows = [(r, 0, 0, pack(h[a:b]), c[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int64()] * 3 + [pa.binary()] * 2)], ["g", "p", "q", "members", "counts"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 for s in shingle_sets(batch.column(0).slice(at, 1024).to_pylist(), n):
                     if len(s) and (key := _set_id(s)) not in seen:
                         seen.add(key)
-                        run.append(s)
-                        held += len(s)
+                        run.append(s[: 2 * prefix_length(len(s), num, den)].copy())
+                        held += len(run[-1])
                         if held >= COUNT_RUN:
-                            yield summed()
+                            yield packed()
                             seen, run, held = set(), [], 0
         if run:
-            yield summed()
+            yield packed()
         release_memory()
 
-    counts = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def often(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        members, counts = table.column("members").to_pylist(), table.column("counts").to_pylist()
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            h, at = np.unique(np.concatenate([unpack(x) for x in members[lo:hi]]), return_inverse=True)
+            c = np.bincount(at, np.frombuffer(b"".join(counts[lo:hi]), "<u4")).astype(np.int64)
+            out.append((h[c >= COUNT_FLOOR], c[c >= COUNT_FLOOR]))
+        h, c = map(np.concatenate, zip(*out))
+        return pa.table({"h": (h << half | h >> half).view(np.int64), "c": c})
+
+    arrays = docs.select("text").mapInArrow(count, "g long, p long, q long, members binary, counts binary")
+    counts = _whole_blocks(arrays, often, "h long, c long", tasks_for(docs.sparkSession, 1 << bits, TASK_RANGES))
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -371,7 +398,17 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     link like others; a null is never the smallest unless the class has no
     other. An empty table gives no rows. Other columns are ignored.
     """
-    frequent = _frequent(docs, n)
+    with shuffles_removed(docs.sparkSession):
+        nodes, one_of, joined = _joined_sets(docs, n, num, den)
+    roots = one_of.join(joined, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"), "doc_id")
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = roots.join(least, "root").select("set_id", "component_id")
+    return nodes.select("doc_id", "set_id", "n_shingles").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _joined_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes; (set_id, doc_id, text_key) of one row of each set; (set_id, component) of the sets with links."""
+    frequent = _frequent(docs, n, num, den)
     nodes = written(_nodes(docs, n, num, den, frequent), "nodes")
     tasks = tasks_for(docs.sparkSession, nodes.count(), TASK_DOCS)
     one_of = nodes.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")).select("set_id", "r.doc_id", "r.text_key")
@@ -433,10 +470,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         few = rows.where("label <> top").select(F.col("h").alias("g"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("p"), _part(F.col("set_id"), 4, F.col("slices")).alias("q"), "set_id", "label")
         more(whole.unionByName(few))
 
-    roots = one_of.join(joined, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("root"), "doc_id")
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = roots.join(least, "root").select("set_id", "component_id")
-    return nodes.select("doc_id", "set_id", "n_shingles").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return nodes, one_of, joined
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -446,7 +480,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     linked; one of them stays. Rows with a null doc_id stay.
     """
     classes = similarity_classes(docs, n, num, den).where("doc_id is not null")
-    ids = written(classes.groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "classes")
+    with shuffles_removed(docs.sparkSession):
+        ids = written(classes.groupBy("doc_id").agg((F.min("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "classes")
 
     def of(condition: str, how: str) -> DataFrame:
         found = _sent(ids.where(condition).select(F.col("doc_id").alias("id")))

@@ -1,6 +1,8 @@
 import itertools
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -237,3 +239,66 @@ def test_components_of_several_tasks(spark, monkeypatch):
     label = classes_of([(nodes.index(a), nodes.index(b)) for a, b in pairs if a != b], len(nodes))
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert got == {x: nodes[k] for x, k in zip(nodes, label)}
+
+
+def written_tables(monkeypatch):
+    """The tables that a call of the operator writes, by tag."""
+    found, write = {}, jaccard_join.written
+
+    def run(df, tag, *tasks):
+        out = write(df, tag, *tasks)
+        found.setdefault(tag, []).append([r.asDict() for r in out.collect()] if tag in ("groups", "blocks") else None)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", run)
+    return found
+
+
+def unlike_texts(rng, n, shared, own):
+    """Texts of random words that hold one passage."""
+    passage = " ".join(f"p{i}" for i in range(shared))
+    return [(i, f"{passage} {' '.join(f'w{k}' for k in rng.integers(0, 1 << 40, own))}") for i in range(n)]
+
+
+def test_frequent_members_are_counted_over_all_parts(spark, monkeypatch):
+    """A passage that few texts of each partition hold, but many of all, brings no large group together."""
+    rows = unlike_texts(np.random.default_rng(8), 120, 60, 100)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    found = written_tables(monkeypatch)
+    got = Counter(tuple(r) for r in jaccard_join.similarity_classes(frame, 5, 80, 100).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+    assert max([0, *(r["size"] for r in found["groups"][0])]) < jaccard_join.COUNT_FLOOR
+
+    counts = Counter(h for s in textnum.shingle_sets([t for _, t in rows], 5) for h in s[: 2 * jaccard_join.prefix_length(len(s), 80, 100)].tolist())
+    often = jaccard_join._frequent(frame, 5, 80, 100).tolist()
+    assert often and set(often) == {h for h, c in counts.items() if c >= jaccard_join.COUNT_FLOOR}
+    assert [counts[h] for h in often] == sorted(counts[h] for h in often)
+
+
+def test_bitmaps_rule_out_unlike_sets_of_any_size(spark, monkeypatch):
+    """Sets that fill the small bitmap are told apart by the wide one, so their texts are not read."""
+    rng = np.random.default_rng(9)
+    rows = [(100 * k + i, f"{k} {t}") for k, own in enumerate((1400, 1700, 2300, 2900, 3500)) for i, t in unlike_texts(rng, 6, 80, own)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = written_tables(monkeypatch)
+    got = jaccard_join.similarity_classes(frame, 5, 80, 100).collect()
+    assert all(r.doc_id == r.component_id for r in got) and len(got) == 30
+    assert found["groups"][0] and found["blocks"][0] == []
+
+
+def test_shuffle_files_go_with_their_step(spark, docs, monkeypatch):
+    top = Path(spark.sparkContext._temp_dir).parent.parent
+    files = lambda: set(top.rglob("shuffle_*.data"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = docs.groupBy("doc_id").count()
+    kept.collect()
+    before, setting = files(), spark.conf.get(name)
+    assert before  # those of a step outside stay
+    values, write = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, *a: values.append(spark.conf.get(name)) or write(df, *a))
+    jaccard_join.similarity_classes(docs, 4, 85, 100)
+    assert set(values) == {"true"}
+    end = time.time() + 20
+    while files() - before and time.time() < end:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(name) == setting
